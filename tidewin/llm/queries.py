@@ -1,13 +1,14 @@
 """Queries and oracle SQL of this folder."""
 from __future__ import annotations
 
-from . import exact_dedup, pii, secrets, sharding
+from . import exact_dedup, minhash, pii, secrets, sharding
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_secrets": secrets.op6_secrets,
     "op7_sharding": sharding.op7_sharding,
+    "op8_minhash": minhash.op8_minhash,
 }
 
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL}
