@@ -1,7 +1,7 @@
 """Queries and oracle SQL of this folder."""
 from __future__ import annotations
 
-from . import exact_dedup, minhash, pii, secrets, sharding
+from . import exact_dedup, minhash, pii, quality, secrets, sharding
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_sharding": sharding.op7_sharding,
     "op8_minhash": minhash.op8_minhash,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL}
