@@ -1,10 +1,11 @@
 """Queries and oracle SQL of this folder."""
 from __future__ import annotations
 
-from . import exact_dedup, minhash, pii, quality, secrets, sharding
+from . import exact_dedup, minhash, mixing, pii, quality, secrets, sharding
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
+    "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_secrets": secrets.op6_secrets,
     "op7_sharding": sharding.op7_sharding,
