@@ -1,9 +1,10 @@
 """Queries and oracle SQL of this folder."""
 from __future__ import annotations
 
-from . import exact_dedup, minhash, mixing, pii, quality, secrets, sharding
+from . import bpe, exact_dedup, minhash, mixing, pii, quality, secrets, sharding
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
