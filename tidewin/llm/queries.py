@@ -1,13 +1,14 @@
 """Queries and oracle SQL of this folder."""
 from __future__ import annotations
 
-from . import bpe, exact_dedup, minhash, mixing, pii, quality, secrets, sharding
+from . import bpe, exact_dedup, minhash, mixing, pii, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_secrets": secrets.op6_secrets,
     "op7_sharding": sharding.op7_sharding,
     "op8_minhash": minhash.op8_minhash,
