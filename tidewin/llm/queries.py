@@ -1,7 +1,7 @@
 """Queries and oracle SQL of this folder."""
 from __future__ import annotations
 
-from . import bpe, exact_dedup, minhash, mixing, pii, quality, secrets, sharding, toxicity
+from . import bpe, exact_dedup, html_text, minhash, mixing, pii, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_sharding": sharding.op7_sharding,
     "op8_minhash": minhash.op8_minhash,
+    "op9_html_text": html_text.op9_html_text,
     "op10_quality": quality.op10_quality,
 }
 
