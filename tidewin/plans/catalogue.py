@@ -1,3 +1,3 @@
 """Every registered query of the windowed-signal engine, with its oracle SQL."""
-QUERIES = {}
-ORACLE_SQL = {}
+from . import arrays, audit, auroc, decisions, joins, planning, robust, series, signals, sinks, streams  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
