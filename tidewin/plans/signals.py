@@ -1 +1,87 @@
-"""Placeholder."""
+"""Signal queries that no SQL engine can repeat: rows only. Signals of 3,200 samples are joined from ``sg``'s."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import signals as G
+from .registry import query
+from .views import SG, sg, sql
+
+
+def long_signals(spark, d):
+    """One signal per label: its scenes' samples one after the other."""
+    s = sg(spark, d).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("scene_id", "x"))).alias("p"))
+    return s.select(F.col("label").cast("long").alias("scene_id"), F.flatten(F.transform("p", lambda v: v["x"])).alias("x"))
+
+
+def _features(name, groups, doc):
+    def run(spark, d):
+        return G.scene_features(long_signals(spark, d), "scene_id", "x", groups, 1_500)
+
+    run.__doc__ = doc
+    query(name)(run)
+
+
+_features("features_iir", ("legacy", "phys", "wx"), "Band-filter features.")
+_features("features_envelope", ("cad", "mod2", "iii2", "stat2"), "Envelope, modulation and impulse features.")
+_features("features_tonal", ("eng", "tonal", "cooc"), "Line and comb features.")
+_features("features_cepstral", ("cep",), "Cepstra of two triangular banks.")
+_features("features_wavelet", ("wpe",), "Wavelet packet energies.")
+_features("features_ar_higuchi", ("ar",), "Autoregression and fractal dimension.")
+_features("features_all", tuple(G.X.GROUPS), "All 132.")
+
+
+@query("band_rms_fft", sql(SG, "f AS (SELECT scene_id, k, CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS w, pow(sum(v * cos(2 * pi() * k * i / 64)), 2) + pow(sum(v * sin(2 * pi() * k * i / 64)), 2) AS p FROM (SELECT scene_id, unnest(range(len(x))) AS i, unnest(x) AS v FROM sg) CROSS JOIN range(0, 33) AS t(k) GROUP BY ALL)",
+  "SELECT scene_id, round(sqrt(sum(w * p) FILTER (k BETWEEN 2 AND 10)) / 64, 6) AS low, round(sqrt(sum(w * p) FILTER (k BETWEEN 11 AND 31)) / 64, 6) AS high FROM f GROUP BY scene_id"))
+def band_rms_fft(spark, d):
+    """Brick-wall bands of 64 samples at 64 Hz."""
+    b = G.band_levels(sg(spark, d), "scene_id", "x", 64.0, {"low": (2, 10), "high": (11, 31)})
+    return b.select("scene_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query("welch_psd")
+def welch_psd(spark, d):
+    return G.welch_psd(long_signals(spark, d), "scene_id", "x", 1000.0, 1024)
+
+
+@query("resample_poly")
+def resample_poly(spark, d):
+    return G.resampled(long_signals(spark, d), "scene_id", "x", 5, 4).select("scene_id", F.size("y").alias("n"), F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 6).alias("s"))
+
+
+@query("spectral_lines")
+def spectral_lines(spark, d):
+    return G.spectral_lines(long_signals(spark, d), "scene_id", "x", 1000.0, 1024, least_db=1.0)
+
+
+@query("coupling_bumps")
+def coupling_bumps(spark, d):
+    return G.residual_bumps(long_signals(spark, d), "scene_id", "x", 1000.0, 1024)
+
+
+@query("sensor_render")
+def sensor_render(spark, d):
+    r = G.sensor_response(long_signals(spark, d), "scene_id", "x", 1000.0, gain=2.0, rail=0.5, lsb=0.001)
+    return r.select("scene_id", F.size("y").alias("n"), F.round(F.array_max("y"), 6).alias("peak"))
+
+
+@query("ml_gbt_importance")
+def ml_gbt_importance(spark, d):
+    """Gradient-boosted trees on the signals' samples and the importance of each; never value-equal to another library."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    s = sg(spark, d).select(array_to_vector("x").alias("features"), (F.col("coarse") != "nothing").cast("double").alias("label"))
+    m = GBTClassifier(maxIter=5, maxDepth=3, seed=1).fit(s)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(m.featureImportances.toArray())], "feature int, importance double")
+
+
+@query("pca_2")
+def pca_2(spark, d):
+    """Two principal components; their signs are arbitrary."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    s = sg(spark, d).select("scene_id", array_to_vector("x").alias("v"))
+    t = PCA(k=2, inputCol="v", outputCol="pc").fit(s).transform(s)
+    return t.select("scene_id", vector_to_array("pc").alias("p")).select("scene_id", F.col("p")[0].alias("pc1"), F.col("p")[1].alias("pc2"))
