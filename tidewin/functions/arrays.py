@@ -107,8 +107,15 @@ def interp(x: Column, xs: list[float], ys: list[float]) -> Column:
 
 
 def decode_f32(blob: Column) -> Column:
-    """array<float> from little-endian 32-bit floats, by bit arithmetic on the bytes."""
-    return F.transform(F.sequence(F.lit(0), F.floor(F.octet_length(blob) / 4).cast("int") - 1), lambda i: _f32(F.conv(F.hex(F.reverse(F.substring(blob, i * 4 + 1, F.lit(4)))), 16, 10).cast("long")))
+    """array<float> from little-endian 32-bit floats, by bit arithmetic on the bytes; an empty blob gives an empty array."""
+    digits = F.hex(blob)
+
+    def one(i: Column) -> Column:
+        pair = lambda k: F.substring(digits, i * 8 + 2 * k + 1, F.lit(2))
+        return _f32(F.conv(F.concat(pair(3), pair(2), pair(1), pair(0)), 16, 10).cast("long"))
+
+    n = F.floor(F.octet_length(blob) / 4).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), one)).when(n == 0, F.array().cast("array<float>"))
 
 
 def _f32(bits: Column) -> Column:

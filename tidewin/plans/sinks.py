@@ -1 +1,86 @@
-"""Placeholder."""
+"""Queries that write and read again."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources import readers, sinks
+from ..sources.scratch import scratch
+from .registry import query
+from .views import EV, ev, read, sql
+
+
+@query("upsert_rows", "WITH n AS (SELECT c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey + 1000000, 0 FROM customer WHERE c_custkey % 97 = 0) SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT c_custkey, round(c_acctbal, 2) FROM n")
+def upsert_rows(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", "c_acctbal")
+    n = c.filter("c_custkey % 5 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1).unionByName(c.filter("c_custkey % 97 = 0").select((F.col("c_custkey") + 1_000_000).alias("c_custkey"), F.lit(0.0).alias("c_acctbal")))
+    return sinks.upsert(c, n, ["c_custkey"]).withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@query("register_windows", sql(EV, "SELECT dataset, CAST(min(window_id) AS BIGINT) AS lo, CAST(max(window_id) AS BIGINT) AS hi, count(DISTINCT window_id) AS n FROM (SELECT 'old' AS dataset, event_id AS window_id FROM ev WHERE event_id < 100 UNION ALL SELECT 'field', 100 + row_number() OVER (ORDER BY recording, pos) - 1 FROM ev) GROUP BY dataset"))
+def register_windows(spark, d):
+    e = ev(spark, d)
+    have = e.filter("event_id < 100").select(F.col("event_id").alias("window_id"), F.lit("old").alias("dataset"), "recording", "pos")
+    r = sinks.register_windows(have, e.select("recording", "pos"), "field", ["recording", "pos"])
+    return r.groupBy("dataset").agg(F.min("window_id").alias("lo"), F.max("window_id").alias("hi"), F.countDistinct("window_id").alias("n"))
+
+
+@query("partitioned_round_trip", "SELECT l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_linestatus")
+def partitioned_round_trip(spark, d):
+    """Written in folders by a predicate's column; reading one value opens one folder."""
+    path = scratch(spark, "by-status")
+    sinks.write_parquet(read(spark, d, "lineitem").select("l_linestatus", "l_quantity", "l_orderkey"), path, ["l_linestatus"], ["l_orderkey"])
+    return spark.read.parquet(path).filter("l_linestatus = 'O'").groupBy("l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@query("csv_round_trip", "SELECT n_nationkey, n_name FROM nation")
+def csv_round_trip(spark, d):
+    path = scratch(spark, "csv")
+    sinks.write_csv(read(spark, d, "nation").select("n_nationkey", "n_name"), path, ["n_nationkey"])
+    return spark.read.option("header", "true").schema("n_nationkey bigint, n_name string").csv(path)
+
+
+@query("csv_positions", "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, CAST(n_nationkey AS DOUBLE) AS value FROM nation")
+def csv_positions(spark, d):
+    """Line order as a column."""
+    path = scratch(spark, "csv-pos")
+    sinks.write_csv(read(spark, d, "nation").select("n_name", F.col("n_nationkey").alias("amplitude")), path, ["amplitude"])
+    return readers.csv_positions(spark, path).select(F.col("pos").cast("long").alias("pos"), "value")
+
+
+@query("blob_decode", "SELECT vec_id AS scene_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[64] AS DOUBLE), 6) AS last, len(embedding) AS n FROM embeddings")
+def blob_decode(spark, d):
+    """Little-endian 32-bit floats in a blob, decoded by bit arithmetic inside the JVM."""
+    import struct
+
+    import pyarrow as pa
+
+    from ..functions.arrays import decode_f32
+
+    def pack(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([struct.pack(f"<{len(x)}f", *x) for x in b.column(1).to_pylist()], pa.binary())], names=["scene_id", "blob"])
+
+    blobs = read(spark, d, "embeddings").select(F.col("vec_id").alias("scene_id"), "embedding").mapInArrow(pack, "scene_id long, blob binary")
+    x = blobs.select("scene_id", decode_f32(F.col("blob")).alias("x"))
+    return x.select("scene_id", F.round(F.col("x")[0].cast("double"), 6).alias("first"), F.round(F.element_at("x", -1).cast("double"), 6).alias("last"), F.size("x").cast("long").alias("n"))
+
+
+@query("activity_json", sql("a AS (SELECT scene_id, cls, unnest(iv) AS iv FROM (SELECT event_id AS scene_id, event_type AS cls, [[value, value + 5], [value + 3, value + 9]] AS iv FROM events))", "SELECT scene_id, cls, round(sum(greatest(0, least(iv[2], CAST(300 AS DOUBLE)) - greatest(iv[1], CAST(100 AS DOUBLE)))), 6) AS covered FROM a GROUP BY ALL"))
+def activity_json(spark, d):
+    """Nested activity written as JSON text, parsed with a schema, summed per class."""
+    from ..operators.joins import overlap_of_list
+
+    t = read(spark, d, "events").select(F.col("event_id").alias("scene_id"), F.to_json(F.struct(F.create_map("event_type", F.lit(1)).alias("counts"), F.create_map("event_type", F.array(F.array("value", F.col("value") + 5), F.array(F.col("value") + 3, F.col("value") + 9))).alias("activity"))).alias("activity_json"))
+    p = t.select("scene_id", F.from_json("activity_json", "counts map<string,int>, activity map<string,array<array<double>>>").alias("a"))
+    return p.select("scene_id", F.explode("a.activity").alias("cls", "iv")).select("scene_id", "cls", F.round(overlap_of_list(F.col("iv"), F.lit(100.0), F.lit(300.0)), 6).alias("covered"))
+
+
+@query("delete_where", "SELECT n_nationkey FROM nation WHERE NOT (n_regionkey = 2)")
+def delete_where(spark, d):
+    return sinks.delete_where(read(spark, d, "nation"), F.col("n_regionkey") == 2).select("n_nationkey")
+
+
+@query("recording_keys", "SELECT split_part(p_name, ' ', 1) AS head, count(*) AS n FROM part GROUP BY 1")
+def recording_keys(spark, d):
+    """Parts of composite names."""
+    return read(spark, d, "part").groupBy(F.split("p_name", " ")[0].alias("head")).agg(F.count("*").alias("n"))

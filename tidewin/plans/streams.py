@@ -1 +1,45 @@
-"""Placeholder."""
+"""Streaming twins, run over what is there and compared with the batch operators' SQL."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources.scratch import scratch
+from ..streaming import operators as T
+from .registry import query
+from .series import OFF, ON, hyst_sql
+from .views import EV, ev, sql
+
+
+def _stream(spark, d):
+    path = scratch(spark, "stream-in")
+    e = ev(spark, d).select("recording", "us", "pos", "s_human", "label", F.timestamp_micros("us").alias("at"))
+    e.repartition(1).sortWithinPartitions("us").write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+def _run(spark, result, mode="append"):
+    return T.run_available(result, scratch(spark, "stream-out"), scratch(spark, "stream-state"), mode)
+
+
+@query("streaming_hysteresis", sql(EV, hyst_sql("h", "ev", "recording", "s_human", ON, OFF), "SELECT recording, us, is_on FROM h"))
+def streaming_hysteresis(spark, d):
+    """Keyed state of one boolean; equal to the set-based form."""
+    return _run(spark, T.hysteresis_stream(_stream(spark, d), "recording", "us", "s_human", 0.8, 0.5)).select("recording", "us", "is_on")
+
+
+@query("streaming_n_of_m", sql(EV, "SELECT recording, us, sum(CAST(s_human > CAST(0.6 AS DOUBLE) AS INT)) OVER (PARTITION BY recording ORDER BY t0_s, pos ROWS 2 PRECEDING) >= 2 AS is_on FROM ev"))
+def streaming_n_of_m(spark, d):
+    return _run(spark, T.n_of_m_stream(_stream(spark, d), "recording", "us", "s_human", 0.6, 2, 3)).select("recording", "us", "is_on")
+
+
+@query("streaming_sliding_counts")
+def streaming_sliding_counts(spark, d):
+    """Closed windows only: append mode gives a window when the watermark has passed it."""
+    c = T.sliding_counts(_stream(spark, d), "at", ["label"], "1 day", "12 hours", "1 hour")
+    return _run(spark, c).select("label", F.unix_micros("w.start").alias("start_us"), "n")
+
+
+@query("streaming_sessions")
+def streaming_sessions(spark, d):
+    s = T.sessions(_stream(spark, d), "at", "recording", "8 hours", "1 hour")
+    return _run(spark, s).select("recording", F.unix_micros("w.start").alias("start_us"), "n")
