@@ -118,10 +118,13 @@ def make_plan(rows: DataFrame, shards: int, seed: int) -> Plan:
         words[r["s"]][r["block"]] = r["w"]
     left = [0.0] * len(names)
     for i, w in enumerate(words):
+        if part[i] < 1:  # full passes only; not even documents without words come once more
+            plan.cut_block[i] = -1
+            continue
         ends = np.cumsum(w)
         plan.cut_block[i] = int(np.searchsorted(ends, part[i], "right"))
         left[i] = part[i] - (ends[plan.cut_block[i] - 1] if plan.cut_block[i] else 0)
-    cuts = spark.createDataFrame([(i, int(plan.cut_block[i]), float(left[i])) for i in range(len(names)) if plan.cut_block[i] < blocks[i]], "s int, block long, part double")
+    cuts = spark.createDataFrame([(i, int(plan.cut_block[i]), float(left[i])) for i in range(len(names)) if part[i] >= 1 and plan.cut_block[i] < blocks[i]], "s int, block long, part double")
     # documents of the cut blocks only; rows that share a key count together
     inside = numbered.join(F.broadcast(cuts), ["s", "block"]).groupBy("s", "key").agg(F.sum("size").alias("size"), F.first("part").alias("part"))
     inside = inside.withColumn("upto", F.sum("size").over(Window.partitionBy("s").orderBy("key")))
@@ -168,7 +171,7 @@ def _decided(spark, rows: DataFrame, plan: Plan) -> DataFrame:
             last = plan.draws[i, plan.passes[i]]
             # an added document lies in a later block; it goes where that block would have gone first
             full = [int(plan.draws[i, p][k]) for p in range(plan.passes[i])]
-            where.append((i, k, full, int(last[k]) if k < len(last) else (full[0] if full else int(last[k % len(last)]) if len(last) else 0)))
+            where.append((i, k, full, int(last[k]) if k < len(last) else full[0] if full else int(last[k % len(last)]) if len(last) else 0))
     spots = spark.createDataFrame(where, "s int, m_block long, m_full array<int>, m_part int")
     out = rows.join(F.broadcast(info), rows["source"].eqNullSafe(info["m_source"]))
     out = out.withColumn("m_block", block_of(F.col("key"), F.col("m_blocks"))).join(F.broadcast(spots), ["s", "m_block"])
