@@ -6,10 +6,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import exact_quantiles
 
-def threshold_at_far(df: DataFrame, heads: dict[str, str], quiet: Column, far: float, keys: list[str] | None = None) -> DataFrame:
-    """One column tau_<head> per head: the interpolated (1 - far) quantile of the quiet rows' scores, exact."""
-    return df.filter(quiet).groupBy(*(keys or [])).agg(*[F.percentile(c, F.lit(1.0 - far)).alias(f"tau_{h}") for h, c in heads.items()])
+
+def threshold_at_far(df: DataFrame, heads: dict[str, str], quiet: Column, far: float) -> DataFrame:
+    """One row with a column tau_<head> per head: the interpolated (1 - far) quantile of the quiet rows' scores.
+
+    Exact over any number of rows: the heads' scores are ranked by cells, in no task together.
+    """
+    long = df.filter(quiet).select(F.inline(F.array(*[F.struct(F.lit(h).alias("head"), F.col(c).alias("score")) for h, c in heads.items()])))
+    q = exact_quantiles(long, ["head"], "score", [1.0 - far])
+    return q.agg(*[F.max(F.when(F.col("head") == h, F.col("q"))).alias(f"tau_{h}") for h in heads])
 
 
 def quantile_vector(df: DataFrame, value: str, keys: list[str], n: int = 1000) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decisions as D
+from ..operators.ordering import exact_quantiles
 from .registry import query
 from .views import EV, EV_LONG, ev, ev_long, sql
 
@@ -71,8 +72,7 @@ def threshold_sweep(spark, d):
     """Recall, precision and realised rate of the human head at four false-alarm rates."""
     fars = [0.01, 0.02, 0.05, 0.1]
     e = ev(spark, d)
-    tau = e.filter(QUIET).agg(F.percentile("s_human", F.array(*[F.lit(1.0 - f) for f in fars])).alias("q"))
-    pairs = tau.select(F.explode(F.arrays_zip(F.array(*[F.lit(f) for f in fars]).alias("far"), F.col("q").alias("tau"))).alias("x")).select("x.far", "x.tau")
+    pairs = exact_quantiles(e.filter(QUIET), [], "s_human", [1.0 - f for f in fars]).select(F.round(1 - F.col("p"), 9).alias("far"), F.col("q").alias("tau"))
     on = F.col("s_human") > F.col("tau")
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("double")
     human, quiet = F.col("label") == "human", F.expr(QUIET)
@@ -199,6 +199,6 @@ def leaderboard_pivot(spark, d):
 def head_class_metrics_long(spark, d):
     """Each head as a detector of its own class, on the long view with a broadcast threshold table."""
     long = ev_long(ev(spark, d))
-    tau = long.filter(QUIET).groupBy("head").agg(F.percentile("score", F.lit(0.9)).alias("tau"))
+    tau = exact_quantiles(long.filter(QUIET), ["head"], "score", [0.9]).select("head", F.col("q").alias("tau"))
     n = lambda e: F.sum(F.when(F.expr(e), 1).otherwise(0)).cast("long")
     return long.join(F.broadcast(tau), "head").groupBy("head").agg(n("label = head AND score > tau").alias("tp"), n("label <> head AND score > tau").alias("fp"), n("label = head AND score <= tau").alias("fn"))
