@@ -80,17 +80,18 @@ def four_states(present: Column, emitted: Column, rms: Column, snr: Column, gate
 
 
 def hourly_condition(wind: Column, rain: Column) -> Column:
-    return F.when(rain > 5, "rain_heavy").when(rain > 0.5, "rain_light").when(wind >= 10, "wind_strong").when(wind >= 6, "wind_moderate").when(wind >= 3, "wind_light").otherwise("calm")
+    return F.when(rain > 5, "rain_heavy").when(rain > 0.5, "rain_light").when(wind >= 10, "wind_high").when(wind >= 6, "wind_mid").when(wind >= 3, "wind_low").otherwise("calm")
 
 
 def daily_condition(wind_max: Column, rain_sum: Column) -> Column:
-    return F.when(rain_sum >= 5, "rain_heavy").when(rain_sum >= 0.5, "rain_light").when(wind_max >= 12, "wind_strong").when(wind_max >= 7, "wind_moderate").when(wind_max >= 4, "wind_light").otherwise("calm")
+    return F.when(rain_sum >= 5, "rain_heavy").when(rain_sum >= 0.5, "rain_light").when(wind_max >= 12, "wind_high").when(wind_max >= 7, "wind_mid").when(wind_max >= 4, "wind_low").otherwise("calm")
 
 
 def line_kind(hz: Column) -> Column:
     """What a spectral line probably is; the first rule that holds."""
-    near = lambda base, tol: F.abs(hz / base - F.round(hz / base)) * base <= tol
-    return F.when((hz >= 45) & near(50.0, 0.6), "mains").when((hz >= 55) & near(60.0, 0.6), "mains").when(hz > 400, "spurious").when(hz < 5, "rig").when(hz.between(10, 120), "machinery").otherwise("other")
+    k = F.round(hz / 50)
+    mains = k.between(1, 9) & (F.abs(hz - 50 * k) <= 1.5)
+    return F.when(mains, "mains").when(hz.between(44, 47) | hz.between(53, 57), "rig").when(hz.between(140, 180), "spurious").when(hz.between(4, 80), "machinery").otherwise("other")
 
 
 def sigmoid(x: Column) -> Column:
@@ -98,9 +99,9 @@ def sigmoid(x: Column) -> Column:
 
 
 def cosine_rate(step: Column, total: int, warm: int, top: float) -> Column:
-    """Linear warm-up to ``top``, then half a cosine to 0."""
-    late = top * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * (step - warm) / max(total - warm, 1)))
-    return F.when(step < warm, top * (step + 1) / max(warm, 1)).otherwise(late)
+    """Linear warm-up from 0 to ``top``, then half a cosine to 0."""
+    part = F.least(F.lit(1.0), (step - warm) / F.lit(float(max(1, total - warm))))
+    return F.when(step < warm, top * step / max(1, warm)).otherwise(top * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * part)))
 
 
 def seconds_of_epoch(x: Column, median: Column) -> Column:
@@ -109,4 +110,10 @@ def seconds_of_epoch(x: Column, median: Column) -> Column:
 
 
 def coupling_anchor(fc: Column) -> Column:
-    return F.least(F.greatest(53.0 * F.sqrt(fc / 127.3), F.lit(30.0)), F.lit(150.0))
+    """The anchored coupling centre without jitter."""
+    return coupling_jittered(fc, F.lit(1.0))
+
+
+def coupling_jittered(fc: Column, factor: Column) -> Column:
+    """The anchored centre times a positive factor of median 1, inside the physical span."""
+    return F.least(F.greatest(53.0 * F.sqrt(fc / 127.3) * factor, F.lit(30.0)), F.lit(150.0))

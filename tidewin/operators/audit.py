@@ -24,11 +24,11 @@ def share(df: DataFrame, by: list[str], within: list[str]) -> DataFrame:
     return g.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
 
 
-def balance(df: DataFrame, cls: str, level: str) -> DataFrame:
-    """cls, levels, tv: total variation between the shares of the levels above 0 and the uniform; classes with two levels or more."""
-    s = share(df.filter(F.col(level) > 0), [cls, level], [cls])
+def balance(df: DataFrame, cls: str, kind: str) -> DataFrame:
+    """cls, kinds, tv: total variation between the shares of a class's kinds and the uniform; classes with two kinds or more."""
+    s = share(df.filter(F.col(kind).isNotNull()), [cls, kind], [cls])
     g = s.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(cls)))
-    return g.filter("_k >= 2").groupBy(cls).agg(F.max("_k").alias("levels"), (F.sum(F.abs(F.col("share") - 1 / F.col("_k"))) / 2).alias("tv"))
+    return g.filter("_k >= 2").groupBy(cls).agg(F.max("_k").alias("kinds"), (F.sum(F.abs(F.col("share") - 1 / F.col("_k"))) / 2).alias("tv"))
 
 
 def coverage(df: DataFrame, cls: str, x: Column, present: Column, lo: float, width: float, n: int, least: float = 0.01) -> DataFrame:

@@ -46,18 +46,37 @@ def winners(df: DataFrame, by: str, tie: str, k: int, keys: list[str]) -> DataFr
     return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
-def dense_cost(widths: Column, rate: Column) -> tuple[Column, Column]:
-    """(pJ of the analogue network, pJ of the spiking one): sums over neighbouring widths of products.
+def cost_model(n_in: Column, widths: Column, rank: Column, heads: Column, steps: Column, stem_once: Column, rates: Column) -> dict[str, Column]:
+    """macs, sops, energy_uj and ratio of a spiking network with one row of settings.
 
-    The first layer of the spiking network sees real inputs and multiplies; the others add, at the spike rate.
+    The first layer (through a low-rank pair if ``rank`` > 0) sees real numbers: a multiply-accumulate in
+    every time step, or once. Later layers and the heads add at the rate of the layer below. ``ratio`` is
+    the energy of the network without spikes over this one's; missing rates repeat the last.
     """
-    macs = F.zip_with(F.slice(widths, 1, F.size(widths) - 1), F.slice(widths, 2, F.size(widths)), lambda a, b: (a * b).cast("double"))
-    all_macs = F.aggregate(macs, F.lit(0.0), lambda acc, x: acc + x)
-    return all_macs * PJ_MAC, F.element_at(macs, 1) * PJ_MAC + (all_macs - F.element_at(macs, 1)) * rate * PJ_AC
-
-
-def stencil(vs: Column, fmax: float = 200.0, points: float = 10.0) -> dict[str, Column]:
-    """Grid spacing, time step and steps of a wave solver for a profile's shear velocity: a chain of limits."""
-    dx = F.greatest(F.least(vs / (fmax * points), F.lit(1.0)), F.lit(0.05))
-    dt = F.least(0.5 * dx / (vs * 1.8), F.lit(0.001))
-    return {"dx": dx, "dt": dt, "steps": F.ceil(F.lit(1.0) / dt)}
+    first = F.element_at(widths, 1)
+    stem = F.when(rank > 0, n_in * rank + rank * first).otherwise(n_in * first).cast("double")
+    outs = F.concat(F.slice(widths, 2, F.size(widths)), F.array(heads))
+    later = F.zip_with(widths, outs, lambda a, b: (a * b).cast("double"))
+    rate = F.transform(F.sequence(F.lit(1), F.size(widths)), lambda i: F.element_at(rates, F.least(i, F.size(rates))))
+    add = lambda acc, x: acc + x
+    macs = stem + F.aggregate(later, F.lit(0.0), add)
+    sops = F.aggregate(F.zip_with(later, rate, lambda m, r: m * r), F.lit(0.0), add) * steps
+    picojoule = stem * F.when(stem_once, F.lit(1)).otherwise(steps) * PJ_MAC + sops * PJ_AC
+    return {"macs": macs, "sops": sops, "energy_uj": picojoule / 1e6, "ratio": F.try_divide(macs * PJ_MAC, picojoule)}
+
+
+def stencil(vr: Column, q: Column, vs_top: Column, inverse: Column, vp_max: Column) -> dict[str, Column]:
+    """r_max, kmax, nk, nt and alpha of the wave solver for a profile (velocities in m/s, vp in km/s).
+
+    Wavenumbers reach the slowest surface wave and the near field; their number pushes the ghosts of the
+    discrete sum out of the window, as far as the cap allows; alpha damps what remains.
+    """
+    limit = lambda x, lo, hi: F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi)))
+    v = F.greatest(vr, F.lit(80.0)) / 1000
+    pi = 3.141592653589793
+    r_max = limit(6.9 * q * v / (pi * 25), 0.06, 0.32)
+    stiff = (vs_top >= 800) & ~inverse
+    t = r_max / v + F.when(stiff, 1.5).otherwise(2.5) + F.when(inverse, 1.5).otherwise(0.0)
+    kmax = limit(1.25 * 2 * pi * 250 / v, 10_000, 24_000)
+    nk = F.floor(limit(F.greatest(kmax * 0.85, 0.239 * kmax * vp_max * t), 8_000, 30_000)).cast("long")
+    return {"r_max": r_max, "kmax": kmax, "nk": nk, "nt": (F.ceil(F.round(t / 0.002 / 2, 9)) * 2).cast("long"), "alpha": F.least(2.15 * kmax / nk * vp_max, 9 / t)}

@@ -15,15 +15,15 @@ def r6(c, name):
     return F.round(c, 6).alias(name)
 
 
-TV = ["s AS (SELECT coarse, level, count(*) AS n FROM lw WHERE level > 0 GROUP BY ALL)", "k AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY coarse) AS DOUBLE) AS sh, count(*) OVER (PARTITION BY coarse) AS k FROM s)",
-      "tv AS (SELECT coarse, max(k) AS levels, sum(abs(sh - CAST(1 AS DOUBLE) / k)) / 2 AS tv FROM k WHERE k >= 2 GROUP BY coarse)"]
+TV = ["s AS (SELECT coarse, subkind, count(*) AS n FROM lw GROUP BY ALL)", "k AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY coarse) AS DOUBLE) AS sh, count(*) OVER (PARTITION BY coarse) AS k FROM s)",
+      "tv AS (SELECT coarse, max(k) AS kinds, sum(abs(sh - CAST(1 AS DOUBLE) / k)) / 2 AS tv FROM k WHERE k >= 2 GROUP BY coarse)"]
 
 
-@query("balance_tv", sql(LW, *TV, "SELECT coarse, levels, round(tv, 6) AS tv, round(1 - avg(tv) OVER (), 6) AS balance FROM tv"))
+@query("balance_tv", sql(LW, *TV, "SELECT coarse, kinds, round(tv, 6) AS tv, round(1 - avg(tv) OVER (), 6) AS balance FROM tv"))
 def balance_tv(spark, d):
-    b = A.balance(lw(spark, d), "coarse", "level")
+    b = A.balance(lw(spark, d), "coarse", "subkind")
     mean = b.agg((1 - F.avg("tv")).alias("m"))
-    return b.crossJoin(F.broadcast(mean)).select("coarse", "levels", r6(F.col("tv"), "tv"), r6(F.col("m"), "balance"))
+    return b.crossJoin(F.broadcast(mean)).select("coarse", "kinds", r6(F.col("tv"), "tv"), r6(F.col("m"), "balance"))
 
 
 COV = ["h AS (SELECT coarse, least(greatest(CAST(floor((snr + 30) / 5) AS BIGINT), 0), 7) AS b, count(*) AS n FROM lw WHERE level > 0 GROUP BY ALL)", "c AS (SELECT *, sum(n) OVER (PARTITION BY coarse) AS a FROM h)",
@@ -80,7 +80,7 @@ def missing_pairs(spark, d):
 def cdi_min(spark, d):
     """The combined score is the least of the sub-scores, and its name."""
     w = lw(spark, d)
-    b = A.balance(w, "coarse", "level").agg(F.lit("B").alias("name"), F.greatest(F.least((1 - F.avg("tv")) / 0.85, F.lit(1.0)), F.lit(0.0)).alias("score"))
+    b = A.balance(w, "coarse", "subkind").agg(F.lit("B").alias("name"), F.greatest(F.least((1 - F.avg("tv")) / 0.85, F.lit(1.0)), F.lit(0.0)).alias("score"))
     c = A.coverage(w, "coarse", F.col("snr"), F.col("level") > 0, -30, 5, 8).agg(F.lit("C").alias("name"), F.greatest(F.least(F.min("coverage"), F.lit(1.0)), F.lit(0.0)).alias("score"))
     p = spark.range(1).select(F.lit("P").alias("name"), F.lit(0.9).alias("score"))
     return b.unionByName(c).unionByName(p).agg(r6(F.min("score"), "cdi"), F.min_by("name", "score").alias("bottleneck"))

@@ -9,7 +9,7 @@ from ..operators import series as S
 from .registry import query
 from .views import EV, LW, ev, lw, read, sql
 
-TIERS = [("calm", 0.35), ("wind_light", 0.20), ("wind_moderate", 0.15), ("wind_strong", 0.10), ("rain_light", 0.12), ("rain_heavy", 0.08)]
+TIERS = [("calm", 0.35), ("wind_low", 0.20), ("wind_mid", 0.15), ("wind_high", 0.10), ("rain_light", 0.12), ("rain_heavy", 0.08)]
 
 
 def r6(c, name, digits=6):
@@ -78,12 +78,19 @@ def interval_merge(spark, d):
     return S.merge_intervals(o, ["k"], "a", "b")
 
 
-@query("energy_cost", "WITH c AS (SELECT * FROM (VALUES ('S', [77, 48, 16, 3]), ('M', [77, 256, 128, 3]), ('L', [77, 512, 256, 128, 3])) AS v(name, w)), l AS (SELECT name, i, CAST(w[i] AS DOUBLE) * w[i + 1] AS macs FROM c CROSS JOIN range(1, 5) AS t(i) WHERE i < len(w)) SELECT name, round(sum(macs) * CAST(4.6 AS DOUBLE), 3) AS analogue_pj, round(sum(CASE WHEN i = 1 THEN macs * CAST(4.6 AS DOUBLE) ELSE macs * CAST(0.2 AS DOUBLE) * CAST(0.9 AS DOUBLE) END), 3) AS spiking_pj FROM l GROUP BY name")
+COSTS = [("S", 77, [48, 16], 16, 3, 4, False, [0.2, 0.15]), ("M", 77, [256, 128], 0, 3, 4, True, [0.1, 0.12]), ("L", 77, [512, 256, 128], 0, 3, 4, False, [0.1, 0.08, 0.07])]
+
+
+@query("energy_cost", "WITH c AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i}, {w}, {r}, {h}, {t}, {str(o).lower()}, {[float(x) for x in f]}::DOUBLE[])" for n, i, w, r, h, t, o, f in COSTS) + """) AS v(name, n_in, w, rank, heads, t, once, fire)),
+m AS (SELECT name, 0 AS i, CASE WHEN rank > 0 THEN n_in * rank + rank * w[1] ELSE n_in * w[1] END AS macs, t, once, CAST(0 AS DOUBLE) AS rate FROM c
+  UNION ALL SELECT name, k, w[k] * CASE WHEN k = len(w) THEN heads ELSE w[k + 1] END, t, once, fire[k] FROM c CROSS JOIN range(1, 6) AS r(k) WHERE k <= len(w)),
+s AS (SELECT name, sum(macs) AS macs, sum(rate * t * macs) AS sops, max(CASE WHEN i = 0 THEN macs * CASE WHEN once THEN 1 ELSE t END END) AS stem FROM m GROUP BY name)
+SELECT name, CAST(macs AS BIGINT) AS macs, round(sops, 4) AS sops, round((stem * CAST(4.6 AS DOUBLE) + sops * CAST(0.9 AS DOUBLE)) / 1000000, 6) AS energy_uj, round(macs * CAST(4.6 AS DOUBLE) / (stem * CAST(4.6 AS DOUBLE) + sops * CAST(0.9 AS DOUBLE)), 6) AS ratio FROM s""")
 def energy_cost(spark, d):
-    """Analytical energy of fully connected networks, at a spike rate of 0.2."""
-    c = spark.createDataFrame([("S", [77, 48, 16, 3]), ("M", [77, 256, 128, 3]), ("L", [77, 512, 256, 128, 3])], "name string, w array<int>")
-    a, s = P.dense_cost(F.col("w"), F.lit(0.2))
-    return c.select("name", F.round(a, 3).alias("analogue_pj"), F.round(s, 3).alias("spiking_pj"))
+    """Operations and energy of spiking networks, and the ratio to the same network without spikes."""
+    c = spark.createDataFrame(COSTS, "name string, n_in int, w array<int>, rank int, heads int, t int, once boolean, fire array<double>")
+    k = P.cost_model(F.col("n_in"), F.col("w"), F.col("rank"), F.col("heads"), F.col("t"), F.col("once"), F.col("fire"))
+    return c.select("name", k["macs"].cast("long").alias("macs"), F.round(k["sops"], 4).alias("sops"), F.round(k["energy_uj"], 6).alias("energy_uj"), F.round(k["ratio"], 6).alias("ratio"))
 
 
 @query("plan_builder", "WITH c AS (SELECT s_nationkey AS cell, count(*) * 3 AS n, avg(s_acctbal) AS vs FROM supplier GROUP BY 1), k AS (SELECT cell, CAST(CASE WHEN vs >= 4000 THEN n ELSE 0 END AS BIGINT) AS n FROM c), b AS (SELECT cell, n, coalesce(sum(n) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k) SELECT cell, CAST(1000000 + before + j AS BIGINT) AS scene_id FROM b CROSS JOIN range(0, 1000) AS t(j) WHERE j < n")
@@ -108,8 +115,8 @@ def winner_rule(spark, d):
     return P.winners(r, "accuracy", "energy", 3, ["condition"])
 
 
-COND = "CASE WHEN rain > 5 THEN 'rain_heavy' WHEN rain > CAST(0.5 AS DOUBLE) THEN 'rain_light' WHEN wind >= 10 THEN 'wind_strong' WHEN wind >= 6 THEN 'wind_moderate' WHEN wind >= 3 THEN 'wind_light' ELSE 'calm' END"
-DAILY = "CASE WHEN rain >= 5 THEN 'rain_heavy' WHEN rain >= CAST(0.5 AS DOUBLE) THEN 'rain_light' WHEN wind >= 12 THEN 'wind_strong' WHEN wind >= 7 THEN 'wind_moderate' WHEN wind >= 4 THEN 'wind_light' ELSE 'calm' END"
+COND = "CASE WHEN rain > 5 THEN 'rain_heavy' WHEN rain > CAST(0.5 AS DOUBLE) THEN 'rain_light' WHEN wind >= 10 THEN 'wind_high' WHEN wind >= 6 THEN 'wind_mid' WHEN wind >= 3 THEN 'wind_low' ELSE 'calm' END"
+DAILY = "CASE WHEN rain >= 5 THEN 'rain_heavy' WHEN rain >= CAST(0.5 AS DOUBLE) THEN 'rain_light' WHEN wind >= 12 THEN 'wind_high' WHEN wind >= 7 THEN 'wind_mid' WHEN wind >= 4 THEN 'wind_low' ELSE 'calm' END"
 
 
 @query("weather_conditions", f"WITH w AS (SELECT l_quantity / 3 AS wind, l_tax * 100 AS rain FROM lineitem) SELECT {COND} AS hourly, {DAILY} AS daily, count(*) AS n FROM w GROUP BY ALL")
@@ -128,15 +135,23 @@ def weather_day_pick(spark, d):
     return a.select("day").union(b.select("day")).distinct()
 
 
-@query("line_classes", "WITH h AS (SELECT CAST(p_size AS DOUBLE) * 10 AS hz FROM part) SELECT CASE WHEN hz >= 45 AND abs(hz / 50 - round(hz / 50)) * 50 <= CAST(0.6 AS DOUBLE) THEN 'mains' WHEN hz >= 55 AND abs(hz / 60 - round(hz / 60)) * 60 <= CAST(0.6 AS DOUBLE) THEN 'mains' WHEN hz > 400 THEN 'spurious' WHEN hz < 5 THEN 'rig' WHEN hz BETWEEN 10 AND 120 THEN 'machinery' ELSE 'other' END AS kind, count(*) AS n FROM h GROUP BY 1")
+@query("line_classes", "WITH h AS (SELECT CAST(p_size AS DOUBLE) * 10 + (p_partkey % 5) AS hz FROM part), c AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM range(1, 10) AS t(k) WHERE abs(hz - 50 * k) <= 1.5) THEN 'mains' WHEN hz BETWEEN 44 AND 47 OR hz BETWEEN 53 AND 57 THEN 'rig' WHEN hz BETWEEN 140 AND 180 THEN 'spurious' WHEN hz BETWEEN 4 AND 80 THEN 'machinery' ELSE 'other' END AS kind FROM h) SELECT kind, count(*) AS n FROM c GROUP BY 1")
 def line_classes(spark, d):
-    return read(spark, d, "part").select((F.col("p_size").cast("double") * 10).alias("hz")).groupBy(X.line_kind(F.col("hz")).alias("kind")).agg(F.count("*").alias("n"))
+    hz = F.col("p_size").cast("double") * 10 + F.col("p_partkey") % 5
+    return read(spark, d, "part").select(hz.alias("hz")).groupBy(X.line_kind(F.col("hz")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("numerical_stencil", "WITH p AS (SELECT p_partkey, p_retailprice / CAST(2 AS DOUBLE) AS vs FROM part), x AS (SELECT *, greatest(least(vs / 2000, CAST(1 AS DOUBLE)), CAST(0.05 AS DOUBLE)) AS dx FROM p), t AS (SELECT *, least(CAST(0.5 AS DOUBLE) * dx / (vs * CAST(1.8 AS DOUBLE)), CAST(0.001 AS DOUBLE)) AS dt FROM x) SELECT p_partkey, round(dx, 6) AS dx, round(dt * 1000, 6) AS dt_ms, CAST(ceil(CAST(1 AS DOUBLE) / dt) AS BIGINT) AS steps FROM t")
+@query("numerical_stencil", """WITH p AS (SELECT p_partkey, p_retailprice / CAST(2 AS DOUBLE) AS vr, CAST(p_size AS DOUBLE) AS q, p_size % 7 = 0 AS inv, CAST(1 + p_size % 5 AS DOUBLE) AS vp FROM part),
+a AS (SELECT *, greatest(vr, 80) / 1000 AS v, vr >= 800 AND NOT inv AS stiff FROM p),
+b AS (SELECT *, least(greatest(CAST(6.9 AS DOUBLE) * q * v / (pi() * 25), CAST(0.06 AS DOUBLE)), CAST(0.32 AS DOUBLE)) AS r_max FROM a),
+c AS (SELECT *, r_max / v + CASE WHEN stiff THEN CAST(1.5 AS DOUBLE) ELSE CAST(2.5 AS DOUBLE) END + CASE WHEN inv THEN CAST(1.5 AS DOUBLE) ELSE 0 END AS t, least(greatest(CAST(1.25 AS DOUBLE) * 2 * pi() * 250 / v, 10000), 24000) AS kmax FROM b),
+e AS (SELECT *, floor(least(greatest(greatest(kmax * CAST(0.85 AS DOUBLE), CAST(0.239 AS DOUBLE) * kmax * vp * t), 8000), 30000)) AS nk FROM c)
+SELECT p_partkey, round(r_max, 6) AS r_max, round(kmax, 4) AS kmax, CAST(nk AS BIGINT) AS nk, CAST(ceil(round(t / CAST(0.002 AS DOUBLE) / 2, 9)) * 2 AS BIGINT) AS nt, round(least(CAST(2.15 AS DOUBLE) * kmax / nk * vp, 9 / t), 6) AS alpha FROM e""")
 def numerical_stencil(spark, d):
-    s = P.stencil(F.col("p_retailprice") / 2)
-    return read(spark, d, "part").select("p_partkey", F.round(s["dx"], 6).alias("dx"), F.round(s["dt"] * 1000, 6).alias("dt_ms"), s["steps"].cast("long").alias("steps"))
+    """The wave solver's grid for a profile: a chain of limits on its velocities and damping."""
+    p = read(spark, d, "part")
+    s = P.stencil(F.col("p_retailprice") / 2, F.col("p_size").cast("double"), F.col("p_retailprice") / 2, F.col("p_size") % 7 == 0, (1 + F.col("p_size") % 5).cast("double"))
+    return p.select("p_partkey", F.round(s["r_max"], 6).alias("r_max"), F.round(s["kmax"], 4).alias("kmax"), s["nk"].alias("nk"), s["nt"].alias("nt"), F.round(s["alpha"], 6).alias("alpha"))
 
 
 @query("ordinal_levels", "SELECT CASE WHEN n <= 0 THEN 'none' WHEN n = 1 THEN 'single' ELSE 'multiple' END AS level, count(*) AS n_customers FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) GROUP BY 1")
@@ -146,7 +161,7 @@ def ordinal_levels(spark, d):
     return c.groupBy(X.level_of_count(F.coalesce("n", F.lit(0))).alias("level")).agg(F.count("*").alias("n_customers"))
 
 
-@query("cosine_rate", sql(EV, "SELECT pos, round(CASE WHEN pos < 5 THEN CAST(0.1 AS DOUBLE) * (pos + 1) / 5 ELSE CAST(0.05 AS DOUBLE) * (1 + cos(pi() * (pos - 5) / 95)) END, 6) AS rate FROM (SELECT DISTINCT pos FROM ev)"))
+@query("cosine_rate", sql(EV, "SELECT pos, round(CASE WHEN pos < 5 THEN CAST(0.1 AS DOUBLE) * pos / 5 ELSE CAST(0.05 AS DOUBLE) * (1 + cos(pi() * (pos - 5) / 95)) END, 6) AS rate FROM (SELECT DISTINCT pos FROM ev)"))
 def cosine_rate(spark, d):
     return ev(spark, d).select("pos").distinct().select("pos", (F.round(X.cosine_rate(F.col("pos"), 100, 5, 0.1), 6) + 0.0).alias("rate"))
 
