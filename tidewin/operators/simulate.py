@@ -1,0 +1,108 @@
+"""Scene planning and synthesis: parameters are tables, draws are hashes of keys, waveforms come from Arrow batches."""
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import synth
+from .planning import triangular, uniform
+
+#: Terrain families: profiles, shear velocity, Q, coupling centre and top layer (m), stiff over soft.
+FAMILIES = [
+    ("soft_soil", 28, 100, 300, 5, 20, 30, 150, 0.5, 8, False), ("loess", 22, 150, 400, 5, 25, 30, 150, 2, 25, False), ("sand", 26, 100, 500, 10, 40, 30, 150, 1, 15, False),
+    ("gravel", 24, 300, 750, 20, 60, 60, 250, 0.5, 6, False), ("clay", 28, 150, 800, 5, 30, 50, 200, 1, 20, False), ("wet_soil", 18, 200, 600, 20, 60, 80, 300, 1, 10, False),
+    ("rock", 24, 800, 2500, 50, 200, 100, 400, 0.2, 3, False), ("kurkar", 10, 475, 1500, 30, 80, 80, 300, 1, 10, False), ("terra_rossa", 16, 250, 500, 5, 30, 50, 200, 0.2, 4, False),
+    ("cover_basalt", 10, 670, 2400, 40, 180, 100, 400, 0.3, 8, False), ("chalk_marl", 14, 350, 1220, 20, 100, 80, 350, 1, 15, False), ("dirt_road", 14, 250, 600, 15, 50, 60, 250, 0.1, 0.5, False),
+    ("asphalt", 20, 1000, 1800, 20, 60, 150, 400, 0.1, 0.3, True), ("concrete", 16, 2000, 2500, 50, 150, 150, 500, 0.1, 0.3, True), ("paving", 6, 800, 1800, 30, 80, 100, 400, 0.1, 0.3, True),
+    ("frozen", 1, 100, 500, 5, 40, 100, 400, 0.5, 8, False), ("snow", 1, 100, 300, 5, 20, 20, 100, 0.1, 1, False), ("sabkha", 4, 400, 800, 5, 20, 50, 200, 0.5, 5, True),
+]
+#: No layer is faster.
+MOST_VS = 2_580.0
+#: Wind and rain ranges of the weather tiers.
+TIERS = {"calm": (0, 3, 0, 0), "wind_low": (3, 6, 0, 0), "wind_mid": (6, 10, 0, 0), "wind_high": (10, 16, 0, 0), "rain_light": (0, 6, 0.6, 5), "rain_heavy": (0, 8, 5.5, 30)}
+
+
+def profiles(spark: SparkSession, seed: int = 1) -> DataFrame:
+    """profile_id, family and one draw of its parameters, with one to four layers that stiffen downwards (or once soften)."""
+    t = spark.createDataFrame([(f, n, *map(float, v), inv) for f, n, *v, inv in FAMILIES], "family string, n int, vs0 double, vs1 double, q0 double, q1 double, fc0 double, fc1 double, top0 double, top1 double, inverse boolean")
+    t = t.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("profile_id", F.format_string("%s_%02d", "family", "k"))
+    u = lambda i: uniform(seed + i, "profile_id")
+    log_between = lambda a, b, x: F.exp(F.ln(F.col(a)) + x * (F.ln(F.col(b)) - F.ln(F.col(a))))
+    t = t.withColumns({"vs": F.least(log_between("vs0", "vs1", u(0)), F.lit(MOST_VS)), "q": F.col("q0") + u(1) * (F.col("q1") - F.col("q0")), "coupling_fc": log_between("fc0", "fc1", u(2)), "top_m": log_between("top0", "top1", u(3)), "n_layers": (1 + F.floor(u(4) * 4)).cast("int")})
+    layer = lambda i: F.struct((F.col("top_m") * F.pow(F.lit(2.0), i)).alias("thick"), F.least(F.col("vs") * F.when(F.col("inverse") & (i == 1), 0.4).otherwise(F.pow(F.lit(1.4), i)), F.lit(MOST_VS)).alias("vs"))
+    return t.select("profile_id", "family", "vs", "q", "coupling_fc", "inverse", F.transform(F.sequence(F.lit(0), F.col("n_layers") - 1), layer).alias("layers"), (0.92 * F.col("vs")).alias("vr"))
+
+
+def weather_draw(tier: Column, seed: int, *keys: str) -> tuple[Column, Column]:
+    """Wind and rain inside a tier's ranges, by the same law for every class."""
+    wind = rain = None
+    for name, (a, b, c, e) in TIERS.items():
+        w, r = a + uniform(seed, *keys) * (b - a), c + uniform(seed + 1, *keys) * (e - c)
+        wind = F.when(tier == name, w) if wind is None else wind.when(tier == name, w)
+        rain = F.when(tier == name, r) if rain is None else rain.when(tier == name, r)
+    return wind, rain
+
+
+def closest_approach(seed: int, lo: float, hi: float, near: float, far: float, *keys: str) -> Column:
+    """A share close by, a share at the far end, the bulk uniform in the logarithm."""
+    u, v = uniform(seed, *keys), uniform(seed + 1, *keys)
+    return F.when(u < near, lo + v * (min(5.0, hi) - lo)).when(u < near + far, hi * (0.7 + 0.3 * v)).otherwise(F.exp(np.log(lo) + v * (np.log(hi) - np.log(lo))))
+
+
+def plan(prof: DataFrame, kinds: DataFrame, per_cell: int, seed: int = 1) -> DataFrame:
+    """scene_id and parameters: profiles x kinds, heavy vehicles only on firm ground, ``per_cell`` scenes each, ids from the class's range."""
+    cells = prof.crossJoin(F.broadcast(kinds)).filter("coarse <> 'vehicle' OR vs >= 95")
+    t = cells.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(per_cell - 1))))
+    base = F.when(F.col("coarse") == "nothing", 1_000_000).otherwise(0)
+    t = t.withColumn("scene_id", base + F.pmod(F.xxhash64("profile_id", "subkind", "j"), F.lit(1_000_000)))
+    snr = F.when(uniform(seed + 7, "profile_id", "subkind", "j") < 0.15, -35 + 15 * uniform(seed + 8, "profile_id", "subkind", "j")).otherwise(triangular(uniform(seed + 8, "profile_id", "subkind", "j"), -20.0, 5.0, 40.0))
+    return t.withColumns({"target_snr_db": snr, "closest_m": closest_approach(seed + 9, 1.0, 60.0, 0.1, 0.2, "profile_id", "subkind", "j"), "style": F.element_at(F.array(*[F.lit(s) for s in synth.STYLES]), (F.floor(uniform(seed + 11, "profile_id", "subkind", "j") * len(synth.STYLES)) + 1).cast("int"))})
+
+
+def synthesise(scenes: DataFrame, seconds: float = 6.0, seed: int = 1, gain: float = 400.0, rail: float = 256.0, lsb: float = 0.125) -> DataFrame:
+    """scene_id, n_emissions, clean_mv, noise_mv, recorded_mv for rows (scene_id, coarse, subkind, style, closest_m, q, vr, target_snr_db).
+
+    A scene's generator is seeded by its id, so any task or retry gives the same samples. The noise is scaled
+    to the target ratio of the signal's deviation; scenes of class nothing have noise and machines only.
+    """
+    n = int(seconds * synth.FS)
+    radii = np.geomspace(1, 320, 24)
+    shape = np.array([1.0, 5, 20, 80, 250]), np.array([1.0, 0.5, 0.1, 0.03, 0.01])
+
+    def make(r: dict) -> tuple[int, dict]:
+        rng = np.random.default_rng([seed, r["scene_id"]])
+        span = (0.0, seconds)
+        coarse, kind = r["coarse"], r["subkind"]
+        if coarse == "human":
+            em = synth.group(span, 4, 0.9 if kind == "march" else 0.1, 2.0, rng) if kind in ("group", "march") else synth.walker(span, None, rng, kind == "run")
+        elif coarse == "vehicle":
+            em = synth.vehicle(span, kind, 8.0, rng)
+        elif coarse == "animal":
+            em = synth.animal(span, kind, rng)
+        else:
+            em = []
+        xy = synth.path(r["style"], r["closest_m"], 1.4 if coarse != "vehicle" else 8.0, seconds, rng)
+        signal = synth.received(em, xy, n, r["q"], r["vr"], radii)
+        noise = synth.coloured(*shape, n, rng)
+        if em:
+            noise *= signal.std() / 10 ** (r["target_snr_db"] / 20) + 1e-12
+        else:
+            noise *= 1e-8
+            extra = {"pump": synth.pump, "generator": synth.generator}.get(kind)
+            noise = noise + (extra(n, rng) if extra else synth.overflight(n, kind, rng) if kind in synth.AIRCRAFT else 0.0)
+        return len(em), synth.render(signal, noise, gain, rail, lsb, rng)
+
+    cols = ["scene_id", "coarse", "subkind", "style", "closest_m", "q", "vr", "target_snr_db"]
+    parts = ("clean_mv", "noise_mv", "recorded_mv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                count, out = make(r)
+                yield pa.RecordBatch.from_arrays([pa.array([r["scene_id"]], pa.int64()), pa.array([count], pa.int32())] + [pa.array([out[p].astype(np.float32)], pa.list_(pa.float32())) for p in parts], names=["scene_id", "n_emissions", *parts])
+
+    return scenes.select(F.col("scene_id").cast("long").alias("scene_id"), *cols[1:]).mapInArrow(run, "scene_id long, n_emissions int, " + ", ".join(f"{p} array<float>" for p in parts))
