@@ -201,7 +201,9 @@ def test_spanning_connects_alike(case):
     assert classes(minhash.spanning(n, lambda i: near[i].copy())) == classes(sorted(links))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [10**9, 3])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT_EDGES", hot)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)] + [(200, i) for i in range(201, 260)] + [(300, 300)]
     parent = {}

@@ -7,15 +7,34 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node with more edges than this, and than 1/500 of all edge ends, is hot; so at most 500 nodes are.
+HOT_EDGES = 1_000
+
+
+def _hot(edges: DataFrame, n: int) -> DataFrame | None:
+    """The hot nodes of the ``n`` edges: a table of 500 rows at most, or None."""
+    ends = edges.select("u").unionByName(edges.select(F.col("v").alias("u")))
+    hot = stage(ends.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") > max(HOT_EDGES, 2 * n // 500)).select("u"), "hot-nodes")
+    return hot if hot.count() else None
+
+
+def _with_least(edges: DataFrame, least: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``edges`` with their u's row of ``least``. Hot nodes' rows are broadcast, so their edges aren't brought together."""
+    if hot is None:
+        return edges.join(least, "u")
+    few = least.join(F.broadcast(hot), "u", "left_semi")
+    return edges.join(F.broadcast(few), "u").unionByName(edges.join(F.broadcast(hot), "u", "left_anti").join(least.join(F.broadcast(hot), "u", "left_anti"), "u"))
+
+
+def _large_star(edges: DataFrame, hot: DataFrame | None) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both.filter("v > u"), least, hot).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hot: DataFrame | None) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_least(edges, least, hot).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -37,6 +56,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = stage(_clean(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges")
     was, state = None, _state(now)
     while state != was and state[0]:
-        now = stage(_clean(_small_star(_clean(_large_star(now)))), "edges")
+        hot = _hot(now, state[0])
+        now = stage(_clean(_small_star(_clean(_large_star(now, hot)), hot)), "edges")
         was, state = state, _state(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
