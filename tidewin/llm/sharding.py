@@ -115,10 +115,10 @@ def histogram_shards(docs: DataFrame, shards: int = 16, tolerance: float = 0.002
     keys = stage(keyed, "shard-keys")
     splitters = find_splitters(keys, shards, tolerance)
     n = keys.count()
-    bits = max(0, min(cells, n // 512).bit_length() - 1)
+    bits = max(0, min(cells, n // 64).bit_length() - 1)
     placed = keys.withColumn("shard", shard_of(splitters)).withColumn("c1", F.expr(f"shiftrightunsigned(k1, {63 - bits})") if bits else F.lit(0).cast("long"))
     hot = placed.groupBy("k1").agg(F.count("*").alias("n")).filter(F.col("n") >= max(64, n // 1_024)).select("k1", F.lit(True).alias("is_hot"))
-    hot_bits = max(0, min(256, n // 512).bit_length() - 1)
+    hot_bits = max(0, min(256, n // 64).bit_length() - 1)
     spread = F.expr(f"shiftrightunsigned(k2, {63 - hot_bits})") if hot_bits else F.lit(0).cast("long")
     # within c1, rows below, in and above a hot text must not interleave: c2 is that text's key, or the hot key just below
     placed = placed.join(F.broadcast(hot), "k1", "left").withColumn("c2", F.when(F.col("is_hot"), F.col("k1")).otherwise(F.lit(-1))).withColumn("c3", F.when(F.col("is_hot"), spread).otherwise(F.lit(0)))
