@@ -17,20 +17,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ids_and_text, table
+from .common import ids_and_text, process_store, table
 
 #: Characters of a leaf, whose matches are found at once.
 LEAF_CHARS = 1_024
 #: Bytes of a leaf of a single match, which is merged pair by pair.
 LEAF_BYTES = 32
-#: Encodings of matches that a worker keeps; the store is emptied when it is full.
-CACHE = 150_000
+#: Encodings of matches that a worker keeps: a young and an old generation of so many entries at most.
+CACHE = 200_000
+#: A rank above all.
+NONE = 1 << 60
 DECODE_LEAF = 4_096
 
 
@@ -60,6 +63,7 @@ class Codec:
         self.pattern = regex.compile(pattern or default_pattern())
         self.leaf_chars, self.leaf_bytes = max(1, leaf_chars), max(1, leaf_bytes)
         self.packed: dict[str, bytes] = {}
+        self.aged: dict[str, bytes] = {}
         self.fits: dict[tuple[int, int], bool] = {}
 
     # ---- tokens of one match
@@ -72,20 +76,17 @@ class Codec:
         if len(data) > 96:
             return self.merge_long(data)
         parts = [data[i : i + 1] for i in range(len(data))]
-        known = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
-        while True:
-            low, at = None, -1
-            for i, r in enumerate(known):
-                if r is not None and (low is None or r < low):
-                    low, at = r, i
-            if low is None:
-                return [ranks[p] for p in parts]
+        get = ranks.get
+        known = [get(data[i : i + 2], NONE) for i in range(len(data) - 1)]
+        while known and (low := min(known)) != NONE:
+            at = known.index(low)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            known[at : at + 1] = []
+            del known[at]
             if at < len(known):
-                known[at] = ranks.get(parts[at] + parts[at + 1])
+                known[at] = get(parts[at] + parts[at + 1], NONE)
             if at:
-                known[at - 1] = ranks.get(parts[at - 1] + parts[at])
+                known[at - 1] = get(parts[at - 1] + parts[at], NONE)
+        return [ranks[p] for p in parts]
 
     def merge_long(self, data: bytes) -> list[int]:
         """The same with a heap of pairs, for windows that had to grow."""
@@ -140,10 +141,13 @@ class Codec:
     def pack(self, match: str) -> bytes:
         """The ids of one match as little-endian unsigned 32-bit integers."""
         if (found := self.packed.get(match)) is None:
-            found = np.array(self.encode_bytes(match.encode()), "<u4").tobytes()
+            if (found := self.aged.get(match)) is None:
+                ids = self.encode_bytes(match.encode())
+                found = struct.pack(f"<{len(ids)}I", *ids)
             if len(match) <= 64:
                 if len(self.packed) >= CACHE:
-                    self.packed.clear()
+                    self.aged = self.packed
+                    self.packed = {}
                 self.packed[match] = found
         return found
 
@@ -189,8 +193,7 @@ class Codec:
     # ---- whole texts
 
     def encode(self, text: str) -> bytes:
-        pack, store = self.pack, self.packed
-        get = store.get
+        pack, get = self.pack, self.packed.get  # an aged generation still answers here, and pack() moves on
         return b"".join([get(m) or pack(m) for m in self.matches(text)])
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -202,14 +205,13 @@ class Codec:
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
-CODECS: dict[tuple, Codec] = {}
-
-
 def codec(rank_file: str | None, pattern: str | None) -> Codec:
+    """The codec of this process: later tasks of a Python worker find what earlier ones stored."""
+    kept = process_store("codecs")
     key = (rank_file, pattern)
-    if key not in CODECS:
-        CODECS[key] = Codec(rank_file, pattern)
-    return CODECS[key]
+    if key not in kept:
+        kept[key] = Codec(rank_file, pattern)
+    return kept[key]
 
 
 def _encoded(rank_file: str | None, pattern: str | None):

@@ -1,7 +1,9 @@
 """Helpers that every operator of this folder shares."""
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,3 +56,9 @@ def free_name(df: DataFrame, wanted: str) -> str:
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it is counted at ``most_rows`` rows or fewer; otherwise as it is."""
     return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def process_store(name: str) -> dict:
+    """A dictionary of this Python process. Functions travel by value, so their own globals are new in every task."""
+    place = sys.modules.setdefault("_tidewin_process", types.ModuleType("_tidewin_process"))
+    return place.__dict__.setdefault(name, {})
