@@ -86,6 +86,10 @@ def test_quantiles_equal_numpy(spark):
     for p in ps:
         assert got[p] == pytest.approx(np.quantile(values, p), abs=1e-12)
     assert ordering.exact_quantiles(df.filter("v > 1e9"), [], "v", ps).count() == 0
+    for size, n in ((501, 11), (501, 1000), (7, 64), (2, 5), (1, 3)):
+        part = spark.createDataFrame([(float(v),) for v in values[:size]], "v double")
+        got = [r["q"] for r in ordering.exact_quantiles(part, [], "v", n).orderBy("p").collect()]
+        assert got == pytest.approx(np.quantile(values[:size], np.linspace(0, 1, n)).tolist(), abs=1e-12)
 
 
 def test_interval_merge(spark):

@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordering import exact_quantiles, quantile_columns
+
 
 def bin_of(x: Column, lo: float, width: float, n: int, clip: bool = False) -> Column:
     """Half-open bins of equal width from ``lo``; the last is closed. Outside: NULL, or the end bins with ``clip``."""
@@ -54,7 +56,7 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def quantile_bins(df: DataFrame, x: str, k: int, out: str) -> DataFrame:
     """Adds ``out``: right-closed bins between the distinct k-quantile edges, the first closed on both sides."""
-    edges = df.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / k) for i in range(k + 1)]))).alias("_e"))
+    edges = exact_quantiles(df, [], x, [i / k for i in range(k + 1)]).agg(F.array_sort(F.collect_set("q")).alias("_e"))
     at = F.size(F.filter(F.slice("_e", F.lit(2), F.greatest(F.size("_e") - 2, F.lit(0))), lambda e: e < F.col(x)))
     return df.crossJoin(F.broadcast(edges)).withColumn(out, at).drop("_e")
 
@@ -79,7 +81,7 @@ def missing_pairs(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
 def floor_gate(df: DataFrame, group: str, x: Column, lo: float, width: float, n: int, least: int, small: int = 50) -> DataFrame:
     """group, reachable, passed: 5 dB cells up to the group's 99.5 % point, and those with ``least`` rows; groups under ``small`` are skipped."""
     rows = df.select(F.col(group), x.alias("_x"))
-    top = rows.groupBy(group).agg(F.percentile("_x", F.lit(0.995)).alias("_top"), F.count("*").alias("_all")).filter(F.col("_all") >= small)
+    top = rows.groupBy(group).agg(F.count("*").alias("_all")).filter(F.col("_all") >= small).join(quantile_columns(rows, [group], "_x", {"_top": 0.995}), group)
     counts = rows.groupBy(group, bin_of(F.col("_x"), lo, width, n, clip=True).alias("_b")).agg(F.count("*").alias("_n"))
     cells = top.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).filter(lo + F.col("_b") * width <= F.col("_top"))
     return cells.join(counts, [group, "_b"], "left").groupBy(group).agg(F.count("*").alias("reachable"), F.sum(F.when(F.col("_n") >= least, 1).otherwise(0)).cast("long").alias("passed"))

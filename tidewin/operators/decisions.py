@@ -20,8 +20,9 @@ def threshold_at_far(df: DataFrame, heads: dict[str, str], quiet: Column, far: f
 
 
 def quantile_vector(df: DataFrame, value: str, keys: list[str], n: int = 1000) -> DataFrame:
-    """keys and q: n evenly spaced quantiles, stored as 32-bit floats."""
-    return df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(i / (n - 1)) for i in range(n)])).cast("array<float>").alias("q"))
+    """keys and q: n evenly spaced quantiles in order, stored as 32-bit floats."""
+    e = exact_quantiles(df, keys, value, n)
+    return e.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda x: x["q"]).cast("array<float>").alias("q"))
 
 
 def stored_threshold(q: Column, far: float, n: int = 1000) -> Column:

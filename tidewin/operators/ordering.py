@@ -39,22 +39,50 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rank",
     return ranked.select(*keys, value, "n", (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(out))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: list[float], cells: int = CELLS) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], value: str, weight: str | None = None, cells: int = CELLS) -> DataFrame:
+    """keys, value, n, n_before, n_all: counts (or summed weights) of each distinct value, of smaller ones, of all."""
+    g = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    total = g.groupBy(*keys).agg(F.sum("n").alias("n_all"))
+    r = sums_before(g, keys, value, ["n"], cells)
+    return r.join(total, keys) if keys else r.crossJoin(F.broadcast(total))
+
+
+def _covers(at):
+    return (at >= F.col("n_before")) & (at < F.col("n_before") + F.col("n"))
+
+
+def value_at(rank: DataFrame, keys: list[str], value: str, place, out: str) -> DataFrame:
+    """keys and ``out``: the value at a rank (from 0; between two, interpolated) that may differ by key."""
+    near = rank.withColumn("_at", place).filter(_covers(F.floor("_at")) | _covers(F.ceil("_at")))
+    low, high = F.max(F.when(_covers(F.floor("_at")), F.col(value))), F.max(F.when(_covers(F.ceil("_at")), F.col(value)))
+    at = F.max("_at")
+    return near.groupBy(*keys).agg((low + (high - low) * (at - F.floor(at))).alias(out))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: list[float] | int, cells: int = CELLS) -> DataFrame:
     """keys, p, q: linearly interpolated quantiles, exact at any size; null values are left out.
 
-    Unlike the built-in aggregate, no task holds a key's values: they collapse to counts per distinct
-    value, are ranked by cells, and only the rows at the wanted ranks travel on.
+    ``ps``: the shares, or a number of evenly spaced ones from 0 to 1. Unlike the built-in aggregate, no task
+    holds a key's values: they collapse to counts per distinct value, are ranked by cells, and only the
+    rows at the wanted ranks travel on.
     """
-    g = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    total = g.groupBy(*keys).agg(F.sum("n").alias("_all"))
-    r = sums_before(g, keys, value, ["n"], cells)
-    r = r.join(total, keys) if keys else r.crossJoin(F.broadcast(total))
-    wanted = F.array(*[F.lit(float(p)) for p in ps])
-    place = lambda p: p * (F.col("_all") - 1)
-    inside = lambda at: (at >= F.col("n_before")) & (at < F.col("n_before") + F.col("n"))
-    hits = F.filter(wanted, lambda p: inside(F.floor(place(p))) | inside(F.ceil(place(p))))
-    h = r.filter(F.size(hits) > 0).withColumn("p", F.explode(hits))
-    low = F.max(F.when(inside(F.floor(place(F.col("p")))), F.col(value)))
-    high = F.max(F.when(inside(F.ceil(place(F.col("p")))), F.col(value)))
-    at = F.max(place(F.col("p")))
-    return h.groupBy(*keys, "p").agg((low + (high - low) * (at - F.floor(at))).alias("q"))
+    r = ranked(df, keys, value, cells=cells)
+    place = lambda p: p * (F.col("n_all") - 1)
+    if isinstance(ps, int):
+        # only indices whose rank can fall on this row or next to it
+        scale = (ps - 1) / F.greatest(F.col("n_all") - 1, F.lit(1))
+        first = F.greatest(F.floor((F.col("n_before") - 1) * scale), F.lit(0))
+        last = F.least(F.ceil((F.col("n_before") + F.col("n")) * scale), F.lit(ps - 1))
+        last = F.when(F.col("n_all") == 1, F.lit(ps - 1)).otherwise(last)
+        wanted = F.transform(F.sequence(first, F.greatest(first, last)), lambda i: i / F.lit(float(ps - 1)))
+    else:
+        wanted = F.array(*[F.lit(float(p)) for p in ps])
+    hits = F.filter(wanted, lambda p: _covers(F.floor(place(p))) | _covers(F.ceil(place(p))))
+    h = r.withColumn("_h", hits).filter(F.size("_h") > 0).withColumn("p", F.explode("_h"))
+    return value_at(h, [*keys, "p"], value, place(F.col("p")), "q")
+
+
+def quantile_columns(df: DataFrame, keys: list[str], value: str, named: dict[str, float], cells: int = CELLS) -> DataFrame:
+    """keys and one column per name with its exact quantile; NULL for a key without values isn't made: it has no row."""
+    q = exact_quantiles(df, keys, value, sorted(set(named.values())), cells)
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in named.items()])

@@ -4,21 +4,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import staged
+from .ordering import exact_quantiles, quantile_columns, ranked, value_at
+
 
 def trimmed_p99(df: DataFrame, value: str, keys: list[str], k: float = 5.0, least: int = 10) -> DataFrame:
-    """keys, n, n_kept, p99: of the values up to median + k*MAD if more than ``least`` are, else of all."""
-    med = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
-    t = df.join(med, keys) if keys else df.crossJoin(F.broadcast(med))
-    mad = t.groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("_m")), F.lit(0.5)).alias("_d"))
-    t = t.join(mad, keys) if keys else t.crossJoin(F.broadcast(mad))
-    keep = F.col(value) <= F.col("_m") + k * F.col("_d")
-    g = t.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(keep.cast("int")).cast("long").alias("n_kept"), F.percentile(F.when(keep, F.col(value)), F.lit(0.99)).alias("_a"), F.percentile(value, F.lit(0.99)).alias("_b"))
-    return g.select(*keys, "n", "n_kept", F.when(F.col("n_kept") > least, F.col("_a")).otherwise(F.col("_b")).alias("p99"))
+    """keys, n, n_kept, p99: of the values up to median + k*MAD if more than ``least`` are, else of all.
+
+    The values are ranked once and staged: what is kept is a prefix of the ranks, so its quantile is a rank too.
+    """
+    rank = staged(ranked(df, keys, value), "trim")
+    m = rank.join(F.broadcast(value_at(rank, keys, value, 0.5 * (F.col("n_all") - 1), "_m")), keys)
+    dev = ranked(m.select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_dev"), "n"), keys, "_dev", "n")
+    mad = value_at(dev, keys, "_dev", 0.5 * (F.col("n_all") - 1), "_d")
+    kept = F.col(value) <= F.col("_m") + k * F.col("_d")
+    counts = m.join(F.broadcast(mad), keys).groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("n_kept"))
+    counts = staged(counts, "trim-counts")
+    used = F.when(F.col("n_kept") > least, F.col("n_kept")).otherwise(F.col("_n"))
+    p99 = value_at(rank.join(F.broadcast(counts), keys), keys, value, 0.99 * (used - 1), "p99")
+    return counts.join(p99, keys).select(*keys, F.col("_n").alias("n"), "n_kept", "p99")
 
 
 def structure_votes(df: DataFrame, row: str, feature: str, value: str, background: Column, p: float = 0.95) -> DataFrame:
     """row, votes: features of the row that exceed the background rows' p-quantile of that feature."""
-    limit = df.filter(background).groupBy(feature).agg(F.percentile(value, F.lit(p)).alias("_p"))
+    limit = quantile_columns(df.filter(background), [feature], value, {"_p": p})
     return df.join(F.broadcast(limit), feature).groupBy(row).agg(F.sum(F.when(F.col(value) > F.col("_p"), 1).otherwise(0)).cast("long").alias("votes"))
 
 
@@ -36,8 +45,9 @@ def apply_standard(df: DataFrame, scaler: DataFrame, feature: str, value: str, e
 
 
 def fit_rank(df: DataFrame, feature: str, value: str, n: int = 1024) -> DataFrame:
-    """feature, edges: n evenly spaced quantiles."""
-    return df.groupBy(feature).agg(F.percentile(value, F.array(*[F.lit(i / (n - 1)) for i in range(n)])).alias("edges"))
+    """feature, edges: n evenly spaced quantiles in order."""
+    e = exact_quantiles(df, [feature], value, n)
+    return e.groupBy(feature).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda x: x["q"]).alias("edges"))
 
 
 def apply_rank(df: DataFrame, edges: DataFrame, feature: str, value: str, n: int = 1024, out: str = "r") -> DataFrame:
@@ -48,8 +58,9 @@ def apply_rank(df: DataFrame, edges: DataFrame, feature: str, value: str, n: int
 
 def out_of_range(df: DataFrame, z: str, keys: list[str]) -> DataFrame:
     """keys, median_z, p90_z, mean_z, frac2, frac4 of |z|."""
-    a = F.abs(F.col(z))
-    return df.groupBy(*keys).agg(F.percentile(a, F.lit(0.5)).alias("median_z"), F.percentile(a, F.lit(0.9)).alias("p90_z"), F.avg(a).alias("mean_z"), F.avg(F.when(a > 2, 1.0).otherwise(0.0)).alias("frac2"), F.avg(F.when(a > 4, 1.0).otherwise(0.0)).alias("frac4"))
+    t = df.select(*keys, F.abs(F.col(z)).alias("_a"))
+    g = t.groupBy(*keys).agg(F.avg("_a").alias("mean_z"), F.avg(F.when(F.col("_a") > 2, 1.0).otherwise(0.0)).alias("frac2"), F.avg(F.when(F.col("_a") > 4, 1.0).otherwise(0.0)).alias("frac4"))
+    return g.join(quantile_columns(t, keys, "_a", {"median_z": 0.5, "p90_z": 0.9}), keys)
 
 
 def mean_difference(df: DataFrame, value: str, case: Column, keys: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import audit as A
+from ..operators.ordering import quantile_columns
 from .registry import query
 from .views import EV, LW, ev, lw, read, sql
 
@@ -111,7 +112,8 @@ def snr_histogram(spark, d):
 @query("q_span", sql(LW, "SELECT coarse, round(min(snr), 6) AS lo, round(max(snr), 6) AS hi, round(quantile_cont(snr, CAST(0.5 AS DOUBLE)), 6) AS mid, round(20 * (max(snr) - min(snr)), 5) AS span_db FROM lw WHERE isfinite(snr) GROUP BY coarse"))
 def q_span(spark, d):
     f = lw(spark, d).filter(~F.isnan("snr") & (F.abs("snr") < F.lit(float("inf"))))
-    return f.groupBy("coarse").agg(r6(F.min("snr"), "lo"), r6(F.max("snr"), "hi"), r6(F.percentile("snr", F.lit(0.5)), "mid"), F.round(20 * (F.max("snr") - F.min("snr")), 5).alias("span_db"))
+    g = f.groupBy("coarse").agg(r6(F.min("snr"), "lo"), r6(F.max("snr"), "hi"), F.round(20 * (F.max("snr") - F.min("snr")), 5).alias("span_db"))
+    return g.join(quantile_columns(f, ["coarse"], "snr", {"mid": 0.5}), "coarse").withColumn("mid", F.round("mid", 6))
 
 
 @query("family_concentration", sql(LW, "w AS (SELECT condition AS family, CAST(floor(snr / 5) AS BIGINT) AS bin FROM lw)", "g AS (SELECT family, bin, count(*) AS n FROM w GROUP BY ALL)", "s AS (SELECT *, sum(n) OVER (PARTITION BY bin) AS bn, n / CAST(sum(n) OVER (PARTITION BY bin) AS DOUBLE) AS share, sum(n) OVER (PARTITION BY family) / CAST(sum(n) OVER () AS DOUBLE) AS gs FROM g)",
@@ -175,7 +177,8 @@ def distance_bins(spark, d):
 def background_share(spark, d):
     """Share of windows that two measures can't tell from background."""
     w = lw(spark, d)
-    b = w.filter("level = 0").groupBy("coarse").agg(F.percentile("snr", F.lit(0.9)).alias("p1"), F.percentile("qty", F.lit(0.9)).alias("p2"))
+    quiet = w.filter("level = 0")
+    b = quantile_columns(quiet, ["coarse"], "snr", {"p1": 0.9}).join(quantile_columns(quiet, ["coarse"], "qty", {"p2": 0.9}), "coarse")
     return w.filter("level > 0").join(F.broadcast(b), "coarse").groupBy("coarse").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.expr("snr <= p1 AND qty <= p2"), 1.0).otherwise(0.0)), 6).alias("share"))
 
 

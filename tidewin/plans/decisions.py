@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decisions as D
-from ..operators.ordering import exact_quantiles
+from ..operators.ordering import exact_quantiles, quantile_columns
 from .registry import query
 from .views import EV, EV_LONG, ev, ev_long, sql
 
@@ -56,7 +56,7 @@ def _rounded(df, *cols, digits=6):
 def threshold_far_quantile(spark, d):
     """Both threshold rules at a false-alarm rate of 0.1: interpolated, and the nearest of 1,000 stored quantiles."""
     quiet = ev_long(ev(spark, d)).filter(QUIET)
-    direct = quiet.groupBy("head").agg(F.percentile("score", F.lit(0.9)).alias("tau_interpolated"), F.count("*").alias("n_quiet"))
+    direct = quantile_columns(quiet, ["head"], "score", {"tau_interpolated": 0.9}).join(quiet.groupBy("head").agg(F.count("*").alias("n_quiet")), "head")
     q = D.quantile_vector(quiet, "score", ["head"])
     stored = q.select("head", D.stored_threshold(F.col("q"), 0.1).cast("double").alias("tau_stored"))
     return _rounded(direct.join(stored, "head"), "tau_interpolated", "tau_stored")
@@ -146,10 +146,8 @@ def balanced_accuracy_grid(spark, d):
 def oracle_threshold_grid(spark, d):
     """Accuracy of the paired rule on a grid of quantile pairs; the ten best pairs."""
     e = ev(spark, d)
-    qs = F.array(*[F.lit(i / 9) for i in range(10)])
-    q = e.agg(F.percentile("s_human", qs).alias("qh"), F.percentile("s_vehicle", qs).alias("qv"))
-    n = F.array(*[F.lit(i).cast("long") for i in range(1, 11)])
-    pairs = q.select(F.posexplode("qh").alias("i0", "th"), "qv").select((F.col("i0") + 1).cast("long").alias("i"), "th", F.posexplode("qv").alias("j0", "tv")).select("i", "th", (F.col("j0") + 1).cast("long").alias("j"), "tv")
+    edge = lambda c, i, t: exact_quantiles(e, [], c, 10).select((F.round(F.col("p") * 9) + 1).cast("long").alias(i), F.col("q").alias(t))
+    pairs = edge("s_human", "i", "th").crossJoin(F.broadcast(edge("s_vehicle", "j", "tv")))
     rule = D.paired(F.col("s_human") > F.col("th"), F.col("s_vehicle") > F.col("tv"), F.col("s_human"), F.col("s_vehicle"), "human", "vehicle")
     a = e.filter("label <> 'animal'").crossJoin(F.broadcast(pairs)).groupBy("i", "j").agg(F.round(F.avg(F.when(F.col("label") == rule, 1.0).otherwise(0.0)), 6).alias("accuracy"))
     return a.orderBy(F.desc("accuracy"), "i", "j").limit(10)
