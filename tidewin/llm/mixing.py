@@ -208,7 +208,7 @@ def mix_documents(docs: DataFrame, shards: int = 16, seed: int = 1, id_col: str
     out = _decided(docs.sparkSession, packed, plan).select("m_row", F.posexplode("shards").alias("m_take", "m_shard"), "key")
     place = F.xxhash64(F.lit(seed + 1), "key", "m_take")
     n = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = out.withColumn("m_place", place).repartition(n, "m_shard", F.pmod("m_place", F.lit(max(1, 4 * n // shards)))).sortWithinPartitions("m_shard", "m_place")
+    out = out.withColumn("m_place", place).repartition(n, "m_shard", F.pmod("m_place", F.lit(max(1, 64 * n // shards)))).sortWithinPartitions("m_shard", "m_place")
     return out.select("m_row.*")
 
 
