@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ids_and_text, process_store, table
+from .textkernel import lean
 
 #: Characters of a leaf, whose matches are found at once.
 LEAF_CHARS = 1_024
 #: Bytes of a leaf of a single match, which is merged pair by pair.
 LEAF_BYTES = 32
 #: Encodings of matches that a worker keeps: a young and an old generation of so many entries at most.
-CACHE = 200_000
+CACHE = 100_000
 #: A rank above all.
 NONE = 1 << 60
 DECODE_LEAF = 4_096
@@ -223,7 +224,7 @@ def _encoded(rank_file: str | None, pattern: str | None):
                 ids = [c.encode(t or "") for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return run
+    return lean(run)
 
 
 def _digested(rank_file: str | None, pattern: str | None):
@@ -240,7 +241,7 @@ def _digested(rank_file: str | None, pattern: str | None):
                     text_hash.append(hashlib.sha256(c.decode(np.frombuffer(ids, "<u4"))).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return run
+    return lean(run)
 
 
 def _decoded(rank_file: str | None, pattern: str | None):
@@ -250,7 +251,7 @@ def _decoded(rank_file: str | None, pattern: str | None):
             out = [c.decode(np.frombuffer(x or b"", "<u4")).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return run
+    return lean(run)
 
 
 def encode(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

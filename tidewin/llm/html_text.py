@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .textkernel import lean
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never shown.
@@ -381,7 +382,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     lines, other blocks on lines of their own; list items have markers and hanging indents; table cells are
     aligned by column. Pages never meet one another, so nothing is shuffled; depth of nesting is no limit.
     """
-    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(_extract, "page_id long, text string")
+    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(lean(_extract), "page_id long, text string")
 
 
 def op9_html_text(spark, sf_dir):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, free_name, ids_and_text, stage, table
 from .components import components
 from .exact_dedup import BROADCAST_GROUPS, HOT_PARTS
-from .textkernel import ORDER, U, chunks, mix, shingle_sets, splitmix
+from .textkernel import ORDER, U, chunks, lean, mix, shingle_sets, splitmix
 
 ROWS = 5
 #: A pair at the threshold is in no common band with at most this chance.
@@ -75,7 +75,7 @@ def _describe(k: int, bands: int):
                     [batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), _binary(low), _lists(keys.reshape(-1), np.arange(b - a + 1) * bands)],
                     names=["doc_id", "n", "h1", "h2", "sig", "bands"])
 
-    return run
+    return lean(run)
 
 
 def _sets(k: int):
@@ -85,7 +85,7 @@ def _sets(k: int):
                 sets, at = shingle_sets(data, offsets, k)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("comp").slice(a, b - a), batch.column("blocks").slice(a, b - a), _lists(sets, at)], names=["doc_id", "comp", "blocks", "items"])
 
-    return run
+    return lean(run)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -181,7 +181,7 @@ def _bucket_links(least: int):
                     pair = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]]), axis=1)
                     yield _pairs(pair[0], pair[1])
 
-    return run
+    return lean(run)
 
 
 def _verified(percent: int):
@@ -220,7 +220,7 @@ def _verified(percent: int):
             if a_out:
                 yield _pairs(a_out, b_out)
 
-    return run
+    return lean(run)
 
 
 def _blocks(df: DataFrame, node: str, parts: str) -> DataFrame:

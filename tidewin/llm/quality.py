@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, ids_and_text, stage, table
-from .textkernel import SPACE, U, chunks, mix, per_text, prefix, runs, sequences, slices
+from .textkernel import SPACE, U, chunks, lean, mix, per_text, prefix, runs, sequences, slices
 
 #: Buckets of hashed uni- and bigrams: the model's size, whatever the corpus.
 BUCKETS = 1 << 18
@@ -89,7 +89,7 @@ def _count():
         for part in np.array_split(some, max(1, len(some) // 50_000)):
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(raw[part]), pa.array(target[part])], names=["bucket", "raw", "target"])
 
-    return run
+    return lean(run)
 
 
 def _score(raw: np.ndarray, target: np.ndarray):
@@ -115,7 +115,7 @@ def _score(raw: np.ndarray, target: np.ndarray):
                 failed = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
                 yield pa.RecordBatch.from_arrays([batch.column(x).slice(a, b - a) for x in ("doc_id", "quality")] + [pa.array(c[x].astype(np.int64)) for x in COUNTS] + [pa.array(failed), pa.array(score)], names=["doc_id", "quality", *COUNTS, "base_failed", "llr"])
 
-    return run
+    return lean(run)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

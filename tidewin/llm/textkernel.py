@@ -5,6 +5,9 @@ different strings share one with a chance of about 2**-64.
 """
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +18,23 @@ CHUNK = 1 << 20
 U = np.uint64
 
 
+def lean(run):
+    """``run`` over a task's batches; when it ends, memory that Python, Arrow and the C library hold free goes back to the system.
+
+    Workers live on between tasks, beside the heap of their executor, whose next stage may need the room.
+    """
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def splitmix(n: int, seed: int) -> np.ndarray:
     """n pseudo-random 64-bit values."""
     with np.errstate(over="ignore"):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, free_name, ids_and_text, stage, table
-from .textkernel import U, chunks, mix, per_text, prefix, runs, slices
+from .textkernel import U, chunks, lean, mix, per_text, prefix, runs, slices
 
 #: Buckets of hashed words and word beginnings.
 BUCKETS = 1 << 20
@@ -123,7 +123,7 @@ def _letters():
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
 
-    return run
+    return lean(run)
 
 
 def _text_chunks(batch: pa.RecordBatch, model: CharModel, store: dict):
@@ -153,7 +153,7 @@ def _weigh(counts: np.ndarray):
             for at in np.array_split(some, max(1, len(some) // 50_000)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key, np.int32)), pa.array(at), pa.array(n[at].astype(np.int64))], names=["class", "bucket", "n"])
 
-    return run
+    return lean(run)
 
 
 def weights_of(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -189,7 +189,7 @@ def _stats(counts: np.ndarray, weights: list[np.ndarray]):
                     out = np.array([statistics(rows, first, weights[fold_[a + i]], i) for i in range(b - a)])
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(a, b - a), part.column("fold").slice(a, b - a), part.column("toxic").slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * STATS), pa.array(out.reshape(-1)))], names=["doc_id", "fold", "toxic", "x"])
 
-    return run
+    return lean(run)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
