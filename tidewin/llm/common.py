@@ -2,44 +2,18 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import staged as stage  # noqa: F401  the other modules take it from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests on one machine)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            return jdir.get()
-        path = tempfile.mkdtemp(prefix="tidewin-")
-        spark.sparkContext.setCheckpointDir(path)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back.
-
-    It cuts the lineage as a reliable checkpoint does: the files outlive any executor. They lie below
-    ``<spark.checkpoint.dir>/tidewin-<application>/`` and can go when the application has ended.
-    """
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark).rstrip('/')}/tidewin-{app}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null: empty), so that no other column can clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
