@@ -94,6 +94,11 @@ def balanced_accuracy(df: DataFrame, truth: str, decided: str, keys: list[str] |
     return g.groupBy(*keys).agg(F.avg("r").alias("balanced_accuracy"))
 
 
+def passed(score: Column, thresholds: list[float]) -> Column:
+    """How many of the rising thresholds the score exceeds."""
+    return reduce(lambda acc, t: acc + (score > t).cast("int"), thresholds, F.lit(0))
+
+
 def grid(df: DataFrame, name: str, values: list) -> DataFrame:
     """Every row once for each value: an explode of a literal array, no join."""
     return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))

@@ -132,9 +132,14 @@ def confusion_matrix(spark, d):
   """SELECT thr, round(balanced_accuracy, 6) AS balanced_accuracy, row_number() OVER (ORDER BY round(balanced_accuracy, 9) DESC, thr) = 1 AS is_best FROM (SELECT thr, avg(r) AS balanced_accuracy FROM r GROUP BY thr)"""))
 def balanced_accuracy_grid(spark, d):
     """Balanced accuracy of human against nothing on 19 thresholds; the best one, the lowest at a tie, is marked."""
-    e = ev(spark, d).filter("label IN ('human', 'nothing')").withColumn("y", F.col("label") == "human")
-    g = D.grid(e, "thr", [i / 20 for i in range(1, 20)]).withColumn("p", F.col("s_human") > F.col("thr"))
-    b = D.balanced_accuracy(g, "y", "p", ["thr"])
+    thresholds = [i / 20 for i in range(1, 20)]
+    e = ev(spark, d).filter("label IN ('human', 'nothing')")
+    # counts per number of thresholds passed say all that the grid needs
+    g = e.groupBy((F.col("label") == "human").alias("y"), D.passed(F.col("s_human"), thresholds).alias("k")).agg(F.count("*").alias("n"))
+    g = g.withColumn("t", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("thr")) for i, t in enumerate(thresholds)])))
+    right = F.when((F.col("k") > F.col("t.i")) == F.col("y"), F.col("n")).otherwise(0)
+    r = g.groupBy(F.col("t.thr").alias("thr"), "y").agg((F.sum(right) / F.sum("n")).alias("r"))
+    b = r.groupBy("thr").agg(F.avg("r").alias("balanced_accuracy"))
     best = b.agg(F.max(F.struct(F.round("balanced_accuracy", 9), -F.col("thr"))).alias("m")).select((-F.col("m.col2")).alias("top"))
     return b.crossJoin(F.broadcast(best)).select("thr", F.round("balanced_accuracy", 6).alias("balanced_accuracy"), (F.col("thr") == F.col("top")).alias("is_best"))
 
@@ -146,10 +151,15 @@ def balanced_accuracy_grid(spark, d):
 def oracle_threshold_grid(spark, d):
     """Accuracy of the paired rule on a grid of quantile pairs; the ten best pairs."""
     e = ev(spark, d)
-    edge = lambda c, i, t: exact_quantiles(e, [], c, 10).select((F.round(F.col("p") * 9) + 1).cast("long").alias(i), F.col("q").alias(t))
-    pairs = edge("s_human", "i", "th").crossJoin(F.broadcast(edge("s_vehicle", "j", "tv")))
-    rule = D.paired(F.col("s_human") > F.col("th"), F.col("s_vehicle") > F.col("tv"), F.col("s_human"), F.col("s_vehicle"), "human", "vehicle")
-    a = e.filter("label <> 'animal'").crossJoin(F.broadcast(pairs)).groupBy("i", "j").agg(F.round(F.avg(F.when(F.col("label") == rule, 1.0).otherwise(0.0)), 6).alias("accuracy"))
+    edges = lambda c, name: exact_quantiles(e, [], c, 10).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda x: x["q"]).alias(name))
+    t = e.filter("label <> 'animal'").crossJoin(F.broadcast(edges("s_human", "qh"))).crossJoin(F.broadcast(edges("s_vehicle", "qv")))
+    below = lambda q, s: F.size(F.filter(q, lambda x: x < F.col(s)))
+    # each row counts once, by the thresholds it passes; the grid is laid over these few hundred counts
+    g = t.groupBy(below("qh", "s_human").alias("a"), below("qv", "s_vehicle").alias("b"), (F.col("s_human") >= F.col("s_vehicle")).alias("hv"), "label").agg(F.count("*").alias("n"))
+    one_to_ten = F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long"))
+    g = g.withColumn("i", F.explode(one_to_ten)).withColumn("j", F.explode(one_to_ten))
+    rule = D.paired(F.col("a") >= F.col("i"), F.col("b") >= F.col("j"), F.col("hv").cast("int"), F.lit(1), "human", "vehicle")
+    a = g.groupBy("i", "j").agg(F.round(F.sum(F.when(F.col("label") == rule, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("accuracy"))
     return a.orderBy(F.desc("accuracy"), "i", "j").limit(10)
 
 
