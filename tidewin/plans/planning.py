@@ -112,7 +112,7 @@ def run_grid(spark, d):
 def winner_rule(spark, d):
     """The three best by accuracy; of equals the one with less energy."""
     r = lw(spark, d).groupBy("condition", "family").agg(F.round(F.avg(F.when(F.col("level") > 0, 1.0).otherwise(0.0)), 2).alias("accuracy"), F.round(F.avg("qty"), 6).alias("energy"))
-    return P.winners(r, "accuracy", "energy", 3, ["condition"])
+    return P.winners(r, "accuracy", "energy", 3, ["condition"]).withColumn("place", F.col("place").cast("long"))
 
 
 COND = "CASE WHEN rain > 5 THEN 'rain_heavy' WHEN rain > CAST(0.5 AS DOUBLE) THEN 'rain_light' WHEN wind >= 10 THEN 'wind_high' WHEN wind >= 6 THEN 'wind_mid' WHEN wind >= 3 THEN 'wind_low' ELSE 'calm' END"

@@ -36,7 +36,7 @@ def partitioned_round_trip(spark, d):
 def csv_round_trip(spark, d):
     path = scratch(spark, "csv")
     sinks.write_csv(read(spark, d, "nation").select("n_nationkey", "n_name"), path, ["n_nationkey"])
-    return spark.read.option("header", "true").schema("n_nationkey bigint, n_name string").csv(path)
+    return spark.read.option("header", "true").schema("n_nationkey int, n_name string").csv(path)
 
 
 @query("csv_positions", "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, CAST(n_nationkey AS DOUBLE) AS value FROM nation")
