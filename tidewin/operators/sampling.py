@@ -25,3 +25,15 @@ def holdout(df: DataFrame, key: str, fraction: float, seed: int = 0, out: str =
 def round_robin(df: DataFrame, n: int, order: list[str], keys: list[str] | None = None, out: str = "shard") -> DataFrame:
     """Adds ``out``: the row's place in its key's order modulo n."""
     return df.withColumn(out, (F.row_number().over(Window.partitionBy(*(keys or [])).orderBy(*order)) - 1) % n)
+
+
+def hash_folds(df: DataFrame, k: int, identity: list[str], keys: list[str], seed: int = 0, out: str = "fold") -> DataFrame:
+    """Adds ``out``: places in a seeded random order of each key's rows, modulo k; folds differ by one row at most."""
+    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *identity), *identity)
+    return df.withColumn(out, (F.row_number().over(w) - 1) % k)
+
+
+def cap_by(df: DataFrame, keys: list[str], order: list[str], cap) -> DataFrame:
+    """The first rows of each key, as many as ``cap`` (a column; NULL: all) says."""
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumns({"_at": at, "_cap": cap}).filter(F.col("_cap").isNull() | (F.col("_at") <= F.col("_cap"))).drop("_at", "_cap")
