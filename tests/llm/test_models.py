@@ -305,6 +305,31 @@ def test_restores():
     assert toxicity.restored("Plain words, 12 of them.", m, {}) == "plain words, 12 of them."
 
 
+def model_of(words):
+    """A character model of a few words, each as often as the others."""
+    counts = np.zeros(toxicity.A**3, np.int64)
+    for word in words.split() * 50:
+        x = [0, 0, *[toxicity.ALPHABET.index(c) + 1 for c in word], 0]
+        for a, b, c in zip(x, x[1:], x[2:]):
+            counts[(a * toxicity.A + b) * toxicity.A + c] += 1
+    return toxicity.CharModel(counts)
+
+
+INSULTS = "idiot moron stupid the clown trash loser pathetic disgusting and is worthless scum"
+
+
+@pytest.mark.parametrize("text, want", [
+    ("you 1d10t.", "idiot"), ("you 1d10t. bye", "idiot"), ("pathet1c.", "pathetic"), ("1d10t", "idiot"), ("(1d10t)", "idiot"), ("(m0r0n).", "moron"), ("<l0ser>", "loser"), ("1d10t!", "idiot"),
+    ("$tupid", "stupid"), ("_1d10t_", "idiot"), ("m_o_r_o_n", "moron"), ("2!1d10t", "idiot"), ("m0r0000000000000000000n.", "moron")])
+def test_restores_beside_punctuation(text, want):
+    assert f" {want} " in toxicity.restored(text, model_of(INSULTS), {})
+
+
+@pytest.mark.parametrize("text", ["www.1d10t.com", "n4me@host.de", "the!!", "2x4 and 1d10té", "12:30, 400 (3)."])
+def test_restores_nothing(text):
+    assert toxicity.restored(text, model_of(INSULTS), {}).replace("www w ", "www") == text
+
+
 def test_toxic_held_out(spark):
     """Held-out rows that took no part in learning are told apart."""
     d = "/root/testdata/sf0.01"
