@@ -330,6 +330,21 @@ def test_restores_nothing(text):
     assert toxicity.restored(text, model_of(INSULTS), {}).replace("www w ", "www") == text
 
 
+@pytest.mark.parametrize("text, want", [
+    ("1 d 1 0 t", "idiot"), ("i.d.1.0.t", "idiot"), ("i_d_1_o_t.", "idiot"), ("i d  i o t", "idiot"), ("((i d i o t))", "idiot"), ("! i d i o t !", "idiot"), ("ii d i ooo t", "idiot"), ("m\no\nr\no\nn", "moron"),
+    ("w o r t h l e s s p a t h e t i c m o r o n", "worthless pathetic moron"), ("i d i o t t r a s h", "idiot trash"), ("m.0.r.0.n l.o.s.3.r", "moron loser"), ("m o r o n   s c u m", "moron scum")])
+def test_restores_letters_set_apart(text, want):
+    got = toxicity.restored(f"you {text} and", model_of(INSULTS), {}).split()
+    assert set(want.split()) <= set(got)
+
+
+def test_restores_in_linear_time():
+    m = model_of(INSULTS)
+    assert toxicity.restored("i d i o t " * 20_000, m, {}).count("idiot") >= 1
+    for odd in ("!" * 300_000, "!1" * 150_000, "! " * 150_000, "a" + " " * 300_000, "_!" * 150_000, "1 0 " * 100_000):
+        assert toxicity.restored(odd, m, {}) == odd
+
+
 def test_toxic_held_out(spark):
     """Held-out rows that took no part in learning are told apart."""
     d = "/root/testdata/sf0.01"

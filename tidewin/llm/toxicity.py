@@ -31,14 +31,19 @@ SUBSTITUTE, SHORTEN = 1.0, 0.5
 #: Cost of reading a sign at a word's edge as punctuation: these few are letters more often than others.
 EDGE = {"@": 4.0, "$": 4.0, "€": 4.0}
 PUNCTUATION = 0.5
+#: Cost of a word border between letters set apart, and of none where the gap is wider than others of the phrase.
+BORDER, JOIN = 1.0, 3.0
 
 _SIGNS = re.escape("".join(LEET))
 _SIGN_DIGITS = "".join(c for c in LEET if c.isdigit())
-#: Disguised words: signs between letters, letters held for three or more places, letters set apart. Possessive, so that each run is read once.
+_PUNCT = re.escape("".join(c for c in LEET if not c.isdigit()))
+#: What sets letters apart, and a letter or sign set apart, which may be held.
+_GAP, _ONE = r"[\s._*-]", rf"[a-z{_SIGNS}]"
+#: Disguised words: letters and signs set apart, signs between letters, letters held for three or more places. Possessive, so that each run is read once.
 DISGUISED = re.compile(
-    rf"(?<![\w{_SIGNS}])(?=[\w{_SIGNS}]*?[a-z])[^\W{_SIGN_DIGITS}]*+[{_SIGNS}][\w{_SIGNS}]*+(?!\.\w)"
-    r"|(?<![^\W\d_])[a-z]*([a-z])\1\1[a-z]*(?![^\W\d_])"
-    r"|(?P<apart>(?<!\w)[a-z](?:[ ._*-][a-z]){3,14}(?!\w))")
+    rf"(?P<apart>(?:(?<!\w)(?=\w)|(?<![\w{_SIGNS}]))(?:[{_PUNCT}]++(?=[a-z]))?({_ONE})\2*+(?:{_GAP}++({_ONE})\3*+){{3,}}(?!\w))"
+    rf"|(?<![\w{_SIGNS}])(?=[\w{_SIGNS}]*?[a-z])[^\W{_SIGN_DIGITS}]*+[{_SIGNS}][\w{_SIGNS}]*+(?!\.\w)"
+    r"|(?<![^\W\d_])[a-z]*([a-z])\4\4[a-z]*(?![^\W\d_])")
 READABLE = re.compile(rf"[a-z{_SIGNS}]+")
 
 
@@ -56,6 +61,16 @@ def readable(run: str) -> list[str]:
     return out
 
 
+def letters_of(ch: str) -> list[tuple[str, float]]:
+    """What a letter or sign may stand for, and the cost."""
+    return [(ch, 0.0)] if ch in ALPHABET else [(x, SUBSTITUTE) for x in LEET.get(ch, "")]
+
+
+def readings(ch: str, n: int) -> list[tuple[str, float]]:
+    """Readings of a letter or sign that stands n times in a row, and their costs."""
+    return [(x * k, sub + (SHORTEN if k < n else 0.0)) for x, sub in letters_of(ch) for k in ({1, 2} if n > 1 else {1})]
+
+
 class CharModel:
     """Trigrams of letters within words, with the word border as a letter; from the counts of all documents."""
 
@@ -64,7 +79,7 @@ class CharModel:
         self.cost = (-np.log(c / c.sum(2, keepdims=True))).reshape(-1).tolist()
 
     def best(self, lattice: list[list[tuple[str, float]]]) -> str:
-        """The cheapest reading; ``lattice``: for each place its readings (possibly empty) and their costs. Linear in its length."""
+        """The cheapest reading; ``lattice``: for each place its readings (possibly empty, a blank is the word border) and their costs. Linear in its length."""
         cost = self.cost
         state: dict[int, tuple] = {0: (0.0, None)}  # by the last two letters: cost, and the readings as a linked list
         for place in lattice:
@@ -73,9 +88,9 @@ class CharModel:
                 for reading, extra in place:
                     x, now = at, before + extra
                     for ch in reading:
-                        z = ord(ch) - 96
+                        z = ord(ch) - 96 if ch != " " else 0
                         now += cost[x * A + z]
-                        x = x % A * A + z
+                        x = x % A * A + z if z else 0
                     if (old := new.get(x)) is None or now < old[0]:
                         new[x] = (now, (path, reading))
             state = new
@@ -87,22 +102,46 @@ class CharModel:
         return "".join(reversed(out))
 
     def restore(self, word: str) -> str:
-        """A disguised word's letters: signs, repetitions and spacing undone as the model finds most likely."""
-        if re.fullmatch(r"[a-z](?:[ ._*-][a-z])+", word):
-            word = re.sub(r"[ ._*-]", "", word)
+        """A disguised word's letters: signs and repetitions undone as the model finds most likely."""
         lattice = []
         first, last = len(word) - len(re.sub(r"^\W+", "", word)), len(re.match(r"(?s:.*\w)?", word)[0])
         for m in re.finditer(r"(.)\1*", word):
-            ch, n = m[1], len(m[0])
-            letters = ([ch] if ch in ALPHABET else []) + list(LEET.get(ch, ""))
-            if not letters:
-                continue
-            sub = 0.0 if ch in ALPHABET else SUBSTITUTE
-            lattice.append([(x * k, sub + (SHORTEN if k < n else 0.0)) for x in letters for k in ({1, 2} if n > 1 else {1})])
-            if m.start() < first or m.start() >= last:
-                lattice[-1].append(("", EDGE.get(ch, PUNCTUATION)))
+            if place := readings(m[1], len(m[0])):
+                if m.start() < first or m.start() >= last:
+                    place.append(("", EDGE.get(m[1], PUNCTUATION)))
+                lattice.append(place)
         return self.best(lattice)
 
+    def join(self, phrase: str) -> str:
+        """The words of letters set apart, signs and repetitions undone: as one word (parted at wide gaps only), and parted as the model finds most likely.
+
+        Both, as trigrams tell the borders of many phrases wrongly.
+        """
+        gaps = re.findall(f"{_GAP}+", phrase)
+        usual = min(map(len, gaps), default=0)
+        blank = sum(g.isspace() for g in gaps) * 2 > len(gaps)
+        held: list[list] = []  # sign, times, over how many places, whether after a wide gap
+        for m in re.finditer(rf"({_GAP}*)((.)\3*)", phrase):
+            wide = len(m[1]) > usual or m[1].isspace() and not blank
+            if held and held[-1][0] == m[3] and not wide:
+                held[-1][1:3] = held[-1][1] + len(m[2]), held[-1][2] + 1
+            else:
+                held.append([m[3], len(m[2]), 1, wide])
+        out: list[str] = []
+        for borders in (False, True):
+            lattice = []
+            for k, (ch, n, places, wide) in enumerate(held):
+                if k and (wide or borders):
+                    lattice.append([("", JOIN if wide else 0.0), (" ", 0.0 if wide else BORDER)])
+                place = readings(ch, n)
+                if places > 1 and borders:  # equal letters may end one word and begin the next
+                    place += [(f"{x * i} {x * j}", BORDER + sub + (SHORTEN if i + j < n else 0.0)) for x, sub in letters_of(ch) for i in (1, 2) for j in (1, 2) if i + j <= n]
+                if not ch.isalnum():
+                    place.append(("", EDGE.get(ch, PUNCTUATION)))
+                lattice.append(place)
+            out += self.best(lattice).split()
+        return " ".join(dict.fromkeys(out))
+
 
 def restored(text: str, model: CharModel, store: dict[str, str]) -> str:
     """The lower-cased text; each disguised word is followed by its restored form, so nothing is lost."""
@@ -111,9 +150,10 @@ def restored(text: str, model: CharModel, store: dict[str, str]) -> str:
     def change(m: re.Match) -> str:
         word = m[0]
         if (found := store.get(word)) is None:
-            parts = [word] if m["apart"] else readable(word)
-            # what the text says as it stands isn't said twice
-            found = " ".join(x for part in parts if (x := model.restore(part)) and x not in re.split("[^a-z]", part))
+            if m["apart"]:
+                found = model.join(word) if re.search("[a-z]", word) else ""
+            else:  # what the text says as it stands isn't said twice
+                found = " ".join(x for part in readable(word) if (x := model.restore(part)) and x not in re.split("[^a-z]", part))
             if len(word) <= 64:
                 if len(store) > 100_000:
                     store.clear()
