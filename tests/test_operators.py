@@ -194,3 +194,11 @@ def test_running_min_and_inversion(spark):
     want = spark.createDataFrame([("a", 10.), ("a", 30.), ("a", -5.)], "k string, t double")
     got = {r["t"]: (round(r["distance"], 6), r["clipped"]) for r in joins.invert_curve(curve, want, ["k"], "d", "v", "t").collect()}
     assert got == {10.: (round(10**.5, 6), False), 30.: (1., True), -5.: (100., True)}
+
+
+def test_rank_scale_has_every_feature(spark, small):
+    from tidewin.plans.catalogue import QUERIES
+
+    n, features = spark.read.parquet(f"{small}/embeddings.parquet").agg(F.sum(F.size("embedding")), F.max(F.size("embedding"))).first()
+    got = QUERIES["rank_scale_all"](spark, small).groupBy("feature").count().collect()
+    assert {r["feature"] for r in got} == set(range(features)) and sum(r["count"] for r in got) == n
