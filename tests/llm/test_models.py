@@ -355,6 +355,30 @@ def test_toxic_held_out(spark):
     assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.03 * len(neg)
 
 
+def test_rare_label_is_learnt(spark):
+    """The rarer label isn't thinned out with the other before the last step."""
+    rng = random.Random(1)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    toxic = {i for i in range(3000) if i % 100 == 0}
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(words, 30) + ["idiot", "moron"] * (i in toxic))) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(3000)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"] for r in toxicity.score_toxicity(docs, labels, fit_rows=25).filter("predicted = 1").collect()}
+    assert got == toxic
+
+
+def test_fit_shares():
+    a, b = toxicity.fit_shares(20_000_000, 5_000, 20_000)
+    assert (a, b) == (toxicity.RATE // 1000, toxicity.RATE)
+    assert toxicity.fit_shares(0, 10, 20_000) == (toxicity.RATE, toxicity.RATE)
+
+
+def test_weighted_fit_is_that_of_repeated_rows():
+    x, y = np.random.default_rng(1).normal(size=(40, 3)), np.arange(40) % 3 == 0
+    w = np.where(y, 1, 4)
+    for a, b in zip(toxicity.fit(x, y.astype(float), w.astype(float)), toxicity.fit(np.repeat(x, w, 0), np.repeat(y, w).astype(float))):
+        assert np.allclose(a, b)
+
+
 def test_toxic_odd(spark, odd, empty):
     labels = spark.createDataFrame([(i, 0, int(i == 6)) for i in range(12)] + [(6, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.score_toxicity(odd, labels).collect()

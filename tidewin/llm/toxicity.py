@@ -18,6 +18,8 @@ BUCKETS = 1 << 20
 KAPPA = 2.0
 #: Documents of each label on which the last step, a logistic regression over STATS numbers, is fitted at most.
 FIT_ROWS = 20_000
+#: Resolution of the rates at which labelled rows are drawn for it.
+RATE = 1_000_000_000
 STATS = 7
 #: Beginnings of words, in bytes, that are features beside the whole word.
 HEADS = (5, 6, 8)
@@ -264,15 +266,22 @@ def _stats(counts: np.ndarray, weights: list[np.ndarray]):
     return lean(run)
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton's method on standardised columns: (means, scales, coefficients with the constant last)."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+def fit_shares(clean: int, toxic: int, fit_rows: int) -> tuple[int, int]:
+    """Of RATE, how much of the clean and of the toxic rows the last step is fitted on: ``fit_rows`` of each about."""
+    return tuple(max(1, min(RATE, fit_rows * RATE // max(1, n))) for n in (clean, toxic))
+
+
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regression by Newton's method on standardised columns, of weighted rows: (means, scales, coefficients with the constant last)."""
+    w = np.ones(len(x)) if weight is None else weight
+    mean = np.average(x, axis=0, weights=w) if w.sum() else np.zeros(x.shape[1])
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=w)) + 1e-9 if w.sum() else np.ones(x.shape[1])
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     beta = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        hess = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(beta))
-        move = np.linalg.solve(hess, z.T @ (y - p) - ridge * beta)
+        hess = (z * (w * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(beta))
+        move = np.linalg.solve(hess, z.T @ (w * (y - p)) - ridge * beta)
         beta += move
         if np.abs(move).max() < 1e-8:
             break
@@ -306,13 +315,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     crossed = [weights_of(n[3], n[2], size[3], size[2]), weights_of(n[1], n[0], size[1], size[0])]
     total = weights_of(n[1] + n[3], n[0] + n[2], size[1] + size[3], size[0] + size[2])
     schema = "doc_id long, fold int, toxic int, x array<double>"
-    many = max(1, sum(v for (_, t), v in sizes.items() if t), sum(v for (_, t), v in sizes.items() if not t))
-    share = min(1.0, fit_rows / many)
-    part = learn.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else learn
+    shares = fit_shares(size[0] + size[2], size[1] + size[3], fit_rows)
+    drawn = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(RATE))
+    part = learn.filter(drawn < F.when(F.col("toxic") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))) if min(shares) < RATE else learn
     sample = part.mapInArrow(_stats(counts, crossed), schema).toArrow()
     x = np.array(sample.column("x").to_pylist(), float).reshape(-1, STATS)
     y = sample.column("toxic").to_numpy()
-    mean, scale, beta = fit(x, y.astype(float))
+    # a row stands for as many as its label's share leaves out, so the scores are those of all rows
+    mean, scale, beta = fit(x, y.astype(float), np.array([RATE / k for k in shares])[y])
     plain = rows.select("doc_id", "text", F.lit(0).alias("fold"), F.lit(None).cast("int").alias("toxic"))
     out = plain.mapInArrow(_stats(counts, [total]), schema)
     logit = F.lit(float(beta[-1]))
