@@ -133,3 +133,14 @@ def test_simulation_repeats(spark):
     assert a == b and [len(r["recorded_mv"]) for r in a] == [2000, 2000] and a[1]["n_emissions"] == 0
     snr = 20 * np.log10(np.std(a[0]["clean_mv"]) / np.std(a[0]["noise_mv"]))
     assert 5 < snr < 15
+
+
+def test_whole_plan_is_synthesised(spark, small):
+    from tidewin.functions import synth
+    from tidewin.plans.catalogue import QUERIES
+
+    plan = QUERIES["scene_plan"](spark, small).collect()
+    assert len({r["scene_id"] for r in plan}) == len(plan) and len({r["profile_id"] for r in plan}) == sum(f[1] for f in simulate.FAMILIES)
+    got = QUERIES["synthesise_scenes"](spark, small).collect()
+    assert sorted(r["scene_id"] for r in got) == sorted(r["scene_id"] for r in plan)
+    assert {r["n"] for r in got} == {int(6 * synth.FS)}

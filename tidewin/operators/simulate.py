@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import synth
 from .planning import triangular, uniform
@@ -58,7 +59,8 @@ def plan(prof: DataFrame, kinds: DataFrame, per_cell: int, seed: int = 1) -> Dat
     cells = prof.crossJoin(F.broadcast(kinds)).filter("coarse <> 'vehicle' OR vs >= 95")
     t = cells.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(per_cell - 1))))
     base = F.when(F.col("coarse") == "nothing", 1_000_000).otherwise(0)
-    t = t.withColumn("scene_id", base + F.pmod(F.xxhash64("profile_id", "subkind", "j"), F.lit(1_000_000)))
+    # counted, as hashes of a few thousand scenes meet
+    t = t.withColumn("scene_id", base + F.row_number().over(Window.partitionBy(base).orderBy("profile_id", "subkind", "j")).cast("long") - 1)
     snr = F.when(uniform(seed + 7, "profile_id", "subkind", "j") < 0.15, -35 + 15 * uniform(seed + 8, "profile_id", "subkind", "j")).otherwise(triangular(uniform(seed + 8, "profile_id", "subkind", "j"), -20.0, 5.0, 40.0))
     return t.withColumns({"target_snr_db": snr, "closest_m": closest_approach(seed + 9, 1.0, 60.0, 0.1, 0.2, "profile_id", "subkind", "j"), "style": F.element_at(F.array(*[F.lit(s) for s in synth.STYLES]), (F.floor(uniform(seed + 11, "profile_id", "subkind", "j") * len(synth.STYLES)) + 1).cast("int"))})
 

@@ -21,7 +21,7 @@ KINDS = [("human", "walk"), ("human", "run"), ("human", "march"), ("vehicle", "c
 
 
 def _plan(spark):
-    return M.plan(M.profiles(spark).filter("profile_id LIKE '%_00'"), spark.createDataFrame(KINDS, "coarse string, subkind string"), 1)
+    return M.plan(M.profiles(spark), spark.createDataFrame(KINDS, "coarse string, subkind string"), 1)
 
 
 @query("scene_plan")
@@ -31,8 +31,8 @@ def scene_plan(spark, d):
 
 @query("synthesise_scenes")
 def synthesise_scenes(spark, d):
-    """Waveforms of a small plan, summarised."""
-    s = M.synthesise(_plan(spark).filter("family IN ('sand', 'rock')"), 4.0)
+    """Waveforms of the whole plan, summarised."""
+    s = M.synthesise(_plan(spark).repartition(48, "scene_id"))
     rms = lambda c: F.round(X.rms(F.transform(c, lambda v: v.cast("double"))), 4)
     return s.select("scene_id", "n_emissions", F.size("recorded_mv").alias("n"), rms("clean_mv").alias("clean_rms"), rms("noise_mv").alias("noise_rms"))
 
