@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import ids_and_text, table
 from .pii import digest
-from .spans import located
+from .spans import let, located
 
 # The guards and possessive repetition only keep the search linear; the matches are those of the plain forms.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
@@ -20,6 +20,9 @@ KINDS = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("entropy", CANDI
 BASE = ("assign", "access", "hex")
 
 WINDOW = 20
+#: The characters of candidates. Counts of up to 31 of them stand in 5 bits each, PACK of them in a long.
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+PACK, COUNT_BITS = 12, 5
 #: Bits per character that the best window of a candidate needs, by its character class.
 LEAST_BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
 #: Candidates of these forms are no secrets: words without a digit, UUIDs, dates and numbers, paths, repeated placeholders.
@@ -31,29 +34,37 @@ def char_class(s: Column) -> Column:
 
 
 def best_entropy(s: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy (bits a character) of any ``window`` consecutive characters.
+    """The largest Shannon entropy (bits a character) of any ``window`` consecutive characters of ``s``.
 
-    With S = sum c*log2(c) over the counts c of a window, the entropy is log2(w) - S/w. Moving on by one
-    character changes two counts only, so S is updated by two terms a step.
+    ``s`` has SYMBOLS only and no fewer than ``window``, which is 31 at most. The counts of all symbols go along
+    with the window. With S = sum c*log2(c) over them, the entropy is log2(window) - S/window. A step takes one
+    character in and lets one go, which changes two counts and two terms of S, so it costs the same everywhere.
     """
-    logs = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
-    table_ = F.array(*[F.lit(x) for x in logs])
-    of = lambda n: F.element_at(table_, n + 1)
-    count = lambda part, c: F.length(part) - F.length(F.replace(part, c, F.lit("")))
-    first = F.substring(s, 1, window)
-    # sum over positions of log2(count of that character) equals the sum of c*log2(c)
-    start = F.aggregate(F.split(first, ""), F.lit(0.0), lambda acc, c: acc + F.when(c == "", 0.0).otherwise(F.log2(F.greatest(count(first, c), F.lit(1)).cast("double"))))
-
-    def step(acc, i):  # the window starts at code point i (from 0); i-1 leaves, i+window-1 enters
-        core = F.substring(s, i + 1, F.lit(window - 1))
-        out, into = F.substring(s, i, F.lit(1)), F.substring(s, i + window, F.lit(1))
-        a, b = count(core, out), count(core, into)
-        total = acc["s"] - (of(a + 1) - of(a)) + (of(b + 1) - of(b))
-        return F.struct(total.alias("s"), F.least(acc["low"], total).alias("low"))
-
-    steps = F.when(F.length(s) > window, F.sequence(F.lit(1), F.length(s) - window)).otherwise(F.array().cast("array<int>"))
-    low = F.aggregate(steps, F.struct(start.alias("s"), start.alias("low")), step)["low"]
-    return F.lit(math.log2(window)) - low / window
+    grow = F.array(*[F.lit((c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0)) for c in range(window + 1)])
+    # where a symbol's count stands: long number, and bit
+    code = lambda c: F.instr(F.lit(SYMBOLS), c) - 1
+    places = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.struct(F.floor(code(c) / PACK).cast("int").alias("at"), (F.pmod(code(c), F.lit(PACK)) * COUNT_BITS).alias("bit")))
+    count = lambda counts, p: F.call_function("shiftright", F.get(counts, p["at"]), p["bit"]).bitwiseAND(F.lit((1 << COUNT_BITS) - 1))
+    empty = F.array(*[F.lit(0).cast("long")] * -(-len(SYMBOLS) // PACK))
+
+    def put(counts: Column, p: Column, sign: int) -> Column:
+        return F.transform(counts, lambda v, j: F.when(j == p["at"], v + F.call_function("shiftleft", F.lit(sign).cast("long"), p["bit"])).otherwise(v))
+
+    def run(places: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            into, out = F.element_at(places, i), F.element_at(places, F.greatest(i - window, F.lit(1)))
+            same = (i > window) & (into == out)
+            added = F.when(same, acc["s"]).otherwise(acc["s"] + F.get(grow, count(acc["counts"], into).cast("int")))
+            counts = F.when(same, acc["counts"]).otherwise(put(acc["counts"], into, 1))
+            loses = (i > window) & ~same
+            s = F.when(loses, added - F.get(grow, count(acc["counts"], out).cast("int") - 1)).otherwise(added)
+            counts = F.when(loses, put(counts, out, -1)).otherwise(counts)
+            return F.struct(counts.alias("counts"), s.alias("s"), F.when(i >= window, F.least(acc["low"], s)).otherwise(acc["low"]).alias("low"))
+
+        most = window * math.log2(window)
+        return F.aggregate(F.sequence(F.lit(1), F.size(places)), F.struct(empty.alias("counts"), F.lit(0.0).alias("s"), F.lit(most).alias("low")), step)["low"]
+
+    return F.lit(math.log2(window)) - let(places, run) / window
 
 
 def _spanner(kind: str, rank: int):
@@ -70,7 +81,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     assign (an assignment whose value has 6 characters or more), access (20 or more) and hex (24 or more) are the
     base kinds with score 1; entropy spans are further candidates of 20 or more characters whose best window
     reaches the bits of its character class, unless the allow list names their form or they equal a hex or
-    access span. Matches are leftmost and don't overlap within a kind. Null text is empty text.
+    access span. Matches are leftmost and don't overlap within a kind. Null text is empty text and has no spans;
+    null ids, row order, repeated rows and further columns don't matter; an empty table gives no rows. Whole texts
+    are read, in time proportional to their length, however long a candidate is.
     """
     df = ids_and_text(docs, id_col, text_col)
     for kind, pattern in KINDS:
@@ -94,4 +107,5 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op6_secrets(spark, sf_dir):
+    """The digest of ``find_secrets`` over all documents; null text is empty text, a repeated row comes again."""
     return digest(find_secrets(table(spark, sf_dir, "documents")), BASE)
