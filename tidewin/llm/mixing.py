@@ -1,7 +1,7 @@
 """Mixing sources to target weights: exact quotas, split over output shards by a hypergeometric tree."""
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,10 +14,10 @@ from .common import free_name, stage, table
 MOST = 3
 #: Blocks of all sources together; each block is a range of a source's permuted documents.
 BLOCKS = 32_768
-#: Documents of a block, at least.
+#: Documents of a block, at least (about).
 BLOCK_DOCS = 16
-#: Rounds that each add or drop the one document that brings a source nearest to its target.
-FILLS = 6
+#: Documents around a source's cut of which those are taken that come nearest to its target.
+CHOICE = 24
 BITS = 40
 
 
@@ -62,19 +62,49 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def nearest_subset(sizes: list[int], want: float) -> list[int]:
+    """Places of the ``sizes`` whose sum comes nearest to ``want``: the exact best, by sums of halves.
+
+    Of equally near ones the first in a fixed order, so that reruns agree. 2 ** (len(sizes) / 2) sums a half.
+    """
+    half = len(sizes) // 2
+
+    def sums(part: list[int]) -> np.ndarray:
+        out = np.zeros(1, np.int64)
+        for x in part:
+            out = np.concatenate([out, out + x])
+        return out
+
+    left, right = sums(sizes[:half]), sums(sizes[half:])
+    order = np.argsort(right, kind="stable")
+    at = np.searchsorted(right[order], want - left)
+    best = (float("inf"), 0, 0)
+    for shift in (-1, 0):
+        k = np.clip(at + shift, 0, len(order) - 1)
+        off = np.abs(left + right[order[k]] - want)
+        i = int(off.argmin())
+        best = min(best, (float(off[i]), i, int(order[k[i]])))
+    return [j for j in range(half) if best[1] >> j & 1] + [half + j for j in range(len(sizes) - half) if best[2] >> j & 1]
+
+
 @dataclass
 class Plan:
-    """What the driver decides: one entry a source and one row a block."""
+    """What the driver decides: one entry a source, and one row a block draw."""
     names: list
     sizes: list[int]
     targets: list[float]
-    passes: list[int]
     blocks: list[int]
-    cut_block: list[int]
-    cut_key: list[int]
-    adds: list[set] = field(default_factory=list)
-    drops: list[set] = field(default_factory=list)
-    draws: dict = field(default_factory=dict)
+    #: Block draws of each source, the last of them in part.
+    quotas: list[int]
+    #: (shards, sources) block draws.
+    tree: np.ndarray
+    #: source: its blocks in the order in which they are drawn, pass after pass, and the shard and slot of each draw.
+    draws: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: source: the last draws, of which a part of the documents is taken; by their places in the draws.
+    tails: list[list[int]]
+    #: source: place of the draw and key up to which the tail's documents are taken, and further keys.
+    upto: list[tuple[int, int]]
+    chosen: list[list[int]]
 
 
 def permutation_key(doc_id, text, seed: int):
@@ -93,12 +123,14 @@ def keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: st
 
 
 def make_plan(rows: DataFrame, shards: int, seed: int) -> Plan:
-    """Quotas, cuts and the tree, from aggregates of ``rows`` (doc_id, source, size, key).
-
-    To the driver come one row a source and one a block: the number of sources and BLOCKS bound them, not
-    the documents. A source's documents stand in the order of a seeded hash. Its target is its full passes
-    plus a part: whole blocks up to the cut block, in it the documents up to the cut key, then up to FILLS
-    single documents are added or dropped, each the one that leaves least, so no document is cut.
+    """Quotas, tree and draws, from aggregates of ``rows`` (doc_id, source, size, key).
+
+    A source's documents stand in blocks by a seeded hash, and its blocks in one random order a pass. Its quota is
+    the number of blocks that this sequence needs to reach the target. The tree splits the quotas among the shards;
+    each shard draws its number of the source's next blocks, so draws are disjoint, and what is drawn is what is
+    taken: all of a block but in the last two draws, where whole documents are taken up to the cut and CHOICE of
+    them around it are chosen so that the source comes nearest to its target. To the driver come one row a source,
+    one a block and CHOICE documents a source: the number of sources and BLOCKS bound them, not the documents.
     """
     found = sorted(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     names, sizes, counts = [r["source"] for r in found], [r["size"] for r in found], [r["n"] for r in found]
@@ -107,99 +139,112 @@ def make_plan(rows: DataFrame, shards: int, seed: int) -> Plan:
     blocks = [max(1, n // each) for n in counts]
     passes = [int(t // s) if s else 0 for t, s in zip(targets, sizes)]
     part = [t - p * s for t, s, p in zip(targets, sizes, passes)]
-    plan = Plan(names, sizes, targets, passes, blocks, [0] * len(names), [-1] * len(names), [set() for _ in names], [set() for _ in names])
     spark = rows.sparkSession
     if not names:
-        return plan
+        return Plan([], [], [], [], [], np.zeros((shards, 0), np.int64), [], [], [], [])
     info = spark.createDataFrame(list(zip(names, range(len(names)), blocks)), "source string, s int, blocks long")
     numbered = rows.join(F.broadcast(info), rows["source"].eqNullSafe(info["source"])).select("s", "size", "key", block_of(F.col("key"), F.col("blocks")).alias("block"))
     words = [np.zeros(b, np.int64) for b in blocks]
     for r in numbered.groupBy("s", "block").agg(F.sum("size").alias("w")).collect():
         words[r["s"]][r["block"]] = r["w"]
-    left = [0.0] * len(names)
-    for i, w in enumerate(words):
-        if part[i] < 1:  # full passes only; not even documents without words come once more
-            plan.cut_block[i] = -1
-            continue
-        ends = np.cumsum(w)
-        plan.cut_block[i] = int(np.searchsorted(ends, part[i], "right"))
-        left[i] = part[i] - (ends[plan.cut_block[i] - 1] if plan.cut_block[i] else 0)
-    cuts = spark.createDataFrame([(i, int(plan.cut_block[i]), float(left[i])) for i in range(len(names)) if part[i] >= 1 and plan.cut_block[i] < blocks[i]], "s int, block long, part double")
-    # documents of the cut blocks only; rows that share a key count together
-    inside = numbered.join(F.broadcast(cuts), ["s", "block"]).groupBy("s", "key").agg(F.sum("size").alias("size"), F.first("part").alias("part"))
-    inside = inside.withColumn("upto", F.sum("size").over(Window.partitionBy("s").orderBy("key")))
-    for r in inside.filter("upto <= part").groupBy("s").agg(F.max("key").alias("key"), F.max("upto").alias("w")).collect():
-        plan.cut_key[r["s"]] = r["key"]
-        left[r["s"]] -= r["w"]
-    for _ in range(FILLS):
-        want = [(i, int(plan.cut_block[i]), int(plan.cut_key[i]), float(left[i]), sorted(plan.adds[i]), sorted(plan.drops[i])) for i in range(len(names)) if abs(left[i]) >= 1]
-        if not want:
-            break
-        need = spark.createDataFrame(want, "s int, cut long, cut_key long, room double, adds array<long>, drops array<long>")
-        taken = "(((block < cut OR (block = cut AND key <= cut_key)) AND NOT array_contains(drops, key)) OR array_contains(adds, key))"
-        near = numbered.join(F.broadcast(need), "s").filter(f"size > 0 AND size < 2 * abs(room) AND {taken} = (room < 0)")
-        sums = near.groupBy("s", "key").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
-        best = sums.withColumn("off", F.abs(F.abs("room") - F.col("size"))).filter("off < abs(room)").groupBy("s").agg(F.min(F.struct("off", "key", "size")).alias("b")).collect()
-        if not best:
-            break
-        for r in best:
-            i, key, sign = r["s"], r["b"]["key"], 1 if left[r["s"]] > 0 else -1
-            into, out_of = (plan.adds[i], plan.drops[i]) if sign > 0 else (plan.drops[i], plan.adds[i])
-            into.add(key) if key not in out_of else out_of.discard(key)
-            left[i] -= sign * r["b"]["size"]
-    quotas = np.array([p * b + min(c + 1, b) for p, b, c in zip(passes, blocks, plan.cut_block)], np.int64)
-    tree = splitting_tree(quotas, shards, seed)
+    sequence, quotas, tails, upto, chosen, cuts = [], [], [], [], [], []
     for i, b in enumerate(blocks):
-        # a source's draws in permuted order, pass after pass, are dealt to the shards in disjoint runs
-        order = np.random.default_rng([seed, 7, i]).permutation(b)
+        order = np.concatenate([np.random.default_rng([seed, 7, i, p]).permutation(b) for p in range(passes[i] + 1)])
+        last = passes[i] * b
+        ends = np.cumsum(words[i][order[last:]])
+        # full passes only: not even documents without words come once more
+        whole = int(np.searchsorted(ends, part[i], "right")) if part[i] >= 1 else 0
+        quota = last + (min(whole + 1, b) if part[i] >= 1 else 0)
+        tail = list(range(max(last, quota - 2), quota))
+        if tail:
+            before = tail[0] - last
+            room = part[i] - (ends[before - 1] if before else 0)
+            cuts += [(i, int(order[j]), j, float(room)) for j in tail]
+        sequence.append(order[:quota])
+        quotas.append(quota)
+        tails.append(tail)
+        upto.append((-1, -1))
+        chosen.append([])
+    if cuts:
+        inside = numbered.join(F.broadcast(spark.createDataFrame(cuts, "s int, block long, draw int, room double")), ["s", "block"])
+        # rows that share a key (equal ids and texts) are taken together
+        inside = inside.groupBy("s", "draw", "key").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
+        in_order, all_ = Window.partitionBy("s").orderBy("draw", "key"), Window.partitionBy("s")
+        inside = inside.withColumn("sum", F.sum("size").over(in_order)).withColumn("place", F.row_number().over(in_order))
+        inside = inside.withColumn("docs", F.count("*").over(all_)).withColumn("cut", F.sum((F.col("sum") <= F.col("room")).cast("int")).over(all_))
+        first = F.greatest(F.least(F.col("cut") - CHOICE // 2, F.col("docs") - CHOICE), F.lit(0))
+        near = inside.withColumn("first", first).filter(f"place >= first AND place <= first + {CHOICE}")
+        by_source: dict[int, list] = {}
+        for r in near.collect():
+            by_source.setdefault(r["s"], []).append(r)
+        for i, found_ in by_source.items():
+            found_.sort(key=lambda r: r["place"])
+            room = found_[0]["room"]
+            if found_[0]["place"] == found_[0]["first"]:
+                head = found_.pop(0)
+                upto[i] = (head["draw"], head["key"])
+                room -= head["sum"]
+            chosen[i] = [found_[j]["key"] for j in nearest_subset([r["size"] for r in found_], room)]
+    tree = splitting_tree(np.array(quotas, np.int64), shards, seed)
+    slots = [np.random.default_rng([seed, 8, k]).permutation(int(tree[k].sum())) for k in range(shards)]
+    draws, used = [], [0] * shards
+    for i, order in enumerate(sequence):
         owner = np.repeat(np.arange(shards), tree[:, i])
-        at = np.empty(b, np.int64)
-        at[order] = np.arange(b)
-        for p in range(passes[i] + 1):
-            last = b if p < passes[i] else min(plan.cut_block[i] + 1, b)
-            plan.draws[i, p] = owner[p * b + np.argsort(np.argsort(at[:last]))]
-    return plan
+        place = np.empty(len(order), np.int64)
+        for k in range(shards):
+            n = int(tree[k, i])
+            place[owner == k] = slots[k][used[k] : used[k] + n]
+            used[k] += n
+        draws.append((order, owner, place))
+    return Plan(names, sizes, targets, blocks, quotas, tree, draws, tails, upto, chosen)
 
 
 def _decided(spark, rows: DataFrame, plan: Plan) -> DataFrame:
-    """``rows`` (with source, size, key and any further columns) plus s, takes and shards (one a take)."""
-    sources = [(n, i, int(plan.blocks[i]), int(plan.sizes[i]), float(plan.targets[i]), plan.passes[i], int(plan.cut_block[i]), int(plan.cut_key[i]), sorted(plan.adds[i]), sorted(plan.drops[i])) for i, n in enumerate(plan.names)]
-    info = spark.createDataFrame(sources, "m_source string, s int, m_blocks long, source_size long, target double, m_passes int, m_cut long, m_cut_key long, m_adds array<long>, m_drops array<long>")
-    where = []
-    for i, b in enumerate(plan.blocks):
-        for k in range(b):
-            last = plan.draws[i, plan.passes[i]]
-            # an added document lies in a later block; it goes where that block would have gone first
-            full = [int(plan.draws[i, p][k]) for p in range(plan.passes[i])]
-            where.append((i, k, full, int(last[k]) if k < len(last) else full[0] if full else int(last[k % len(last)]) if len(last) else 0))
-    spots = spark.createDataFrame(where, "s int, m_block long, m_full array<int>, m_part int")
+    """``rows`` (with source, size, key and any further columns) plus s, takes, shards and slots (one entry a take)."""
+    sources = [(n, i, int(plan.blocks[i]), int(plan.sizes[i]), float(plan.targets[i]), *plan.upto[i], plan.chosen[i]) for i, n in enumerate(plan.names)]
+    info = spark.createDataFrame(sources, "m_source string, s int, m_blocks long, source_size long, target double, m_upto int, m_upto_key long, m_chosen array<long>")
+    drawn: dict[tuple[int, int], tuple[list, list, list]] = {(i, k): ([], [], []) for i, b in enumerate(plan.blocks) for k in range(b)}
+    for i, (order, owner, place) in enumerate(plan.draws):
+        for j, (block, shard, slot) in enumerate(zip(order.tolist(), owner.tolist(), place.tolist())):
+            whole_shards, whole_slots, tail = drawn[i, block]
+            if j in plan.tails[i]:
+                tail.extend((j, shard, slot))
+            else:
+                whole_shards.append(shard)
+                whole_slots.append(slot)
+    spots = spark.createDataFrame([(i, k, a, b, *(t or (None, None, None))) for (i, k), (a, b, t) in drawn.items()], "s int, m_block long, m_shards array<int>, m_slots array<int>, m_draw int, m_shard int, m_slot int")
     out = rows.join(F.broadcast(info), rows["source"].eqNullSafe(info["m_source"]))
     out = out.withColumn("m_block", block_of(F.col("key"), F.col("m_blocks"))).join(F.broadcast(spots), ["s", "m_block"])
-    upto = (F.col("m_block") < F.col("m_cut")) | ((F.col("m_block") == F.col("m_cut")) & (F.col("key") <= F.col("m_cut_key")))
-    extra = (upto & ~F.array_contains("m_drops", F.col("key"))) | F.array_contains("m_adds", F.col("key"))
-    shards = F.when(extra, F.concat("m_full", F.array("m_part"))).otherwise(F.col("m_full"))
-    return out.withColumn("shards", shards).withColumn("takes", F.size("shards")).drop("m_source", "m_blocks", "m_passes", "m_cut", "m_cut_key", "m_adds", "m_drops", "m_block", "m_full", "m_part")
+    before = (F.col("m_draw") < F.col("m_upto")) | ((F.col("m_draw") == F.col("m_upto")) & (F.col("key") <= F.col("m_upto_key")))
+    extra = F.col("m_draw").isNotNull() & (before | F.array_contains("m_chosen", F.col("key")))
+    plus = lambda all_, one: F.when(extra, F.concat(all_, F.array(one))).otherwise(F.col(all_))
+    out = out.withColumn("shards", plus("m_shards", "m_shard")).withColumn("slots", plus("m_slots", "m_slot")).withColumn("takes", F.size("shards"))
+    return out.drop(*(c for c in info.columns + spots.columns if c.startswith("m_")))
 
 
 def mixture(docs: DataFrame, shards: int = 16, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, takes, shards (array, one entry a take), taken.
+    """One row per input row: doc_id, source, size, source_size, target, takes, shards, slots, taken.
+
+    ``shards`` and ``slots`` have one entry a take: the shard, and the place in it of the block draw that took the document.
 
     size counts words (runs outside ASCII white space; null text: 0). Sources are ordered by code point, a
     null source last and a source like any other; their weights are 1, 2, 3, repeating; targets share the
-    sum of all sizes and stop at 3 times their source's size. Whole documents are taken: floor(target/size)
-    times all of a source, and once more the part of its permutation that fills the rest. The same input
-    and seed give the same rows. Rows that repeat id and text are taken together. Empty tables give no rows.
+    sum of all sizes and stop at 3 times their source's size. Whole documents are taken, as the tree's block draws
+    say: floor(target/size) times all of a source, and once more the blocks that fill the rest. The same input
+    and seed give the same rows. Rows that repeat id and text are taken together. Empty tables give no rows; a
+    source without words is taken no time.
     """
     rows = stage(keyed(docs, seed, id_col, text_col, source_col), "mix-keys")
     plan = make_plan(rows, shards, seed)
-    return _decided(docs.sparkSession, rows, plan).select("doc_id", "source", "size", "source_size", "target", "takes", "shards", (F.col("size") * F.col("takes")).alias("taken"))
+    return _decided(docs.sparkSession, rows, plan).select("doc_id", "source", "size", "source_size", "target", "takes", "shards", "slots", (F.col("size") * F.col("takes")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, shards: int = 16, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, dealt to its shards and shuffled inside them.
 
     Has the columns of ``docs``. A shard's rows are split over several partitions by their random place, so
-    neither a shard nor a source has to fit a task; inside a partition rows stand in random order.
+    neither a shard nor a source has to fit a task; inside a partition rows stand in random order. Null texts have
+    no words and come only in full passes, a null source is a source like any other, an empty table gives no rows.
     """
     plan = make_plan(stage(keyed(docs, seed, id_col, text_col, source_col), "mix-keys"), shards, seed)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -213,4 +258,5 @@ def mix_documents(docs: DataFrame, shards: int = 16, seed: int = 1, id_col: str
 
 
 def op3_mixing(spark, sf_dir):
-    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "takes")
+    """``mixture`` of all documents; a null text has no words, a null source is the last source, repeated rows come again."""
+    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "takes", "shards", "slots")
