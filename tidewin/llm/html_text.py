@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Generator, Iterator
+from heapq import heappop, heappush
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -14,7 +16,7 @@ from .textkernel import lean
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never shown.
-HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas svg math datalist dialog".split())
+HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas svg math datalist".split())
 #: Blocks with a blank line around them, and blocks on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure form fieldset".split())
 PLAIN = frozenset("html body div section article aside nav header footer main address li dt dd tr caption center details summary figcaption legend hgroup menu search optgroup option thead tbody tfoot td th".split())
@@ -29,18 +31,29 @@ IMPLIED = {
 }
 HEAD_ONLY = frozenset("head title meta link base style script template noscript".split())
 SCOPE = frozenset("table td th caption button object html".split())
-NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I)
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important\s*)?(?=;|$)", re.I)
 WHITE = re.compile(r"[ \t\n\r\f]+")
-#: Tables nested deeper are laid out as plain blocks.
-DEEP = 20
-SPAN = 1_000
+COMMENT_END = re.compile(r"--!?>")
+#: The largest colspan and rowspan of HTML.
+MOST_COLUMNS, MOST_ROWS = 1_000, 65_534
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "shown")
+    """An element that is displayed; ``visible`` tells whether its own text can be seen."""
+    __slots__ = ("tag", "attrs", "children", "shown", "visible")
 
-    def __init__(self, tag: str, attrs: dict[str, str | None], shown: bool):
-        self.tag, self.attrs, self.children, self.shown = tag, attrs, [], shown
+    def __init__(self, tag: str, attrs: dict[str, str | None], shown: bool = True, visible: bool = True):
+        self.tag, self.attrs, self.children, self.shown, self.visible = tag, attrs, [], shown, visible
+
+
+def declared(style: str | None) -> dict[str, str]:
+    """``display`` and ``visibility`` of a style attribute: the last one counts, an important one first."""
+    out: dict[str, tuple[bool, str]] = {}
+    for m in DECLARED.finditer(style or ""):
+        name, one = m[1].lower(), (bool(m[3]), m[2].lower())
+        if one[0] or not out.get(name, (False,))[0]:
+            out[name] = one
+    return {k: v for k, (_, v) in out.items()}
 
 
 class Tree(HTMLParser):
@@ -48,7 +61,7 @@ class Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Node("html", {}, True)
+        self.root = Node("html", {})
         self.open = [self.root]
         self.count: dict[str, int] = {}
 
@@ -82,10 +95,13 @@ class Tree(HTMLParser):
             self.close({"p"}, SCOPE)
         if tag in IMPLIED:
             self.close(*IMPLIED[tag])
-        own = dict(attrs)
+        own = dict(reversed(attrs))  # of attributes with one name the first counts
         top = self.open[-1]
-        shown = top.shown and tag not in HIDDEN and "hidden" not in own and not (own.get("style") and NOT_SHOWN.search(own["style"])) and not (tag == "input")
-        node = Node(tag, own, shown)
+        style = declared(own.get("style"))
+        off = "hidden" in own or tag == "dialog" and "open" not in own
+        shown = top.shown and tag not in HIDDEN and tag != "input" and (style["display"] != "none" if "display" in style else not off)
+        visible = {"visible": True, "hidden": False, "collapse": False}.get(style.get("visibility", ""), top.visible)
+        node = Node(tag, own, shown, visible)
         if shown:
             top.children.append(node)
         if tag not in VOID:
@@ -115,8 +131,32 @@ class Tree(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         top = self.open[-1]
-        if top.shown:
-            top.children.append(data)
+        if top.shown:  # what can't be seen leaves a gap
+            top.children.append(data if top.visible else " ")
+
+    # The whole page is fed at once: what isn't closed goes to its end and shows nothing.
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        for empty in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(empty, i):
+                return i + len(empty)
+        end = COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_starttag(self, i: int) -> int:
+        return self._or_end(super().parse_starttag(i))
+
+    def parse_endtag(self, i: int) -> int:
+        return self._or_end(super().parse_endtag(i))
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._or_end(super().parse_html_declaration(i))
+
+    def parse_pi(self, i: int) -> int:
+        return self._or_end(super().parse_pi(i))
+
+    def _or_end(self, at: int) -> int:
+        return len(self.rawdata) if at < 0 else at
 
 
 class Page:
@@ -187,10 +227,33 @@ class Page:
         return self.lines
 
 
-def render(root: Node, depth: int = 0) -> list[str]:
+Lines = Generator[Node, list[str], list[str]]
+
+
+def rendered(root: Node) -> list[str]:
+    """The lines of a tree. Cells of tables are rendered on an explicit stack, so that depth is no limit."""
+    stack, lines = [render(root)], None
+    while stack:
+        try:
+            cell = stack[-1].send(lines)
+        except StopIteration as done:
+            stack.pop()
+            lines = done.value
+        else:
+            stack.append(render(cell))
+            lines = None
+    return lines
+
+
+def _number(value: str | None, other: int) -> int:
+    return int(value) if value and re.fullmatch(r"\s*[+-]?\d{1,9}\s*", value, re.A) else other
+
+
+def render(root: Node) -> Lines:
+    """The lines of a tree, as a generator: it gives cells of tables and is sent their lines."""
     page = Page()
     pre = 0
-    lists: list[list] = []
+    lists: list[list] = []  # kind, next number, step
     stack: list[tuple[Node, int]] = [(root, 0)]
     first = True
     while stack:
@@ -202,16 +265,17 @@ def render(root: Node, depth: int = 0) -> list[str]:
                 continue
             if tag == "hr":
                 page.block(0)
-                page.text("---")
+                if node.visible:
+                    page.text("---")
                 page.block(0)
                 continue
             if tag == "img":
-                if node.attrs.get("alt"):
+                if node.attrs.get("alt") and node.visible:
                     page.text(node.attrs["alt"])
                 continue
-            if tag == "table" and depth < DEEP:
+            if tag == "table":
                 page.block(1)
-                for line in grid(node, depth):
+                for line in (yield from grid(node)):
                     if line:
                         page.begin()
                         page.line.append(line)
@@ -225,13 +289,17 @@ def render(root: Node, depth: int = 0) -> list[str]:
             if tag == "pre":
                 pre += 1
             elif tag in ("ul", "ol", "menu"):
-                start = node.attrs.get("start") or "1"
-                lists.append([tag, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+                back = tag == "ol" and "reversed" in node.attrs
+                count = sum(not isinstance(c, str) and c.tag == "li" for c in node.children) if back else 1
+                lists.append([tag, _number(node.attrs.get("start"), count), -1 if back else 1])
             elif tag == "li":
-                kind = lists[-1] if lists else ["ul", 1]
-                page.marker = f"{kind[1]}. " if kind[0] == "ol" else "- "
-                kind[1] += 1
-                page.indent.append(page.indent[-1] + " " * len(page.marker))
+                kind = lists[-1] if lists else ["ul", 1, 1]
+                if kind[0] == "ol":
+                    kind[1] = _number(node.attrs.get("value"), kind[1])
+                marker = f"{kind[1]}. " if kind[0] == "ol" else "- "
+                page.marker = marker if node.visible else None
+                kind[1] += kind[2]
+                page.indent.append(page.indent[-1] + " " * len(marker))
             elif tag in ("blockquote", "dd"):
                 page.indent.append(page.indent[-1] + "  ")
         first = False
@@ -246,7 +314,7 @@ def render(root: Node, depth: int = 0) -> list[str]:
         if not stack:
             break
         tag = node.tag
-        if not node.children and tag in BLOCKS or tag in BLOCKS:
+        if tag in BLOCKS:
             page.block(1 if tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1) else 0)
         if tag == "pre":
             pre -= 1
@@ -262,97 +330,199 @@ def render(root: Node, depth: int = 0) -> list[str]:
     return page.result()
 
 
-def _rows(node: Node) -> tuple[list[Node], list[Node]]:
-    """Rows and captions of a table; stray content counts as a row of its own."""
-    rows, captions, loose = [], [], []
+def _rows(node: Node) -> tuple[list[list[Node]], list[Node]]:
+    """Row groups and captions of a table; stray content counts as a row of its own."""
+    groups: list[list[Node]] = [[]]
+    captions, loose = [], []
 
     def flush() -> None:
         if any(not isinstance(x, str) or x.strip() for x in loose):
-            row, cell = Node("tr", {}, True), Node("td", {}, True)
+            row, cell = Node("tr", {}), Node("td", {})
             cell.children = list(loose)
             row.children = [cell]
-            rows.append(row)
+            groups[-1].append(row)
         loose.clear()
 
     for child in node.children:
         tag = child.tag if isinstance(child, Node) else ""
         if tag == "tr":
             flush()
-            rows.append(child)
+            groups[-1].append(child)
         elif tag in ("thead", "tbody", "tfoot"):
             flush()
-            more, caps = _rows(child)
-            rows += more
+            more, caps = _rows(child)  # a group holds no groups: opening one closes the other
+            groups += [*more, []]
             captions += caps
         elif tag == "caption":
             captions.append(child)
         elif tag in ("td", "th"):
             flush()
-            row = Node("tr", {}, True)
+            row = Node("tr", {})
             row.children = [child]
-            rows.append(row)
+            groups[-1].append(row)
         elif tag not in ("colgroup", "col"):
             loose.append(child)
     flush()
-    return rows, captions
-
-
-def _span(value: str | None) -> int:
-    return max(1, min(SPAN, int(value))) if value and value.isascii() and value.isdigit() else 1
-
-
-def grid(node: Node, depth: int) -> list[str]:
-    """A table's lines: the cells of a column start at the same place; a cell's further lines stand below its first."""
-    rows, captions = _rows(node)
-    out = [line for c in captions for line in render(c, depth + 1)]
-    laid: list[dict[int, tuple[list[str], int]]] = []
-    busy: dict[int, int] = {}
-    for row in rows:
-        cells: dict[int, tuple[list[str], int]] = {}
-        at = 0
-        down: dict[int, int] = {}
-        for cell in row.children:
-            if isinstance(cell, str):
-                if not cell.strip():
+    return groups, captions
+
+
+def _span(value: str | None, most: int, zero: int = 1) -> int:
+    digits = re.match(r"\s*\+?(\d+)", value or "", re.A)
+    if not digits:
+        return 1
+    return min(most, int(digits[1][:9])) or zero
+
+
+class Busy:
+    """Columns that cells of rows above still cover: in pieces that are covered until the same row, and in runs without gaps."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []  # of runs
+        self.ends: list[int] = []
+        self.pieces: list[int] = []  # their starts
+        self.piece: dict[int, tuple[int, int]] = {}  # start: end, until
+        self.until: list[tuple[int, int, int]] = []
+
+    def free_from(self, at: int) -> int:
+        k = bisect_right(self.starts, at) - 1
+        return self.ends[k] if k >= 0 and at < self.ends[k] else at
+
+    def cover(self, start: int, stop: int, row: int) -> None:
+        """Until ``row``, or later where an older cell says so."""
+        first = bisect_right(self.pieces, start) - 1
+        if first < 0 or self.piece[self.pieces[first]][0] <= start:
+            first += 1
+        last, at, new, rest = first, start, [], []
+        while last < len(self.pieces) and self.pieces[last] < stop:
+            a = self.pieces[last]
+            b, until = self.piece[a]
+            if until >= row:
+                if at < a:
+                    new.append((at, a, row))
+                new.append((a, b, until))
+                at = b
+            else:
+                if a < start:
+                    new.append((a, start, until))
+                if b > stop:
+                    rest.append((stop, b, until))
+            last += 1
+        if at < stop:
+            new.append((at, stop, row))
+        new += rest
+        old = {a: self.piece.pop(a) for a in self.pieces[first:last]}
+        self.pieces[first:last] = [a for a, _, _ in new]
+        for a, b, until in new:
+            self.piece[a] = b, until
+            if old.get(a) != (b, until):
+                heappush(self.until, (until, a, b))
+        first = bisect_right(self.ends, start - 1)
+        last = bisect_right(self.starts, stop)
+        if first < last:
+            start, stop = min(start, self.starts[first]), max(stop, self.ends[last - 1])
+        self.starts[first:last], self.ends[first:last] = [start], [stop]
+
+    def reach(self, row: int) -> None:
+        while self.until and self.until[0][0] <= row:
+            until, a, b = heappop(self.until)
+            if self.piece.get(a) != (b, until):
+                continue
+            del self.piece[a], self.pieces[bisect_right(self.pieces, a) - 1]
+            k = bisect_right(self.starts, a) - 1
+            rest = [(x, y) for x, y in ((self.starts[k], a), (b, self.ends[k])) if x < y]
+            self.starts[k : k + 1] = [x for x, _ in rest]
+            self.ends[k : k + 1] = [y for _, y in rest]
+
+
+class Widths:
+    """Widths of columns, with sums of and additions to ranges of them in logarithmic time."""
+
+    def __init__(self, n: int):
+        self.n, self.flat, self.slope = n, [0] * (n + 2), [0] * (n + 2)
+
+    def _add(self, k: int, by: int) -> None:
+        flat, i = by * k, k + 1
+        while i <= self.n + 1:
+            self.slope[i] += by
+            self.flat[i] += flat
+            i += i & -i
+
+    def add(self, a: int, b: int, by: int) -> None:
+        self._add(a, by)
+        self._add(b, -by)
+
+    def upto(self, k: int) -> int:
+        """Sum of the first k widths."""
+        slope = flat = 0
+        i = k
+        while i > 0:
+            slope += self.slope[i]
+            flat += self.flat[i]
+            i -= i & -i
+        return slope * k - flat
+
+    def need(self, a: int, b: int, width: int) -> None:
+        """Columns a to b (exclusive) have ``width`` together at least; what lacks is shared out."""
+        lack = width - (self.upto(b) - self.upto(a))
+        if lack > 0:
+            each, more = divmod(lack, b - a)
+            self.add(a, b, each)
+            self.add(a, a + more, 1)
+
+
+def _cell(x: Node | str) -> Node:
+    if not isinstance(x, str):
+        return x
+    cell = Node("td", {})
+    cell.children = [x]
+    return cell
+
+
+def grid(node: Node) -> Lines:
+    """A table's lines: the cells of a column start at the same place; a cell's further lines stand below its first.
+
+    Two blanks part columns. A cell over several columns that needs more than they have widens all of them. Columns
+    between which no cell begins or ends count as one.
+    """
+    groups, captions = _rows(node)
+    out: list[str] = []
+    for c in captions:
+        out += yield c
+    laid: list[list[tuple[int, int, list[str]]]] = []
+    for rows in groups:
+        busy = Busy()
+        for r, row in enumerate(rows):
+            busy.reach(r)
+            cells, at = [], 0
+            down = []
+            for x in row.children:
+                if isinstance(x, str) and not x.strip():
                     continue
-                inner = Node("td", {}, True)
-                inner.children = [cell]
-                cell = inner
-            while busy.get(at, 0) > 0:
-                at += 1
-            wide, tall = _span(cell.attrs.get("colspan")), _span(cell.attrs.get("rowspan"))
-            cells[at] = (render(cell, depth + 1), wide)
-            if tall > 1:
-                for k in range(at, at + wide):
-                    down[k] = tall
-            at += wide
-        for k in list(busy):
-            busy[k] -= 1
-            if busy[k] <= 0:
-                del busy[k]
-        for k, v in down.items():
-            busy[k] = v - 1
-        laid.append(cells)
-    width: dict[int, int] = {}
-    for cells in laid:
-        for k, (lines, wide) in cells.items():
-            if wide == 1:
-                width[k] = max(width.get(k, 0), max(map(len, lines), default=0))
-    columns = sorted({k for cells in laid for k in cells} | set(width))
-    start, at = {}, 0
-    for k in columns:
-        start[k] = at
-        at += width.get(k, 0) + 2
+                cell = _cell(x)
+                at = busy.free_from(at)
+                wide, tall = _span(cell.attrs.get("colspan"), MOST_COLUMNS), _span(cell.attrs.get("rowspan"), MOST_ROWS, MOST_ROWS)
+                cells.append((at, at + wide, (yield cell)))
+                if tall > 1:
+                    down.append((at, at + wide, r + tall))
+                at += wide
+            for a, b, until in down:
+                busy.cover(a, b, until)
+            laid.append(cells)
+    edges = sorted({x for cells in laid for a, b, _ in cells for x in (a, b)})
+    column = {x: k for k, x in enumerate(edges)}
+    widths = Widths(max(0, len(edges) - 1))
+    for a, b, lines in sorted(((column[a], column[b], lines) for cells in laid for a, b, lines in cells), key=lambda c: (c[1] - c[0], c[0])):
+        widths.need(a, b, max(map(len, lines), default=0) + 2)
     for cells in laid:
-        tall = max((len(lines) for lines, _ in cells.values()), default=0)
-        for i in range(tall):
-            line = ""
-            for k in sorted(cells):
-                lines, _ = cells[k]
+        places = [(widths.upto(column[a]), lines) for a, _, lines in cells]
+        for i in range(max((len(lines) for _, lines in places), default=0)):
+            parts, end = [], 0
+            for start, lines in places:
                 if i < len(lines) and lines[i]:
-                    line = line.ljust(start[k]) if len(line) <= start[k] else line + "  "
-                    line += lines[i]
-            out.append(line.rstrip(" "))
+                    gap = " " * (start - end) if start >= end else "  "
+                    parts.append(gap + lines[i])
+                    end += len(parts[-1])
+            out.append("".join(parts).rstrip(" "))
     return out
 
 
@@ -363,7 +533,7 @@ def html_to_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
-    return "\n".join(render(tree.root)).strip("\n")
+    return "\n".join(rendered(tree.root)).strip("\n")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,14 +547,19 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id and text, one row per input row, repeated rows included; other columns are ignored.
 
-    Visible text only: no scripts, styles, head, templates or fallback content, no element with ``hidden``,
-    ``display:none`` or ``visibility:hidden``. Paragraphs, headings, lists and tables stand between blank
-    lines, other blocks on lines of their own; list items have markers and hanging indents; table cells are
-    aligned by column. Pages never meet one another, so nothing is shuffled; depth of nesting is no limit.
+    Visible text only: no scripts, styles, head, templates or fallback content, no element with ``hidden`` or
+    ``display:none``, no closed dialog; ``visibility`` is inherited and can be turned on again below. Paragraphs,
+    headings, lists and tables stand between blank lines, other blocks on lines of their own; list items have
+    markers (numbers follow ``start``, ``value`` and ``reversed``) and hanging indents; table cells are aligned by
+    column, spans included. Comments, tags and declarations that aren't closed go to the page's end and show
+    nothing. Null and empty pages give the empty text, an empty table no rows. Pages never meet one another, so
+    nothing is shuffled; depth of nesting is no limit, time is that of the page's length, and for nested tables of
+    their lines times their depth.
     """
     return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(lean(_extract), "page_id long, text string")
 
 
 def op9_html_text(spark, sf_dir):
+    """``extract_text`` of all pages, with the length and hash of each text; null pages give the empty text, repeated rows come again."""
     text = extract_text(table(spark, sf_dir, "pages"))
     return text.select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")
