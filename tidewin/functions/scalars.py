@@ -79,6 +79,8 @@ def four_states(present: Column, emitted: Column, rms: Column, snr: Column, gate
     return tuple(x.cast("int") for x in (a, b, c, e))
 
 
+# The thresholds of the three rules below (wind in m/s, rain in mm, lines in Hz).
+
 def hourly_condition(wind: Column, rain: Column) -> Column:
     return F.when(rain > 5, "rain_heavy").when(rain > 0.5, "rain_light").when(wind >= 10, "wind_high").when(wind >= 6, "wind_mid").when(wind >= 3, "wind_low").otherwise("calm")
 
@@ -114,6 +116,8 @@ def coupling_anchor(fc: Column) -> Column:
     return coupling_jittered(fc, F.lit(1.0))
 
 
+# Centre, reference and bounds of the anchored coupling (Hz).
+
 def coupling_jittered(fc: Column, factor: Column) -> Column:
     """The anchored centre times a positive factor of median 1, inside the physical span."""
     return F.least(F.greatest(53.0 * F.sqrt(fc / 127.3) * factor, F.lit(30.0)), F.lit(150.0))

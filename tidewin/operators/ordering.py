@@ -1,28 +1,39 @@
-"""Global order without a global sort: counts and ranks by cells of the value's range."""
+"""Global order without a global sort: counts and ranks inside cells of like size."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Cells per key. A cell is one window partition, so a key's rows are spread over so many tasks.
-CELLS = 512
+#: Cells of a table. A cell of a key is one window partition, so a sort is spread over so many tasks.
+CELLS = 2048
+
+
+def celled(rows: DataFrame, value: str, cells: int = CELLS) -> DataFrame:
+    """``rows`` plus ``_cell``: growing with ``value``, and no cell has more than twice its share of the rows.
+
+    The bounds are quantiles of the values of all keys together, from a mergeable sketch whose rank error is a
+    quarter of a cell. They depend on ranks alone, so neither outliers nor crowded ranges fill a cell; many rows
+    of one value would, which is why the callers give rows of distinct values. One row of bounds is broadcast.
+    """
+    number = F.col(value).cast("double")
+    bounds = rows.select(number.alias("v")).filter(~F.isnan("v")).agg(F.percentile_approx("v", [(i + 1) / cells for i in range(cells - 1)], 4 * cells).alias("_bounds"))
+    # binary search: how many bounds are below the value (NaN is above all)
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range((cells - 1).bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda acc, step: F.when(F.get("_bounds", acc + step - 1) < number, acc + step).otherwise(acc))
+    return rows.join(F.broadcast(bounds), F.lit(True)).withColumn("_cell", at).drop("_bounds")
 
 
 def sums_before(grouped: DataFrame, keys: list[str], value: str, counts: list[str], cells: int = CELLS) -> DataFrame:
     """``grouped`` plus ``<count>_before``: the sum of each count over the key's rows with a smaller ``value``.
 
-    ``grouped`` has one row per key and value (null values are dropped). Without keys the whole table is one key,
-    and even then no task sees all of it: rows are ordered inside cells of equal width, and only the cells'
-    sums (``cells`` rows a key) are ordered across.
+    ``grouped`` has one row per key and value (null values are dropped). Rows are ordered inside cells of like
+    size, and only the cells' sums (``cells`` rows a key at most) are ordered across, so that no task sees more
+    than two cells' share of all rows, whatever the values and however many rows a key has.
     """
     one = [] if keys else [F.lit(1).alias("_one")]
-    rows = grouped.filter(F.col(value).isNotNull()).select("*", *one)
     by = keys or ["_one"]
-    span = rows.groupBy(*by).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    cell = F.when(width > 0, F.least(F.floor((F.col(value).cast("double") - F.col("_lo")) / F.when(width > 0, width) * cells), F.lit(cells - 1))).otherwise(F.lit(0))
-    rows = rows.join(span, by).withColumn("_cell", cell).drop("_lo", "_hi")
+    rows = celled(grouped.filter(F.col(value).isNotNull()).select("*", *one), value, cells)
     below = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     total = rows.groupBy(*by, "_cell").agg(*[F.sum(c).alias(f"_s_{c}") for c in counts])
     total = total.select(*by, "_cell", *[F.coalesce(F.sum(f"_s_{c}").over(below), F.lit(0)).alias(f"_o_{c}") for c in counts])

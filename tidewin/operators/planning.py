@@ -65,18 +65,33 @@ def cost_model(n_in: Column, widths: Column, rank: Column, heads: Column, steps:
     return {"macs": macs, "sops": sops, "energy_uj": picojoule / 1e6, "ratio": F.try_divide(macs * PJ_MAC, picojoule)}
 
 
+#: Fixed values of the wave solver's stencil: surface wave floor (m/s), radius in km as quality and velocity allow
+#: (factor, Hz, bounds), stiff ground (m/s), seconds after the slowest wave (soft, stiff, more for an inverse profile),
+#: largest wavenumber (margin, Hz, bounds), number of wavenumbers (share of the largest, per second of window, bounds),
+#: time step (s), damping (per wavenumber step, per window).
+STENCIL = {
+    "least_vr": 80.0, "radius": (6.9, 25.0, 0.06, 0.32), "stiff_vs": 800.0, "after_s": (2.5, 1.5, 1.5),
+    "kmax": (1.25, 250.0, 10_000.0, 24_000.0), "nk": (0.85, 0.239, 8_000.0, 30_000.0), "step_s": 0.002, "alpha": (2.15, 9.0),
+}
+
+
 def stencil(vr: Column, q: Column, vs_top: Column, inverse: Column, vp_max: Column) -> dict[str, Column]:
     """r_max, kmax, nk, nt and alpha of the wave solver for a profile (velocities in m/s, vp in km/s).
 
     Wavenumbers reach the slowest surface wave and the near field; their number pushes the ghosts of the
     discrete sum out of the window, as far as the cap allows; alpha damps what remains.
     """
-    limit = lambda x, lo, hi: F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi)))
-    v = F.greatest(vr, F.lit(80.0)) / 1000
-    pi = 3.141592653589793
-    r_max = limit(6.9 * q * v / (pi * 25), 0.06, 0.32)
-    stiff = (vs_top >= 800) & ~inverse
-    t = r_max / v + F.when(stiff, 1.5).otherwise(2.5) + F.when(inverse, 1.5).otherwise(0.0)
-    kmax = limit(1.25 * 2 * pi * 250 / v, 10_000, 24_000)
-    nk = F.floor(limit(F.greatest(kmax * 0.85, 0.239 * kmax * vp_max * t), 8_000, 30_000)).cast("long")
-    return {"r_max": r_max, "kmax": kmax, "nk": nk, "nt": (F.ceil(F.round(t / 0.002 / 2, 9)) * 2).cast("long"), "alpha": F.least(2.15 * kmax / nk * vp_max, 9 / t)}
+    within = lambda x, lo, hi: F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    v = F.greatest(vr, F.lit(STENCIL["least_vr"])) / 1000
+    factor, hz, *bounds = STENCIL["radius"]
+    r_max = within(factor * q * v / (F.pi() * hz), *bounds)
+    soft, stiff, more = STENCIL["after_s"]
+    after = F.when((vs_top >= STENCIL["stiff_vs"]) & ~inverse, stiff).otherwise(soft) + F.when(inverse, more).otherwise(0.0)
+    window = r_max / v + after
+    margin, hz, *bounds = STENCIL["kmax"]
+    kmax = within(2 * F.pi() * hz * margin / v, *bounds)
+    share, rate, *bounds = STENCIL["nk"]
+    nk = F.floor(within(F.greatest(share * kmax, rate * kmax * vp_max * window), *bounds)).cast("long")
+    per_step, per_window = STENCIL["alpha"]
+    pairs = F.ceil(F.round(window / STENCIL["step_s"] / 2, 9))
+    return {"r_max": r_max, "kmax": kmax, "nk": nk, "nt": (pairs * 2).cast("long"), "alpha": F.least(per_step * kmax / nk * vp_max, per_window / window)}

@@ -11,17 +11,17 @@ from .ordering import exact_quantiles, quantile_columns, ranked, value_at
 def trimmed_p99(df: DataFrame, value: str, keys: list[str], k: float = 5.0, least: int = 10) -> DataFrame:
     """keys, n, n_kept, p99: of the values up to median + k*MAD if more than ``least`` are, else of all.
 
-    The values are ranked once and staged: what is kept is a prefix of the ranks, so its quantile is a rank too.
+    Keys may be many, so their rows are joined as the planner finds by size. The values are ranked once and staged: what is kept is a prefix of the ranks, so its quantile is a rank too.
     """
     rank = staged(ranked(df, keys, value), "trim")
-    m = rank.join(F.broadcast(value_at(rank, keys, value, 0.5 * (F.col("n_all") - 1), "_m")), keys)
+    m = rank.join(value_at(rank, keys, value, 0.5 * (F.col("n_all") - 1), "_m"), keys)
     dev = ranked(m.select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_dev"), "n"), keys, "_dev", "n")
     mad = value_at(dev, keys, "_dev", 0.5 * (F.col("n_all") - 1), "_d")
     kept = F.col(value) <= F.col("_m") + k * F.col("_d")
-    counts = m.join(F.broadcast(mad), keys).groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("n_kept"))
+    counts = m.join(mad, keys).groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("n_kept"))
     counts = staged(counts, "trim-counts")
     used = F.when(F.col("n_kept") > least, F.col("n_kept")).otherwise(F.col("_n"))
-    p99 = value_at(rank.join(F.broadcast(counts), keys), keys, value, 0.99 * (used - 1), "p99")
+    p99 = value_at(rank.join(counts, keys), keys, value, 0.99 * (used - 1), "p99")
     return counts.join(p99, keys).select(*keys, F.col("_n").alias("n"), "n_kept", "p99")
 
 

@@ -11,11 +11,17 @@ _ROOTS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests on one machine)."""
+    """The folder in ``spark.checkpoint.dir``, or the one set in the context.
+
+    Where neither is set, a temporary one if the master is local (one machine: tests), else an error: executors and
+    the driver of a cluster share no temporary folder.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not known.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewin-"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = known.get()
