@@ -96,3 +96,42 @@ def concentration(df: DataFrame, family: str, bin_: Column, factor: float = 3.0,
     total = g.agg(F.sum("n").alias("_all"))
     g = g.crossJoin(F.broadcast(total)).withColumns({"share": F.col("n") / F.col("_bn"), "global_share": F.col("_fn") / F.col("_all")})
     return g.filter((F.col("_bn") >= least_rows) & (F.col("share") > factor * F.col("global_share")) & (F.col("share") > least_share)).select("bin", "family", "share", "global_share")
+
+
+#: Classes that a choice of heads leaves out of training, and quiet kinds whose background is ambient.
+LEFT_OUT = {"2head_noanimal": ("animal",), "separate2": ("animal",), "1head_human": ("animal",), "1head_human_noveh": ("animal", "vehicle")}
+AMBIENT = ("calm", "wind", "rain", "ambient")
+CLASSES = ("human", "vehicle", "animal")
+
+
+def train_cohort(df: DataFrame, heads: str, cls: str = "coarse", split: str = "split") -> DataFrame:
+    """Rows of the training split that a choice of heads is fitted on; an unknown choice leaves no class out."""
+    return df.filter((F.col(split) == "train") & ~F.coalesce(F.col(cls).isin(*LEFT_OUT.get(heads, ())), F.lit(False)))
+
+
+def zero_signal(df: DataFrame, occupancy: list[str], cls: str = "coarse", kind: str = "subkind", ambient: tuple[str, ...] = AMBIENT) -> DataFrame:
+    """Rows in which no class is active, without quiet scenes whose kind is a confuser; a null occupancy is not zero."""
+    quiet = F.lit(True)
+    for c in occupancy:
+        quiet = quiet & (F.col(c) <= 0)
+    confuser = (F.col(cls) == "nothing") & ~F.coalesce(F.col(kind).isin(*ambient), F.lit(False))
+    return df.filter(F.coalesce(quiet & ~confuser, F.lit(False)))
+
+
+def class_masks(levels: dict[str, Column], snr: dict[str, Column], cls: Column) -> dict[str, Column]:
+    """Masks: <class> (detectable), <class>_only (and no other), <class>_faint (its scene, -20 to 0 dB, not labelled), nothing, noise, n_active."""
+    on = {c: F.coalesce(v > 0, F.lit(False)) for c, v in levels.items()}
+    out = dict(on)
+    for c in levels:
+        only = on[c]
+        for other in levels:
+            if other != c:
+                only = only & ~on[other]
+        out[f"{c}_only"] = only
+        out[f"{c}_faint"] = F.coalesce((cls == c) & (snr[c] >= -20) & (snr[c] < 0) & ~on[c], F.lit(False))
+    none = F.lit(True)
+    count = F.lit(0)
+    for v in on.values():
+        none = none & ~v
+        count = count + v.cast("int")
+    return out | {"nothing": none, "noise": F.coalesce(cls == "nothing", F.lit(False)), "n_active": count}

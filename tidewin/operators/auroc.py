@@ -48,3 +48,21 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> Da
     top = n * sxy - sx * sy
     low = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
     return both.groupBy(*keys).agg(n.alias("n"), F.when(low > 0, F.try_divide(top, low)).alias("rho"))
+
+
+def mann_whitney_greater(df: DataFrame, value: str, case: Column, keys: list[str] | None = None) -> DataFrame:
+    """keys, u, z, p: whether cases have larger values than the rest, by the normal limit with corrections for ties and continuity.
+
+    NULL if a side is missing or all values are equal; null values are dropped. Rows collapse to counts per value first.
+    """
+    from ..functions.scalars import normal_tail
+
+    keys = keys or []
+    g = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.when(case, 1).otherwise(0)).alias("p"), F.sum(F.when(case, 0).otherwise(1)).alias("q"))
+    r = sums_before(g, keys, value, ["q"])
+    tied = (F.col("p") + F.col("q")).cast("double")
+    t = r.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("q_before") + F.col("q") / F.lit(2.0))).alias("u"), F.sum("p").cast("double").alias("n1"), F.sum("q").cast("double").alias("n0"), F.sum(tied * tied * tied - tied).alias("ties"))
+    n, n1n0 = F.col("n1") + F.col("n0"), F.col("n1") * F.col("n0")
+    spread = F.sqrt(n1n0 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
+    t = t.withColumn("z", F.try_divide(F.col("u") - n1n0 / 2 - 0.5, F.nullif(spread, F.lit(0.0))))
+    return t.select(*keys, "u", "z", normal_tail(F.col("z")).alias("p"))

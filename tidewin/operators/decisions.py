@@ -102,3 +102,16 @@ def passed(score: Column, thresholds: list[float]) -> Column:
 def grid(df: DataFrame, name: str, values: list) -> DataFrame:
     """Every row once for each value: an explode of a literal array, no join."""
     return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+
+
+def softmax(logits: Column) -> Column:
+    """Shares of an array of logits; the largest is taken out first."""
+    top = F.array_max(logits)
+    e = F.transform(logits, lambda x: F.exp(x - top))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+
+def fourway_heads(logits: Column) -> dict[str, Column]:
+    """The presence of each class in a model with one output of four exclusive classes (nothing, human, vehicle, animal)."""
+    p = softmax(logits)
+    return {"human": p[1], "vehicle": p[2], "animal": p[3]}

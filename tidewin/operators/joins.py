@@ -44,6 +44,44 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     return points.join(s, cond, how)
 
 
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], span: tuple[str, str], other: tuple[str, str], width: float) -> DataFrame:
+    """Pairs of rows with equal keys whose spans [start, stop) overlap, each pair once: all columns of ``left`` and the others of ``right``.
+
+    Both sides stand in the cells of ``width`` that they touch, so the join is an equality on keys and cell, and a
+    pair is given in the cell where the later of both begins. Choose a width near the usual span. Empty and
+    reversed spans, and rows with a null, overlap nothing. Names other than the keys must differ.
+    """
+    def celled(df: DataFrame, lo: str, hi: str) -> DataFrame:
+        # the last cell is that of the largest place below the end
+        last = F.ceil(F.col(hi) / width) - 1
+        first = F.floor(F.col(lo) / width)
+        return df.filter(F.col(lo) < F.col(hi)).withColumn("_cell", F.explode(F.sequence(first.cast("long"), F.greatest(first, last).cast("long"))))
+
+    (a, b), (c, d) = span, other
+    both = celled(left, a, b).join(celled(right, c, d), [*keys, "_cell"])
+    begin = F.floor(F.greatest(F.col(a), F.col(c)) / width)
+    return both.filter((F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.col("_cell") == begin)).drop("_cell")
+
+
+def covered(left: DataFrame, right: DataFrame, keys: list[str], span: tuple[str, str], other: tuple[str, str], width: float, by: list[str]) -> DataFrame:
+    """``by``, n, covered: the number of spans of ``right`` that overlap a row of ``left``, and the sum of the overlaps."""
+    j = overlap_join(left, right, keys, span, other, width)
+    return j.groupBy(*by).agg(F.count("*").alias("n"), F.sum(overlap(F.col(span[0]), F.col(span[1]), F.col(other[0]), F.col(other[1]))).alias("covered"))
+
+
+def positional_join(left: DataFrame, right: DataFrame, at: str, key: str) -> DataFrame:
+    """Rows of both sides with the same place ``at``; both must have every place once, with the same ``key``.
+
+    A place that one side lacks, or that has another key there, is an error when the rows are read: tables that
+    belong together by order alone are never joined out of step.
+    """
+    r = right.withColumnsRenamed({at: "_at", key: "_key"})
+    j = left.join(r, left[at] == r["_at"], "full")
+    wrong = left[at].isNull() | F.col("_at").isNull() | ~left[key].eqNullSafe(F.col("_key"))
+    ok = F.when(wrong, F.raise_error(F.concat(F.lit("tables differ at place "), F.coalesce(left[at], F.col("_at")).cast("string")))).otherwise(F.lit(True))
+    return j.filter(ok).drop("_at", "_key")
+
+
 def asof_interpolate(left: DataFrame, right: DataFrame, keys: list[str], at: str, x: str, y: str, out: str) -> DataFrame:
     """``left`` plus ``out``: y at ``at``, linear between right's points (x, y) of the same keys, clamped at the ends.
 
@@ -87,13 +125,29 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, q_id: str, q_vec: str, r_id: str, r_vec: str, k: int, carry: list[str]) -> DataFrame:
+#: Values (queries times their length) of a block of queries that is broadcast.
+BLOCK_VALUES = 2_000_000
+
+
+def nearest(queries: DataFrame, rows: DataFrame, q_id: str, q_vec: str, r_id: str, r_vec: str, k: int, carry: list[str], block_values: int = BLOCK_VALUES) -> DataFrame:
     """q_id, r_id, d2, place and ``carry`` columns of the k nearest rows of each query, exact; ties by r_id.
 
-    ``queries`` is the small, stated set and is broadcast in blocks by the caller if it is large; a rank of k
-    is pushed below the shuffle as a limit per group, so each task sends k rows a query.
+    ``queries`` is a stated set. It's counted and taken in blocks of at most about ``block_values`` values, dealt by
+    a hash of the id; each block is broadcast and meets all rows, and a task keeps no more than k rows a query
+    before anything is shuffled. Only one block's pairs exist at a time in a task.
     """
     q = queries.select(F.col(q_id).alias("q_id"), F.col(q_vec).alias("_qv"))
+    values = q.agg(F.sum(F.size("_qv"))).first()[0] or 0
+    blocks = max(1, -(-int(values) // block_values))
+    out = None
+    for b in range(blocks):
+        part = q.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b) if blocks > 1 else q
+        near = _nearest_of_block(part, rows, r_id, r_vec, k, carry)
+        out = near if out is None else out.unionAll(near)
+    return out
+
+
+def _nearest_of_block(q: DataFrame, rows: DataFrame, r_id: str, r_vec: str, k: int, carry: list[str]) -> DataFrame:
     pairs = rows.select(F.col(r_id).alias("r_id"), F.col(r_vec).alias("_rv"), *carry).join(F.broadcast(q), F.lit(True))
     scored = pairs.select("q_id", F.struct(squared_distance(F.col("_qv"), F.col("_rv")).alias("d2"), F.col("r_id"), *carry).alias("s"))
     place = F.row_number().over(Window.partitionBy("q_id").orderBy("s.d2", "s.r_id"))

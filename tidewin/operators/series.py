@@ -17,16 +17,20 @@ def upto(w: WindowSpec) -> WindowSpec:
 def hysteresis(df: DataFrame, value: Column, on: Column, off: Column, keys: list[str], order: list[str], out: str = "on") -> DataFrame:
     """Adds ``out``: on from a value > on, as long as values stay > off; each key starts off. Needs off <= on.
 
-    Set-based: a row is on if its run of values above off holds a value above on so far. All windows share
-    one partitioning and one sort, whatever the number of switches. A null value is off.
+    Set-based: a row is on while the last value above on came after the last value not above off. Any number of
+    switches share one partitioning and one sort. A null value is off.
     """
-    w = ordered(keys, order)
+    w = upto(ordered(keys, order))
+    t = df.withColumn("_at", F.row_number().over(ordered(keys, order)))
+    return t.withColumn(out, is_on(value, on, off, F.col("_at"), w)).drop("_at")
+
+
+def is_on(value: Column, on: Column, off: Column, at: Column, w: WindowSpec) -> Column:
+    """Whether a switch is on, from the row's place ``at`` and the running window ``w`` in which it has that place."""
     above = F.coalesce(value > off, F.lit(False))
-    start = F.coalesce(value > on, F.lit(False)) & above
-    t = df.withColumns({"_b": above, "_a": start})
-    t = t.withColumn("_run", F.sum(F.when(F.col("_b"), 0).otherwise(1)).over(upto(w)))
-    fired = F.max(F.col("_a").cast("int")).over(upto(ordered([*keys, "_run"], order)))
-    return t.withColumn(out, F.col("_b") & (fired == 1)).drop("_a", "_b", "_run")
+    last_on = F.max(F.when(F.coalesce(value > on, F.lit(False)), at)).over(w)
+    last_off = F.max(F.when(~above, at)).over(w)
+    return above & F.coalesce(last_on > F.coalesce(last_off, F.lit(0)), F.lit(False))
 
 
 def n_of_m(df: DataFrame, above: Column, n: int, m: int, keys: list[str], order: list[str], out: str = "on") -> DataFrame:
@@ -120,3 +124,22 @@ def quota(df: DataFrame, k: int, keys: list[str], order: list[str]) -> DataFrame
 
 def strided(df: DataFrame, step: int, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_i", F.row_number().over(ordered(keys, order)) - 1).filter(F.col("_i") % step == 0).drop("_i")
+
+
+def rechunk(df: DataFrame, keys: list[str], order: list[str], x: str, size: int, least: int = 1) -> DataFrame:
+    """keys, chunk (from 0), x: a series' arrays, one after the other, cut anew into arrays of ``size`` values.
+
+    The last chunk has what is left, if that is ``least`` values or more. Only parts of arrays move, and no row is
+    longer than a chunk; a series' rows are ordered by (``order``) to find where each array begins. Null arrays are empty.
+    """
+    v = F.coalesce(F.col(x), F.array().cast(df.schema[x].dataType))
+    rows = df.select(*keys, *order, v.alias("_x")).withColumn("_n", F.size("_x").cast("long"))
+    before = F.coalesce(F.sum("_n").over(ordered(keys, order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    rows = rows.withColumn("_start", before).filter("_n > 0")
+    first, last = F.floor(F.col("_start") / size), F.floor((F.col("_start") + F.col("_n") - 1) / size)
+    parts = rows.withColumn("chunk", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    lo = F.greatest(F.col("_start"), F.col("chunk") * size)
+    hi = F.least(F.col("_start") + F.col("_n"), (F.col("chunk") + 1) * size)
+    parts = parts.select(*keys, "chunk", F.struct(lo.alias("at"), F.slice("_x", (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias("v")).alias("_p"))
+    out = parts.groupBy(*keys, "chunk").agg(F.flatten(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["v"])).alias("x"))
+    return out.filter(F.size("x") >= least)

@@ -150,7 +150,7 @@ def block_keys(spark, d):
 
 @query("bootstrap_ci_hash", sql(EV, f"b AS (SELECT recording, {BLOCK} AS block, count(*) FILTER (label = 'human') AS den, count(*) FILTER (label = 'human' AND s_human > CAST(0.5 AS DOUBLE)) AS num FROM ev GROUP BY ALL)",
   "i AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY block) - 1 AS idx, count(*) OVER (PARTITION BY recording) AS m FROM b)",
-  "r AS (SELECT rep, i.recording, (rep * 7919 + i.idx * 104729 + i.recording * 1299709 + rep * i.idx * 15485863) % 1000003 % i.m AS pick FROM i CROSS JOIN range(0, 200) AS t(rep))",
+  "r AS (SELECT rep, i.recording, (rep * 7919 + i.idx * 104729 + i.recording * 1299709 + rep * i.idx * 15485863) % 1000003 % i.m AS pick FROM i CROSS JOIN range(0, 1000) AS t(rep))",
   "v AS (SELECT rep, sum(num) / nullif(CAST(sum(den) AS DOUBLE), 0) AS ratio FROM r JOIN i ON i.recording = r.recording AND i.idx = r.pick GROUP BY rep)",
   "SELECT round(quantile_cont(ratio, CAST(0.025 AS DOUBLE)), 6) AS lo, round(quantile_cont(ratio, CAST(0.5 AS DOUBLE)), 6) AS mid, round(quantile_cont(ratio, CAST(0.975 AS DOUBLE)), 6) AS hi FROM v"))
 def bootstrap_ci_hash(spark, d):
@@ -160,7 +160,7 @@ def bootstrap_ci_hash(spark, d):
     array per recording, so nothing is joined.
     """
     b = ev(spark, d).groupBy("recording", F.floor(F.col("t0_s") / 86400).cast("long").alias("block")).agg(F.sum(F.when(F.col("label") == "human", 1).otherwise(0)).alias("den"), F.sum(F.when(F.expr("label = 'human' AND s_human > 0.5"), 1).otherwise(0)).alias("num"))
-    a = b.groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("block", "num", "den"))).alias("bl")).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))))
+    a = b.groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("block", "num", "den"))).alias("bl")).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"))))
     picks = F.expr("transform(sequence(0L, CAST(size(bl) AS BIGINT) - 1L), i -> element_at(bl, CAST((rep * 7919 + i * 104729 + recording * 1299709 + rep * i * 15485863) % 1000003 % size(bl) AS INT) + 1))")
     s = a.withColumn("p", picks).select("rep", F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: acc + x["num"]).alias("num"), F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: acc + x["den"]).alias("den"))
     v = s.groupBy("rep").agg(F.try_divide(F.sum("num").cast("double"), F.sum("den").cast("double")).alias("ratio"))
