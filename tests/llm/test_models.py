@@ -228,13 +228,44 @@ def test_near_components(make, monkeypatch, k, percent):
     rng.shuffle(texts)
     rows = rows_of(texts)
     want = brute([(r[0], r[1]) for r in rows], k, percent)
-    for sizes in ({}, {"BUCKET_ROWS": 20, "GROUP_SHINGLES": 3000, "BROADCAST_GROUPS": 0}):
+    for sizes in ({}, {"BUCKET_ROWS": 20, "GROUP_SHINGLES": 3000, "BROADCAST_GROUPS": 0}, {"BROADCAST_GROUPS": 1000, "GROUP_SHINGLES": 2_000_000, "GROUP_ROWS": 7}, {"PIVOT_SHINGLES": 0, "GROUP_ROWS": 2}):
         for name, v in sizes.items():
             monkeypatch.setattr(minhash, name, v)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_components(make(rows), k, percent).collect()}
         assert got == want
 
 
+def test_large_groups_with_repeated_ids(make, monkeypatch):
+    """Pivots, rows that repeat id and text, and ids with two texts, in loose and tight groups."""
+    monkeypatch.setattr(minhash, "GROUP_ROWS", 5)
+    rng = random.Random(11)
+    texts = []
+    for g in range(3):
+        now = [f"g{g}w{rng.randrange(300)}" for _ in range(100)]
+        for i in range(40):  # a drift: neighbours are linked, ends aren't
+            now = edited(now, rng, 1 + g).split()
+            texts.append(" ".join(now))
+    rows = rows_of(texts)
+    rows += [rows[3]] * 6 + [(5, rows[90][1], *rows[5][2:])]
+    got = defaultdict(set)
+    for r in minhash.near_components(make(rows), 3, 85).collect():
+        got[r["doc_id"]].add(r["component_id"])
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    sets = [(r[0], shingles(r[1], 3)) for r in rows]
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a][1] & sets[b][1]) >= 85 * len(sets[a][1] | sets[b][1]):
+                x, y = find(sets[a][0]), find(sets[b][0])
+                parent[max(x, y)] = min(x, y)
+    assert got == {i: {find(i)} for i, _ in sets}
+
+
 def test_near_odd(odd, empty):
     got = minhash.near_components(odd, 3, 85).collect()
     assert len(got) == odd.count()

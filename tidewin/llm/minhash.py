@@ -21,8 +21,14 @@ MISS = 1e-7
 SLACK = 5.0
 #: Rows of a bucket compared in one task; a larger bucket is compared block by block.
 BUCKET_ROWS = 4_096
-#: Shingles of a candidate group verified in one task; a larger group is verified block by block.
+#: Shingles, and rows, of a candidate group verified in one task; a larger group meets pivots first, and what no pivot
+#: settles is verified block by block.
 GROUP_SHINGLES = 2_000_000
+GROUP_ROWS = 256
+#: Documents of a large group with which all others are compared first.
+PIVOTS = 4
+#: Shingles of all pivots together up to which they are broadcast.
+PIVOT_SHINGLES = 4_000_000
 #: Groups up to this size are compared in one vectorised step.
 SMALL = 24
 
@@ -83,7 +89,7 @@ def _sets(k: int):
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column("text")):
                 sets, at = shingle_sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("comp").slice(a, b - a), batch.column("blocks").slice(a, b - a), _lists(sets, at)], names=["doc_id", "comp", "blocks", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("comp").slice(a, b - a), _lists(sets, at)], names=["doc_id", "comp", "items"])
 
     return lean(run)
 
@@ -113,14 +119,15 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield t, np.concatenate([[0], np.flatnonzero(new), [t.num_rows]])
 
 
-def spanning(n: int, near) -> list[tuple[int, int]]:
+def spanning(n: int, near, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what all links connect. ``near(i)``: mask of the rows linked with row i.
 
+    ``label``: components that are known before (equal numbers); each row is one of its own if it's left out.
     A row is asked only while the rows that haven't been asked yet are in more than one component; rows
     outside the largest component are asked first, so a tight group costs a few steps and any group is
     exact: in the end no two rows that were never asked lie in different components.
     """
-    label = np.arange(n)
+    label = np.arange(n) if label is None else label.copy()
     asked = np.zeros(n, bool)
     out = []
     while True:
@@ -131,8 +138,7 @@ def spanning(n: int, near) -> list[tuple[int, int]]:
         if len(names) < 2:
             return out
         big = names[np.argmax(counts)]
-        # a first row from the largest component tells most at the start
-        i = rest[0] if not asked.any() else rest[np.argmax(label[rest] != big)]
+        i = rest[np.argmax(label[rest] != big)]
         asked[i] = True
         hit = near(i)
         hit[i] = False
@@ -185,11 +191,15 @@ def _bucket_links(least: int):
 
 
 def _verified(percent: int):
-    """Links that span the pairs of a candidate group with 100 * intersection >= percent * union, on full sets."""
+    """Links that span the pairs of a candidate group with 100 * intersection >= percent * union, on full sets.
+
+    Rows marked ``main`` are known to be connected.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in _groups(batches, ["comp", "bi", "bj"]):
             ids = t.column("doc_id").to_numpy()
+            main = t.column("main").to_numpy()
             items = t.column("items").combine_chunks()
             items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
             offsets = np.asarray(items.offsets)
@@ -214,7 +224,9 @@ def _verified(percent: int):
                         both = np.add.reduceat(mark[code], off[:-1])
                         return 100 * both >= percent * (n + n[i] - both)
 
-                    found = spanning(hi - lo, near)
+                    label = np.arange(hi - lo)
+                    label[main[lo:hi]] = int(main[lo:hi].argmax())
+                    found = spanning(hi - lo, near, label)
                 a_out += [ids[lo + i] for i, _ in found]
                 b_out += [ids[lo + j] for _, j in found]
             if a_out:
@@ -230,6 +242,61 @@ def _blocks(df: DataFrame, node: str, parts: str) -> DataFrame:
     return df.withColumn("pair", F.explode(pair)).select("*", "pair.bi", "pair.bj").drop("pair")
 
 
+def _linked(n, other_n, both, percent: int):
+    return 100 * both >= percent * (n + other_n - both)
+
+
+def _by_pivots(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links to pivots, and what they leave over, from the full sets (comp, doc_id, items) of large groups.
+
+    All documents of a group are compared with PIVOTS of it, where they lie: only pivots move. Of the components that
+    this gives the largest is the main one; its documents needn't be compared with one another any more. The second
+    table has (comp, bi, bj, doc_id, items, main) of the blocks in which every other document meets all documents of
+    its group; groups that the pivots connect whole aren't in it. Blocks of either kind have a bounded number of rows
+    and shingles.
+    """
+    # rows that repeat an id and its set count once; an id with several sets has a row for each
+    own = stage(sets.withColumn("set", F.xxhash64("items")).dropDuplicates(["comp", "doc_id", "set"]).withColumn("n", F.size("items").cast("long")), "minhash-large")
+    chosen = own.groupBy("comp").agg(*[F.min(F.struct(F.xxhash64(F.lit(p), "doc_id").alias("h"), "doc_id"))["doc_id"].alias(f"p{p}") for p in range(PIVOTS)])
+    # a document chosen twice is one pivot: comparisons repeat, links don't
+    long = chosen.select("comp", F.posexplode(F.array(*[f"p{p}" for p in range(PIVOTS)])).alias("p", "doc_id"))
+    pivots = own.join(long, ["comp", "doc_id"]).groupBy("comp").agg(*[F.max(F.when(F.col("p") == p, F.struct("doc_id", "n", "items"))).alias(f"p{p}") for p in range(PIVOTS)])
+    pivots = stage(pivots, "minhash-pivots")
+    size = pivots.agg(F.sum(sum((F.col(f"p{p}.n") for p in range(PIVOTS)), F.lit(0)))).first()[0] or 0
+    met = own.join(F.broadcast(pivots) if size <= PIVOT_SHINGLES else pivots, "comp")
+    mask = F.lit(0)
+    for p in range(PIVOTS):
+        both = F.size(F.array_intersect("items", f"p{p}.items"))
+        mask = mask + F.when(_linked(F.col("n"), F.col(f"p{p}.n"), both, percent), 1 << p).otherwise(0)
+    met = stage(met.select("comp", "doc_id", "set", "n", mask.alias("mask"), F.array(*[f"p{p}.doc_id" for p in range(PIVOTS)]).alias("to")), "minhash-met")
+    hits = F.filter(F.transform("to", lambda d, p: F.when(F.call_function("shiftright", F.col("mask"), p).bitwiseAND(F.lit(1)) == 1, d)), lambda d: d.isNotNull() & (d != F.col("doc_id")))
+    links = met.select("doc_id", F.explode(F.array_distinct(hits)).alias("to")).select(F.least("doc_id", "to").alias("a"), F.greatest("doc_id", "to").alias("b"))
+
+    # pivots connected by documents that are linked with both; masks are few, so a group's fit one row
+    kinds = met.groupBy("comp", "mask").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).groupBy("comp").agg(F.collect_list(F.struct("mask", "rows", "n")).alias("kinds"))
+
+    def closure(p: int):
+        rounds = F.sequence(F.lit(1), F.lit(PIVOTS))
+        grow = lambda m, k: F.when(m.bitwiseAND(k["mask"]) != 0, m.bitwiseOR(k["mask"])).otherwise(m)
+        return F.aggregate(rounds, F.lit(1 << p), lambda m, _: F.aggregate("kinds", m, grow))
+
+    def total(m, name: str, inside: bool):
+        return F.aggregate("kinds", F.lit(0).cast("long"), lambda acc, k: acc + F.when((k["mask"].bitwiseAND(m) != 0) == inside, k[name]).otherwise(0))
+
+    best = F.array_max(F.array(*[F.struct(total(closure(p), "rows", True).alias("rows"), closure(p).alias("m")) for p in range(PIVOTS)]))["m"]
+    kinds = kinds.withColumn("m", best)
+    blocks = lambda inside: F.greatest(F.ceil(total(F.col("m"), "rows", inside) / GROUP_ROWS), F.ceil(total(F.col("m"), "n", inside) / GROUP_SHINGLES)).cast("long")
+    open_ = kinds.select("comp", "m", blocks(True).alias("mains"), blocks(False).alias("rests")).filter("rests > 0")
+    left = met.join(open_, "comp").select("comp", "doc_id", "set", "mains", "rests", (F.col("mask").bitwiseAND(F.col("m")) != 0).alias("main"))
+    # blocks of the rest are 0 .. rests - 1, those of the main component follow; one of a pair is of the rest
+    at = F.pmod(F.xxhash64("doc_id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))) + F.when(F.col("main"), F.col("rests")).otherwise(F.lit(0))
+    left = left.withColumn("at", at)
+    others = F.when(F.col("main"), F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("rests") + F.col("mains") - 1))
+    left = left.select("comp", "doc_id", "set", "main", "at", F.explode(others).alias("o"))
+    left = left.select("comp", "doc_id", "set", "main", F.least("at", "o").alias("bi"), F.greatest("at", "o").alias("bj"))
+    return links, own.join(left, ["comp", "doc_id", "set"]).select("comp", "bi", "bj", "doc_id", "items", "main")
+
+
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -243,9 +310,9 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     Steps: equal sets collapse to one representative; band keys with two members or more bring their
     signatures together; in each bucket the signatures' estimates (threshold less 5 standard errors) give
     spanning links; their components are the candidate groups, to which the full sets travel once; in each
-    group spanning links are confirmed on full sets; their components are the result. Groups beyond a task's
-    size are compared block by block, so nothing is capped. A pair at the threshold is missed with a chance
-    of about 1e-7.
+    group spanning links are confirmed on full sets; their components are the result. In groups beyond a task's
+    size all documents meet a few pivots where they lie, and only those that pivots don't connect are compared
+    with all, block by block, so nothing is capped. A pair at the threshold is missed with a chance of about 1e-7.
     """
     threshold = percent / 100
     bands = bands_for(threshold)
@@ -264,12 +331,21 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links = buckets.select(*at, "rep", "sig").repartition(*at).sortWithinPartitions(*at).mapInArrow(_bucket_links(least), "a long, b long")
     groups = components(links)
     groups = groups.join(known.select(F.col("rep").alias("node"), "n"), "node")
-    sizes = groups.groupBy("comp").agg(F.sum("n").alias("all_n")).select("comp", F.ceil(F.col("all_n") / GROUP_SHINGLES).alias("blocks"))
-    groups = stage(groups.select("node", "comp").distinct().join(sizes, "comp"), "minhash-groups")
-    full = rows.join(broadcast_if_small(groups.withColumnRenamed("node", "doc_id"), BROADCAST_GROUPS), "doc_id").select("doc_id", "comp", "blocks", "text").mapInArrow(_sets(words), "doc_id long, comp long, blocks long, items array<long>")
+    sizes = groups.groupBy("comp").agg(F.sum("n").alias("all_n"), F.count("*").alias("all_rows"))
+    large = (F.col("all_n") > GROUP_SHINGLES) | (F.col("all_rows") > GROUP_ROWS)
+    groups = stage(groups.select("node", "comp").distinct().join(sizes.select("comp", large.alias("large")), "comp"), "minhash-groups")
+
+    def sets(of: DataFrame) -> DataFrame:
+        own = rows.join(broadcast_if_small(of.select(F.col("node").alias("doc_id"), "comp"), BROADCAST_GROUPS), "doc_id")
+        return own.select("doc_id", "comp", "text").mapInArrow(_sets(words), "doc_id long, comp long, items array<long>").filter(F.size("items") > 0)
+
     at = ["comp", "bi", "bj"]
-    full = _blocks(full.filter(F.size("items") > 0), "doc_id", "blocks").select(*at, "doc_id", "items")
-    sure = components(full.repartition(*at).sortWithinPartitions(*at).mapInArrow(_verified(percent), "a long, b long"))
+    full = sets(groups.filter("NOT large")).select("comp", F.lit(0).cast("long").alias("bi"), F.lit(0).cast("long").alias("bj"), "doc_id", "items", F.lit(False).alias("main"))
+    sure = full.repartition(*at).sortWithinPartitions(*at).mapInArrow(_verified(percent), "a long, b long")
+    if not groups.filter("large").isEmpty():
+        to_pivots, rest = _by_pivots(sets(groups.filter("large")), percent)
+        sure = sure.unionByName(to_pivots).unionByName(rest.repartition(*at).sortWithinPartitions(*at).mapInArrow(_verified(percent), "a long, b long"))
+    sure = components(sure)
     label = reps.join(sure, reps["rep"] == sure["node"], "left").select("h1", "h2", "copies", F.coalesce("comp", "rep").alias("comp"), F.col("comp").isNotNull().alias("linked"))
     label = stage(label.filter("copies > 1 OR linked"), "minhash-labels")
     thin = made.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("h1")).alias("h1"), F.when(F.col("n") > 0, F.col("h2")).alias("h2"))
