@@ -422,7 +422,7 @@ def test_restores_beside_punctuation(text, want):
     assert f" {want} " in toxicity.restored(text, model_of(INSULTS), {})
 
 
-@pytest.mark.parametrize("text", ["www.1d10t.com", "n4me@host.de", "the!!", "2x4 and 1d10té", "12:30, 400 (3)."])
+@pytest.mark.parametrize("text", ["www.1d10t.com", "n4me@host.de", "the!!", "2x4 and 1d10tж", "12:30, 400 (3)."])
 def test_restores_nothing(text):
     assert toxicity.restored(text, model_of(INSULTS), {}).replace("www w ", "www") == text
 
@@ -435,6 +435,103 @@ def test_restores_letters_set_apart(text, want):
     assert set(want.split()) <= set(got)
 
 
+@pytest.mark.parametrize("text, want", [("you m\u043er\u043en.", "moron"), ("\u0456diot", "idiot"), ("id\u00efot is 1d\u00ef0t", "idiot"), ("tr\u00e4$h", "trash"), ("M\u041eRON", "moron")])
+def test_restores_other_letters(text, want):
+    assert f" {want} " in toxicity.restored(text, model_of(INSULTS), {})
+
+
+@pytest.mark.parametrize("text", ["\u043c\u043e\u0440\u0435 \u0438 \u043d\u0435\u0431\u043e", "f\u00fcr die gr\u00f6\u00dfe", "\u0430\u0436 2\u043c", "na\u00efve caf\u00e9"])
+def test_leaves_other_words(text):
+    assert toxicity.restored(text, model_of(INSULTS), {}) == text
+
+
+LATTICE = st.lists(st.lists(st.tuples(st.sampled_from(["", " ", "a", "b", "c", "ab", "cc", "a b"]), st.floats(0, 3)), min_size=1, max_size=4), min_size=1, max_size=6)
+
+
+@settings(max_examples=300, deadline=None)
+@given(LATTICE, st.integers(0, 10**6))
+def test_viterbi_is_the_cheapest_of_all_readings(lattice, seed):
+    import itertools
+
+    model = toxicity.CharModel(np.random.default_rng(seed).integers(0, 50, toxicity.A**3))
+
+    def cost(reading):
+        text = [0, 0] + [0 if ch == " " else ord(ch) - 96 for ch in reading] + [0]
+        total, x = 0.0, 0
+        for z in text[2:]:
+            total += model.cost[x * toxicity.A + z]
+            x = x % toxicity.A * toxicity.A + z if z else 0
+        return total
+
+    every = {}
+    for path in itertools.product(*lattice):
+        text = "".join(r for r, _ in path)
+        every[text] = min(every.get(text, 1e9), cost(text) + sum(c for _, c in path))
+    assert every[model.best(lattice)] == pytest.approx(min(every.values()))
+
+
+def test_score_is_that_of_plain_counts(spark):
+    """Feature weights, statistics and score from dictionaries of words and word beginnings."""
+    import zlib
+
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 10))) for _ in range(120)]
+    toxic_words = vocabulary[:6]
+    rows, truth = [], {}
+    for i in range(260):
+        truth[i] = int(rng.random() < .4)
+        rows.append((i, " ".join(rng.choices(vocabulary[6:], k=rng.randint(3, 25)) + truth[i] * rng.choices(toxic_words, k=2))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, t) for i, t in truth.items()], "doc_id long, quality int, toxic int")
+    letters = np.zeros(toxicity.A**3, np.int64)
+    for _, t in rows:
+        x = [0, 0, *[0 if c == " " else ord(c) - 96 for c in t], 0, 0]
+        for a, b, c in zip(x, x[1:], x[2:]):
+            letters[(a * toxicity.A + b) * toxicity.A + c] += 1
+    model = toxicity.CharModel(letters)
+
+    def words(t):
+        return re.findall("[a-z0-9]+", toxicity.restored(t, model, {}))
+
+    def features(w):
+        return [("w", w)] + [(k, w[:k]) if len(w) > k else ("repeat", w) for k in toxicity.HEADS]
+
+    folds = {r[0]: r[1] for r in docs.select("doc_id", (F.xxhash64("doc_id") % 2 != 0).cast("int")).collect()}
+    learn = [i for i in truth if zlib.crc32(str(i).encode()) % 5]
+    seen, size = defaultdict(Counter), Counter()
+    for i in learn:
+        size[folds[i], truth[i]] += 1
+        seen[folds[i], truth[i]].update({f for w in words(rows[i][1]) for f in features(w)})
+
+    def weight(f, use):
+        toxic, clean = (sum(seen[k, t][f] for k in use) for t in (1, 0))
+        rate = (sum(size[k, 1] for k in use) + 1) / (sum(size[k, 0] for k in use) + 1)
+        return np.log((toxic + 2 * rate / (1 + rate)) / (clean + 2 / (1 + rate)) / rate)
+
+    def stats(t, use):
+        w = [[weight(f, use) for f in features(x)] for x in words(t)]
+        if not w:
+            return [0.0] * 7
+        best = [max(x) for x in w]
+        top, strong, n = sorted(best)[::-1][:5], [b > 2 for b in best], len(w)
+        kinds = len({x for x, b in zip(words(t), strong) if b})
+        return [top[0], np.mean(top), np.log1p(sum(strong)), np.log1p(kinds), 10 * sum(strong) / (n + 10), 10 * sum(b > 1 for b in best) / (n + 10), np.mean(w)]
+
+    x = np.array([stats(rows[i][1], [1 - folds[i]]) for i in learn])
+    mean, scale, beta = toxicity.fit(x, np.array([float(truth[i]) for i in learn]))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()}
+    for i, t in rows:
+        z = (np.array(stats(t, [0, 1])) - mean) / scale @ beta[:-1] + beta[-1]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=2e-4)
+
+
+def test_labels_beyond_the_broadcast(spark, small, monkeypatch):
+    docs, lab = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet").withColumn("text", F.lit("x")).withColumn("fold", F.lit(1))
+    a = sorted((r["doc_id"], round(r["score"], 9)) for r in toxicity.score_toxicity(docs, lab).collect())
+    monkeypatch.setattr(toxicity, "LABELS_BROADCAST", 0)
+    assert a == sorted((r["doc_id"], round(r["score"], 9)) for r in toxicity.score_toxicity(docs, lab).collect())
+
+
 def test_restores_in_linear_time():
     m = model_of(INSULTS)
     assert toxicity.restored("i d i o t " * 20_000, m, {}).count("idiot") >= 1

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +22,21 @@ FIT_ROWS = 20_000
 #: Resolution of the rates at which labelled rows are drawn for it.
 RATE = 1_000_000_000
 STATS = 7
+#: Labelled rows (two numbers each) up to which they are broadcast.
+LABELS_BROADCAST = 1_000_000
 #: Beginnings of words, in bytes, that are features beside the whole word.
 HEADS = (5, 6, 8)
 
 #: What a sign may stand for, besides itself.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "<": "c", "¡": "i"}
+#: Cyrillic and Greek letters that look like Latin ones.
+LOOKALIKE = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 A = len(ALPHABET) + 1  # and the word border
 #: Cost (natural log) of reading a sign as a letter and of reading a run of one letter as fewer.
 SUBSTITUTE, SHORTEN = 1.0, 0.5
+#: Cost of reading a letter as the Latin one that it looks like or that it is but for an accent.
+FOLD = 0.2
 #: Cost of reading a sign at a word's edge as punctuation: these few are letters more often than others.
 EDGE = {"@": 4.0, "$": 4.0, "€": 4.0}
 PUNCTUATION = 0.5
@@ -46,14 +53,25 @@ DISGUISED = re.compile(
     rf"(?P<apart>(?:(?<!\w)(?=\w)|(?<![\w{_SIGNS}]))(?:[{_PUNCT}]++(?=[a-z]))?({_ONE})\2*+(?:{_GAP}++({_ONE})\3*+){{3,}}(?!\w))"
     rf"|(?<![\w{_SIGNS}])(?=[\w{_SIGNS}]*?[a-z])[^\W{_SIGN_DIGITS}]*+[{_SIGNS}][\w{_SIGNS}]*+(?!\.\w)"
     r"|(?<![^\W\d_])[a-z]*([a-z])\4\4[a-z]*(?![^\W\d_])")
-READABLE = re.compile(rf"[a-z{_SIGNS}]+")
+#: Also words that begin in Latin letters and go on in others that look like them, or the other way round.
+_LOOKS = "".join(LOOKALIKE)
+MIXED = re.compile(rf"(?<!\w)(?:[a-z]++[{_LOOKS}]|[{_LOOKS}]++[a-z])\w*+|{DISGUISED.pattern}")
+
+
+def plain_letter(ch: str) -> str:
+    """The letter a-z that a letter looks like or is without its accents, or nothing."""
+    if ch in ALPHABET:
+        return ch
+    base = LOOKALIKE.get(ch) or (unicodedata.normalize("NFD", ch)[0] if ch.isalpha() else "")
+    return base if len(base) == 1 and base in ALPHABET else ""
 
 
 def readable(run: str) -> list[str]:
-    """The parts of a run of word characters and signs that can be read as letters: no part of a word with others, such as 2 or é."""
+    """The parts of a run of word characters and signs that can be read as letters: no part of a word with others, such as 2 or ж."""
+    ok = [ch in LEET or bool(plain_letter(ch)) for ch in run]
     out = []
-    for m in READABLE.finditer(run):
-        part = m[0]
+    for m in re.finditer("1+", "".join("01"[x] for x in ok)):
+        part = run[m.start() : m.end()]
         if m.start() and run[m.start() - 1] != "_":
             part = re.sub(r"^\w+", "", part)
         if m.end() < len(run) and run[m.end()] != "_":
@@ -65,7 +83,9 @@ def readable(run: str) -> list[str]:
 
 def letters_of(ch: str) -> list[tuple[str, float]]:
     """What a letter or sign may stand for, and the cost."""
-    return [(ch, 0.0)] if ch in ALPHABET else [(x, SUBSTITUTE) for x in LEET.get(ch, "")]
+    if ch in ALPHABET:
+        return [(ch, 0.0)]
+    return [(x, SUBSTITUTE) for x in LEET[ch]] if ch in LEET else [(x, FOLD) for x in plain_letter(ch)]
 
 
 def readings(ch: str, n: int) -> list[tuple[str, float]]:
@@ -162,7 +182,7 @@ def restored(text: str, model: CharModel, store: dict[str, str]) -> str:
                 store[word] = found
         return f"{word} {found} " if found else word
 
-    return DISGUISED.sub(change, low)
+    return (DISGUISED if low.isascii() else MIXED).sub(change, low)
 
 
 IN_WORD = np.zeros(256, bool)
@@ -296,7 +316,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     weights, in two halves, so that each labelled row is described by weights that it didn't shape; the
     last step is fitted on ``fit_rows`` rows of each label at most, the first by a hash of the id. Nothing
     but the text makes a score. Null text is empty text; texts without words get the score of no evidence.
-    Without labels of both kinds every score is 0. Rows with a null id are scored, held_out is then null.
+    Without labels of both kinds every score is 0. Rows with a null id are scored, held_out is then null; repeated
+    rows are scored each and count each; further columns of both tables are ignored; an empty table gives no rows.
+    Whole texts are read, in time proportional to their length, disguised or not.
     """
     rows = ids_and_text(docs, id_col, text_col)
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -304,7 +326,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     counts = np.zeros(A**3, np.int64)
     counts[grams.column("gram").to_numpy()] = grams.column("n").to_numpy()
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic")).filter(F.crc32(F.col("label_id").cast("string").cast("binary")) % 5 != 0)
-    learn = rows.join(broadcast_if_small(known, 1_000_000), rows["doc_id"] == known["label_id"]).select("doc_id", "text", (F.xxhash64("doc_id") % 2 != 0).cast("int").alias("fold"), F.col("toxic").cast("int").alias("toxic"))
+    learn = rows.join(broadcast_if_small(known, LABELS_BROADCAST), rows["doc_id"] == known["label_id"]).select("doc_id", "text", (F.xxhash64("doc_id") % 2 != 0).cast("int").alias("fold"), F.col("toxic").cast("int").alias("toxic"))
+    if known.count() > LABELS_BROADCAST:  # then texts move to their labels; once is enough
+        learn = stage(learn, "toxic-learn")
     sizes = {(r["fold"], r["toxic"]): r["count"] for r in learn.groupBy("fold", "toxic").count().collect()}
     if not sum(v for (_, t), v in sizes.items() if t) or not sum(v for (_, t), v in sizes.items() if not t):
         return rows.select("doc_id", (rest == 0).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
@@ -333,7 +357,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the documents whose score is 0.5 or more; rows with a null id stay."""
+    """``docs`` with all its columns, without the documents whose score is 0.5 or more.
+
+    Rows with a null id stay; rows that share an id go together; an empty table stays empty.
+    """
     key = free_name(docs, "bad_id")
     bad = score_toxicity(docs, labels, id_col, text_col).filter("predicted = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key)).distinct()
     bad = broadcast_if_small(stage(bad, "toxic-ids"), 1_000_000)
@@ -341,4 +368,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def op5_toxicity(spark, sf_dir):
+    """``score_toxicity`` of all documents with the labels table; null texts get the score of no evidence."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
