@@ -200,5 +200,5 @@ def test_rank_scale_has_every_feature(spark, small):
     from tidewin.plans.catalogue import QUERIES
 
     n, features = spark.read.parquet(f"{small}/embeddings.parquet").agg(F.sum(F.size("embedding")), F.max(F.size("embedding"))).first()
-    got = QUERIES["rank_scale_all"](spark, small).groupBy("feature").count().collect()
+    got = QUERIES["rank_scale"](spark, small).groupBy("feature").count().collect()
     assert {r["feature"] for r in got} == set(range(features)) and sum(r["count"] for r in got) == n

@@ -46,22 +46,16 @@ def standard_scale(spark, d):
     return _z(spark, d).select("scene_id", F.col("i").cast("long").alias("feature"), F.round("z", 5).alias("z"))
 
 
-@query("rank_scale", sql(SG, SG_LONG, "e AS (SELECT i, quantile_cont(v, [CAST(k AS DOUBLE) / CAST(63 AS DOUBLE) FOR k IN range(0, 64)]) AS edges FROM sgl WHERE split = 'train' GROUP BY i)", "SELECT scene_id, CAST(i AS BIGINT) AS feature, round(len(list_filter(edges, lambda e: e < v)) / CAST(63 AS DOUBLE) * 2 - 1, 6) AS r FROM sgl JOIN e USING (i) WHERE i < 8"))
+@query("rank_scale", sql(SG, SG_LONG, "e AS (SELECT i, quantile_cont(v, [CAST(k AS DOUBLE) / CAST(63 AS DOUBLE) FOR k IN range(0, 64)]) AS edges FROM sgl WHERE split = 'train' GROUP BY i)", "SELECT scene_id, CAST(i AS BIGINT) AS feature, round(len(list_filter(edges, lambda e: e < v)) / CAST(63 AS DOUBLE) * 2 - 1, 6) AS r FROM sgl JOIN e USING (i)"))
 def rank_scale(spark, d):
-    """The first eight features, as in the SQL; ``rank_scale_all`` has every one."""
-    return _ranks(sg_long(sg(spark, d)).filter("i < 8"))
+    """Every feature of every scene."""
+    return _ranks(sg_long(sg(spark, d)))
 
 
 def _ranks(f):
     return R.apply_rank(f, R.fit_rank(f.filter("split = 'train'"), "i", "v", 64), "i", "v", 64).select("scene_id", F.col("i").cast("long").alias("feature"), r6(F.col("r"), "r"))
 
 
-@query("rank_scale_all", ORACLE_SQL["rank_scale"].removesuffix(" WHERE i < 8"))
-def rank_scale_all(spark, d):
-    """Every feature of every scene."""
-    return _ranks(sg_long(sg(spark, d)))
-
-
 @query("ood_z", sql(SG, SG_LONG, "f AS (SELECT i, avg(v) AS mean, stddev_pop(v) AS std FROM sgl WHERE split = 'train' GROUP BY i)", "z AS (SELECT i, abs((v - mean) / (std + CAST(1e-10 AS DOUBLE))) AS a FROM sgl JOIN f USING (i) WHERE split = 'val')",
   "SELECT CAST(i AS BIGINT) AS feature, round(quantile_cont(a, CAST(0.5 AS DOUBLE)), 6) AS median_z, round(quantile_cont(a, CAST(0.9 AS DOUBLE)), 6) AS p90_z, round(avg(a), 6) AS mean_z, round(avg(CASE WHEN a > 2 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS frac2, round(avg(CASE WHEN a > 4 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS frac4 FROM z GROUP BY i"))
 def ood_z(spark, d):
