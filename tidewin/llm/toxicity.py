@@ -53,8 +53,10 @@ DISGUISED = re.compile(
     rf"(?P<apart>(?:(?<!\w)(?=\w)|(?<![\w{_SIGNS}]))(?:[{_PUNCT}]++(?=[a-z]))?({_ONE})\2*+(?:{_GAP}++({_ONE})\3*+){{3,}}(?!\w))"
     rf"|(?<![\w{_SIGNS}])(?=[\w{_SIGNS}]*?[a-z])[^\W{_SIGN_DIGITS}]*+[{_SIGNS}][\w{_SIGNS}]*+(?!\.\w)"
     r"|(?<![^\W\d_])[a-z]*([a-z])\4\4[a-z]*(?![^\W\d_])")
+READABLE = re.compile(rf"[a-z{_SIGNS}]+")
 #: Also words that begin in Latin letters and go on in others that look like them, or the other way round.
 _LOOKS = "".join(LOOKALIKE)
+LOOKS = re.compile(f"[{_LOOKS}]")
 MIXED = re.compile(rf"(?<!\w)(?:[a-z]++[{_LOOKS}]|[{_LOOKS}]++[a-z])\w*+|{DISGUISED.pattern}")
 
 
@@ -68,9 +70,9 @@ def plain_letter(ch: str) -> str:
 
 def readable(run: str) -> list[str]:
     """The parts of a run of word characters and signs that can be read as letters: no part of a word with others, such as 2 or ж."""
-    ok = [ch in LEET or bool(plain_letter(ch)) for ch in run]
+    plain = run if run.isascii() else "".join(ch if ch in LEET else plain_letter(ch) or "_" for ch in run)
     out = []
-    for m in re.finditer("1+", "".join("01"[x] for x in ok)):
+    for m in READABLE.finditer(plain):
         part = run[m.start() : m.end()]
         if m.start() and run[m.start() - 1] != "_":
             part = re.sub(r"^\w+", "", part)
@@ -182,7 +184,7 @@ def restored(text: str, model: CharModel, store: dict[str, str]) -> str:
                 store[word] = found
         return f"{word} {found} " if found else word
 
-    return (DISGUISED if low.isascii() else MIXED).sub(change, low)
+    return (DISGUISED if low.isascii() or not LOOKS.search(low) else MIXED).sub(change, low)
 
 
 IN_WORD = np.zeros(256, bool)
