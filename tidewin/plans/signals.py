@@ -1,33 +1,40 @@
-"""Signal queries that no SQL engine can repeat: rows only. Signals of 3,200 samples are joined from ``sg``'s."""
+"""Signal queries. Their scenes are chunks of 30 s, cut anew from each label's arrays of ``sg``; features are also in SQL."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import series as S
 from ..operators import signals as G
+from . import feature_sql as Q
 from .registry import query
 from .views import SG, sg, sql
 
 
 def long_signals(spark, d):
-    """One signal per label: its scenes' samples one after the other."""
-    s = sg(spark, d).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("scene_id", "x"))).alias("p"))
-    return s.select(F.col("label").cast("long").alias("scene_id"), F.flatten(F.transform("p", lambda v: v["x"])).alias("x"))
+    """Chunks of 30 s (30,000 samples) of each label, one row each."""
+    c = S.rechunk(sg(spark, d), ["label"], ["scene_id"], "x", 30_000)
+    return c.select((F.col("label").cast("long") * 100_000 + F.col("chunk")).alias("scene_id"), "x")
 
 
-def _features(name, groups, doc):
+def _features(name, groups, doc, oracle=None, only=None):
     def run(spark, d):
-        return G.scene_features(long_signals(spark, d), "scene_id", "x", groups, 1_500)
+        f = G.scene_features(long_signals(spark, d), "scene_id", "x", groups, 1_500)
+        if oracle is None:
+            return f
+        names = only or [c for c in f.columns if c not in ("scene_id", "start")]
+        return f.select("scene_id", "start", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in names])
 
     run.__doc__ = doc
-    query(name)(run)
+    query(name, sql(*oracle()) if oracle else None)(run)
 
 
 _features("features_iir", ("legacy", "phys", "wx"), "Band-filter features.")
 _features("features_envelope", ("cad", "mod2", "iii2", "stat2"), "Envelope, modulation and impulse features.")
 _features("features_tonal", ("eng", "tonal", "cooc"), "Line and comb features.")
-_features("features_cepstral", ("cep",), "Cepstra of two triangular banks.")
-_features("features_wavelet", ("wpe",), "Wavelet packet energies.")
-_features("features_ar_higuchi", ("ar",), "Autoregression and fractal dimension.")
+_features("features_spectral", ("legacy", "phys", "eng", "tonal", "stat2", "cooc"), "What comes from the window and its spectrum alone, without filters.", Q.spectral, Q.SPECTRAL)
+_features("features_cepstral", ("cep",), "Cepstra of two triangular banks.", Q.cepstra)
+_features("features_wavelet", ("wpe",), "Wavelet packet energies.", Q.wavelets)
+_features("features_ar_higuchi", ("ar",), "Autoregression and fractal dimension.", Q.autoregressive)
 _features("features_all", tuple(G.X.GROUPS), "All 132.")
 
 
