@@ -202,3 +202,93 @@ def test_rank_scale_has_every_feature(spark, small):
     n, features = spark.read.parquet(f"{small}/embeddings.parquet").agg(F.sum(F.size("embedding")), F.max(F.size("embedding"))).first()
     got = QUERIES["rank_scale"](spark, small).groupBy("feature").count().collect()
     assert {r["feature"] for r in got} == set(range(features)) and sum(r["count"] for r in got) == n
+
+
+def test_cells_have_like_size(spark):
+    """Whatever the values: no cell of distinct values has more than twice its share."""
+    from tidewin.operators import ordering
+
+    skewed = spark.range(60_000).select(F.exp(3 * F.randn(1)).alias("v"))
+    for df in (skewed, skewed.unionAll(spark.sql("SELECT 1e300 v")), spark.range(60_000).select((F.col("id") / 1e9 + F.col("id") % 2).alias("v"))):
+        sizes = [r["count"] for r in ordering.celled(df, "v", 64).groupBy("_cell").count().collect()]
+        assert len(sizes) > 50 and max(sizes) <= 2 * 60_001 / 64
+    odd = spark.createDataFrame([(1.0,), (float("nan"),), (float("-inf"),), (float("inf"),), (2.0,)], "v double").withColumn("n", F.lit(1))
+    got = {str(r["v"]): r["n_before"] for r in ordering.sums_before(odd, [], "v", ["n"], 4).collect()}
+    assert got == {"-inf": 0, "1.0": 1, "2.0": 2, "inf": 3, "nan": 4}
+    assert ordering.sums_before(odd.limit(0), [], "v", ["n"]).count() == 0
+
+
+def test_rechunk(spark):
+    from tidewin.operators import series
+
+    df = spark.createDataFrame([(1, 0, [1.0] * 5), (1, 1, []), (1, 2, None), (1, 3, [2.0] * 9), (2, 0, [3.0]), (3, 0, None)], "k long, o long, x array<double>")
+    got = sorted((r["k"], r["chunk"], list(r["x"])) for r in series.rechunk(df, ["k"], ["o"], "x", 4).collect())
+    assert got == [(1, 0, [1.0] * 4), (1, 1, [1.0] + [2.0] * 3), (1, 2, [2.0] * 4), (1, 3, [2.0] * 2), (2, 0, [3.0])]
+    assert [r["k"] for r in series.rechunk(df, ["k"], ["o"], "x", 4, 2).collect()] == [1] * 4
+
+
+def test_overlap_join_gives_each_pair_once(spark):
+    import random
+
+    from tidewin.operators import joins
+
+    rng = random.Random(1)
+    a = [(i, i % 3, x := rng.uniform(-50, 50), x + rng.choice([0, -1, 3, 40, 7.5])) for i in range(80)]
+    b = [(100 + i, i % 3, x := float(rng.randint(-50, 50)), x + rng.choice([0, 5, 10, 25])) for i in range(80)]
+    a, b = a + [(80, 0, None, 4.0), (81, 0, 4.0, None)], b + [(180, None, 1.0, 2.0)]
+    left, right = spark.createDataFrame(a, "l long, k long, a double, b double"), spark.createDataFrame(b, "r long, k long, c double, d double")
+    want = sorted((p[0], q[0]) for p in a for q in b if p[1] == q[1] and None not in p + q and p[2] < p[3] and q[2] < q[3] and p[2] < q[3] and q[2] < p[3])
+    for width in (5.0, 1.0, 100.0):
+        assert sorted((r["l"], r["r"]) for r in joins.overlap_join(left, right, ["k"], ("a", "b"), ("c", "d"), width).collect()) == want
+
+
+def test_nearest_in_blocks(spark):
+    import random
+
+    from tidewin.operators import joins
+
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randint(0, 3)) for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    want = {i: [j for _, j in sorted((sum((x - y) ** 2 for x, y in zip(v, w)), j) for j, w in rows)[:5]] for i, v in rows}
+    for block in (10**6, 40):
+        got = {}
+        for r in joins.nearest(df, df, "id", "v", "id", "v", 5, [], block).orderBy("q_id", "place").collect():
+            got.setdefault(r["q_id"], []).append(r["r_id"])
+        assert got == want
+
+
+def test_positional_join_tells_what_is_out_of_step(spark):
+    from tidewin.operators import joins
+
+    a = spark.createDataFrame([(0, "x", 1), (1, "y", 2)], "at long, key string, v long")
+    assert joins.positional_join(a, a.withColumnRenamed("v", "w"), "at", "key").count() == 2
+    for bad in ([(0, "x", 1)], [(0, "x", 1), (1, "z", 2)], [(0, "x", 1), (1, "y", 2), (2, "y", 2)]):
+        with pytest.raises(Exception, match="differ at place"):
+            joins.positional_join(a, spark.createDataFrame(bad, "at long, key string, w long"), "at", "key").collect()
+
+
+def test_normal_tail(spark):
+    from math import erfc
+
+    from tidewin.functions.scalars import normal_tail
+
+    for r in spark.range(-90, 301).select((F.col("id") / 10).alias("z")).select("z", normal_tail(F.col("z")).alias("p")).collect():
+        assert r["p"] == pytest.approx(erfc(r["z"] / 2**0.5) / 2, rel=1e-11, abs=1e-300)
+
+
+def test_streams_over_batches(spark, tmp_path):
+    """Two micro-batches, the second with a late row: state goes on, the late row is left out."""
+    from tidewin.streaming import operators as T
+
+    src = str(tmp_path / "in")
+    spark.createDataFrame([(1, 10, 0.9), (1, 30, 0.6), (2, 10, 0.6)], "k long, t long, v double").coalesce(1).write.parquet(src)
+    for name, plan in (("h", lambda s: T.hysteresis_stream(s, "k", "t", "v", 0.8, 0.5)), ("m", lambda s: T.n_of_m_stream(s, "k", "t", "v", 0.55, 2, 2))):
+        out, state = str(tmp_path / f"out-{name}"), str(tmp_path / f"state-{name}")
+        path = str(tmp_path / f"src-{name}")
+        spark.read.parquet(src).coalesce(1).write.parquet(path)
+        read = lambda p=path: spark.readStream.schema("k long, t long, v double").parquet(p)
+        T.run_available(plan(read()), out, state)
+        spark.createDataFrame([(1, 20, 0.1), (1, 40, 0.7), (1, 50, 0.4), (2, 20, 0.9)], "k long, t long, v double").coalesce(1).write.mode("append").parquet(path)
+        got = {(r["k"], r["t"]): r["is_on"] for r in T.run_available(plan(read()), out, state).collect()}
+        assert got == ({(1, 10): True, (1, 30): True, (2, 10): False, (1, 40): True, (1, 50): False, (2, 20): True} if name == "h" else {(1, 10): False, (1, 30): True, (2, 10): False, (1, 40): True, (1, 50): False, (2, 20): True})

@@ -100,3 +100,120 @@ def spectral() -> list[str]:
     cols = ", ".join(small(named.get(n, n), n) for n in SPECTRAL)
     joins = " ".join(f"JOIN {t} USING (scene_id, start)" for t in ("ag", "sh", "ce", "lv", "wx", "cx", "hx"))
     return [*BASE, *OVER, time, line, agg, shape, third, db, cent, lev, wide, both, *_comb("c", 25, 58, True), *_comb("h", 12, 22, False), f"SELECT scene_id, CAST(start AS INT) AS start, {cols} FROM tm {joins}"]
+
+
+def _sections(zpk) -> list[tuple[float, float]]:
+    """Denominators (a1, a2) of second-order sections, one per pair of conjugate poles."""
+    return [(-2 * p.real, abs(p) ** 2) for p in sorted((p for p in zpk[1] if p.imag > 0), key=abs)]
+
+
+BANDS = {**X.ENERGY_BANDS, **X.WIDE_BANDS}
+
+
+def _recursion(name: str, rows: str, filters: dict, band: bool) -> list[str]:
+    """``name``: scene_id, fid, i, y: cascades of second-order sections, sample by sample, over ``rows`` (scene_id, fid, i, v)."""
+    n = 4 if band else 2
+    coef = f"{name}c AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([f"'{k}'", f"CAST({z[2]!r} AS DOUBLE)", *[f"CAST({float(c)!r} AS DOUBLE)" for s in _sections(z) for c in s]]) + ")" for k, z in filters.items()) + ") AS v(fid, g, " + ", ".join(f"a{j}, b{j}" for j in range(n)) + "))"
+    zero = ", ".join(f"CAST(0 AS DOUBLE) AS s{j}, CAST(0 AS DOUBLE) AS t{j}" for j in range(n))
+    ins = ["(g * x.v)"]
+    for j in range(n):
+        ins.append(f"({ins[-1][1:-1]} + r.s{j})")
+    step = []
+    for j in range(n):
+        u, y = ins[j], ins[j + 1]
+        step += [f"{'' if band else f'2 * {u}'} - a{j} * {y} + r.t{j}", f"{'-' if band else ''}{u} - b{j} * {y}"]
+    rec = f"{name}r AS (SELECT scene_id, fid, -1 AS i, CAST(0 AS DOUBLE) AS y, {zero} FROM (SELECT DISTINCT scene_id, fid FROM {rows}) UNION ALL SELECT r.scene_id, r.fid, r.i + 1, {ins[-1]}, {', '.join(step)} FROM {name}r r JOIN {rows} x ON x.scene_id = r.scene_id AND x.fid = r.fid AND x.i = r.i + 1 JOIN {name}c c ON c.fid = r.fid)"
+    return [coef, rec, f"{name} AS MATERIALIZED (SELECT scene_id, fid, i, y FROM {name}r WHERE i >= 0)"]
+
+
+def _apart(name: str, fid: str, times: int, distance: int) -> list[str]:
+    """``name``: scene_id, i of the picks of an envelope: the highest first, those too close to it go."""
+    near = f"{name}n AS (SELECT scene_id, i, y, lag(y) OVER w AS a, lead(y) OVER w AS b, quantile_cont(y, CAST(0.5 AS DOUBLE)) OVER (PARTITION BY scene_id) AS med FROM env WHERE fid = '{fid}' WINDOW w AS (PARTITION BY scene_id ORDER BY i))"
+    cand = f"{name}c AS (SELECT scene_id, list({{'y': y, 'i': i}} ORDER BY y DESC, i DESC) AS rest FROM {name}n WHERE y > a AND y > b AND y >= {times} * (med + CAST(1e-12 AS DOUBLE)) GROUP BY scene_id)"
+    pick = f"{name}g AS (SELECT scene_id, rest, CAST([] AS BIGINT[]) AS kept FROM {name}c UNION ALL SELECT scene_id, list_filter(rest, lambda p: abs(p.i - rest[1].i) >= {distance}), list_append(kept, rest[1].i) FROM {name}g WHERE len(rest) > 0)"
+    return [near, cand, pick, f"{name} AS MATERIALIZED (SELECT scene_id, unnest(kept) AS i FROM {name}g WHERE len(rest) = 0)"]
+
+
+FILTERED = [
+    *[f"energy_{k}" for k in X.ENERGY_BANDS], "ratio_car_human", "ratio_human_car", "frac_wind_1_5", "frac_veh_5_25", "frac_foot_20_90", "frac_high_90_180", "ratio_veh_foot", "hop_band_frac", "highband_kurtosis", "band_occupancy",
+    "beat_depth", "cad_freq", "cad_salience", "cad_harm2", "cad_harm4", "footfall_rate", "mod_peak_count", "env_entropy", "env_cv", "env_ac_strength", "gust_mod",
+    "mod_e_1_3", "mod_e_3_8", "mod_e_8_12", "mod_ratio_low_mid", "mod_peak2_ratio", "mod_flatness", "mod_centroid",
+    "iii_mean", "iii_cv", "impulse_density", "iii_entropy", "iii_skew", "iii_range_norm", "impulse_amp_cv", "attack_sharpness", "rain_impulse_rate", "veh_foot_simultaneity"]
+
+
+def filtered() -> list[str]:
+    band = _recursion("band", "bx", {k: dsp.butterworth(4, e, X.FS) for k, e in BANDS.items()}, True)
+    smooth = dsp.butterworth(4, 20.0, X.FS)
+    low = _recursion("low", "ex", dict.fromkeys(("all", "eng", "rain"), smooth), False)
+    parts = [SG, SIG, ST, WIN, "bx AS MATERIALIZED (SELECT scene_id, fid, i, v FROM sig CROSS JOIN (VALUES " + ", ".join(f"('{k}')" for k in BANDS) + ") AS f(fid))", *band,
+      "ex AS MATERIALIZED (SELECT scene_id, 'all' AS fid, i, abs(v) AS v FROM sig UNION ALL SELECT scene_id, fid, i, abs(y) FROM band WHERE fid IN ('eng', 'rain'))", *low,
+      "env AS MATERIALIZED (SELECT scene_id, fid, i, greatest(y, 0) AS y FROM low)", *_apart("imp", "all", 2, 80), *_apart("drop_", "rain", 3, 20),
+      "rm AS (SELECT scene_id, start, sqrt(avg(v * v)) AS rms FROM win GROUP BY scene_id, start)",
+      "bl AS (SELECT scene_id, start, " + ", ".join(f"sqrt(avg(y * y) FILTER (fid = '{k}')) AS l_{k}" for k in BANDS) + " FROM band JOIN st USING (scene_id) WHERE i >= start AND i < start + 3000 GROUP BY scene_id, start)",
+      "rk AS (SELECT scene_id, start, avg(pow(y - m, 4)) / pow(avg(pow(y - m, 2)), 2) - 3 AS highband_kurtosis FROM (SELECT scene_id, start, y, avg(y) OVER (PARTITION BY scene_id, start) AS m FROM band JOIN st USING (scene_id) WHERE fid = 'rain' AND i >= start AND i < start + 3000) GROUP BY scene_id, start)",
+      "ew AS MATERIALIZED (SELECT scene_id, start, fid, i - start AS n, y, avg(y) OVER (PARTITION BY scene_id, start, fid) AS m FROM env JOIN st USING (scene_id) WHERE i >= start AND i < start + 3000)",
+      "ev_ AS (SELECT scene_id, start, stddev_pop(y) FILTER (fid = 'eng') / (avg(y) FILTER (fid = 'eng') + CAST(1e-12 AS DOUBLE)) AS beat_depth, stddev_pop(y) FILTER (fid = 'all') / (avg(y) FILTER (fid = 'all') + CAST(1e-12 AS DOUBLE)) AS env_cv FROM ew GROUP BY scene_id, start)",
+      "mo AS MATERIALIZED (SELECT scene_id, start, k, k * CAST(1000 AS DOUBLE) / 8192 AS f, pow(sum((y - m) * cos(2 * pi() * (k * n % 8192) / 8192)), 2) + pow(sum((y - m) * sin(2 * pi() * (k * n % 8192) / 8192)), 2) AS p FROM ew CROSS JOIN range(0, 140) AS t(k) WHERE fid = 'all' GROUP BY scene_id, start, k)",
+      "fl AS (SELECT scene_id, start, quantile_cont(p, CAST(0.5 AS DOUBLE)) + CAST(1e-20 AS DOUBLE) AS fl FROM mo WHERE f >= CAST(0.3 AS DOUBLE) AND f <= 12 GROUP BY scene_id, start)",
+      # within the band a peak needs neighbours in it
+      "pk AS (SELECT *, lag(p) OVER w AS a, lead(p) OVER w AS b FROM (SELECT mo.*, fl FROM mo JOIN fl USING (scene_id, start) WHERE f >= CAST(0.5 AS DOUBLE) AND f <= 8) WINDOW w AS (PARTITION BY scene_id, start ORDER BY k))",
+      "p2 AS (SELECT scene_id, start, count(*) FILTER (p > a AND p > b AND p >= 3 * fl) AS mod_peak_count, list(p ORDER BY p DESC) FILTER (p > a AND p > b AND p >= 3 * fl) AS tops FROM pk GROUP BY scene_id, start)",
+      "ca AS (SELECT scene_id, start, arg_max(k, p) FILTER (f >= CAST(0.8 AS DOUBLE) AND f <= 4) AS k0, max(p) FILTER (f >= CAST(0.8 AS DOUBLE) AND f <= 4) AS p0, arg_max(f, p) FILTER (f >= CAST(0.8 AS DOUBLE) AND f <= 10) AS footfall_rate FROM mo GROUP BY scene_id, start)",
+      "ha AS (SELECT scene_id, start, sum(p) FILTER (abs(k - k0) <= 2) + CAST(1e-20 AS DOUBLE) AS base, sum(p) FILTER (abs(k - 2 * k0) <= 2) AS h2, sum(p) FILTER (abs(k - 4 * k0) <= 2) AS h4 FROM mo JOIN ca USING (scene_id, start) GROUP BY scene_id, start)",
+      "ms AS (SELECT scene_id, start, " + ", ".join(f"sum(p) FILTER (f >= CAST({a} AS DOUBLE) AND f <= CAST({b} AS DOUBLE)) AS s{i}" for i, (a, b) in enumerate(((0.3, 12), (1, 3), (3, 8), (8, 12), (0.05, 0.5), (0.05, 12)))) + ", sum(f * p) FILTER (f >= CAST(0.3 AS DOUBLE) AND f <= 12) AS fp, exp(avg(ln(p + CAST(1e-20 AS DOUBLE))) FILTER (f >= CAST(0.3 AS DOUBLE) AND f <= 12)) / (avg(p) FILTER (f >= CAST(0.3 AS DOUBLE) AND f <= 12) + CAST(1e-20 AS DOUBLE)) AS mod_flatness FROM mo GROUP BY scene_id, start)",
+      "en AS (SELECT scene_id, start, -sum(p / (s0 + CAST(1e-20 AS DOUBLE)) * log2(p / (s0 + CAST(1e-20 AS DOUBLE)) + CAST(1e-20 AS DOUBLE))) AS env_entropy FROM mo JOIN ms USING (scene_id, start) WHERE f >= CAST(0.3 AS DOUBLE) AND f <= 12 GROUP BY scene_id, start)",
+      "el AS (SELECT scene_id, start, list(y - m ORDER BY n) AS e FROM ew WHERE fid = 'all' GROUP BY scene_id, start)",
+      "ac AS (SELECT scene_id, start, max(a) FILTER (lag_ > 0) / (max(a) FILTER (lag_ = 0) + CAST(1e-20 AS DOUBLE)) AS env_ac_strength FROM (SELECT scene_id, start, lag_, list_inner_product(e[1:3000 - lag_], e[lag_ + 1:3000]) AS a FROM el CROSS JOIN (SELECT unnest(list_concat([0], range(250, 1250))) AS lag_)) GROUP BY scene_id, start)",
+      "iw AS (SELECT st.scene_id, st.start, i, y, row_number() OVER w AS nth, (i - lag(i) OVER w) / CAST(1000 AS DOUBLE) AS gap, coalesce((SELECT e2.y FROM env e2 WHERE e2.fid = 'all' AND e2.scene_id = st.scene_id AND e2.i = greatest(imp.i - 10, 0)), 0) AS y10 FROM st JOIN imp USING (scene_id) JOIN env USING (scene_id, i) WHERE fid = 'all' AND i >= start AND i < start + 3000 WINDOW w AS (PARTITION BY st.scene_id, st.start ORDER BY i))",
+      "ia AS (SELECT scene_id, start, count(*) AS n, avg(gap) AS gm, stddev_pop(gap) AS gs, quantile_cont(gap, CAST(0.9 AS DOUBLE)) AS g9, quantile_cont(gap, CAST(0.1 AS DOUBLE)) AS g1, quantile_cont(gap, CAST(0.5 AS DOUBLE)) AS g5, min(gap) AS lo, max(gap) AS hi, stddev_pop(y) / (avg(y) + CAST(1e-12 AS DOUBLE)) AS amp, avg((y - y10) / CAST(0.01 AS DOUBLE)) FILTER (nth <= 20) AS rise FROM iw GROUP BY scene_id, start)",
+      "ib AS (SELECT scene_id, start, avg(pow(gap - gm, 3)) / pow(avg(pow(gap - gm, 2)), CAST(1.5 AS DOUBLE)) AS iii_skew FROM iw JOIN ia USING (scene_id, start) WHERE gap IS NOT NULL GROUP BY scene_id, start)",
+      "ih AS (SELECT scene_id, start, -sum(p * log2(p + CAST(1e-12 AS DOUBLE))) AS iii_entropy FROM (SELECT scene_id, start, c / (sum(c) OVER (PARTITION BY scene_id, start) + CAST(1e-12 AS DOUBLE)) AS p FROM (SELECT scene_id, start, least(CAST(floor((gap - lo) / (hi - lo) * 8) AS INT), 7) AS b, count(*) AS c FROM iw JOIN ia USING (scene_id, start) WHERE gap IS NOT NULL GROUP BY ALL)) GROUP BY scene_id, start)",
+      "dr AS (SELECT st.scene_id, st.start, count(d.i) / CAST(3 AS DOUBLE) AS rain_impulse_rate FROM st LEFT JOIN drop_ d ON d.scene_id = st.scene_id AND d.i >= start AND d.i < start + 3000 GROUP BY st.scene_id, st.start)"]
+    tiny = "(rms + CAST(1e-12 AS DOUBLE))"
+    named = {f"energy_{k}": f"l_{k}" for k in X.ENERGY_BANDS} | {
+      "ratio_car_human": "(l_car_peak + CAST(1e-10 AS DOUBLE)) / (l_human_peak + CAST(1e-10 AS DOUBLE))", "ratio_human_car": "(l_human_peak + CAST(1e-10 AS DOUBLE)) / (l_car_peak + CAST(1e-10 AS DOUBLE))",
+      "frac_wind_1_5": f"l_wind / {tiny}", "frac_veh_5_25": f"l_veh / {tiny}", "frac_foot_20_90": f"l_foot / {tiny}", "frac_high_90_180": f"l_high / {tiny}", "ratio_veh_foot": "l_veh / (l_foot + CAST(1e-12 AS DOUBLE))", "hop_band_frac": f"l_hop / {tiny}",
+      "band_occupancy": " + ".join(f"CAST(l_{k} / {tiny} > CAST(0.15 AS DOUBLE) AS INT)" for k in ("wind", "veh", "foot", "high")),
+      "cad_freq": "k0 * CAST(1000 AS DOUBLE) / 8192", "cad_salience": "p0 / fl", "cad_harm2": "h2 / base", "cad_harm4": "h4 / base", "gust_mod": "s4 / (s5 + CAST(1e-20 AS DOUBLE))",
+      "mod_e_1_3": "s1 / (s0 + CAST(1e-20 AS DOUBLE))", "mod_e_3_8": "s2 / (s0 + CAST(1e-20 AS DOUBLE))", "mod_e_8_12": "s3 / (s0 + CAST(1e-20 AS DOUBLE))", "mod_ratio_low_mid": "s1 / (s2 + CAST(1e-20 AS DOUBLE))", "mod_peak2_ratio": "CASE WHEN mod_peak_count > 1 THEN tops[2] / (tops[1] + CAST(1e-20 AS DOUBLE)) ELSE 0 END", "mod_centroid": "fp / (s0 + CAST(1e-20 AS DOUBLE))",
+      "iii_mean": "CASE WHEN n >= 3 THEN gm ELSE 0 END", "iii_cv": "CASE WHEN n >= 3 THEN gs / (gm + CAST(1e-9 AS DOUBLE)) ELSE 0 END", "impulse_density": "coalesce(n, 0) / CAST(3 AS DOUBLE)", "iii_entropy": "CASE WHEN n >= 4 THEN iii_entropy ELSE 0 END", "iii_skew": "CASE WHEN n >= 4 THEN iii_skew ELSE 0 END",
+      "iii_range_norm": "CASE WHEN n >= 4 THEN (g9 - g1) / (g5 + CAST(1e-9 AS DOUBLE)) ELSE 0 END", "impulse_amp_cv": "CASE WHEN n >= 4 THEN amp ELSE 0 END", "attack_sharpness": "CASE WHEN n >= 2 THEN rise ELSE 0 END", "veh_foot_simultaneity": f"l_veh / {tiny} * least(coalesce(n, 0) / CAST(3 AS DOUBLE), 5)"}
+    cols = ", ".join(small(named.get(c, c), c) for c in FILTERED)
+    joins = " ".join(f"JOIN {t} USING (scene_id, start)" for t in ("bl", "rk", "ev_", "fl", "p2", "ca", "ha", "ms", "en", "ac", "dr")) + " " + " ".join(f"LEFT JOIN {t} USING (scene_id, start)" for t in ("ia", "ib", "ih"))
+    return [*parts, f"SELECT scene_id, CAST(start AS INT) AS start, {cols} FROM rm {joins}"]
+
+
+WELCH = ["lw_ AS (SELECT scene_id, count(*) AS len FROM sig GROUP BY scene_id)", "sg_ AS (SELECT scene_id, 512 * k AS start FROM lw_ CROSS JOIN range(0, 58) AS t(k) WHERE 512 * k + 1024 <= len)",
+  "ws AS (SELECT scene_id, start, i - start AS n, (v - avg(v) OVER (PARTITION BY scene_id, start)) * (CAST(0.5 AS DOUBLE) - CAST(0.5 AS DOUBLE) * cos(2 * pi() * (i - start) / 1024)) AS y FROM sig JOIN sg_ USING (scene_id) WHERE i >= start AND i < start + 1024)",
+  "wp AS (SELECT scene_id, start, k, (pow(sum(y * cos(2 * pi() * (k * n % 1024) / 1024)), 2) + pow(sum(y * sin(2 * pi() * (k * n % 1024) / 1024)), 2)) * CASE WHEN k IN (0, 512) THEN 1 ELSE 2 END / (1000 * CAST(384 AS DOUBLE)) AS p FROM ws CROSS JOIN range(0, 513) AS t(k) GROUP BY scene_id, start, k)",
+  "wf AS MATERIALIZED (SELECT scene_id, k, k * CAST(1000 AS DOUBLE) / 1024 AS f, avg(p) AS p FROM wp GROUP BY scene_id, k)"]
+
+
+def welch() -> list[str]:
+    return [SG, SIG, *WELCH, "SELECT scene_id, round(f, 6) AS f, round(p * 1000, 6) AS p FROM wf"]
+
+
+def lines() -> list[str]:
+    pad = "lp AS (SELECT scene_id, k, f, 10 * log10(p + CAST(1e-12 AS DOUBLE)) AS d FROM wf UNION ALL SELECT scene_id, k, NULL, 0 FROM lw_ CROSS JOIN (SELECT unnest(list_concat(range(-15, 0), range(513, 528))) AS k))"
+    med = "lm AS (SELECT scene_id, k, f, d - quantile_cont(d, CAST(0.5 AS DOUBLE)) OVER (PARTITION BY scene_id ORDER BY k ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS o FROM lp)"
+    near = "lo AS (SELECT *, lag(o) OVER w AS a, lead(o) OVER w AS b FROM (SELECT * FROM lm WHERE f IS NOT NULL) WINDOW w AS (PARTITION BY scene_id ORDER BY k))"
+    return [SG, SIG, *WELCH, pad, med, near, "SELECT scene_id, round(f, 6) AS f, round(o, 6) AS prominence_db FROM lo WHERE o > a AND o > b AND o >= 1"]
+
+
+def resampled() -> list[str]:
+    bessel = lambda x: f"(SELECT sum(pow({x} / 2, 2 * k) / pow(gamma(k + 1), 2)) FROM range(0, 40) AS b(k))"
+    taps = f"hp AS (SELECT j, CASE WHEN j = 0 THEN 1 ELSE sin(pi() * j / 5) / (pi() * j / 5) END * {bessel('5 * sqrt(greatest(1 - pow(CAST(j AS DOUBLE) / 50, 2), 0))')} AS h FROM range(-50, 51) AS t(j))"
+    norm = "hn AS (SELECT j, h * 5 / sum(h) OVER () AS h FROM hp)"
+    out = "ro AS (SELECT scene_id, unnest(range(CAST(ceil(len * CAST(1.25 AS DOUBLE)) AS BIGINT))) AS m FROM (SELECT scene_id, count(*) AS len FROM sig GROUP BY scene_id))"
+    y = "rj AS (SELECT scene_id, m, (4 * m - j) // 5 AS i, h FROM ro CROSS JOIN hn WHERE (4 * m - j) % 5 = 0 AND 4 * m >= j), ry AS (SELECT scene_id, m, sum(v * h) AS y FROM rj JOIN sig USING (scene_id, i) GROUP BY scene_id, m)"
+    return [SG, SIG, taps, norm, out, y, "SELECT scene_id, CAST(count(*) AS INT) AS n, round(sum(y), 6) + 0 AS s, round(sum(y * m) / count(*), 6) + 0 AS moment FROM ro LEFT JOIN ry USING (scene_id, m) GROUP BY scene_id"]
+
+
+def sensor() -> list[str]:
+    w0, z = "(2 * pi() * 10)", "CAST(0.6 AS DOUBLE)"
+    dft = "sf AS MATERIALIZED (SELECT scene_id, len, k, sum(v * cos(2 * pi() * (k * i % len) / len)) AS re, -sum(v * sin(2 * pi() * (k * i % len) / len)) AS im FROM sig JOIN (SELECT scene_id, len, unnest(range(0, len // 2 + 1)) AS k FROM (SELECT scene_id, count(*) AS len FROM sig GROUP BY scene_id)) USING (scene_id) GROUP BY scene_id, len, k)"
+    # H = s^2 / (s^2 + 2 z w0 s + w0^2) at s = i w: -w^2 / ((w0^2 - w^2) + i 2 z w0 w)
+    h = f"sh_ AS (SELECT *, 2 * pi() * k * 1000 / len AS w, {w0} * {w0} - pow(2 * pi() * k * 1000 / len, 2) AS a, 2 * {z} * {w0} * 2 * pi() * k * 1000 / len AS b FROM sf)"
+    g = "sr AS MATERIALIZED (SELECT scene_id, len, k, CASE WHEN k = 0 OR 2 * k = len THEN 1 ELSE 2 END * -w * w * (re * a + im * b) / (a * a + b * b) AS re, CASE WHEN k = 0 OR 2 * k = len THEN 0 ELSE 2 END * -w * w * (im * a - re * b) / (a * a + b * b) AS im FROM sh_)"
+    y = "sy AS (SELECT scene_id, i, sum(re * cos(2 * pi() * (k * i % len) / len) - im * sin(2 * pi() * (k * i % len) / len)) / len * 2 AS y FROM sr JOIN (SELECT scene_id, i FROM sig) USING (scene_id) GROUP BY scene_id, i, len)"
+    return [SG, SIG, dft, h, g, y, "SELECT scene_id, CAST(count(*) AS INT) AS n, round(max(round_even(least(greatest(y, -CAST(0.5 AS DOUBLE)), CAST(0.5 AS DOUBLE)) * 1000, 0) / 1000), 6) AS peak FROM sy GROUP BY scene_id"]

@@ -25,12 +25,10 @@ def _features(name, groups, doc, oracle=None, only=None):
         return f.select("scene_id", "start", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in names])
 
     run.__doc__ = doc
-    query(name, sql(*oracle()) if oracle else None)(run)
+    query(name, "WITH RECURSIVE " + sql(*oracle()).removeprefix("WITH ") if oracle else None)(run)
 
 
-_features("features_iir", ("legacy", "phys", "wx"), "Band-filter features.")
-_features("features_envelope", ("cad", "mod2", "iii2", "stat2"), "Envelope, modulation and impulse features.")
-_features("features_tonal", ("eng", "tonal", "cooc"), "Line and comb features.")
+_features("features_filtered", tuple(G.X.GROUPS), "What filters give: band levels, envelopes, modulation, impulses.", Q.filtered, Q.FILTERED)
 _features("features_spectral", ("legacy", "phys", "eng", "tonal", "stat2", "cooc"), "What comes from the window and its spectrum alone, without filters.", Q.spectral, Q.SPECTRAL)
 _features("features_cepstral", ("cep",), "Cepstra of two triangular banks.", Q.cepstra)
 _features("features_wavelet", ("wpe",), "Wavelet packet energies.", Q.wavelets)
@@ -46,19 +44,26 @@ def band_rms_fft(spark, d):
     return b.select("scene_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query("welch_psd")
+@query("welch_psd", sql(*Q.welch()))
 def welch_psd(spark, d):
-    return G.welch_psd(long_signals(spark, d), "scene_id", "x", 1000.0, 1024)
+    """Density in thousandths, as the samples are small."""
+    p = G.welch_psd(long_signals(spark, d), "scene_id", "x", 1000.0, 1024)
+    return p.select("scene_id", F.round("f", 6).alias("f"), F.round(F.col("p") * 1000, 6).alias("p"))
 
 
-@query("resample_poly")
+@query("resample_poly", sql(*Q.resampled()))
 def resample_poly(spark, d):
-    return G.resampled(long_signals(spark, d), "scene_id", "x", 5, 4).select("scene_id", F.size("y").alias("n"), F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 6).alias("s"))
+    """Five samples for four: the number, the sum and the mean place of the new ones."""
+    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda x, v: x + v), 6) + 0.0
+    r = G.resampled(long_signals(spark, d), "scene_id", "x", 5, 4)
+    return r.select("scene_id", F.size("y").alias("n"), total(F.col("y")).alias("s"), total(F.transform("y", lambda v, i: v * i / F.size("y"))).alias("moment"))
 
 
-@query("spectral_lines")
+@query("spectral_lines", sql(*Q.lines()))
 def spectral_lines(spark, d):
-    return G.spectral_lines(long_signals(spark, d), "scene_id", "x", 1000.0, 1024, least_db=1.0)
+    """Peaks of 1 dB or more over the running median of the spectrum."""
+    p = G.spectral_lines(long_signals(spark, d), "scene_id", "x", 1000.0, 1024, least_db=1.0)
+    return p.select("scene_id", F.round("f", 6).alias("f"), F.round("prominence_db", 6).alias("prominence_db"))
 
 
 @query("coupling_bumps")
@@ -66,7 +71,7 @@ def coupling_bumps(spark, d):
     return G.residual_bumps(long_signals(spark, d), "scene_id", "x", 1000.0, 1024)
 
 
-@query("sensor_render")
+@query("sensor_render", sql(*Q.sensor()))
 def sensor_render(spark, d):
     r = G.sensor_response(long_signals(spark, d), "scene_id", "x", 1000.0, gain=2.0, rail=0.5, lsb=0.001)
     return r.select("scene_id", F.size("y").alias("n"), F.round(F.array_max("y"), 6).alias("peak"))

@@ -32,14 +32,14 @@ def streaming_n_of_m(spark, d):
     return _run(spark, T.n_of_m_stream(_stream(spark, d), "recording", "us", "s_human", 0.6, 2, 3)).select("recording", "us", "is_on")
 
 
-@query("streaming_sliding_counts")
+@query("streaming_sliding_counts", sql(EV, "w AS (SELECT label, us // 43200000000 * 43200000000 - k * 43200000000 AS start_us FROM ev CROSS JOIN range(0, 2) AS t(k))", "m AS (SELECT max(us) // 1000 * 1000 - 3600000000 AS mark FROM ev)", "SELECT label, start_us, count(*) AS n FROM w CROSS JOIN m WHERE start_us + 86400000000 <= mark GROUP BY label, start_us"))
 def streaming_sliding_counts(spark, d):
     """Closed windows only: append mode gives a window when the watermark has passed it."""
     c = T.sliding_counts(_stream(spark, d), "at", ["label"], "1 day", "12 hours", "1 hour")
     return _run(spark, c).select("label", F.unix_micros("w.start").alias("start_us"), "n")
 
 
-@query("streaming_sessions")
+@query("streaming_sessions", sql(EV, "b AS (SELECT recording, us, CASE WHEN us - lag(us) OVER (PARTITION BY recording ORDER BY us) < 28800000000 THEN 0 ELSE 1 END AS first FROM ev)", "s AS (SELECT recording, us, sum(first) OVER (PARTITION BY recording ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM b)", "m AS (SELECT max(us) // 1000 * 1000 - 3600000000 AS mark FROM ev)", "SELECT recording, min(us) AS start_us, count(*) AS n FROM s CROSS JOIN m GROUP BY recording, k, mark HAVING max(us) + 28800000000 <= mark"))
 def streaming_sessions(spark, d):
     s = T.sessions(_stream(spark, d), "at", "recording", "8 hours", "1 hour")
     return _run(spark, s).select("recording", F.unix_micros("w.start").alias("start_us"), "n")
