@@ -776,3 +776,18 @@ def test_pipeline_stages(spark, small):
     t = steps["bpe"](spark, m, small).collect()
     assert Counter((r["doc_id"], r["decoded_sha256"]) for r in t) == Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in m.collect())
     assert Counter(map(tuple, cp.run(spark, small).collect())) == Counter(map(tuple, t))
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty, small):
+    """Null ids and texts, repeated rows, columns with clashing names, and an empty table, through every stage."""
+    import corpus_pipeline as cp
+
+    for docs in (odd, empty):
+        cols = docs.columns
+        for name, step in cp.STAGES[:-1]:
+            docs = step(spark, docs, small).persist()
+            assert docs.columns == cols, name
+        out = cp.STAGES[-1][1](spark, docs, small).collect()
+        assert len(out) == docs.count()
+        back = Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in docs.collect())
+        assert Counter((r["doc_id"], r["decoded_sha256"]) for r in out) == back

@@ -51,7 +51,11 @@ def default_pattern() -> str:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary. ``rank_file``: lines of base64 bytes and rank."""
+    """Encoder and decoder of one vocabulary. ``rank_file``: lines of base64 bytes and rank.
+
+    Joins take a token that equals a whole match for what merging gives, so every token must be reachable by merges, as
+    all 50,000 of the default file are; a vocabulary with others would be encoded differently in long matches.
+    """
 
     def __init__(self, rank_file: str | None = None, pattern: str | None = None, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
         import regex
@@ -274,4 +278,5 @@ def round_trip(docs: DataFrame, rank_file: str | None = None, pattern: str | Non
 
 
 def op1_bpe(spark, sf_dir):
+    """``round_trip`` of all documents; null texts are empty texts, repeated rows come again, an empty table gives no rows."""
     return round_trip(table(spark, sf_dir, "documents"))

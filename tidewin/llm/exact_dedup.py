@@ -73,6 +73,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op4_exact_dedup(spark, sf_dir):
+    """``exact_groups`` of all documents; null texts are empty texts, repeated rows come again."""
     from .common import table
 
     return exact_groups(table(spark, sf_dir, "documents"))

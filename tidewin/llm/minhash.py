@@ -374,4 +374,5 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def op8_minhash(spark, sf_dir):
+    """``near_components`` of all documents on three-word shingles at 85 %; null texts are linked with nothing, repeated rows come again."""
     return near_components(table(spark, sf_dir, "documents"), words=3, percent=85)

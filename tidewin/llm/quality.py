@@ -162,4 +162,5 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def op10_quality(spark, sf_dir):
+    """``quality_verdicts`` of all documents with the labels table; null texts have no words and fail, repeated rows come again."""
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

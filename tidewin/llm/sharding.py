@@ -99,8 +99,8 @@ def shard_of(splitters: list[Splitter]):
 def histogram_shards(docs: DataFrame, shards: int = 16, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text", cells: int = 16_384) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
-    size is the UTF-8 bytes of the text plus 1 (null text: 1). A shard's bytes differ from the mean by the
-    tolerance or by the largest row, whichever is more; equal texts share a shard unless their group alone
+    size is the UTF-8 bytes of the text plus 1 (null text: 1). A splitter is off by the tolerance or by the
+    largest row, whichever is more, and a shard, which lies between two, by twice that at most; equal texts share a shard unless their group alone
     would break that. slot counts from 0 without gaps in key order; rows that repeat id and text follow one
     another. Null ids are ordinary values. Empty input gives no rows; other columns are ignored.
 
@@ -132,4 +132,5 @@ def histogram_shards(docs: DataFrame, shards: int = 16, tolerance: float = 0.002
 
 
 def op7_sharding(spark, sf_dir):
+    """``histogram_shards`` of all documents into 16 shards; a null text has size 1, repeated rows come again."""
     return histogram_shards(table(spark, sf_dir, "documents"))
