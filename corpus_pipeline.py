@@ -1,6 +1,8 @@
 """A corpus pipeline: toxicity, exact dedup, near dedup, mixing, tokens. Part of the operators for training data.
 
-Every stage works on all that the one before kept; its result is written as Parquet and read again.
+Every stage works on all that the one before kept; its result is written as Parquet and read again. In every
+stage null texts are empty texts, null ids stay, rows that repeat others are rows like any other unless the stage
+takes copies out, further columns travel on, and an empty table stays empty.
 """
 from __future__ import annotations
 
@@ -48,6 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the last gives a row per document taken into the mix."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
