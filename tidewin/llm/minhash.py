@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, free_name, ids_and_text, stage, table
+from .common import broadcast_if_small, free_name, ids_and_text, release, stage, table
 from .components import components
 from .exact_dedup import BROADCAST_GROUPS, HOT_PARTS
 from .textkernel import ORDER, U, chunks, lean, mix, shingle_sets, splitmix
@@ -26,7 +26,7 @@ BUCKET_ROWS = 4_096
 GROUP_SHINGLES = 2_000_000
 GROUP_ROWS = 256
 #: Documents of a large group with which all others are compared first.
-PIVOTS = 8
+PIVOTS = 4
 #: Shingles of all pivots together up to which they are broadcast.
 PIVOT_SHINGLES = 4_000_000
 #: Groups up to this size are compared in one vectorised step.
@@ -246,11 +246,10 @@ def _linked(n, other_n, both, percent: int):
     return 100 * both >= percent * (n + other_n - both)
 
 
-def _by_pivots(sets: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _by_pivots(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links to pivots, and what they leave over, from the full sets (comp, doc_id, items) of large groups.
 
-    All documents of a group are compared with PIVOTS of it, where they lie: only pivots move. One pivot is the document
-    with the most candidate links (``groups``: node, comp, degree), the others are random. Of the components that
+    All documents of a group are compared with PIVOTS of it, where they lie: only pivots move. Of the components that
     this gives the largest is the main one; its documents needn't be compared with one another any more. The second
     table has (comp, bi, bj, doc_id, items, main) of the blocks in which every other document meets all documents of
     its group; groups that the pivots connect whole aren't in it. Blocks of either kind have a bounded number of rows
@@ -258,8 +257,7 @@ def _by_pivots(sets: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFr
     """
     # rows that repeat an id and its set count once; an id with several sets has a row for each
     own = stage(sets.withColumn("set", F.xxhash64("items")).dropDuplicates(["comp", "doc_id", "set"]).withColumn("n", F.size("items").cast("long")), "minhash-large")
-    first = lambda p: F.struct((-F.col("degree") if p == 0 else F.lit(0)).cast("long").alias("d"), F.xxhash64(F.lit(p), "node").alias("h"), "node")
-    chosen = groups.groupBy("comp").agg(*[F.min(first(p))["node"].alias(f"p{p}") for p in range(PIVOTS)])
+    chosen = own.groupBy("comp").agg(*[F.min(F.struct(F.xxhash64(F.lit(p), "doc_id").alias("h"), "doc_id"))["doc_id"].alias(f"p{p}") for p in range(PIVOTS)])
     # a document chosen twice is one pivot: comparisons repeat, links don't
     long = chosen.select("comp", F.posexplode(F.array(*[f"p{p}" for p in range(PIVOTS)])).alias("p", "doc_id"))
     pivots = own.join(long, ["comp", "doc_id"]).groupBy("comp").agg(*[F.max(F.when(F.col("p") == p, F.struct("doc_id", "n", "items"))).alias(f"p{p}") for p in range(PIVOTS)])
@@ -331,15 +329,12 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     buckets = _blocks(buckets.withColumn("parts", F.ceil(F.col("m") / BUCKET_ROWS)), "rep", "parts")
     at = ["key", "bi", "bj"]
     links = buckets.select(*at, "rep", "sig").repartition(*at).sortWithinPartitions(*at).mapInArrow(_bucket_links(least), "a long, b long")
-    links = stage(links, "minhash-links")
-    # the documents that most others are linked with make good pivots
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     groups = components(links)
+    release(docs.sparkSession)
     groups = groups.join(known.select(F.col("rep").alias("node"), "n"), "node")
     sizes = groups.groupBy("comp").agg(F.sum("n").alias("all_n"), F.count("*").alias("all_rows"))
     large = (F.col("all_n") > GROUP_SHINGLES) | (F.col("all_rows") > GROUP_ROWS)
-    groups = groups.select("node", "comp").distinct().join(sizes.select("comp", large.alias("large")), "comp")
-    groups = stage(groups.join(degree, "node", "left").select("node", "comp", "large", F.coalesce("degree", F.lit(0)).alias("degree")), "minhash-groups")
+    groups = stage(groups.select("node", "comp").distinct().join(sizes.select("comp", large.alias("large")), "comp"), "minhash-groups")
 
     def sets(of: DataFrame) -> DataFrame:
         own = rows.join(broadcast_if_small(of.select(F.col("node").alias("doc_id"), "comp"), BROADCAST_GROUPS), "doc_id")
@@ -349,7 +344,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     full = sets(groups.filter("NOT large")).select("comp", F.lit(0).cast("long").alias("bi"), F.lit(0).cast("long").alias("bj"), "doc_id", "items", F.lit(False).alias("main"))
     sure = full.repartition(*at).sortWithinPartitions(*at).mapInArrow(_verified(percent), "a long, b long")
     if not groups.filter("large").isEmpty():
-        to_pivots, rest = _by_pivots(sets(groups.filter("large")), groups.filter("large"), percent)
+        to_pivots, rest = _by_pivots(sets(groups.filter("large")), percent)
         sure = sure.unionByName(to_pivots).unionByName(rest.repartition(*at).sortWithinPartitions(*at).mapInArrow(_verified(percent), "a long, b long"))
     sure = components(sure)
     label = reps.join(sure, reps["rep"] == sure["node"], "left").select("h1", "h2", "copies", F.coalesce("comp", "rep").alias("comp"), F.col("comp").isNotNull().alias("linked"))
@@ -370,6 +365,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     key = free_name(docs, "gone_id")
     gone = near_components(docs, words, percent, id_col, text_col).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key)).distinct()
     gone = broadcast_if_small(stage(gone, "minhash-gone"), 1_000_000)
+    release(docs.sparkSession)
     return docs.join(gone, F.col(id_col) == F.col(key), "left_anti")
 
 

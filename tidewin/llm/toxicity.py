@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, free_name, ids_and_text, stage, table
+from .common import broadcast_if_small, free_name, ids_and_text, release, stage, table
 from .textkernel import U, chunks, lean, mix, per_text, prefix, runs, slices
 
 #: Buckets of hashed words and word beginnings.
@@ -366,6 +366,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     key = free_name(docs, "bad_id")
     bad = score_toxicity(docs, labels, id_col, text_col).filter("predicted = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key)).distinct()
     bad = broadcast_if_small(stage(bad, "toxic-ids"), 1_000_000)
+    release(docs.sparkSession)
     return docs.join(bad, F.col(id_col) == F.col(key), "left_anti")
 
 
