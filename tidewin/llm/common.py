@@ -53,3 +53,29 @@ def process_store(name: str) -> dict:
     """A dictionary of this Python process. Functions travel by value, so their own globals are new in every task."""
     place = sys.modules.setdefault("_tidewin_process", types.ModuleType("_tidewin_process"))
     return place.__dict__.setdefault(name, {})
+
+
+def look_up(rows: DataFrame, few: DataFrame, keys: list[str], copies: str, most_rows: int, hot_parts: int = 1_000) -> DataFrame:
+    """``rows`` left-joined with ``few``, which has one row per key and in ``copies`` how many rows have that key.
+
+    ``few`` is broadcast if it is counted at ``most_rows`` or fewer; beyond that only its hot keys are (those of at
+    least 1/hot_parts of all rows, so at most ``hot_parts``), and their rows never meet in one task.
+    """
+    if few.count() <= most_rows:
+        return rows.join(F.broadcast(few), keys, "left")
+    least = max(2, -(-rows.count() // hot_parts))
+    hot = few.filter(F.col(copies) >= least)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(few.filter(F.col(copies) < least), keys, "left")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], by: str, most_rows: int = 10_000, places: int = 64) -> DataFrame:
+    """``rows`` joined with ``few`` (one row per key), though one key may hold any share of ``rows``.
+
+    ``few`` is broadcast up to ``most_rows``; beyond that each of its rows goes to ``places`` places, over which a
+    key's rows are dealt by a hash of ``by``.
+    """
+    if few.count() <= most_rows:
+        return rows.join(F.broadcast(few), keys)
+    copies = few.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    return rows.withColumn("_place", F.pmod(F.xxhash64(by), F.lit(places)).cast("int")).join(copies, [*keys, "_place"]).drop("_place")

@@ -1,7 +1,7 @@
 """Queries and oracle SQL of this folder."""
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, minhash, mixing, pii, quality, secrets, sharding, toxicity
+from . import bpe, embedding_dedup, exact_dedup, html_text, minhash, mixing, pii, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_html_text": html_text.op9_html_text,
     "op10_quality": quality.op10_quality,
+    "op13_embedding_dedup": embedding_dedup.op13_embedding_dedup,
 }
 
-ORACLE_SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL}
+ORACLE_SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op13_embedding_dedup": embedding_dedup.OP13_SQL}
