@@ -65,8 +65,10 @@ def look_up(rows: DataFrame, few: DataFrame, keys: list[str], copies: str, most_
         return rows.join(F.broadcast(few), keys, "left")
     least = max(2, -(-rows.count() // hot_parts))
     hot = few.filter(F.col(copies) >= least)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(few.filter(F.col(copies) < least), keys, "left")
-    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+    keyed = rows.dropna(subset=keys)
+    rest = keyed.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(few.filter(F.col(copies) < least), keys, "left")
+    keyless = rows.filter(~F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))).join(F.broadcast(few.limit(0)), keys, "left")
+    return keyed.join(F.broadcast(hot), keys).unionByName(rest).unionByName(keyless)
 
 
 def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], by: str, most_rows: int = 10_000, places: int = 64) -> DataFrame:
