@@ -292,3 +292,58 @@ def test_streams_over_batches(spark, tmp_path):
         spark.createDataFrame([(1, 20, 0.1), (1, 40, 0.7), (1, 50, 0.4), (2, 20, 0.9)], "k long, t long, v double").coalesce(1).write.mode("append").parquet(path)
         got = {(r["k"], r["t"]): r["is_on"] for r in T.run_available(plan(read()), out, state).collect()}
         assert got == ({(1, 10): True, (1, 30): True, (2, 10): False, (1, 40): True, (1, 50): False, (2, 20): True} if name == "h" else {(1, 10): False, (1, 30): True, (2, 10): False, (1, 40): True, (1, 50): False, (2, 20): True})
+
+
+def counted(spark, rows: int, parts: int = 3):
+    """A table and an accumulator of how many of its rows were read: scans of the input."""
+    import pyarrow as pa
+
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            i = b.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(i % 7), pa.array((i * 7919 % 1013) / 1013.0), pa.array((i * 104729 % 997) / 997.0)], names=["id", "g", "x", "y"])
+
+    return spark.range(0, rows, 1, parts).mapInArrow(run, "id long, g long, x double, y double"), read
+
+
+@pytest.mark.parametrize("cells", [None, 16])
+def test_rank_statistics_read_their_input_once(spark, monkeypatch, cells):
+    """AUROC, strata, Spearman, quantiles and floors: one scan each, with one cell and with many, and the same rows."""
+    from tidewin.operators import audit, auroc, ordering, robust
+
+    if cells:
+        monkeypatch.setattr(ordering, "CELL_ROWS", 70)
+    n = 5_000
+    case = F.col("id") % 3 == 0
+    plain = spark.range(n).select("id", (F.col("id") % 7).alias("g"), (F.col("id") * 7919 % 1013 / F.lit(1013.0)).alias("x"), (F.col("id") * 104729 % 997 / F.lit(997.0)).alias("y")).toPandas()
+    for run, keys in (
+        (lambda d: auroc.auroc(d, "x", case, ["g"]), ["g"]),
+        (lambda d: auroc.auroc_against_all(d, "x", case, F.col("g"), least=1), ["stratum"]),
+        (lambda d: auroc.spearman(d, "x", "y", ["g"]), ["g"]),
+        (lambda d: auroc.mann_whitney_greater(d, "x", case), []),
+        (lambda d: ordering.quantile_columns(d, ["g"], "x", {"a": 0.1, "b": 0.5, "c": 0.999}), ["g"]),
+        (lambda d: audit.floor_gate(d, "g", F.col("x"), 0, 0.1, 10, 50), ["g"]),
+        (lambda d: robust.out_of_range(d, "x", ["g"]), ["g"]),
+        (lambda d: robust.trimmed_p99(d, "x", ["g"]), ["g"]),
+    ):
+        df, read = counted(spark, n)
+        got = run(df).toPandas()
+        assert read.value == n
+        want = run(spark.createDataFrame(plain)).toPandas()
+        assert got.sort_values(keys).reset_index(drop=True).round(9).equals(want.sort_values(keys).reset_index(drop=True).round(9)) if keys else got.round(9).equals(want.round(9))
+    a = plain.assign(c=plain.id % 3 == 0)
+    for g, auc in counted_auc(a).items():
+        df, _ = counted(spark, n)
+        assert abs(auroc.auroc(df, "x", case, ["g"]).filter(F.col("g") == g).first()["auc"] - auc) < 1e-12
+        break
+
+
+def counted_auc(a):
+    out = {}
+    for g, rows in a.groupby("g"):
+        pos, neg = rows[rows.c].x.to_numpy(), rows[~rows.c].x.to_numpy()
+        out[g] = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+    return out

@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordering import exact_quantiles, quantile_columns
+from ..sources.scratch import staged
+from .ordering import exact_quantiles, named_quantiles, rank_index
 
 
 def bin_of(x: Column, lo: float, width: float, n: int, clip: bool = False) -> Column:
@@ -80,9 +81,11 @@ def missing_pairs(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
 
 def floor_gate(df: DataFrame, group: str, x: Column, lo: float, width: float, n: int, least: int, small: int = 50) -> DataFrame:
     """group, reachable, passed: 5 dB cells up to the group's 99.5 % point, and those with ``least`` rows; groups under ``small`` are skipped."""
-    rows = df.select(F.col(group), x.alias("_x"))
-    top = rows.groupBy(group).agg(F.count("*").alias("_all")).filter(F.col("_all") >= small).join(quantile_columns(rows, [group], "_x", {"_top": 0.995}), group)
-    counts = rows.groupBy(group, bin_of(F.col("_x"), lo, width, n, clip=True).alias("_b")).agg(F.count("*").alias("_n"))
+    # one scan: everything follows from counts per distinct value
+    rows = staged(df.groupBy(group, x.alias("_x")).agg(F.count("*").alias("_n")), "floor-counts")
+    ranks = rank_index(rows, [group], "_x", n=F.sum("_n")).ranked()
+    top = rows.groupBy(group).agg(F.sum("_n").alias("_all")).filter(F.col("_all") >= small).join(named_quantiles(ranks, [group], "_x", {"_top": 0.995}), group)
+    counts = rows.groupBy(group, bin_of(F.col("_x"), lo, width, n, clip=True).alias("_b")).agg(F.sum("_n").alias("_n"))
     cells = top.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).filter(lo + F.col("_b") * width <= F.col("_top"))
     return cells.join(counts, [group, "_b"], "left").groupBy(group).agg(F.count("*").alias("reachable"), F.sum(F.when(F.col("_n") >= least, 1).otherwise(0)).cast("long").alias("passed"))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import average_ranks, sums_before
+from ..sources.scratch import staged
+from .ordering import average_ranks, rank_index
 
 
 def auroc(df: DataFrame, score: str, positive: Column, keys: list[str] | None = None) -> DataFrame:
@@ -13,11 +14,13 @@ def auroc(df: DataFrame, score: str, positive: Column, keys: list[str] | None =
     Rows collapse to counts per distinct score before anything is ordered.
     """
     keys = keys or []
-    g = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("p"), F.sum(F.when(positive, 0).otherwise(1)).alias("q"))
-    r = sums_before(g, keys, score, ["q"])
-    wins = F.sum(F.col("p") * (F.col("q_before") + F.col("q") / F.lit(2.0)))
-    n1, n0 = F.sum("p"), F.sum("q")
-    return r.groupBy(*keys).agg(n1.cast("long").alias("n_pos"), n0.cast("long").alias("n_neg"), F.try_divide(wins, (n1 * n0).cast("double")).alias("auc"))
+    w = rank_index(df, keys, score, **_sides(positive)).wins("p", "q")
+    return w.select(*keys, F.col("p").alias("n_pos"), F.col("q").alias("n_neg"), F.try_divide("wins", (F.col("p") * F.col("q")).cast("double")).alias("auc"))
+
+
+def _sides(positive: Column) -> dict[str, Column]:
+    """Counts p of the rows for which ``positive`` holds, q of the others."""
+    return {"p": F.sum(F.when(positive, 1).otherwise(0)), "q": F.sum(F.when(positive, 0).otherwise(1))}
 
 
 def auroc_against_all(df: DataFrame, score: str, positive: Column, stratum: Column, least: int = 100, keys: list[str] | None = None) -> DataFrame:
@@ -27,24 +30,23 @@ def auroc_against_all(df: DataFrame, score: str, positive: Column, stratum: Colu
     """
     keys = keys or []
     rows = df.filter(F.col(score).isNotNull()).select(*keys, score, positive.alias("_p"), stratum.alias("stratum"))
-    neg = rows.groupBy(*keys, score).agg(F.sum(F.when(F.col("_p"), 0).otherwise(1)).alias("q"))
-    wins = sums_before(neg, keys, score, ["q"])
-    total = neg.groupBy(*keys).agg(F.sum("q").alias("n_neg"))
-    pos = rows.filter("_p AND stratum IS NOT NULL").groupBy(*keys, "stratum", score).agg(F.count("*").alias("p"))
-    got = pos.join(wins, [*keys, score]).groupBy(*keys, "stratum").agg(F.sum("p").alias("n_pos"), F.sum(F.col("p") * (F.col("q_before") + F.col("q") / F.lit(2.0))).alias("w"))
-    got = got.join(total, keys) if keys else got.crossJoin(F.broadcast(total))
+    counts = staged(rows.groupBy(*keys, "stratum", score).agg(*[c.alias(n) for n, c in _sides(F.col("_p")).items()]), "auroc-strata")
+    neg = rank_index(counts, keys, score, q=F.sum("q")).ranked()
+    pos = counts.filter("p > 0 AND stratum IS NOT NULL").select(*keys, "stratum", score, "p")
+    got = pos.join(neg, [*keys, score]).groupBy(*keys, "stratum").agg(F.sum("p").alias("n_pos"), F.sum(F.col("p") * (F.col("q_before") + F.col("q") / F.lit(2.0))).alias("w"), F.max("q_all").alias("n_neg"))
     return got.select(*keys, "stratum", "n_pos", "n_neg", F.when(F.col("n_pos") >= least, F.try_divide("w", (F.col("n_pos") * F.col("n_neg")).cast("double"))).alias("auc"))
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
     """keys, n, rho: Pearson correlation of average ranks; NULL where either side doesn't vary."""
     keys = keys or []
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    rx = average_ranks(rows, keys, x, "rx").drop("n")
-    ry = average_ranks(rows, keys, y, "ry").drop("n")
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("_n"))
+    rows = staged(rows, "spearman-pairs")
+    rx = average_ranks(rows, keys, x, "rx", "_n").drop("n")
+    ry = average_ranks(rows, keys, y, "ry", "_n").drop("n")
     both = rows.join(rx, [*keys, x]).join(ry, [*keys, y])
-    n = F.count("*")
-    sx, sy, sxy, sxx, syy = (F.sum(e) for e in (F.col("rx"), F.col("ry"), F.col("rx") * F.col("ry"), F.col("rx") * F.col("rx"), F.col("ry") * F.col("ry")))
+    n = F.sum("_n")
+    sx, sy, sxy, sxx, syy = (F.sum(e * F.col("_n")) for e in (F.col("rx"), F.col("ry"), F.col("rx") * F.col("ry"), F.col("rx") * F.col("rx"), F.col("ry") * F.col("ry")))
     top = n * sxy - sx * sy
     low = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
     return both.groupBy(*keys).agg(n.alias("n"), F.when(low > 0, F.try_divide(top, low)).alias("rho"))
@@ -58,10 +60,11 @@ def mann_whitney_greater(df: DataFrame, value: str, case: Column, keys: list[str
     from ..functions.scalars import normal_tail
 
     keys = keys or []
-    g = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.when(case, 1).otherwise(0)).alias("p"), F.sum(F.when(case, 0).otherwise(1)).alias("q"))
-    r = sums_before(g, keys, value, ["q"])
+    index = rank_index(df, keys, value, **_sides(case))
     tied = (F.col("p") + F.col("q")).cast("double")
-    t = r.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("q_before") + F.col("q") / F.lit(2.0))).alias("u"), F.sum("p").cast("double").alias("n1"), F.sum("q").cast("double").alias("n0"), F.sum(tied * tied * tied - tied).alias("ties"))
+    ties = index.rows.groupBy(*keys).agg(F.sum(tied * tied * tied - tied).alias("ties"))
+    t = index.wins("p", "q").select(*keys, F.col("wins").alias("u"), F.col("p").cast("double").alias("n1"), F.col("q").cast("double").alias("n0"))
+    t = t.join(ties, keys) if keys else t.crossJoin(F.broadcast(ties))
     n, n1n0 = F.col("n1") + F.col("n0"), F.col("n1") * F.col("n0")
     spread = F.sqrt(n1n0 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
     t = t.withColumn("z", F.try_divide(F.col("u") - n1n0 / 2 - 0.5, F.nullif(spread, F.lit(0.0))))

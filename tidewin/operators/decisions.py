@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import exact_quantiles
+from .ordering import exact_quantiles, quantiles_of, ranked
 
 
 def threshold_at_far(df: DataFrame, heads: dict[str, str], quiet: Column, far: float) -> DataFrame:
@@ -21,10 +21,22 @@ def threshold_at_far(df: DataFrame, heads: dict[str, str], quiet: Column, far: f
 
 def quantile_vector(df: DataFrame, value: str, keys: list[str], n: int = 1000) -> DataFrame:
     """keys and q: n evenly spaced quantiles in order, stored as 32-bit floats."""
-    e = exact_quantiles(df, keys, value, n)
+    return vector_of(ranked(df, keys, value), value, keys, n)
+
+
+def vector_of(ranks: DataFrame, value: str, keys: list[str], n: int = 1000) -> DataFrame:
+    """``quantile_vector`` from the rows of a rank index."""
+    e = quantiles_of(ranks, keys, value, n)
     return e.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda x: x["q"]).cast("array<float>").alias("q"))
 
 
+def head_edges(df: DataFrame, heads: dict[str, str], ps: list[float] | int) -> DataFrame:
+    """One row with an array per entry of ``heads`` (name: score column): the score's quantiles in order, from one index of all heads."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(h).alias("head"), F.col(c).alias("score")) for h, c in heads.items()])))
+    q = exact_quantiles(long, ["head"], "score", ps).groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda x: x["q"]).alias("q"))
+    return q.agg(*[F.max(F.when(F.col("head") == h, F.col("q"))).alias(h) for h in heads])
+
+
 def stored_threshold(q: Column, far: float, n: int = 1000) -> Column:
     """The stored quantile whose index is nearest to (1 - far) of the way, half to even; NULL without a vector."""
     at = min(max(round((1 - far) * (n - 1)), 0), n - 1)

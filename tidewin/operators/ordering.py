@@ -1,61 +1,130 @@
-"""Global order without a global sort: counts and ranks inside cells of like size."""
+"""Global order without a global sort: an index of distinct values with counts, and what is before each."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Cells of a table. A cell of a key is one window partition, so a sort is spread over so many tasks.
+from ..sources.scratch import staged
+
+#: Distinct values that a cell is meant to hold, and cells at most. A cell of a key is one window partition, so a sort
+#: is spread over so many tasks.
+CELL_ROWS = 50_000
 CELLS = 2048
 
 
+def splitters(rows: DataFrame, value: str, cells: int) -> list[float]:
+    """At most ``cells - 1`` bounds between cells of like size, from a mergeable sketch whose rank error is a quarter of a cell.
+
+    They depend on ranks alone, so neither outliers nor crowded ranges fill a cell; many rows of one value would, which
+    is why callers give distinct values, or order by something else inside. Only the bounds come to the driver.
+    """
+    if cells < 2:
+        return []
+    v = rows.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    return sorted(set(v.agg(F.percentile_approx("v", [(i + 1) / cells for i in range(cells - 1)], 4 * cells)).first()[0] or []))
+
+
+def cell_of(value: str, bounds: list[float]) -> Column:
+    """How many of the rising bounds are below the value (NaN is above all): a binary search over a literal array."""
+    if not bounds:
+        return F.lit(0)
+    number, literal = F.col(value).cast("double"), F.lit(bounds)
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda acc, step: F.when(F.get(literal, acc + step - 1) < number, acc + step).otherwise(acc))
+
+
 def celled(rows: DataFrame, value: str, cells: int = CELLS) -> DataFrame:
-    """``rows`` plus ``_cell``: growing with ``value``, and no cell has more than twice its share of the rows.
+    """``rows`` plus ``_cell``: growing with ``value``; no cell has more than twice its share of rows of distinct values."""
+    return rows.withColumn("_cell", cell_of(value, splitters(rows, value, cells)))
+
+
+@dataclass
+class RankIndex:
+    """Distinct values of each key, in order, with their counts; every rank statistic reads it, none the input again.
+
+    ``rows``: keys, value, the counts, ``_cell`` and each count's sum inside the cell before the row. ``single``: there
+    is only one cell, so these sums are those of the key.
+    """
 
-    The bounds are quantiles of the values of all keys together, from a mergeable sketch whose rank error is a
-    quarter of a cell. They depend on ranks alone, so neither outliers nor crowded ranges fill a cell; many rows
-    of one value would, which is why the callers give rows of distinct values. One row of bounds is broadcast.
+    keys: list[str]
+    value: str
+    counts: list[str]
+    rows: DataFrame
+    single: bool
+
+    def cells(self, **more: Column) -> DataFrame:
+        """keys, _cell, sums of the counts and of ``more``, the counts' sums in the key's cells before, and in all."""
+        total = self.rows.groupBy(*self.keys, "_cell").agg(*[F.sum(c).alias(c) for c in self.counts], *[c.alias(n) for n, c in more.items()])
+        key = Window.partitionBy(*self.keys)
+        below = key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        return total.select("*", *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_before") for c in self.counts], *[F.sum(c).over(key).alias(f"{c}_all") for c in self.counts])
+
+    def ranked(self) -> DataFrame:
+        """keys, value, and for each count: itself, ``<count>_before`` and ``<count>_all``, the key's sums below the value and over all."""
+        keep = [*self.keys, self.value, *self.counts]
+        if self.single:
+            key = Window.partitionBy(*self.keys, "_cell")
+            return self.rows.select(*keep, *[F.col(f"_in_{c}").alias(f"{c}_before") for c in self.counts], *[F.sum(c).over(key).alias(f"{c}_all") for c in self.counts])
+        rows = staged(self.rows, "rank-rows")
+        at = RankIndex(self.keys, self.value, self.counts, rows, False).cells().select(*self.keys, "_cell", *[f"{c}_{end}" for c in self.counts for end in ("before", "all")])
+        return rows.join(at, [*self.keys, "_cell"]).select(*keep, *[(F.col(f"{c}_before") + F.col(f"_in_{c}")).alias(f"{c}_before") for c in self.counts], *[f"{c}_all" for c in self.counts])
+
+    def wins(self, p: str, q: str) -> DataFrame:
+        """keys, p, q, wins: over all pairs of a row of count ``p`` and one of ``q``, how often p's value is larger (a tie is a half).
+
+        A cell's wins are counted inside; those over the cells before are its p times their q.
+        """
+        inside = F.sum(F.col(p) * (F.col(f"_in_{q}") + F.col(q) / F.lit(2.0)))
+        cells = self.cells(_w=inside)
+        return cells.groupBy(*self.keys).agg(F.sum(p).alias(p), F.sum(q).alias(q), F.sum(F.col("_w") + F.col(p) * F.col(f"{q}_before")).alias("wins"))
+
+
+def rank_index(df: DataFrame, keys: list[str], value: str, cells: int | None = None, **counts: Column) -> RankIndex:
+    """An index of ``df`` on ``value`` (nulls left out) with the given sums per distinct value; one count of rows named n by default.
+
+    The input is read once: counts per key and value, combined before the shuffle, are staged. Values are then dealt
+    to cells of like size by splitters found on the counts, and ordered inside cells. Cells follow from the number of
+    distinct values (``cells`` overrides it); results don't depend on them.
     """
-    number = F.col(value).cast("double")
-    bounds = rows.select(number.alias("v")).filter(~F.isnan("v")).agg(F.percentile_approx("v", [(i + 1) / cells for i in range(cells - 1)], 4 * cells).alias("_bounds"))
-    # binary search: how many bounds are below the value (NaN is above all)
-    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range((cells - 1).bit_length()))])
-    at = F.aggregate(steps, F.lit(0), lambda acc, step: F.when(F.get("_bounds", acc + step - 1) < number, acc + step).otherwise(acc))
-    return rows.join(F.broadcast(bounds), F.lit(True)).withColumn("_cell", at).drop("_bounds")
+    counts = counts or {"n": F.count("*")}
+    grouped = staged(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()]), "rank-counts")
+    return index_of(grouped, keys, value, list(counts), cells)
+
+
+def index_of(grouped: DataFrame, keys: list[str], value: str, counts: list[str], cells: int | None = None) -> RankIndex:
+    """The index of a table that has one row per key and value already, and is cheap to read again."""
+    cells = cells or min(CELLS, -(-grouped.count() // CELL_ROWS))
+    bounds = splitters(grouped, value, cells)
+    inside = Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = grouped.filter(F.col(value).isNotNull()).select(*keys, value, *counts, cell_of(value, bounds).alias("_cell"))
+    return RankIndex(keys, value, counts, rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in counts]), not bounds)
 
 
-def sums_before(grouped: DataFrame, keys: list[str], value: str, counts: list[str], cells: int = CELLS) -> DataFrame:
+def sums_before(grouped: DataFrame, keys: list[str], value: str, counts: list[str], cells: int | None = None) -> DataFrame:
     """``grouped`` plus ``<count>_before``: the sum of each count over the key's rows with a smaller ``value``.
 
-    ``grouped`` has one row per key and value (null values are dropped). Rows are ordered inside cells of like
-    size, and only the cells' sums (``cells`` rows a key at most) are ordered across, so that no task sees more
-    than two cells' share of all rows, whatever the values and however many rows a key has.
+    ``grouped`` has one row per key and value (null values are dropped) and any further columns. It is staged, so
+    what made it runs once.
     """
-    one = [] if keys else [F.lit(1).alias("_one")]
-    by = keys or ["_one"]
-    rows = celled(grouped.filter(F.col(value).isNotNull()).select("*", *one), value, cells)
-    below = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    total = rows.groupBy(*by, "_cell").agg(*[F.sum(c).alias(f"_s_{c}") for c in counts])
-    total = total.select(*by, "_cell", *[F.coalesce(F.sum(f"_s_{c}").over(below), F.lit(0)).alias(f"_o_{c}") for c in counts])
-    inside = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(total, [*by, "_cell"])
-    out = rows.select("*", *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in counts])
-    return out.drop("_cell", "_one", *[f"_o_{c}" for c in counts])
-
-
-def average_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rank", cells: int = CELLS) -> DataFrame:
-    """keys, value, n and the average rank (from 1) that its n rows share."""
-    g = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    ranked = sums_before(g, keys, value, ["n"], cells)
-    return ranked.select(*keys, value, "n", (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(out))
-
-
-def ranked(df: DataFrame, keys: list[str], value: str, weight: str | None = None, cells: int = CELLS) -> DataFrame:
+    rows = staged(grouped.filter(F.col(value).isNotNull()), "rank-rows")
+    ranks = index_of(rows, keys, value, counts, cells).ranked()
+    if set(grouped.columns) == {*keys, value, *counts}:
+        return ranks.drop(*[f"{c}_all" for c in counts])
+    return rows.join(ranks.select(*keys, value, *[f"{c}_before" for c in counts]), [*keys, value])
+
+
+def average_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rank", weight: str | None = None, cells: int | None = None) -> DataFrame:
+    """keys, value, n and the average rank (from 1) that its n rows share; ``weight``: a column that counts rows."""
+    r = rank_index(df, keys, value, cells, n=F.sum(weight) if weight else F.count("*")).ranked()
+    return r.select(*keys, value, "n", (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(out))
+
+
+def ranked(df: DataFrame, keys: list[str], value: str, weight: str | None = None, cells: int | None = None) -> DataFrame:
     """keys, value, n, n_before, n_all: counts (or summed weights) of each distinct value, of smaller ones, of all."""
-    g = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
-    total = g.groupBy(*keys).agg(F.sum("n").alias("n_all"))
-    r = sums_before(g, keys, value, ["n"], cells)
-    return r.join(total, keys) if keys else r.crossJoin(F.broadcast(total))
+    return rank_index(df, keys, value, cells, n=F.sum(weight) if weight else F.count("*")).ranked()
 
 
 def _covers(at):
@@ -70,14 +139,18 @@ def value_at(rank: DataFrame, keys: list[str], value: str, place, out: str) -> D
     return near.groupBy(*keys).agg((low + (high - low) * (at - F.floor(at))).alias(out))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: list[float] | int, cells: int = CELLS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: list[float] | int, cells: int | None = None) -> DataFrame:
     """keys, p, q: linearly interpolated quantiles, exact at any size; null values are left out.
 
     ``ps``: the shares, or a number of evenly spaced ones from 0 to 1. Unlike the built-in aggregate, no task
     holds a key's values: they collapse to counts per distinct value, are ranked by cells, and only the
     rows at the wanted ranks travel on.
     """
-    r = ranked(df, keys, value, cells=cells)
+    return quantiles_of(ranked(df, keys, value, cells=cells), keys, value, ps)
+
+
+def quantiles_of(r: DataFrame, keys: list[str], value: str, ps: list[float] | int) -> DataFrame:
+    """``exact_quantiles`` from the rows of an index: several sets of shares need one index."""
     place = lambda p: p * (F.col("n_all") - 1)
     if isinstance(ps, int):
         # only indices whose rank can fall on this row or next to it
@@ -93,7 +166,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: list[float]
     return value_at(h, [*keys, "p"], value, place(F.col("p")), "q")
 
 
-def quantile_columns(df: DataFrame, keys: list[str], value: str, named: dict[str, float], cells: int = CELLS) -> DataFrame:
+def quantile_columns(df: DataFrame, keys: list[str], value: str, named: dict[str, float], cells: int | None = None) -> DataFrame:
     """keys and one column per name with its exact quantile; NULL for a key without values isn't made: it has no row."""
-    q = exact_quantiles(df, keys, value, sorted(set(named.values())), cells)
+    return named_quantiles(ranked(df, keys, value, cells=cells), keys, value, named)
+
+
+def named_quantiles(r: DataFrame, keys: list[str], value: str, named: dict[str, float]) -> DataFrame:
+    """``quantile_columns`` from the rows of an index."""
+    q = quantiles_of(r, keys, value, sorted(set(named.values())))
     return q.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in named.items()])

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import staged
-from .ordering import exact_quantiles, quantile_columns, ranked, value_at
+from .ordering import exact_quantiles, named_quantiles, quantile_columns, ranked, value_at
 
 
 def trimmed_p99(df: DataFrame, value: str, keys: list[str], k: float = 5.0, least: int = 10) -> DataFrame:
@@ -58,9 +58,10 @@ def apply_rank(df: DataFrame, edges: DataFrame, feature: str, value: str, n: int
 
 def out_of_range(df: DataFrame, z: str, keys: list[str]) -> DataFrame:
     """keys, median_z, p90_z, mean_z, frac2, frac4 of |z|."""
-    t = df.select(*keys, F.abs(F.col(z)).alias("_a"))
-    g = t.groupBy(*keys).agg(F.avg("_a").alias("mean_z"), F.avg(F.when(F.col("_a") > 2, 1.0).otherwise(0.0)).alias("frac2"), F.avg(F.when(F.col("_a") > 4, 1.0).otherwise(0.0)).alias("frac4"))
-    return g.join(quantile_columns(t, keys, "_a", {"median_z": 0.5, "p90_z": 0.9}), keys)
+    t = staged(df.groupBy(*keys, F.abs(F.col(z)).alias("_a")).agg(F.count("*").alias("_n")), "range-counts")
+    over = lambda limit: (F.sum(F.when(F.col("_a") > limit, F.col("_n")).otherwise(0)) / F.sum("_n"))
+    g = t.groupBy(*keys).agg((F.sum(F.col("_a") * F.col("_n")) / F.sum(F.when(F.col("_a").isNotNull(), F.col("_n")))).alias("mean_z"), over(2).alias("frac2"), over(4).alias("frac4"))
+    return g.join(named_quantiles(ranked(t, keys, "_a", "_n"), keys, "_a", {"median_z": 0.5, "p90_z": 0.9}), keys)
 
 
 def mean_difference(df: DataFrame, value: str, case: Column, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import audit as A
-from ..operators.ordering import quantile_columns
+from ..operators.ordering import exact_quantiles, quantile_columns
 from .registry import query
 from .views import EV, LW, ev, lw, read, sql
 
@@ -178,7 +178,8 @@ def background_share(spark, d):
     """Share of windows that two measures can't tell from background."""
     w = lw(spark, d)
     quiet = w.filter("level = 0")
-    b = quantile_columns(quiet, ["coarse"], "snr", {"p1": 0.9}).join(quantile_columns(quiet, ["coarse"], "qty", {"p2": 0.9}), "coarse")
+    long = quiet.select("coarse", F.expr("stack(2, 'p1', snr, 'p2', qty) AS (measure, v)"))
+    b = exact_quantiles(long, ["coarse", "measure"], "v", [0.9]).groupBy("coarse").agg(*[F.max(F.when(F.col("measure") == m, F.col("q"))).alias(m) for m in ("p1", "p2")])
     return w.filter("level > 0").join(F.broadcast(b), "coarse").groupBy("coarse").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.expr("snr <= p1 AND qty <= p2"), 1.0).otherwise(0.0)), 6).alias("share"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decisions as D
-from ..operators.ordering import exact_quantiles, quantile_columns
+from ..operators.ordering import exact_quantiles, named_quantiles, ranked
 from .registry import query
 from .views import EV, EV_LONG, ev, ev_long, sql
 
@@ -56,8 +56,9 @@ def _rounded(df, *cols, digits=6):
 def threshold_far_quantile(spark, d):
     """Both threshold rules at a false-alarm rate of 0.1: interpolated, and the nearest of 1,000 stored quantiles."""
     quiet = ev_long(ev(spark, d)).filter(QUIET)
-    direct = quantile_columns(quiet, ["head"], "score", {"tau_interpolated": 0.9}).join(quiet.groupBy("head").agg(F.count("*").alias("n_quiet")), "head")
-    q = D.quantile_vector(quiet, "score", ["head"])
+    ranks = ranked(quiet, ["head"], "score")
+    direct = named_quantiles(ranks, ["head"], "score", {"tau_interpolated": 0.9}).join(ranks.groupBy("head").agg(F.sum("n").alias("n_quiet")), "head")
+    q = D.vector_of(ranks, "score", ["head"])
     stored = q.select("head", D.stored_threshold(F.col("q"), 0.1).cast("double").alias("tau_stored"))
     return _rounded(direct.join(stored, "head"), "tau_interpolated", "tau_stored")
 
@@ -151,8 +152,8 @@ def balanced_accuracy_grid(spark, d):
 def oracle_threshold_grid(spark, d):
     """Accuracy of the paired rule on a grid of quantile pairs; the ten best pairs."""
     e = ev(spark, d)
-    edges = lambda c, name: exact_quantiles(e, [], c, 10).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda x: x["q"]).alias(name))
-    t = e.filter("label <> 'animal'").crossJoin(F.broadcast(edges("s_human", "qh"))).crossJoin(F.broadcast(edges("s_vehicle", "qv")))
+    edges = D.head_edges(e, {"qh": "s_human", "qv": "s_vehicle"}, 10)
+    t = e.filter("label <> 'animal'").crossJoin(F.broadcast(edges))
     below = lambda q, s: F.size(F.filter(q, lambda x: x < F.col(s)))
     # each row counts once, by the thresholds it passes; the grid is laid over these few hundred counts
     g = t.groupBy(below("qh", "s_human").alias("a"), below("qv", "s_vehicle").alias("b"), (F.col("s_human") >= F.col("s_vehicle")).alias("hv"), "label").agg(F.count("*").alias("n"))

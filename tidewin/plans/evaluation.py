@@ -10,7 +10,6 @@ from ..operators import decisions as D
 from ..operators import joins as J
 from ..operators import series as S
 from ..operators.auroc import mann_whitney_greater
-from ..operators.ordering import exact_quantiles
 from ..sources.scratch import staged
 from .registry import query
 from .views import EV, LW, SG, ev, lw, sg, sql
@@ -52,12 +51,9 @@ def hysteresis_3way_grid(spark, d):
     e = ev(spark, d)
     heads = VARIANTS["full"]
     quiet = e.filter("label = 'nothing'")
-    taus = None
-    for h in heads:
-        q = exact_quantiles(quiet, [], f"s_{h}", [1 - f for f in ENTRIES]).agg(F.array_sort(F.collect_list("q"), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)).alias(f"t_{h}"))
-        taus = q if taus is None else taus.join(q)
+    taus = D.head_edges(quiet, {f"t_{h}": f"s_{h}" for h in heads}, [1 - f for f in ENTRIES]).select(*[F.reverse(f"t_{h}").alias(f"t_{h}") for h in heads])
     w = S.ordered(["recording"], ["t0_s", "pos"])
-    t = e.join(F.broadcast(taus)).withColumn("_at", F.row_number().over(w))
+    t = e.crossJoin(F.broadcast(taus)).withColumn("_at", F.row_number().over(w))
     run = S.upto(w)
     flags = {f"on_{h}_{k}_{x}": S.is_on(F.col(f"s_{h}"), F.col(f"t_{h}")[k], F.col(f"t_{h}")[k] * F.lit(EXITS[10 - x]), F.col("_at"), run) for h in heads for k in range(len(ENTRIES)) for x in range(11)}
     t = t.select("label", "event_id", *[f"s_{h}" for h in heads], *[c.alias(n) for n, c in flags.items()])
@@ -101,8 +97,8 @@ def oracle_grid_40(spark, d):
     """
     e = ev(spark, d)
     shares = [0.3 + 0.695 * i / 39 for i in range(40)]
-    edges = lambda c, name: exact_quantiles(e, [], c, shares).agg(F.array_sort(F.collect_list("q")).alias(name))
-    t = e.filter("label <> 'animal'").select("label", "s_human", "s_vehicle").join(F.broadcast(edges("s_human", "qh"))).join(F.broadcast(edges("s_vehicle", "qv")))
+    edges = D.head_edges(e, {"qh": "s_human", "qv": "s_vehicle"}, shares)
+    t = e.filter("label <> 'animal'").select("label", "s_human", "s_vehicle").crossJoin(F.broadcast(edges))
     t = t.select("label", "s_human", "s_vehicle", "qv", F.posexplode("qh").alias("i", "th"))
     steps = F.array(*[F.lit(1 << b) for b in (5, 4, 3, 2, 1, 0)])
 
