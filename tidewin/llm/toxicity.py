@@ -222,36 +222,46 @@ def _letters():
     return lean(run)
 
 
+#: Rows restored at once.
+RESTORED = 256
+
+
 def _text_chunks(batch: pa.RecordBatch, model: CharModel, store: dict):
-    for a in range(0, batch.num_rows, 256):
-        part = batch.slice(a, 256)
+    for a in range(0, batch.num_rows, RESTORED):
+        part = batch.slice(a, RESTORED)
         yield part, pa.array([restored(t or "", model, store) for t in part.column("text").to_pylist()], pa.large_string())
 
 
-def _weigh(counts: np.ndarray):
-    """Documents with each feature, by fold and label, from labelled rows (doc_id, text, fold, toxic)."""
+def _restore(counts: np.ndarray):
+    """Rows with restored texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, store = CharModel(counts), {}
-        total = {}
         for batch in batches:
             for part, texts in _text_chunks(batch, model, store):
-                fold_, toxic = part.column("fold").to_numpy(), part.column("toxic").to_numpy()
-                for a, b, data, offsets in chunks(texts):
-                    rows, first = features(data, offsets)
-                    for i in range(b - a):
-                        key = int(fold_[a + i]) * 2 + int(toxic[a + i])
-                        if key not in total:
-                            total[key] = np.zeros(BUCKETS, np.int32)
-                        total[key][np.unique(rows[:, first[i] : first[i + 1]])] += 1
-        for key, n in total.items():
-            some = np.flatnonzero(n)
-            for at in np.array_split(some, max(1, len(some) // 50_000)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key, np.int32)), pa.array(at), pa.array(n[at].astype(np.int64))], names=["class", "bucket", "n"])
+                yield part.set_column(part.schema.get_field_index("text"), "text", texts.cast(pa.string()))
 
     return lean(run)
 
 
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with each feature, by fold and label, from restored labelled rows (text, fold, toxic)."""
+    total = {}
+    for batch in batches:
+        fold_, toxic = batch.column("fold").to_numpy(), batch.column("toxic").to_numpy()
+        for a, b, data, offsets in chunks(batch.column("text")):
+            rows, first = features(data, offsets)
+            for i in range(b - a):
+                key = int(fold_[a + i]) * 2 + int(toxic[a + i])
+                if key not in total:
+                    total[key] = np.zeros(BUCKETS, np.int32)
+                total[key][np.unique(rows[:, first[i] : first[i + 1]])] += 1
+    for key, n in total.items():
+        some = np.flatnonzero(n)
+        for at in np.array_split(some, max(1, len(some) // 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key, np.int32)), pa.array(at), pa.array(n[at].astype(np.int64))], names=["class", "bucket", "n"])
+
+
 def weights_of(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
     """Log ratio of the shares of toxic and clean documents that have a feature, pulled to 0 where it is rare."""
     rate = (n_toxic + 1) / (n_clean + 1)
@@ -272,13 +282,16 @@ def statistics(rows: np.ndarray, first: np.ndarray, weights: np.ndarray, i: int)
     return np.array([top[0], top.mean(), np.log1p(strong.sum()), np.log1p(kinds), 10 * strong.sum() / (n + 10), 10 * some.sum() / (n + 10), w.mean()])
 
 
-def _stats(counts: np.ndarray, weights: list[np.ndarray]):
-    """Statistics of rows (doc_id, text, fold, ...): ``weights[fold]`` are those that the row's fold didn't shape."""
+def _stats(weights: list[np.ndarray], counts: np.ndarray | None = None):
+    """Statistics of rows (doc_id, text, fold, ...): ``weights[fold]`` are those that the row's fold didn't shape.
+
+    Texts are restored with the model of ``counts``, or are so already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, store = CharModel(counts), {}
+        model, store = CharModel(counts) if counts is not None else None, {}
         for batch in batches:
-            for part, texts in _text_chunks(batch, model, store):
+            for part, texts in _text_chunks(batch, model, store) if model else [(batch, batch.column("text"))]:
                 fold_ = part.column("fold").to_numpy()
                 for a, b, data, offsets in chunks(texts):
                     rows, first = features(data, offsets)
@@ -329,12 +342,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     counts[grams.column("gram").to_numpy()] = grams.column("n").to_numpy()
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic")).filter(F.crc32(F.col("label_id").cast("string").cast("binary")) % 5 != 0)
     learn = rows.join(broadcast_if_small(known, LABELS_BROADCAST), rows["doc_id"] == known["label_id"]).select("doc_id", "text", (F.xxhash64("doc_id") % 2 != 0).cast("int").alias("fold"), F.col("toxic").cast("int").alias("toxic"))
-    if known.count() > LABELS_BROADCAST:  # then texts move to their labels; once is enough
-        learn = stage(learn, "toxic-learn")
+    learn = stage(learn.mapInArrow(_restore(counts), learn.schema), "toxic-learn")  # read twice below
     sizes = {(r["fold"], r["toxic"]): r["count"] for r in learn.groupBy("fold", "toxic").count().collect()}
     if not sum(v for (_, t), v in sizes.items() if t) or not sum(v for (_, t), v in sizes.items() if not t):
         return rows.select("doc_id", (rest == 0).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    found = learn.mapInArrow(_weigh(counts), "class int, bucket long, n long").groupBy("class", "bucket").agg(F.sum("n").alias("n")).filter("n > 0").toArrow()
+    found = learn.mapInArrow(lean(_weigh), "class int, bucket long, n long").groupBy("class", "bucket").agg(F.sum("n").alias("n")).filter("n > 0").toArrow()
     n = np.zeros((4, BUCKETS))
     n[found.column("class").to_numpy(), found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     size = [sizes.get((k // 2, k % 2), 0) for k in range(4)]
@@ -344,13 +356,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     shares = fit_shares(size[0] + size[2], size[1] + size[3], fit_rows)
     drawn = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(RATE))
     part = learn.filter(drawn < F.when(F.col("toxic") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))) if min(shares) < RATE else learn
-    sample = part.mapInArrow(_stats(counts, crossed), schema).toArrow()
+    sample = part.mapInArrow(_stats(crossed), schema).toArrow()
     x = np.array(sample.column("x").to_pylist(), float).reshape(-1, STATS)
     y = sample.column("toxic").to_numpy()
     # a row stands for as many as its label's share leaves out, so the scores are those of all rows
     mean, scale, beta = fit(x, y.astype(float), np.array([RATE / k for k in shares])[y])
     plain = rows.select("doc_id", "text", F.lit(0).alias("fold"), F.lit(None).cast("int").alias("toxic"))
-    out = plain.mapInArrow(_stats(counts, [total]), schema)
+    out = plain.mapInArrow(_stats([total], counts), schema)
     logit = F.lit(float(beta[-1]))
     for i in range(STATS):
         logit = logit + (F.col("x")[i] - float(mean[i])) / float(scale[i]) * float(beta[i])
