@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from .cells import back, carried, deal, dealt, inside, positions, previous, recurrence, running_last, running_sum, tail_before
+
 
 def ordered(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -15,38 +17,45 @@ def upto(w: WindowSpec) -> WindowSpec:
 
 
 def hysteresis(df: DataFrame, value: Column, on: Column, off: Column, keys: list[str], order: list[str], out: str = "on") -> DataFrame:
-    """Adds ``out``: on from a value > on, as long as values stay > off; each key starts off. Needs off <= on.
+    """Adds ``out``: on from a value > on, as long as values stay > off; each key starts off. Needs off <= on. A null value is off."""
+    return switches(df, {out: (value, on, off)}, keys, order)
 
-    Set-based: a row is on while the last value above on came after the last value not above off. Any number of
-    switches share one partitioning and one sort. A null value is off.
-    """
-    w = upto(ordered(keys, order))
-    t = df.withColumn("_at", F.row_number().over(ordered(keys, order)))
-    return t.withColumn(out, is_on(value, on, off, F.col("_at"), w)).drop("_at")
 
+def switches(df: DataFrame, wanted: dict[str, tuple[Column, Column, Column]], keys: list[str], order: list[str]) -> DataFrame:
+    """``hysteresis`` for several columns (name: value, on, off) that share one partitioning and one sort.
 
-def is_on(value: Column, on: Column, off: Column, at: Column, w: WindowSpec) -> Column:
-    """Whether a switch is on, from the row's place ``at`` and the running window ``w`` in which it has that place."""
-    above = F.coalesce(value > off, F.lit(False))
-    last_on = F.max(F.when(F.coalesce(value > on, F.lit(False)), at)).over(w)
-    last_off = F.max(F.when(~above, at)).over(w)
-    return above & F.coalesce(last_on > F.coalesce(last_off, F.lit(0)), F.lit(False))
+    A row turns its switch on, off, or leaves it; a row's state is the last turn up to it. So a cell of a long
+    series tells later ones only its last turn.
+    """
+    turn = {n: F.when(F.coalesce(value > on, F.lit(False)), True).when(~F.coalesce(value > off, F.lit(False)), False) for n, (value, on, off) in wanted.items()}
+    t = running_last(df.drop(*wanted), turn, keys, order)
+    return t.withColumns({n: F.coalesce(n, F.lit(False)) for n in wanted})
 
 
 def n_of_m(df: DataFrame, above: Column, n: int, m: int, keys: list[str], order: list[str], out: str = "on") -> DataFrame:
-    """Adds ``out``: at least n of the last m rows are above (fewer rows at the start); a series shorter than m keeps plain ``above``."""
-    w = ordered(keys, order)
-    hits = F.sum(F.coalesce(above, F.lit(False)).cast("int")).over(w.rowsBetween(-(m - 1), 0))
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return df.withColumn(out, F.when(size < m, F.coalesce(above, F.lit(False))).otherwise(hits >= n))
+    """Adds ``out``: at least n of the last m rows are above (fewer rows at the start); a series shorter than m keeps plain ``above``.
+
+    A cell of a long series gets the last m - 1 flags before it.
+    """
+    t = deal(df, order).withColumn("_above", F.coalesce(above, F.lit(False)))
+    w = inside(t, keys, order)
+    hits = F.sum(F.col("_above").cast("int")).over(w.rowsBetween(-(m - 1), 0))
+    if not dealt(t):
+        size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        return t.withColumn(out, F.when(size < m, F.col("_above")).otherwise(hits >= n)).drop("_above")
+    t = carried(t, keys, _size=(F.count(F.lit(1)), "all_sum"))
+    if m > 1:
+        t = tail_before(t, "_above", m - 1, keys, order, "_tail")
+        missing = F.greatest(F.lit(m) - F.row_number().over(w), F.lit(0))  # of the last m rows, so many lie before the cell
+        old = F.slice("_tail", F.greatest(F.size("_tail") - missing, F.lit(0)) + 1, F.greatest(missing, F.lit(0)))
+        hits = hits + F.when(missing > 0, F.coalesce(F.aggregate(old, F.lit(0), lambda acc, x: acc + x.cast("int")), F.lit(0))).otherwise(0)
+    return back(t.withColumn(out, F.when(F.col("_size") < m, F.col("_above")).otherwise(hits >= n)), df, "_above", "_size", "_tail")
 
 
 def islands(df: DataFrame, flag: Column, keys: list[str], order: list[str], out: str = "island") -> DataFrame:
-    """Rows where ``flag`` holds, with the number of their run of consecutive rows."""
-    w = ordered(keys, order)
-    t = df.withColumn("_f", F.coalesce(flag, F.lit(False))).withColumn("_rn", F.row_number().over(w))
-    t = t.filter("_f").withColumn(out, F.col("_rn") - F.row_number().over(w))
-    return t.drop("_f", "_rn")
+    """Rows where ``flag`` holds, with the number of their run of consecutive rows: how many rows without it came before."""
+    t = df.withColumn("_f", F.coalesce(flag, F.lit(False)))
+    return running_sum(t, F.when(F.col("_f"), 0).otherwise(1).cast("long"), keys, order, out).filter("_f").drop("_f")
 
 
 def runs_of_true(df: DataFrame, flag: Column, least: int, keys: list[str], order: list[str]) -> DataFrame:
@@ -68,20 +77,28 @@ def context(df: DataFrame, k: int, keys: list[str], order: str, step: float, out
     """Adds ``out``: the series positions (from 0) of the last k rows, oldest first, ending at this one.
 
     The chain breaks where the order value doesn't move by ``step``; missing history repeats the earliest
-    row of the chain.
+    row of the chain. A cell of a long series gets the last order value before it, and where the chain began.
     """
-    w = ordered(keys, [order])
-    t = df.withColumn("_rn", (F.row_number().over(w) - 1).cast("long"))
-    gap = F.abs(F.col(order) - F.lag(order).over(w) - step)
+    t = positions(deal(df, [order]), keys, [order], "_rn")
+    t = previous(t, F.col(order), keys, [order], "_prev")
+    gap = F.abs(F.col(order) - F.col("_prev") - step)
     t = t.withColumn("_break", F.when(gap.isNull() | (gap >= tolerance), F.col("_rn")))
-    t = t.withColumn("_start", F.last("_break", ignorenulls=True).over(upto(w)))
-    return t.withColumn(out, F.array(*[F.greatest(F.col("_rn") - j, F.col("_start")) for j in range(k - 1, -1, -1)])).drop("_rn", "_break", "_start")
+    t = running_last(t, {"_start": F.col("_break")}, keys, [order])
+    return back(t.withColumn(out, F.array(*[F.greatest(F.col("_rn") - j, F.col("_start")) for j in range(k - 1, -1, -1)])), df, "_rn", "_break", "_start", "_prev")
+
+
+def ema(df: DataFrame, value: Column, decay: float, keys: list[str], order: list[str], out: str = "ema") -> DataFrame:
+    """Adds ``out``: the exponential mean of ``value`` along each series, beginning with its first value; null values are passed over."""
+    there = F.col("_v").isNotNull()
+    t = running_sum(deal(df.withColumn("_v", value), order), there.cast("long"), keys, order, "_seen")
+    begins = F.col("_seen") == 1
+    t = recurrence(t, F.when(there, F.when(begins, 0.0).otherwise(decay)), F.when(there, F.when(begins, F.col("_v")).otherwise(F.col("_v") * (1 - decay))), keys, order, out)
+    return back(t.withColumn(out, F.when(F.col("_seen") > 0, F.col(out))), df, "_v", "_seen")
 
 
 def contiguous_folds(df: DataFrame, k: int, keys: list[str], order: list[str], purge: int = 0, out: str = "fold") -> DataFrame:
     """Adds ``out`` (fold f holds rows [f*n//k, (f+1)*n//k) of its series) and ``purged_for``: folds whose test block is within ``purge`` rows."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    t = df.withColumns({"_i": (F.row_number().over(ordered(keys, order)) - 1).cast("long"), "_n": n.cast("long")})
+    t = positions(df, keys, order, "_i", "_n")
     edge = lambda f: F.floor(F.lit(f) * F.col("_n") / k)
     fold = F.coalesce(*[F.when(F.col("_i") < edge(f + 1), f) for f in range(k)])
     near = F.filter(F.array(*[F.when((F.col("_i") >= edge(f) - purge) & (F.col("_i") < edge(f + 1) + purge), f) for f in range(k)]), lambda f: f.isNotNull())
@@ -90,9 +107,13 @@ def contiguous_folds(df: DataFrame, k: int, keys: list[str], order: list[str], p
 
 def merge_intervals(df: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
     """keys, lo, hi: the union of each key's intervals; touching ones join."""
-    w = ordered(keys, [lo, hi])
-    prev = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    t = df.withColumn("_new", F.when(prev.isNull() | (F.col(lo) > prev), 1).otherwise(0)).withColumn("_g", F.sum("_new").over(upto(w)))
+    t = deal(df, [lo, hi])
+    prev = F.max(hi).over(inside(t, keys, [lo, hi]).rowsBetween(Window.unboundedPreceding, -1))
+    if dealt(t):
+        t = carried(t, keys, _prev=(F.max(hi), "max"))
+        prev = F.greatest(prev, "_prev")
+    t = t.withColumn("_new", F.when(prev.isNull() | (F.col(lo) > prev), 1).otherwise(0))
+    t = running_sum(t, F.col("_new"), keys, [lo, hi], "_g")
     return t.groupBy(*keys, "_g").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_g")
 
 
@@ -112,8 +133,7 @@ def deal_largest_remainder(df: DataFrame, weight: str, total: Column, order: str
 
 def quota(df: DataFrame, k: int, keys: list[str], order: list[str]) -> DataFrame:
     """The rows at round(linspace(0, n-1, k)) of each series, half to even; a series of k or fewer rows stays whole."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    t = df.withColumns({"_i": (F.row_number().over(ordered(keys, order)) - 1).cast("long"), "_n": n})
+    t = positions(df, keys, order, "_i", "_n")
     if k == 1:
         return t.filter("_i = 0").drop("_i", "_n")
     # grid index j rounds to i only if j is the floor of i's place on the grid or next to it
@@ -123,7 +143,7 @@ def quota(df: DataFrame, k: int, keys: list[str], order: list[str]) -> DataFrame
 
 
 def strided(df: DataFrame, step: int, keys: list[str], order: list[str]) -> DataFrame:
-    return df.withColumn("_i", F.row_number().over(ordered(keys, order)) - 1).filter(F.col("_i") % step == 0).drop("_i")
+    return positions(df, keys, order, "_i").filter(F.col("_i") % step == 0).drop("_i")
 
 
 def rechunk(df: DataFrame, keys: list[str], order: list[str], x: str, size: int, least: int = 1) -> DataFrame:
@@ -134,8 +154,7 @@ def rechunk(df: DataFrame, keys: list[str], order: list[str], x: str, size: int,
     """
     v = F.coalesce(F.col(x), F.array().cast(df.schema[x].dataType))
     rows = df.select(*keys, *order, v.alias("_x")).withColumn("_n", F.size("_x").cast("long"))
-    before = F.coalesce(F.sum("_n").over(ordered(keys, order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    rows = rows.withColumn("_start", before).filter("_n > 0")
+    rows = running_sum(rows, F.col("_n"), keys, order, "_start", before=True).filter("_n > 0")
     first, last = F.floor(F.col("_start") / size), F.floor((F.col("_start") + F.col("_n") - 1) / size)
     parts = rows.withColumn("chunk", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     lo = F.greatest(F.col("_start"), F.col("chunk") * size)

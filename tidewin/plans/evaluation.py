@@ -10,6 +10,7 @@ from ..operators import decisions as D
 from ..operators import joins as J
 from ..operators import series as S
 from ..operators.auroc import mann_whitney_greater
+from ..operators.resampling import block_resamples
 from ..sources.scratch import staged
 from .registry import query
 from .views import EV, LW, SG, ev, lw, sg, sql
@@ -45,18 +46,16 @@ _METRICS = ", ".join([
 def hysteresis_3way_grid(spark, d):
     """Independent heads over four entries, eleven exits, with and without the animal head, on all and on cleaned windows.
 
-    No row is multiplied before the windows: the switches of all entries and exits are running maxima over one
+    No row is multiplied before the windows: the switches of all entries and exits are last turns over one
     sort, and their decisions are counted as an array of 88 per row, combined before the shuffle.
     """
     e = ev(spark, d)
     heads = VARIANTS["full"]
     quiet = e.filter("label = 'nothing'")
     taus = D.head_edges(quiet, {f"t_{h}": f"s_{h}" for h in heads}, [1 - f for f in ENTRIES]).select(*[F.reverse(f"t_{h}").alias(f"t_{h}") for h in heads])
-    w = S.ordered(["recording"], ["t0_s", "pos"])
-    t = e.crossJoin(F.broadcast(taus)).withColumn("_at", F.row_number().over(w))
-    run = S.upto(w)
-    flags = {f"on_{h}_{k}_{x}": S.is_on(F.col(f"s_{h}"), F.col(f"t_{h}")[k], F.col(f"t_{h}")[k] * F.lit(EXITS[10 - x]), F.col("_at"), run) for h in heads for k in range(len(ENTRIES)) for x in range(11)}
-    t = t.select("label", "event_id", *[f"s_{h}" for h in heads], *[c.alias(n) for n, c in flags.items()])
+    turns = {f"on_{h}_{k}_{x}": (F.col(f"s_{h}"), F.col(f"t_{h}")[k], F.col(f"t_{h}")[k] * F.lit(EXITS[10 - x])) for h in heads for k in range(len(ENTRIES)) for x in range(11)}
+    t = S.switches(e.crossJoin(F.broadcast(taus)), turns, ["recording"], ["t0_s", "pos"])
+    t = t.select("label", "event_id", *[f"s_{h}" for h in heads], *turns)
     cells = []
     for variant, use in VARIANTS.items():
         for k in range(len(ENTRIES)):
@@ -131,10 +130,7 @@ def bootstrap_ci_1000(spark, d):
     block = F.floor(F.col("t0_s") / 86400).cast("long")
     right = (F.col("label") == "human") == (F.col("s_human") > 0.5)
     b = ev(spark, d).groupBy("recording", block.alias("block")).agg(F.count("*").alias("den"), F.sum(F.when(right, 1).otherwise(0)).alias("num"))
-    a = b.groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("block", "num", "den"))).alias("bl")).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"))))
-    picks = F.expr("transform(sequence(0L, CAST(size(bl) AS BIGINT) - 1L), i -> element_at(bl, CAST((rep * 7919 + i * 104729 + recording * 1299709 + rep * i * 15485863) % 1000003 % size(bl) AS INT) + 1))")
-    total = lambda name: F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: acc + x[name]).alias(name)
-    v = a.withColumn("p", picks).select("rep", total("num"), total("den")).groupBy("rep").agg((F.sum("num") / F.sum("den").cast("double")).alias("ratio"))
+    v = block_resamples(b, "recording", "block", ["num", "den"]).select((F.col("num") / F.col("den").cast("double")).alias("ratio"))
     q = v.agg(F.percentile("ratio", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("*").alias("replicates"))
     return q.select(F.round(F.col("q")[0], 6).alias("lo"), F.round(F.col("q")[1], 6).alias("hi"), "replicates")
 

@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 
 from ..operators import decisions as D
 from ..operators import series as S
+from ..operators.resampling import block_resamples
 from .decisions import EVT, HAV, TAU, _taus, _with_taus
 from .registry import query
 from .views import EV, ev, read, sql
@@ -156,14 +157,10 @@ def block_keys(spark, d):
 def bootstrap_ci_hash(spark, d):
     """Block bootstrap of recall within recordings: draws come from arithmetic on ids, so any engine repeats them.
 
-    Windows collapse to one row per block first; each replicate draws from the block sums, which stand in an
-    array per recording, so nothing is joined.
+    Windows collapse to one row per block first; tasks add what their recordings draw to 1,000 counters.
     """
     b = ev(spark, d).groupBy("recording", F.floor(F.col("t0_s") / 86400).cast("long").alias("block")).agg(F.sum(F.when(F.col("label") == "human", 1).otherwise(0)).alias("den"), F.sum(F.when(F.expr("label = 'human' AND s_human > 0.5"), 1).otherwise(0)).alias("num"))
-    a = b.groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("block", "num", "den"))).alias("bl")).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"))))
-    picks = F.expr("transform(sequence(0L, CAST(size(bl) AS BIGINT) - 1L), i -> element_at(bl, CAST((rep * 7919 + i * 104729 + recording * 1299709 + rep * i * 15485863) % 1000003 % size(bl) AS INT) + 1))")
-    s = a.withColumn("p", picks).select("rep", F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: acc + x["num"]).alias("num"), F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: acc + x["den"]).alias("den"))
-    v = s.groupBy("rep").agg(F.try_divide(F.sum("num").cast("double"), F.sum("den").cast("double")).alias("ratio"))
+    v = block_resamples(b, "recording", "block", ["num", "den"]).select(F.try_divide(F.col("num").cast("double"), F.col("den").cast("double")).alias("ratio"))
     q = v.agg(F.percentile("ratio", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
     return q.select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("lo", "mid", "hi"))])
 
@@ -214,6 +211,6 @@ def window_id_dense(spark, d):
 
 @query("running_ema", sql(EV, "SELECT recording, round(sum(s_human * CAST(0.9 AS DOUBLE) ** (m - pos) * CASE WHEN pos = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END), 6) AS ema FROM (SELECT *, max(pos) OVER (PARTITION BY recording) AS m FROM ev) GROUP BY recording"))
 def running_ema(spark, d):
-    """Exponential mean with decay 0.9 at the end of each series, folded over the ordered array."""
-    a = ev(spark, d).groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("pos", "s_human"))).alias("x"))
-    return a.select("recording", F.round(F.aggregate("x", F.lit(None).cast("double"), lambda acc, v: F.when(acc.isNull(), v["s_human"]).otherwise(acc * 0.9 + v["s_human"] * 0.1)), 6).alias("ema"))
+    """Exponential mean with decay 0.9 at the end of each series: a recurrence, composed in cells of a series."""
+    e = S.ema(ev(spark, d).select("recording", "pos", "s_human"), F.col("s_human"), 0.9, KEY, ["pos"])
+    return e.groupBy("recording").agg(F.round(F.max_by("ema", "pos"), 6).alias("ema"))

@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 
 from ..functions import arrays as X
 from ..operators import joins as J
+from ..operators import series as S
 from ..operators import simulate as M
 from .registry import query
 from .views import EV, LW, SG, ev, lw, read, sg, sql
@@ -105,13 +106,11 @@ def amplitude_ratios(spark, d):
 @query("context_split_leaks", sql(EV, "b AS (SELECT recording, pos, (pos // 10) % 3 = 0 AS val FROM ev)", "SELECT count(*) AS n_windows, CAST(sum(CASE WHEN val <> lag1 OR val <> lag2 THEN 1 ELSE 0 END) AS BIGINT) AS leaks FROM (SELECT val, coalesce(lag(val, 1) OVER w, val) AS lag1, coalesce(lag(val, 2) OVER w, val) AS lag2 FROM b WINDOW w AS (PARTITION BY recording ORDER BY pos))"))
 def context_split_leaks(spark, d):
     """Contexts whose rows lie in different splits: the count must be 0 in a sound split, here it isn't."""
-    from ..operators.series import context
-
-    e = ev(spark, d).select("recording", F.col("pos").cast("double").alias("pos"), ((F.floor(F.col("pos") / 10) % 3) == 0).alias("val"))
-    c = context(e, 3, ["recording"], "pos", 1.0)
-    by = F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("long"), "val")).over(Window.partitionBy("recording")))
-    t = c.withColumn("m", by)
-    return t.agg(F.count("*").alias("n_windows"), F.sum(F.when(F.exists("context", lambda i: F.element_at(F.col("m"), i) != F.col("val")), 1).otherwise(0)).cast("long").alias("leaks"))
+    e = ev(spark, d).select("recording", "pos", ((F.floor(F.col("pos") / 10) % 3) == 0).alias("val"))
+    c = S.context(e, 3, ["recording"], "pos", 1.0)
+    c = S.running_last(S.previous(c, F.col("val"), ["recording"], ["pos"], "was"), {"changed": F.when(F.col("was") != F.col("val"), F.col("pos"))}, ["recording"], ["pos"])
+    leak = F.col("changed") > F.col("context")[0]  # behind the context's first row
+    return c.agg(F.count("*").alias("n_windows"), F.sum(F.when(leak, 1).otherwise(0)).cast("long").alias("leaks"))
 
 
 @query("epoch_units", sql(EV, "m AS (SELECT recording, CASE WHEN recording % 2 = 0 THEN CAST(us // 1000 AS DOUBLE) ELSE CAST(us // 1000000 AS DOUBLE) END AS ts FROM ev)", "q AS (SELECT recording, quantile_cont(ts, CAST(0.5 AS DOUBLE)) AS med FROM m GROUP BY recording)", "SELECT recording, CAST(floor(min(CASE WHEN med > CAST(100000000000 AS DOUBLE) THEN ts / 1000 ELSE ts END)) AS BIGINT) AS first_s FROM m JOIN q USING (recording) GROUP BY recording"))

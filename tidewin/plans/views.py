@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.cells import carried, deal, dealt, positions
+
 HEADS = ("human", "animal", "vehicle")
 
 
@@ -24,12 +26,15 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select(
         "event_id", F.col("user_id").alias("recording"), "event_type", "value", micros("ts").alias("us"),
         F.get_json_object("props", "$.k").cast("double").alias("k"))
-    series = Window.partitionBy("recording")
+    e = deal(e, ["us"])
+    first = F.min("us").over(Window.partitionBy("recording"))
+    if dealt(e):  # a long table: recordings are cut into cells
+        e, first = carried(e, ["recording"], first_us=(F.min("us"), "all_min")), F.col("first_us")
+    e = positions(e, ["recording"], ["us", "event_id"])
     label = F.when(F.col("event_type") == "purchase", "vehicle").when(F.col("event_type") == "signup", "human").when(F.col("event_type") == "error", "animal").otherwise("nothing")
     return e.select(
         "event_id", "recording",
-        (F.row_number().over(series.orderBy("us", "event_id")) - 1).cast("long").alias("pos"),
-        ((F.col("us") - F.min("us").over(series)) / F.lit(1e6)).alias("t0_s"),
+        "pos", ((F.col("us") - first) / F.lit(1e6)).alias("t0_s"),
         "us", label.alias("label"),
         (F.col("value") / 500).alias("s_human"), (F.col("k") / 100).alias("s_vehicle"),
         (((F.col("event_id") * 37) % 101).cast("double") / F.lit(101.0)).alias("s_animal"))
