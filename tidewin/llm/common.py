@@ -71,13 +71,13 @@ def look_up(rows: DataFrame, few: DataFrame, keys: list[str], copies: str, most_
     return keyed.join(F.broadcast(hot), keys).unionByName(rest).unionByName(keyless)
 
 
-def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], by: str, most_rows: int = 10_000, places: int = 64) -> DataFrame:
-    """``rows`` joined with ``few`` (one row per key), though one key may hold any share of ``rows``.
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], by: str, most_rows: int = 10_000, places: int = 64, small: bool | None = None) -> DataFrame:
+    """``rows`` joined with ``few`` (few rows per key), though one key may hold any share of ``rows``.
 
-    ``few`` is broadcast up to ``most_rows``; beyond that each of its rows goes to ``places`` places, over which a
-    key's rows are dealt by a hash of ``by``.
+    ``few`` is broadcast up to ``most_rows`` (or if the caller, who knows its size, says that it is ``small``); beyond
+    that each of its rows goes to ``places`` places, over which a key's rows are dealt by a hash of ``by``.
     """
-    if few.count() <= most_rows:
+    if few.count() <= most_rows if small is None else small:
         return rows.join(F.broadcast(few), keys)
     copies = few.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
     return rows.withColumn("_place", F.pmod(F.xxhash64(by), F.lit(places)).cast("int")).join(copies, [*keys, "_place"]).drop("_place")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, free_name, ids_and_text, release, stage, table
+from .common import broadcast_if_small, free_name, ids_and_text, release, spread_join, stage, table
 from .components import components
 from .exact_dedup import BROADCAST_GROUPS, HOT_PARTS
 from .textkernel import ORDER, U, chunks, lean, mix, shingle_sets, splitmix
@@ -263,7 +263,7 @@ def _by_pivots(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     pivots = own.join(long, ["comp", "doc_id"]).groupBy("comp").agg(*[F.max(F.when(F.col("p") == p, F.struct("doc_id", "n", "items"))).alias(f"p{p}") for p in range(PIVOTS)])
     pivots = stage(pivots, "minhash-pivots")
     size = pivots.agg(F.sum(sum((F.col(f"p{p}.n") for p in range(PIVOTS)), F.lit(0)))).first()[0] or 0
-    met = own.join(F.broadcast(pivots) if size <= PIVOT_SHINGLES else pivots, "comp")
+    met = spread_join(own, pivots, ["comp"], "set", small=size <= PIVOT_SHINGLES)  # a group's sets stay apart either way
     mask = F.lit(0)
     for p in range(PIVOTS):
         both = F.size(F.array_intersect("items", f"p{p}.items"))
@@ -287,7 +287,7 @@ def _by_pivots(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     kinds = kinds.withColumn("m", best)
     blocks = lambda inside: F.greatest(F.ceil(total(F.col("m"), "rows", inside) / GROUP_ROWS), F.ceil(total(F.col("m"), "n", inside) / GROUP_SHINGLES)).cast("long")
     open_ = kinds.select("comp", "m", blocks(True).alias("mains"), blocks(False).alias("rests")).filter("rests > 0")
-    left = met.join(open_, "comp").select("comp", "doc_id", "set", "mains", "rests", (F.col("mask").bitwiseAND(F.col("m")) != 0).alias("main"))
+    left = spread_join(met, stage(open_, "minhash-open"), ["comp"], "set").select("comp", "doc_id", "set", "mains", "rests", (F.col("mask").bitwiseAND(F.col("m")) != 0).alias("main"))
     # blocks of the rest are 0 .. rests - 1, those of the main component follow; one of a pair is of the rest
     at = F.pmod(F.xxhash64("doc_id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))) + F.when(F.col("main"), F.col("rests")).otherwise(F.lit(0))
     left = left.withColumn("at", at)
