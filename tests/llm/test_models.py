@@ -359,6 +359,19 @@ def test_quality_rows(spark, odd, empty):
     assert quality.quality_verdicts(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_quality_beyond_the_broadcast_of_labels(spark, make, odd, monkeypatch):
+    """The same verdicts when labels meet narrow rows; null ids, repeated rows and ids with two labels among them."""
+    rng = random.Random(4)
+    rows = rows_of([" ".join(f"{'ab'[i % 2]}{rng.randrange(9)}" for _ in range(25)) for i in range(60)])
+    rows += [rows[3], rows[3], (None, rows[5][1], *rows[5][2:]), (None, None, *rows[5][2:])]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 40)] + [(7, 0, 0), (None, 1, 0), (999, 1, 1)], "doc_id long, quality int, toxic int")
+    want = [quality.quality_verdicts(d, labels).collect() for d in (make(rows), odd)]
+    monkeypatch.setattr(quality, "LABELS_BROADCAST", 0)
+    got = [quality.quality_verdicts(d, labels).collect() for d in (make(rows), odd)]
+    plain = lambda rs: sorted((repr((r["doc_id"], r["n_words"], r["base_failed"], r["kept"], round(r["llr"], 9))) for r in rs))
+    assert [plain(g) for g in got] == [plain(w) for w in want]
+
+
 def test_quality_score_is_the_ratio(spark, make):
     """The mean log ratio, from plain counts with the text's own taken out."""
     texts = [" ".join(f"{c}{(i * 7 + j) % 11}" for j in range(30)) for i, c in enumerate("aabbbab")]

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, ids_and_text, stage, table
+from .common import ids_and_text, stage, table
 from .textkernel import SPACE, U, chunks, lean, mix, per_text, prefix, runs, sequences, slices
 
 #: Buckets of hashed uni- and bigrams: the model's size, whatever the corpus.
@@ -93,31 +93,38 @@ def _count():
 
 
 def _score(raw: np.ndarray, target: np.ndarray):
+    """Base counts, and the mean log ratio as it is for a text outside the trusted ones (llr) and for one of them (llr_trusted).
+
+    The text's own counts are taken out, so labelled and other texts are measured alike.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, t = raw.astype(float), target.astype(float)
         all_r, all_t = r.sum(), t.sum()
         for batch in batches:
-            trusted = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
             for a, b, data, offsets in chunks(batch.column("text")):
                 c = base_counts(data, offsets)
                 first, words = c.pop("first"), c.pop("words")
-                score = np.zeros(b - a)
+                score = np.zeros((2, b - a))
                 for i in range(b - a):
                     n = first[i + 1] - first[i]
                     if not n or not all_t:
                         continue
                     bucket, own = np.unique(_buckets(words, first[i], first[i + 1]), return_counts=True)
                     grams = own.sum()
-                    # the text's own counts are taken out, so labelled and other texts are measured alike
-                    rest_r, rest_t = r[bucket] - own, t[bucket] - own * trusted[a + i]
-                    share = max(all_t - grams * trusted[a + i], 1.0) / max(all_r - grams, 1.0)
-                    score[i] = (own * np.log((rest_t + KAPPA * share) / (rest_r + KAPPA) / share)).sum() / grams
+                    below = np.log(r[bucket] - own + KAPPA)
+                    for trusted in (0, 1):
+                        share = max(all_t - grams * trusted, 1.0) / max(all_r - grams, 1.0)
+                        rest = np.maximum(t[bucket] - own * trusted, 0.0)  # below 0 only for texts that aren't trusted, whose value isn't used
+                        score[trusted, i] = (own * (np.log((rest + KAPPA * share) / share) - below)).sum() / grams
                 failed = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
-                yield pa.RecordBatch.from_arrays([batch.column(x).slice(a, b - a) for x in ("doc_id", "quality")] + [pa.array(c[x].astype(np.int64)) for x in COUNTS] + [pa.array(failed), pa.array(score)], names=["doc_id", "quality", *COUNTS, "base_failed", "llr"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a)] + [pa.array(c[x].astype(np.int64)) for x in COUNTS] + [pa.array(failed), pa.array(score[0]), pa.array(score[1])], names=["doc_id", *COUNTS, "base_failed", "llr", "llr_trusted"])
 
     return lean(run)
 
 
+#: Labels up to which they are broadcast.
+LABELS_BROADCAST = 1_000_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -141,17 +148,36 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     the raw corpus is all of ``docs``. Every document's n-grams are counted, and every document's mean
     log ratio is compared with one threshold, which is read from a histogram of the labelled documents'
     scores. A document's own counts never speak for it. Null text is empty text: it fails the base rules.
-    Without labels only the base rules decide. Rows with a null id are scored as raw text.
+    Without labels only the base rules decide. Rows with a null id are scored as raw text. Repeated rows count
+    again and come again; a score at the threshold stays; texts of any length are read whole. Labels beyond
+    ``LABELS_BROADCAST`` meet narrow rows, and texts move once, to the trusted ids.
     """
     known = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality"))
+    known = stage(known, "quality-labels")
+    few = known.count() <= LABELS_BROADCAST
     rows = ids_and_text(docs, id_col, text_col)
-    rows = rows.join(broadcast_if_small(known, 1_000_000), rows["doc_id"] == known["label_id"], "left").select("doc_id", "text", "quality", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("trusted"))
-    counted = rows.mapInArrow(_count(), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    trusted = F.coalesce(F.col("quality") == 1, F.lit(False)).alias("trusted")
+    schema = "bucket long, raw long, target long"
+    if few:
+        counted = rows.join(F.broadcast(known), rows["doc_id"] == known["label_id"], "left").select("text", trusted).mapInArrow(_count(), schema)
+    else:  # the raw counts need no label; texts move once, to the ids of trusted ones
+        good = rows.join(known.filter("quality = 1"), rows["doc_id"] == known["label_id"], "left_semi").select("text", F.lit(True).alias("trusted"))
+        raw_counts = rows.select("text", F.lit(False).alias("trusted")).mapInArrow(_count(), schema)
+        counted = raw_counts.unionByName(good.mapInArrow(_count(), schema).withColumn("raw", F.lit(0).cast("long")))
+    counted = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     at = counted.column("bucket").to_numpy()
     raw[at], target[at] = counted.column("raw").to_numpy(), counted.column("target").to_numpy()
-    schema = "doc_id long, quality int, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, llr double"
-    scored = stage(rows.mapInArrow(_score(raw, target), schema), "quality")
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, llr double, llr_trusted double"
+    scored = rows.mapInArrow(_score(raw, target), schema)
+    if few:
+        scored = scored.join(F.broadcast(known), scored["doc_id"] == known["label_id"], "left").drop("label_id")
+    else:  # narrow rows; those without an id find nothing and stay where they are
+        scored = stage(scored, "quality-scores")
+        keyed = scored.filter("doc_id IS NOT NULL").join(known, scored["doc_id"] == known["label_id"], "left").drop("label_id")
+        scored = keyed.unionByName(scored.filter("doc_id IS NULL").withColumn("quality", F.lit(None).cast("int")))
+    scored = scored.withColumn("llr", F.when(F.coalesce(F.col("quality") == 1, F.lit(False)), F.col("llr_trusted")).otherwise(F.col("llr"))).drop("llr_trusted")
+    scored = stage(scored, "quality")
     cell = F.least(F.greatest(F.floor((F.col("llr") - LOW) / (HIGH - LOW) * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
     hist = scored.filter("quality IS NOT NULL AND NOT base_failed").groupBy(cell.alias("bin"), (F.col("quality") == 1).alias("good")).count().collect()
     good, bad = np.zeros(BINS), np.zeros(BINS)
