@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from tidewin.operators import cells, resampling, series
 from tidewin.plans.catalogue import ORACLE_SQL, QUERIES
 
-IN_CELLS = ["hysteresis", "hysteresis_sweep", "hyst_exit_select", "hysteresis_3way_grid", "n_of_m", "n_of_m_sweep", "events_islands", "events_total_per_hour", "runs_of_true", "context_k", "context_split_leaks", "contiguous_folds_purged", "running_ema", "rechunk_series", "window_quota", "interval_merge", "strided_downsample", "block_keys", "class_metrics"]
+IN_CELLS = ["hysteresis", "hysteresis_sweep", "hyst_exit_select", "hysteresis_3way_grid", "n_of_m", "n_of_m_sweep", "events_islands", "events_total_per_hour", "runs_of_true", "context_k", "context_split_leaks", "contiguous_folds_purged", "running_ema", "rechunk_series", "window_quota", "interval_merge", "strided_downsample", "block_keys", "class_metrics", "gap_anti_join"]
 
 
 @pytest.fixture
@@ -142,3 +142,30 @@ def test_block_resamples_equal_loops(spark, monkeypatch):
                 sums[0] += pick[1]
                 sums[1] += pick[2]
         assert got[rep] == tuple(sums)
+
+
+def test_spans_of_every_length(spark, monkeypatch):
+    """Spans from milliseconds to years: every overlapping pair once, few rows a span and a point; points in spans, in one piece and in cells."""
+    from tidewin.operators import joins
+
+    rng = random.Random(9)
+    year = 365 * 86400.0
+    spans = lambda n, tag: [(rng.choice("aab"), f"{tag}{i}", x, x + rng.choice([0.001, 0.5, 1, 64, 64.0001, 3600, 86400, 30 * 86400, year, 5 * year]) * rng.uniform(0.5, 1)) for i, x in ((i, rng.choice([-1, 1]) * rng.uniform(0, 3 * year) if i % 3 else float(rng.randint(-5, 5) * 64)) for i in range(n))]
+    left, right = spans(150, "l") + [("a", "empty", 5.0, 5.0), ("a", "null", None, 7.0), (None, "key", 0.0, 9.0)], spans(150, "r") + [("b", "back", 9.0, 3.0), (None, "key", 0.0, 9.0)]
+    l, r = spark.createDataFrame(left, "k string, x string, a double, b double"), spark.createDataFrame(right, "k string, y string, c double, d double")
+    got = sorted((p["x"], p["y"]) for p in joins.overlap_join(l, r, ["k"], ("a", "b"), ("c", "d"), 1.0).collect())
+    proper = lambda rows: [q for q in rows if q[0] is not None and None not in q and q[2] < q[3]]
+    want = sorted((p[1], q[1]) for p in proper(left) for q in proper(right) if p[0] == q[0] and p[2] < q[3] and q[2] < p[3])
+    assert got == want and len(want) > 2000
+    level = joins._level(F.col("a"), F.col("b"), 1.0)
+    size = F.pow(F.lit(2.0), level)
+    cells_of = l.filter("a < b").select((F.ceil(F.col("b") / size) - F.floor(F.col("a") / size)).alias("n"), level.alias("l"))
+    assert cells_of.agg(F.max("n")).first()[0] <= 2 and cells_of.select("l").distinct().count() <= 30
+    points = spark.createDataFrame([(k, i, t) for i, (k, _, t, _) in enumerate(left)], "k string, i long, t double")
+    inside = {i for i, (k, _, t, _) in enumerate(left) if k and t is not None and any(q[0] == k and q[2] <= t < q[3] for q in proper(right))}
+    for small, rows in ((cells.SMALL_BYTES, cells.CELL_ROWS), (0, 20)):
+        monkeypatch.setattr(cells, "SMALL_BYTES", small)
+        monkeypatch.setattr(cells, "CELL_ROWS", rows)
+        assert {p["i"] for p in joins.interval_join(points, r, ["k"], "t", "c", "d").collect()} == inside
+        anti = joins.interval_join(points, r, ["k"], "t", "c", "d", how="left_anti")
+        assert anti.columns == points.columns and {p["i"] for p in anti.collect()} == set(range(len(left))) - inside

@@ -113,6 +113,16 @@ def running_sum(df: DataFrame, amount: Column, keys: list[str], order: list[str]
     return back(t.withColumn(out, F.coalesce("_sum_of_earlier", F.lit(0)) + own), df, "_amount", "_sum_of_earlier")
 
 
+def running_max(df: DataFrame, value: Column, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds ``out``: the largest ``value`` of the series' rows up to this one; nulls don't count."""
+    t = deal(df.withColumn("_amount", value), order)
+    own = F.max("_amount").over(inside(t, keys, order).rowsBetween(Window.unboundedPreceding, 0))
+    if not dealt(t):
+        return t.withColumn(out, own).drop("_amount")
+    t = carried(t, keys, _most_of_earlier=(F.max("_amount"), "max"))
+    return back(t.withColumn(out, F.greatest(own, "_most_of_earlier")), df, "_amount", "_most_of_earlier")
+
+
 def running_last(df: DataFrame, wanted: dict[str, Column], keys: list[str], order: list[str]) -> DataFrame:
     """Adds a column per entry of ``wanted``: its last value that isn't null, up to this row. All share one sort."""
     names = {n: f"_event_{i}" for i, n in enumerate(wanted)}

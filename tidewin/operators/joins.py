@@ -1,10 +1,14 @@
 """Joins that plain equality doesn't give: tolerance, intervals, as-of with interpolation, grids, neighbours."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .cells import running_max
+
 
 def tolerance_semi(left: DataFrame, right: DataFrame, keys: list[str], at: str, eps: float, anti: bool = False) -> DataFrame:
     """Rows of ``left`` for which ``right`` has (or hasn't) a row with the same keys and |difference of at| < eps.
@@ -30,37 +34,60 @@ def overlap_of_list(intervals: Column, lo: Column, hi: Column) -> Column:
     return F.aggregate(intervals, F.lit(0.0), lambda acc, x: acc + overlap(x[0], x[1], lo, hi))
 
 
-def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str, width: float, how: str = "left_semi") -> DataFrame:
+def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str, width: float | None = None, how: str = "left_semi") -> DataFrame:
     """Points with lo <= at < hi for a span of the same keys (left_semi) or for none (left_anti).
 
-    Spans are cut into cells of ``width``, so the join is an equality on keys and cell. Choose a width
-    near the usual span: a span adds one row per cell that it touches.
+    One union and a running maximum: a point lies in a span if a span that began before it ends behind it. So a span is
+    one row whatever its length (``width`` isn't needed any more), and long series are worked through in cells. Points with
+    a null place or key lie in no span.
     """
-    s = spans.filter(F.col(lo) < F.col(hi)).select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
-    s = s.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / width).cast("long"), F.floor(F.col("_hi") / width).cast("long"))))
-    cond = (F.floor(points[at] / width).cast("long") == F.col("_cell")) & (points[at] >= F.col("_lo")) & (points[at] < F.col("_hi"))
-    for k in keys:
-        cond = cond & (points[k] == F.col(f"_s_{k}"))
-    return points.join(s, cond, how)
+    cols = points.columns
+    s = spans.filter((F.col(lo) < F.col(hi)) & reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True)))
+    packed = points.select(*keys, F.col(at).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_hi"), F.struct(*cols).alias("_row"))
+    both = packed.unionByName(s.select(*keys, F.col(lo).cast("double").alias("_at"), F.lit(0).alias("_kind"), F.col(hi).cast("double").alias("_hi"), F.lit(None).cast(packed.schema["_row"].dataType).alias("_row")))
+    t = running_max(both, F.col("_hi"), keys, ["_at", "_kind"], "_end").filter("_kind = 1")
+    within = F.coalesce(F.col("_end") > F.col("_at"), F.lit(False))
+    return t.filter(~within if how == "left_anti" else within).select("_row.*")
+
+
+#: Levels of cells above the smallest.
+LEVELS = 62
+
+
+def _level(lo: Column, hi: Column, width: float) -> Column:
+    """The level whose cells, ``width`` times a power of two, are the narrowest that are as wide as the span or wider."""
+    return F.least(F.greatest(F.ceil(F.log2((hi - lo) / width)), F.lit(0)), F.lit(LEVELS)).cast("int")
+
+
+def _held(spans: DataFrame, points: DataFrame, keys: list[str], span: tuple[str, str], at: str, width: float, strict: bool) -> DataFrame:
+    """Spans with the points that begin in them (``strict``: behind their beginning). A span stands in two cells of its level at most, a point in one of each level in use."""
+    lo, hi = F.col(span[0]), F.col(span[1])
+    level = _level(lo, hi, width)
+    used = sorted(r[0] for r in spans.select(level.alias("l")).distinct().collect())
+    if not used:
+        used = [0]
+    size = F.lit(width) * F.pow(F.lit(2.0), F.col("_level"))
+    first = F.floor(lo / size).cast("long")
+    last = F.greatest(first, (F.ceil(hi / size) - 1).cast("long"))
+    s = spans.withColumn("_level", level).withColumn("_cell", F.explode(F.sequence(first, last)))
+    p = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in used]))).withColumn("_cell", F.floor(F.col(at) / size).cast("long"))
+    within = (F.col(at) > lo if strict else F.col(at) >= lo) & (F.col(at) < hi)
+    return s.join(p, [*keys, "_level", "_cell"]).filter(within).drop("_level", "_cell")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], span: tuple[str, str], other: tuple[str, str], width: float) -> DataFrame:
     """Pairs of rows with equal keys whose spans [start, stop) overlap, each pair once: all columns of ``left`` and the others of ``right``.
 
-    Both sides stand in the cells of ``width`` that they touch, so the join is an equality on keys and cell, and a
-    pair is given in the cell where the later of both begins. Choose a width near the usual span. Empty and
-    reversed spans, and rows with a null, overlap nothing. Names other than the keys must differ.
+    Two spans overlap if the later one begins in the other, so the join is one of points in spans, both ways. Spans
+    stand in cells of their own length's level (powers of two times ``width``, the smallest): a span of seconds and one
+    of years add two rows at most, a point one row per level that spans use, LEVELS + 1 at most; a cell holds
+    spans of a quarter of its width or more, so most that meet overlap. Empty and reversed spans, and rows with a null,
+    overlap nothing. Names other than the keys must differ.
     """
-    def celled(df: DataFrame, lo: str, hi: str) -> DataFrame:
-        # the last cell is that of the largest place below the end
-        last = F.ceil(F.col(hi) / width) - 1
-        first = F.floor(F.col(lo) / width)
-        return df.filter(F.col(lo) < F.col(hi)).withColumn("_cell", F.explode(F.sequence(first.cast("long"), F.greatest(first, last).cast("long"))))
-
     (a, b), (c, d) = span, other
-    both = celled(left, a, b).join(celled(right, c, d), [*keys, "_cell"])
-    begin = F.floor(F.greatest(F.col(a), F.col(c)) / width)
-    return both.filter((F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.col("_cell") == begin)).drop("_cell")
+    left, right = left.filter(F.col(a) < F.col(b)), right.filter(F.col(c) < F.col(d))
+    names = [*left.columns, *[x for x in right.columns if x not in keys]]
+    return _held(left, right, keys, span, c, width, False).select(*names).unionByName(_held(right, left, keys, other, a, width, True).select(*names))
 
 
 def covered(left: DataFrame, right: DataFrame, keys: list[str], span: tuple[str, str], other: tuple[str, str], width: float, by: list[str]) -> DataFrame:

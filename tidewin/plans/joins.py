@@ -23,11 +23,12 @@ def interval_overlap(spark, d):
 @query("interval_overlap_array", sql(EV, "a AS (SELECT recording, pos, t0_s, list([t2, t2 + 3600]) AS iv FROM (SELECT recording, t0_s AS t2 FROM ev WHERE label = 'human') h JOIN ev USING (recording) GROUP BY ALL)",
   "SELECT recording, pos, round(list_sum([greatest(CAST(0 AS DOUBLE), least(i[2], t0_s + 7200) - greatest(i[1], t0_s)) FOR i IN iv]), 4) AS active_s FROM a WHERE list_sum([greatest(CAST(0 AS DOUBLE), least(i[2], t0_s + 7200) - greatest(i[1], t0_s)) FOR i IN iv]) > 0"))
 def interval_overlap_array(spark, d):
-    """The same with the activity as an array per series: a fold per window, no range join."""
+    """Seconds of activity in two-hour windows whose spans overlap hour-long ones; no series is gathered in a row."""
     e = ev(spark, d)
-    iv = e.filter("label = 'human'").groupBy("recording").agg(F.collect_list(F.array("t0_s", F.col("t0_s") + 3600)).alias("iv"))
-    s = e.join(iv, "recording").select("recording", "pos", J.overlap_of_list(F.col("iv"), F.col("t0_s"), F.col("t0_s") + 7200).alias("active_s"))
-    return s.filter("active_s > 0").withColumn("active_s", F.round("active_s", 4))
+    w = e.select("recording", "pos", F.col("t0_s").alias("lo"), (F.col("t0_s") + 7200.0).alias("hi"))
+    act = e.filter("label = 'human'").select("recording", F.col("t0_s").alias("a"), (F.col("t0_s") + 3600.0).alias("b"))
+    c = J.covered(w, act, ["recording"], ("lo", "hi"), ("a", "b"), 3600.0, ["recording", "pos"])
+    return c.select("recording", "pos", F.round("covered", 4).alias("active_s"))
 
 
 @query("gap_anti_join", sql(EV, "g AS (SELECT recording, t0_s AS lo, t0_s + 7200 AS hi FROM ev WHERE label = 'animal')", "SELECT recording, count(*) AS n, max(pos) AS last_pos FROM ev WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.recording = ev.recording AND ev.t0_s >= lo AND ev.t0_s < hi) GROUP BY recording"))
@@ -35,7 +36,7 @@ def gap_anti_join(spark, d):
     """Windows outside every gap [lo, hi)."""
     e = ev(spark, d)
     g = e.filter("label = 'animal'").select("recording", F.col("t0_s").alias("lo"), (F.col("t0_s") + 7200).alias("hi"))
-    return J.interval_join(e, g, ["recording"], "t0_s", "lo", "hi", 7200.0, "left_anti").groupBy("recording").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))
+    return J.interval_join(e, g, ["recording"], "t0_s", "lo", "hi", how="left_anti").groupBy("recording").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))
 
 
 @query("tolerance_semi", sql(EV, "r AS (SELECT recording, t0_s + CAST(0.0000004 AS DOUBLE) AS t FROM ev WHERE event_id % 7 = 0)", "SELECT event_id FROM ev WHERE EXISTS (SELECT 1 FROM r WHERE r.recording = ev.recording AND abs(r.t - ev.t0_s) < CAST(0.000001 AS DOUBLE))"))
