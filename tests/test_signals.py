@@ -2,8 +2,8 @@
 import numpy as np
 import pytest
 
-from tidewin.functions import dsp, features, synth
-from tidewin.operators import signals, simulate
+from tidewin.functions import dsp, features
+from tidewin.operators import signals
 
 
 def recursion(x, zpk):
@@ -104,43 +104,3 @@ def test_scene_features_rows(spark):
     assert [(r["scene_id"], r["start"]) for r in rows] == [(1, s) for s in (0, 1500, 3000, 4500)]
     want = features.window_features(features.Scene(np.array(x)), 3000, ("legacy", "wpe"))
     assert all(rows[2][k] == pytest.approx(v, rel=1e-5, abs=1e-6) for k, v in want.items())
-
-
-def test_sources_and_sensor():
-    rng = np.random.default_rng(5)
-    steps = synth.walker((0, 20), None, rng)
-    assert 30 <= len(steps) <= 50 and all(f.max() > 0 for _, f in steps)
-    still = synth.walker((0, 20), np.r_[np.full(50, 1.3), np.zeros(100), np.full(50, 1.3)], rng)
-    assert not [t for t, _ in still if 5.6 < t < 14.6]
-    chunks = synth.vehicle((0, 5), "car", 8, rng)
-    total = np.zeros(5000)
-    for t, f in chunks:
-        total[round(t * 1000) : round(t * 1000) + len(f)] += f
-    assert total[600:4400].std() < 0.6 * total[600:4400].mean()
-    for kind in synth.ANIMALS:
-        assert all(np.isfinite(f).all() for _, f in synth.animal((0, 10), kind, rng))
-    h = np.abs(synth.geophone(np.array([0.0, 4.5, 100.0])))
-    assert h[0] == 0 and h[1] == pytest.approx(28.8 / 1.2) and h[2] == pytest.approx(28.8, rel=1e-2)
-    assert np.abs(synth.resonance(np.array([150.0]), 150, 20, 12))[0] == pytest.approx(10**0.6)
-    out = synth.render(rng.normal(size=2000) * 1e-3, rng.normal(size=2000) * 1e-3, 400, 50.0, 0.125, rng)
-    assert np.abs(out["recorded_mv"]).max() <= 50 and np.allclose(out["recorded_mv"] / 0.125, np.round(out["recorded_mv"] / 0.125))
-    assert synth.nearest_radius(np.array([1.0, 2, 4]), 1.4) == 0 and synth.nearest_radius(np.array([1.0, 2, 4]), 100) == 2
-
-
-def test_simulation_repeats(spark):
-    plan = spark.createDataFrame([(7, "human", "walk", "pass_by", 5.0, 20.0, 200.0, 10.0), (8, "nothing", "pump", "loiter", 5.0, 20.0, 200.0, 0.0)], "scene_id long, coarse string, subkind string, style string, closest_m double, q double, vr double, target_snr_db double")
-    a, b = (sorted(simulate.synthesise(plan.repartition(n), 2.0).collect()) for n in (1, 3))
-    assert a == b and [len(r["recorded_mv"]) for r in a] == [2000, 2000] and a[1]["n_emissions"] == 0
-    snr = 20 * np.log10(np.std(a[0]["clean_mv"]) / np.std(a[0]["noise_mv"]))
-    assert 5 < snr < 15
-
-
-def test_whole_plan_is_synthesised(spark, small):
-    from tidewin.functions import synth
-    from tidewin.plans.catalogue import QUERIES
-
-    plan = QUERIES["scene_plan"](spark, small).collect()
-    assert len({r["scene_id"] for r in plan}) == len(plan) and len({r["profile_id"] for r in plan}) == sum(f[1] for f in simulate.FAMILIES)
-    got = QUERIES["synthesise_scenes"](spark, small).collect()
-    assert sorted(r["scene_id"] for r in got) == sorted(r["scene_id"] for r in plan)
-    assert {r["n"] for r in got} == {int(6 * synth.FS)}

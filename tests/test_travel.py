@@ -11,7 +11,7 @@ from tidewin.session import session
 spark = session("away", "local[2]", spark__sql__shuffle__partitions="2", spark__ui__showConsoleProgress="false")
 spark.sparkContext.setLogLevel("OFF")
 from tidewin.plans.catalogue import QUERIES
-for name in ("features_all", "band_rms_fft", "synthesise_scenes", "streaming_n_of_m", "sql_window_function"):
+for name in ("features_all", "band_rms_fft", "bootstrap_ci_1000", "streaming_n_of_m", "sql_window_function"):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0, name
 print("all ran")
 """

@@ -38,7 +38,7 @@ def run_grid(base: dict, overrides: DataFrame, replicates: int, skip: DataFrame
     for k, v in base.items():
         t = t.withColumn(k, F.coalesce(F.col(k), F.lit(v)) if k in overrides.columns else F.lit(v))
     t = t.withColumn("run_id", F.format_string("%s_rep%d", "label", "replicate"))
-    return t.join(F.broadcast(skip), "run_id", "left_anti") if skip is not None else t
+    return t.join(skip, "run_id", "left_anti") if skip is not None else t
 
 
 def winners(df: DataFrame, by: str, tie: str, k: int, keys: list[str]) -> DataFrame:

@@ -63,10 +63,17 @@ def zone_soft(spark, d):
     return t.groupBy("zone", "zone3").agg(F.count("*").alias("n"), F.sum("o").alias("over_floor"), F.round(F.avg("soft"), 6).alias("soft"))
 
 
-@query("gates_theory", "SELECT cls, round(10 * log10(pow(CAST(p AS DOUBLE), 2) / (2 * CAST(3 AS DOUBLE) * b)), 4) AS gate_db FROM (VALUES ('human', CAST(70 AS DOUBLE), 2.5), ('animal', CAST(70 AS DOUBLE), 2.5), ('vehicle', CAST(20 AS DOUBLE), 2.5)) AS v(cls, b, p)")
+_CLS = "CASE WHEN coarse = 'A' THEN 'human' WHEN coarse = 'N' THEN 'animal' ELSE 'vehicle' END"
+
+
+@query("gates_theory", sql(LW, f"w AS (SELECT {_CLS} AS cls, CAST(qty AS BIGINT) % 5 + 1 AS t, snr FROM lw)",
+  "g AS (SELECT *, 10 * log10(pow(CAST(2.5 AS DOUBLE), 2) / (2 * CAST(t AS DOUBLE) * CASE WHEN cls = 'vehicle' THEN CAST(20 AS DOUBLE) ELSE CAST(70 AS DOUBLE) END)) AS gate FROM w)",
+  "SELECT cls, t, round(max(gate), 4) AS gate_db, count(*) AS n, count(*) FILTER (snr >= gate) AS over_gate FROM g GROUP BY cls, t"))
 def gates_theory(spark, d):
-    bands = spark.createDataFrame([("human", 70.0), ("animal", 70.0), ("vehicle", 20.0)], "cls string, b double")
-    return bands.select("cls", F.round(X.gate_db(2.5, 3.0, F.col("b")), 4).alias("gate_db"))
+    """Windows of one to five seconds against the gate that theory gives for their class's bandwidth and their length."""
+    w = lw(spark, d).select(F.when(F.col("coarse") == "A", "human").when(F.col("coarse") == "N", "animal").otherwise("vehicle").alias("cls"), (F.col("qty").cast("long") % 5 + 1).alias("t"), "snr")
+    gate = X.gate_db(2.5, F.col("t").cast("double"), F.when(F.col("cls") == "vehicle", 20.0).otherwise(70.0))
+    return w.withColumn("gate", gate).groupBy("cls", "t").agg(F.round(F.max("gate"), 4).alias("gate_db"), F.count("*").alias("n"), F.sum(F.when(F.col("snr") >= F.col("gate"), 1).otherwise(0)).cast("long").alias("over_gate"))
 
 
 @query("interval_merge", "WITH o AS (SELECT o_custkey AS k, epoch_us(o_orderdate) // 86400000000 AS a, epoch_us(o_orderdate) // 86400000000 + 20 + o_orderkey % 60 AS b FROM orders), n AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM o), g AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM n) SELECT k, min(a) AS a, max(b) AS b FROM g GROUP BY k, g")
@@ -78,19 +85,22 @@ def interval_merge(spark, d):
     return S.merge_intervals(o, ["k"], "a", "b")
 
 
-COSTS = [("S", 77, [48, 16], 16, 3, 4, False, [0.2, 0.15]), ("M", 77, [256, 128], 0, 3, 4, True, [0.1, 0.12]), ("L", 77, [512, 256, 128], 0, 3, 4, False, [0.1, 0.08, 0.07])]
+_NETS = """c AS (SELECT p_partkey AS net, 10 + p_size AS n_in, CASE WHEN p_partkey % 3 = 0 THEN [16 * (1 + p_partkey % 5)] ELSE [16 * (1 + p_partkey % 5), 8 * (1 + p_partkey % 7)] END AS w,
+  CASE WHEN p_size % 2 = 0 THEN 4 ELSE 0 END AS rank, 3 AS heads, 1 + p_size % 4 AS t, p_partkey % 4 = 0 AS once, [CAST(p_retailprice AS DOUBLE) / 10000, CAST(p_size AS DOUBLE) / 100] AS fire FROM part)"""
 
 
-@query("energy_cost", "WITH c AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i}, {w}, {r}, {h}, {t}, {str(o).lower()}, {[float(x) for x in f]}::DOUBLE[])" for n, i, w, r, h, t, o, f in COSTS) + """) AS v(name, n_in, w, rank, heads, t, once, fire)),
-m AS (SELECT name, 0 AS i, CASE WHEN rank > 0 THEN n_in * rank + rank * w[1] ELSE n_in * w[1] END AS macs, t, once, CAST(0 AS DOUBLE) AS rate FROM c
-  UNION ALL SELECT name, k, w[k] * CASE WHEN k = len(w) THEN heads ELSE w[k + 1] END, t, once, fire[k] FROM c CROSS JOIN range(1, 6) AS r(k) WHERE k <= len(w)),
-s AS (SELECT name, sum(macs) AS macs, sum(rate * t * macs) AS sops, max(CASE WHEN i = 0 THEN macs * CASE WHEN once THEN 1 ELSE t END END) AS stem FROM m GROUP BY name)
-SELECT name, CAST(macs AS BIGINT) AS macs, round(sops, 4) AS sops, round((stem * CAST(4.6 AS DOUBLE) + sops * CAST(0.9 AS DOUBLE)) / 1000000, 6) AS energy_uj, round(macs * CAST(4.6 AS DOUBLE) / (stem * CAST(4.6 AS DOUBLE) + sops * CAST(0.9 AS DOUBLE)), 6) AS ratio FROM s""")
+@query("energy_cost", sql(_NETS, """m AS (SELECT net, 0 AS i, CASE WHEN rank > 0 THEN n_in * rank + rank * w[1] ELSE n_in * w[1] END AS macs, t, once, CAST(0 AS DOUBLE) AS rate FROM c
+  UNION ALL SELECT net, k, w[k] * CASE WHEN k = len(w) THEN heads ELSE w[k + 1] END, t, once, fire[k] FROM c CROSS JOIN range(1, 3) AS r(k) WHERE k <= len(w))""",
+  "s AS (SELECT net, sum(macs) AS macs, sum(rate * t * macs) AS sops, max(CASE WHEN i = 0 THEN macs * CASE WHEN once THEN 1 ELSE t END END) AS stem FROM m GROUP BY net)",
+  "SELECT net, CAST(macs AS BIGINT) AS macs, round(sops, 4) AS sops, round((stem * CAST(4.6 AS DOUBLE) + sops * CAST(0.9 AS DOUBLE)) / 1000000, 6) AS energy_uj, round(macs * CAST(4.6 AS DOUBLE) / (stem * CAST(4.6 AS DOUBLE) + sops * CAST(0.9 AS DOUBLE)), 6) AS ratio FROM s"))
 def energy_cost(spark, d):
-    """Operations and energy of spiking networks, and the ratio to the same network without spikes."""
-    c = spark.createDataFrame(COSTS, "name string, n_in int, w array<int>, rank int, heads int, t int, once boolean, fire array<double>")
+    """Operations and energy of spiking networks, one per part, and the ratio to the same network without spikes."""
+    k16, k8 = (F.col("p_partkey") % 5 + 1) * 16, (F.col("p_partkey") % 7 + 1) * 8
+    c = read(spark, d, "part").select(
+        F.col("p_partkey").alias("net"), (10 + F.col("p_size")).alias("n_in"), F.when(F.col("p_partkey") % 3 == 0, F.array(k16)).otherwise(F.array(k16, k8)).cast("array<int>").alias("w"),
+        F.when(F.col("p_size") % 2 == 0, 4).otherwise(0).alias("rank"), F.lit(3).alias("heads"), (1 + F.col("p_size") % 4).alias("t"), (F.col("p_partkey") % 4 == 0).alias("once"), F.array(F.col("p_retailprice") / 10000, F.col("p_size") / 100.0).alias("fire"))
     k = P.cost_model(F.col("n_in"), F.col("w"), F.col("rank"), F.col("heads"), F.col("t"), F.col("once"), F.col("fire"))
-    return c.select("name", k["macs"].cast("long").alias("macs"), F.round(k["sops"], 4).alias("sops"), F.round(k["energy_uj"], 6).alias("energy_uj"), F.round(k["ratio"], 6).alias("ratio"))
+    return c.select("net", k["macs"].cast("long").alias("macs"), F.round(k["sops"], 4).alias("sops"), F.round(k["energy_uj"], 6).alias("energy_uj"), F.round(k["ratio"], 6).alias("ratio"))
 
 
 @query("plan_builder", "WITH c AS (SELECT s_nationkey AS cell, count(*) * 3 AS n, avg(s_acctbal) AS vs FROM supplier GROUP BY 1), k AS (SELECT cell, CAST(CASE WHEN vs >= 4000 THEN n ELSE 0 END AS BIGINT) AS n FROM c), b AS (SELECT cell, n, coalesce(sum(n) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k) SELECT cell, CAST(1000000 + before + j AS BIGINT) AS scene_id FROM b CROSS JOIN range(0, 1000) AS t(j) WHERE j < n")
@@ -101,11 +111,17 @@ def plan_builder(spark, d):
     return P.expand(c, "n", 1_000_000, ["cell"]).select("cell", "scene_id")
 
 
-@query("run_grid", "WITH o AS (SELECT * FROM (VALUES ('a', 64, NULL), ('b', NULL, CAST(0.01 AS DOUBLE)), ('c', 256, CAST(0.1 AS DOUBLE))) AS v(label, width, lr)), g AS (SELECT label, r AS replicate, coalesce(width, 128) AS width, coalesce(lr, CAST(0.001 AS DOUBLE)) AS lr, label || '_rep' || r AS run_id FROM o CROSS JOIN range(1, 4) AS t(r)) SELECT run_id, label, replicate, width, lr FROM g WHERE run_id <> 'b_rep2'")
+@query("run_grid", """WITH o AS (SELECT p_brand AS label, CASE WHEN count(*) % 2 = 0 THEN 64 + max(p_size) END AS width, CASE WHEN count(*) % 3 = 0 THEN CAST(min(p_size) AS DOUBLE) / 1000 END AS lr FROM part GROUP BY 1),
+  done AS (SELECT DISTINCT p_brand || '_rep' || (1 + p_partkey % 3) AS run_id FROM part WHERE p_size = 7),
+  g AS (SELECT label, r AS replicate, coalesce(width, 128) AS width, coalesce(lr, CAST(0.001 AS DOUBLE)) AS lr, label || '_rep' || r AS run_id FROM o CROSS JOIN range(1, 4) AS t(r))
+  SELECT run_id, label, replicate, width, lr FROM g ANTI JOIN done USING (run_id)""")
 def run_grid(spark, d):
-    o = spark.createDataFrame([("a", 64, None), ("b", None, 0.01), ("c", 256, 0.1)], "label string, width int, lr double")
-    skip = spark.createDataFrame([("b_rep2",)], "run_id string")
-    return P.run_grid({"width": 128, "lr": 0.001}, o, 3, skip).select("run_id", "label", F.col("replicate").cast("long").alias("replicate"), "width", "lr")
+    """Every brand's settings, three times each, without the runs that parts of size 7 say are done."""
+    part = read(spark, d, "part")
+    n = F.count("*")
+    o = part.groupBy(F.col("p_brand").alias("label")).agg(F.when(n % 2 == 0, 64 + F.max("p_size")).cast("int").alias("width"), F.when(n % 3 == 0, F.min("p_size").cast("double") / 1000).alias("lr"))
+    done = part.filter("p_size = 7").select(F.format_string("%s_rep%d", F.col("p_brand"), 1 + F.col("p_partkey") % 3).alias("run_id")).distinct()
+    return P.run_grid({"width": 128, "lr": 0.001}, o, 3, done).select("run_id", "label", F.col("replicate").cast("long").alias("replicate"), "width", "lr")
 
 
 @query("winner_rule", sql(LW, "r AS (SELECT condition, family, round(avg(CASE WHEN level > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 2) AS accuracy, round(avg(qty), 6) AS energy FROM lw GROUP BY ALL)", "SELECT condition, family, accuracy, energy, place FROM (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY accuracy DESC, energy) AS place FROM r) WHERE place <= 3"))

@@ -1,4 +1,4 @@
-"""Simulation queries (rows only) and the labelling of scenes end to end."""
+"""The labelling of scenes end to end, splits and summaries of scenes."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -7,37 +7,10 @@ from pyspark.sql.window import Window
 from ..functions import arrays as X
 from ..operators import joins as J
 from ..operators import series as S
-from ..operators import simulate as M
 from .registry import query
 from .views import EV, LW, SG, ev, lw, read, sg, sql
 
 
-@query("terrain_profiles")
-def terrain_profiles(spark, d):
-    """The library of profiles: one row each, layers as an array."""
-    return M.profiles(spark)
-
-
-KINDS = [("human", "walk"), ("human", "run"), ("human", "march"), ("vehicle", "car"), ("vehicle", "tracked"), ("animal", "dog"), ("animal", "horse"), ("nothing", "pump"), ("nothing", "apache"), ("nothing", "ambient")]
-
-
-def _plan(spark):
-    return M.plan(M.profiles(spark), spark.createDataFrame(KINDS, "coarse string, subkind string"), 1)
-
-
-@query("scene_plan")
-def scene_plan(spark, d):
-    return _plan(spark).select("scene_id", "profile_id", "coarse", "subkind", "style", F.round("target_snr_db", 6).alias("target_snr_db"), F.round("closest_m", 6).alias("closest_m"))
-
-
-@query("synthesise_scenes")
-def synthesise_scenes(spark, d):
-    """Waveforms of the whole plan, summarised."""
-    s = M.synthesise(_plan(spark).repartition(48, "scene_id"))
-    rms = lambda c: F.round(X.rms(F.transform(c, lambda v: v.cast("double"))), 4)
-    return s.select("scene_id", "n_emissions", F.size("recorded_mv").alias("n"), rms("clean_mv").alias("clean_rms"), rms("noise_mv").alias("noise_rms"))
-
-
 @query("stratified_split", "SELECT p_type AS family, greatest(1, CAST(round_even(count(*) * CAST(0.15 AS DOUBLE), 0) AS BIGINT)) AS n_test, greatest(1, CAST(round_even(count(*) * CAST(0.15 AS DOUBLE), 0) AS BIGINT)) AS n_val FROM part GROUP BY p_type")
 def stratified_split(spark, d):
     """Per family 15 % test, 15 % validation, the rest training, in the order of a hash."""
