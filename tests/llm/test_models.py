@@ -617,7 +617,7 @@ def test_labels_of_held_out_rows_change_nothing(spark, small):
     ("&amp;&lt;&eacute;&#x1F600; &bogus;", "&<é😀 &bogus;"),
     ("<p>a</p></p><div>b</span></div>", "a\n\nb"),
     ("<blockquote>q<p>r</blockquote>s", "  q\n\n  r\n\ns"),
-    ("<img alt='pic'> <input value=v><select><option>o1<option>o2</select>", "pic\no1\no2"),
+    ("<img alt='pic'> <input value=v><select><option>o1<option>o2</select>", "pic v\no1\no2"),
     ("", ""), (None, ""), ("   ", ""), ("no tags", "no tags"), ("<", "<"), ("<table>", ""),
 ])
 def test_html(html, text):
@@ -651,6 +651,21 @@ def test_html_rules(html, text):
     assert html_text.html_to_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("a<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><text>in</text><text>svg</text></svg>b", "a in svg b"), ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math>", "x=2"),
+    ("<input type=submit value=Go> <input type=submit> <input type=reset> <input type=hidden value=h><input type=checkbox value=c>", "Go Submit Reset"),
+    ("<input placeholder=name> <input value=v placeholder=p> <input type=password value=secret> <input type=image alt=pic> <textarea placeholder=say></textarea>", "name v pic say"), ("<textarea placeholder=say>said</textarea>", "said"),
+    ("<details>loose<summary>S</summary><p>body<summary>two</summary></details>x", "S\nx"), ("<details open><summary>S</summary>body</details>", "S\nbody"), ("<details><p>body</details>x", "x"),
+    ("<style>.x, #y { color:red; display:none }</style><p class='a x'>1</p><p id=y>2</p><p class=X>3</p>", "3"), ("<p class=x>1</p><i class=x>2</i>3<style>p.x{display:none}</style>", "23"),
+    ("<style>p{display:none} p{display:block}</style><p>1</p>", "1"), ("<style>.x{display:none} p{display:block}</style><p class=x>1</p>2", "2"), ("<style>.x{display:none}</style><p class=x style='display:block'>1</p>", "1"),
+    ("<style>.x{display:none !important}</style><p class=x style='display:block'>1</p>2", "2"), ("<style>@media print { .x { display:none } } .y{visibility:hidden}</style><b class=x>1</b><b class=y>2<i style='visibility:visible'>3</i></b>", "1 3"),
+    ("<style>/* .x{display:none} */ .a .x{display:none} .x:hover{display:none}</style><b class=x>1</b>", "1"), ("<style media=print>b{display:none}</style><template><style>b{display:none}</style></template><b>1</b>", "1"), ("<style>b{display:none</style><b>1", "1"),
+    ("<table><tr><td>日本語<td>b<tr><td>abc<td>d</table>", "日本語  b\nabc     d"), ("<table><tr><td>e\u0301<td>b<tr><td>ab<td>d</table>", "e\u0301   b\nab  d"), ("<progress>p</progress><ruby>a<rp>(</rp><rt>b</rt></ruby>", "ab"),
+])
+def test_html_visible_text(html, text):
+    assert html_text.html_to_text(html) == text
+
+
 TREE = st.recursive(st.sampled_from(["x1", " x2 ", "x3\n", " ", "x4 x5"]), lambda inner: st.tuples(st.sampled_from(["div", "p", "span", "b", "br", "section", "template"]), st.sampled_from(["", "", "display:none", "visibility:hidden", "visibility:visible", "color:red"]), st.lists(inner, max_size=4)), max_leaves=25)
 
 

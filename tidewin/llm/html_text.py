@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Generator, Iterator
 from heapq import heappop, heappush
@@ -16,7 +17,11 @@ from .textkernel import lean
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never shown.
-HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas datalist progress meter noframes noembed rp".split())
+#: Never shown inside a drawing or a formula.
+HIDDEN_IN = {"svg": frozenset("desc metadata defs symbol".split()), "math": frozenset("annotation annotation-xml".split())}
+#: Buttons show their value, or a word of their own.
+BUTTONS = {"submit": "Submit", "reset": "Reset", "button": ""}
 #: Blocks with a blank line around them, and blocks on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure form fieldset".split())
 PLAIN = frozenset("html body div section article aside nav header footer main address li dt dd tr caption center details summary figcaption legend hgroup menu search optgroup option thead tbody tfoot td th".split())
@@ -32,6 +37,10 @@ IMPLIED = {
 HEAD_ONLY = frozenset("head title meta link base style script template noscript".split())
 SCOPE = frozenset("table td th caption button object html".split())
 DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important\s*)?(?=;|$)", re.I)
+#: A style sheet: comments and statements without a block go; rules, and blocks inside at-rules, which aren't applied.
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+CSS_PART = re.compile(r"[^{}]*[{}]")
+SIMPLE = re.compile(r"(\*|[a-z][a-z0-9-]*)?((?:[.#][a-z_-][\w-]*)*)", re.I | re.A)
 WHITE = re.compile(r"[ \t\n\r\f]+")
 COMMENT_END = re.compile(r"--!?>")
 #: The largest colspan and rowspan of HTML.
@@ -39,31 +48,84 @@ MOST_COLUMNS, MOST_ROWS = 1_000, 65_534
 
 
 class Node:
-    """An element that is displayed; ``visible`` tells whether its own text can be seen."""
-    __slots__ = ("tag", "attrs", "children", "shown", "visible")
+    """An element that is displayed; ``visible`` tells whether its own text can be seen, ``folded`` that only a summary can."""
+    __slots__ = ("tag", "attrs", "children", "shown", "visible", "folded")
 
     def __init__(self, tag: str, attrs: dict[str, str | None], shown: bool = True, visible: bool = True):
-        self.tag, self.attrs, self.children, self.shown, self.visible = tag, attrs, [], shown, visible
+        self.tag, self.attrs, self.children, self.shown, self.visible, self.folded = tag, attrs, [], shown, visible, False
 
 
-def declared(style: str | None) -> dict[str, str]:
-    """``display`` and ``visibility`` of a style attribute: the last one counts, an important one first."""
+def declarations(style: str | None) -> dict[str, tuple[bool, str]]:
+    """``display`` and ``visibility`` of a list of declarations, with their importance: the last one counts, an important one first."""
     out: dict[str, tuple[bool, str]] = {}
     for m in DECLARED.finditer(style or ""):
         name, one = m[1].lower(), (bool(m[3]), m[2].lower())
         if one[0] or not out.get(name, (False,))[0]:
             out[name] = one
-    return {k: v for k, (_, v) in out.items()}
+    return out
+
+
+class Sheet:
+    """Rules on display and visibility whose selector is a tag, classes and an id, in any combination without combinators."""
+
+    def __init__(self, texts: list[str]):
+        self.rules: dict[tuple[str, str], list] = {}
+        n = 0
+        for text in texts:
+            selector, depth, skip = "", 0, None
+            for m in CSS_PART.finditer(CSS_COMMENT.sub(" ", text)):
+                part = m[0]
+                if part[-1] == "{":
+                    depth += 1
+                    selector = part[:-1].rsplit(";", 1)[-1].strip()
+                    if selector.startswith("@") and skip is None:
+                        skip = depth
+                    continue
+                if skip is None and depth == 1 and (found := declarations(part[:-1])):
+                    for one in selector.split(","):
+                        n += 1
+                        self._add(one.strip(), n, found)
+                if skip is not None and depth <= skip:
+                    skip = None
+                depth = max(0, depth - 1)
+
+    def _add(self, selector: str, n: int, found: dict) -> None:
+        m = SIMPLE.fullmatch(selector)
+        if not selector or not m:
+            return
+        tag = (m[1] or "*").lower()
+        names = re.findall(r"([.#])([^.#]+)", m[2])
+        ids, classes = {x for k, x in names if k == "#"}, {x for k, x in names if k == "."}
+        key = ("#", min(ids)) if ids else (".", min(classes)) if classes else ("", tag)
+        weight = (sum(k == "#" for k, _ in names), sum(k == "." for k, _ in names), tag != "*", n)
+        self.rules.setdefault(key, []).append((weight, tag, ids, classes, found))
+
+    def style(self, tag: str, attrs: dict[str, str | None]) -> dict[str, str]:
+        """What rules and the element's own style say: important ones first, then its own, then the most specific, then the last."""
+        own = declarations(attrs.get("style"))
+        best = {name: ((important, 1, ()), value) for name, (important, value) in own.items()}
+        if self.rules:
+            classes, name = set((attrs.get("class") or "").split()), attrs.get("id") or ""
+            for key in [("", "*"), ("", tag), ("#", name), *((".", c) for c in classes)]:
+                for weight, of, ids, needed, found in self.rules.get(key, ()):
+                    if of in ("*", tag) and ids <= {name} and needed <= classes:
+                        for what, (important, value) in found.items():
+                            rank = (important, 0, weight)
+                            if what not in best or rank > best[what][0]:
+                                best[what] = (rank, value)
+        return {k: v for k, (_, v) in best.items()}
 
 
 class Tree(HTMLParser):
     """Builds a tree of visible nodes; missing end tags are supplied, stray ones ignored."""
 
-    def __init__(self) -> None:
+    def __init__(self, sheet: Sheet | None = None) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
         self.count: dict[str, int] = {}
+        self.sheet = sheet or Sheet([])
+        self.styles: list[str] = []
 
     def pop_to(self, depth: int) -> None:
         while len(self.open) > depth:
@@ -97,11 +159,16 @@ class Tree(HTMLParser):
             self.close(*IMPLIED[tag])
         own = dict(reversed(attrs))  # of attributes with one name the first counts
         top = self.open[-1]
-        style = declared(own.get("style"))
+        style = self.sheet.style(tag, own)
         off = "hidden" in own or tag == "dialog" and "open" not in own
-        shown = top.shown and tag not in HIDDEN and tag != "input" and (style["display"] != "none" if "display" in style else not off)
+        shown = top.shown and tag not in HIDDEN and (style["display"] != "none" if "display" in style else not off)
+        for inside, never in HIDDEN_IN.items():
+            shown = shown and not (tag in never and self.count.get(inside))
+        if top.folded:  # of a closed details element the first summary alone is seen
+            shown = shown and tag == "summary" and not any(isinstance(x, Node) for x in top.children)
         visible = {"visible": True, "hidden": False, "collapse": False}.get(style.get("visibility", ""), top.visible)
         node = Node(tag, own, shown, visible)
+        node.folded = tag == "details" and "open" not in own
         if shown:
             top.children.append(node)
         if tag not in VOID:
@@ -131,8 +198,10 @@ class Tree(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         top = self.open[-1]
-        if top.shown:  # what can't be seen leaves a gap
+        if top.shown and not top.folded:  # what can't be seen leaves a gap
             top.children.append(data if top.visible else " ")
+        elif top.tag == "style" and not self.count.get("template") and (top.attrs.get("media") or "all").strip().lower() in ("all", "screen"):
+            self.styles.append(data)
 
     # The whole page is fed at once: what isn't closed goes to its end and shows nothing.
 
@@ -245,6 +314,26 @@ def rendered(root: Node) -> list[str]:
     return lines
 
 
+def _field(attrs: dict[str, str | None]) -> str:
+    """What an input element shows."""
+    kind = (attrs.get("type") or "text").strip().lower()
+    if kind in BUTTONS:
+        return attrs.get("value") if attrs.get("value") is not None else BUTTONS[kind]
+    if kind == "image":
+        return attrs.get("alt") or ""
+    hidden = kind in ("hidden", "checkbox", "radio", "file", "range", "color")
+    if kind == "password" or hidden:
+        return "" if hidden or attrs.get("value") else attrs.get("placeholder") or ""
+    return attrs.get("value") or attrs.get("placeholder") or ""
+
+
+def columns(line: str) -> int:
+    """How many columns a line takes: wide characters take two, marks that join others none."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if unicodedata.category(ch) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(ch) in "WF" else 1 for ch in line)
+
+
 def _number(value: str | None, other: int) -> int:
     return int(value) if value and re.fullmatch(r"\s*[+-]?\d{1,9}\s*", value, re.A) else other
 
@@ -273,6 +362,14 @@ def render(root: Node) -> Lines:
                 if node.attrs.get("alt") and node.visible:
                     page.text(node.attrs["alt"])
                 continue
+            if tag == "input":
+                if node.visible and (words := _field(node.attrs)):
+                    page.text(words)
+                continue
+            if tag == "textarea" and node.visible and not any(isinstance(x, str) and x.strip() for x in node.children):
+                page.text(node.attrs.get("placeholder") or "")
+            if tag == "text":  # words of a drawing stand apart
+                page.space = True
             if tag == "table":
                 page.block(1)
                 for line in (yield from grid(node)):
@@ -325,7 +422,7 @@ def render(root: Node) -> Lines:
             page.indent.pop()
         elif tag in ("blockquote", "dd"):
             page.indent.pop()
-        elif tag in ("td", "th"):
+        elif tag in ("td", "th", "text"):
             page.space = True
     return page.result()
 
@@ -512,7 +609,7 @@ def grid(node: Node) -> Lines:
     column = {x: k for k, x in enumerate(edges)}
     widths = Widths(max(0, len(edges) - 1))
     for a, b, lines in sorted(((column[a], column[b], lines) for cells in laid for a, b, lines in cells), key=lambda c: (c[1] - c[0], c[0])):
-        widths.need(a, b, max(map(len, lines), default=0) + 2)
+        widths.need(a, b, max(map(columns, lines), default=0) + 2)
     for cells in laid:
         places = [(widths.upto(column[a]), lines) for a, _, lines in cells]
         for i in range(max((len(lines) for _, lines in places), default=0)):
@@ -521,7 +618,7 @@ def grid(node: Node) -> Lines:
                 if i < len(lines) and lines[i]:
                     gap = " " * (start - end) if start >= end else "  "
                     parts.append(gap + lines[i])
-                    end += len(parts[-1])
+                    end += columns(parts[-1])
             out.append("".join(parts).rstrip(" "))
     return out
 
@@ -533,6 +630,10 @@ def html_to_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    if any("display" in x.lower() or "visibility" in x.lower() for x in tree.styles):  # rules may stand behind what they hide
+        tree = Tree(Sheet(tree.styles))
+        tree.feed(html)
+        tree.close()
     return "\n".join(rendered(tree.root)).strip("\n")
 
 
@@ -548,10 +649,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """page_id and text, one row per input row, repeated rows included; other columns are ignored.
 
     Visible text only: no scripts, styles, head, templates or fallback content, no element with ``hidden`` or
-    ``display:none``, no closed dialog; ``visibility`` is inherited and can be turned on again below. Paragraphs,
+    ``display:none``, no closed dialog, of closed details the first summary; ``visibility`` is inherited and can be
+    turned on again below. Style sheets of the page count where their selectors are tags, classes and ids; rules with
+    combinators, pseudo-classes or attributes and those inside at-rules aren't applied, nor are linked sheets and scripts.
+    Drawings and formulas give their text; fields and buttons their value, placeholder or word; a choice all its options. Paragraphs,
     headings, lists and tables stand between blank lines, other blocks on lines of their own; list items have
     markers (numbers follow ``start``, ``value`` and ``reversed``) and hanging indents; table cells are aligned by
-    column, spans included. Comments, tags and declarations that aren't closed go to the page's end and show
+    column, spans included, wide characters as two columns. Comments, tags and declarations that aren't closed go to the page's end and show
     nothing. Null and empty pages give the empty text, an empty table no rows. Pages never meet one another, so
     nothing is shuffled; depth of nesting is no limit, time is that of the page's length, and for nested tables of
     their lines times their depth.
