@@ -104,3 +104,13 @@ def test_scene_features_rows(spark):
     assert [(r["scene_id"], r["start"]) for r in rows] == [(1, s) for s in (0, 1500, 3000, 4500)]
     want = features.window_features(features.Scene(np.array(x)), 3000, ("legacy", "wpe"))
     assert all(rows[2][k] == pytest.approx(v, rel=1e-5, abs=1e-6) for k, v in want.items())
+
+
+def test_every_feature_is_compared_with_sql():
+    """All 132 names of the bank are outputs of a query that has SQL."""
+    from tidewin.plans import feature_sql as Q
+    from tidewin.plans.catalogue import ORACLE_SQL
+
+    names = {*Q.FILTERED, *Q.SPECTRAL, *Q.WINDOW, *features.feature_names(("cep", "wpe", "ar"))}
+    assert names == set(features.feature_names()) and len(names) == 132
+    assert {"features_filtered", "features_spectral", "features_window", "features_cepstral", "features_wavelet", "features_ar_higuchi"} <= set(ORACLE_SQL)

@@ -102,6 +102,28 @@ def spectral() -> list[str]:
     return [*BASE, *OVER, time, line, agg, shape, third, db, cent, lev, wide, both, *_comb("c", 25, 58, True), *_comb("h", 12, 22, False), f"SELECT scene_id, CAST(start AS INT) AS start, {cols} FROM tm {joins}"]
 
 
+#: What the window's samples and the whole spectrum say: level, shape, bursts, order in time.
+WINDOW = ["rms_total", "peak_to_peak", "variance", "zcr", "kurtosis", "skewness", "spectral_centroid", "spectral_bandwidth", "spectral_rolloff", "spectral_flatness", "spectral_entropy", "dominant_freq", "sta_lta_ratio", "mean_burst_len", "activity_concentration", "temporal_entropy", "burst_efficiency", "autocorr_250", "autocorr_500"]
+
+
+def window() -> list[str]:
+    tiny = "CAST(1e-10 AS DOUBLE)"
+    by = "GROUP BY scene_id, start"
+    level = f"lv AS MATERIALIZED (SELECT scene_id, start, avg(v) AS m, sqrt(avg(v * v)) AS rms, sum(v * v) AS energy, min(v) AS lo, max(v) AS hi, var_pop(v) AS variance, avg(abs(v)) AS level FROM win {by})"
+    moved = "mv AS MATERIALIZED (SELECT w.scene_id, w.start, n, v, m, rms, energy, lo, hi, lag(sign(v)) OVER o AS was, avg(abs(v)) OVER (PARTITION BY w.scene_id, w.start ORDER BY n ROWS 99 PRECEDING) AS sta, lead(v, 250) OVER o AS b250, lead(v, 500) OVER o AS b500, row_number() OVER (PARTITION BY w.scene_id, w.start ORDER BY v * v DESC) AS place FROM win w JOIN lv ON lv.scene_id = w.scene_id AND lv.start = w.start WINDOW o AS (PARTITION BY w.scene_id, w.start ORDER BY n))"
+    time = f"""tm AS (SELECT scene_id, start, count(*) FILTER (was <> sign(v)) / CAST(3000 AS DOUBLE) AS zcr, avg(pow(v - m, 4)) / pow(avg(pow(v - m, 2)), 2) - 3 AS kurtosis, avg(pow(v - m, 3)) / pow(avg(pow(v - m, 2)), CAST(1.5 AS DOUBLE)) AS skewness, max(sta) FILTER (n >= 99) AS sta,
+      sum(v * v) FILTER (place <= 750) / (max(energy) + {tiny}) AS activity_concentration, coalesce(sum(v * v) FILTER (abs(v) > rms), 0) / (max(energy) + {tiny}) AS burst_efficiency, corr(v, b250) FILTER (b250 IS NOT NULL) AS autocorr_250, corr(v, b500) FILTER (b500 IS NOT NULL) AS autocorr_500 FROM mv {by})"""
+    burst = f"""bu AS (SELECT scene_id, start, avg(len) AS mean_burst_len FROM (SELECT scene_id, start, g, count(*) AS len, min(n) AS first, max(n) AS last FROM (SELECT *, n - row_number() OVER (PARTITION BY scene_id, start ORDER BY n) AS g FROM mv WHERE abs(v) > rms) {by}, g) WHERE first > 0 AND last < 2999 {by})"""
+    bins = f"""hi AS (SELECT scene_id, start, bin, count(*) / (3000 * max((hi - lo) / 50)) AS d FROM (SELECT *, least(CAST(floor((v - lo) / (hi - lo) * 50) AS BIGINT), 49) AS bin FROM mv) {by}, bin)"""
+    spread = f"hs AS (SELECT scene_id, start, -sum(d / (t + {tiny}) * log2(d / (t + {tiny}) + {tiny})) AS temporal_entropy FROM (SELECT *, sum(d) OVER (PARTITION BY scene_id, start) AS t FROM hi) {by})"
+    total = f"tt AS MATERIALIZED (SELECT scene_id, start, sum(mag) + {tiny} AS total, sum(psd) + {tiny} AS power, sum(f * mag) / (sum(mag) + {tiny}) AS centre, exp(avg(ln(psd + {tiny}))) / (avg(psd) + {tiny}) AS flat, arg_min(f, k) FILTER (mag = top) AS dominant FROM (SELECT *, max(mag) OVER (PARTITION BY scene_id, start) AS top FROM sp) {by})"
+    shape = f"""ss AS (SELECT scene_id, start, sqrt(sum(pow(f - centre, 2) * mag) / max(total)) AS spectral_bandwidth, -sum(psd / power * log2(psd / power + {tiny})) AS spectral_entropy, coalesce(min(f) FILTER (run >= CAST(0.95 AS DOUBLE) * power), 500) AS spectral_rolloff
+      FROM (SELECT sp.*, total, power, centre, sum(psd) OVER (PARTITION BY scene_id, start ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM sp JOIN tt USING (scene_id, start)) {by})"""
+    named = {"rms_total": "rms", "peak_to_peak": "hi - lo", "spectral_centroid": "centre", "spectral_flatness": "flat", "dominant_freq": "dominant", "sta_lta_ratio": f"sta / (level + {tiny})", "mean_burst_len": "coalesce(mean_burst_len, 0)"}
+    cols = ", ".join(small(named.get(n, n), n) for n in WINDOW)
+    return [*BASE, level, moved, time, burst, bins, spread, total, shape, f"SELECT scene_id, CAST(start AS INT) AS start, {cols} FROM lv JOIN tm USING (scene_id, start) JOIN hs USING (scene_id, start) JOIN tt USING (scene_id, start) JOIN ss USING (scene_id, start) LEFT JOIN bu USING (scene_id, start)"]
+
+
 def _sections(zpk) -> list[tuple[float, float]]:
     """Denominators (a1, a2) of second-order sections, one per pair of conjugate poles."""
     return [(-2 * p.real, abs(p) ** 2) for p in sorted((p for p in zpk[1] if p.imag > 0), key=abs)]

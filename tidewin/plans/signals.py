@@ -30,6 +30,7 @@ def _features(name, groups, doc, oracle=None, only=None):
 
 _features("features_filtered", tuple(G.X.GROUPS), "What filters give: band levels, envelopes, modulation, impulses.", Q.filtered, Q.FILTERED)
 _features("features_spectral", ("legacy", "phys", "eng", "tonal", "stat2", "cooc"), "What comes from the window and its spectrum alone, without filters.", Q.spectral, Q.SPECTRAL)
+_features("features_window", ("legacy",), "Level, moments, bursts, order in time, and the whole spectrum's shape.", Q.window, Q.WINDOW)
 _features("features_cepstral", ("cep",), "Cepstra of two triangular banks.", Q.cepstra)
 _features("features_wavelet", ("wpe",), "Wavelet packet energies.", Q.wavelets)
 _features("features_ar_higuchi", ("ar",), "Autoregression and fractal dimension.", Q.autoregressive)
