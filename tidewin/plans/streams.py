@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch
+from ..streaming import event_time as E
 from ..streaming import operators as T
 from .registry import query
 from .series import OFF, ON, hyst_sql
@@ -43,3 +44,40 @@ def streaming_sliding_counts(spark, d):
 def streaming_sessions(spark, d):
     s = T.sessions(_stream(spark, d), "at", "recording", "8 hours", "1 hour")
     return _run(spark, s).select("recording", F.unix_micros("w.start").alias("start_us"), "n")
+
+
+MARK = "m AS (SELECT max(us) // 1000 * 1000 - 3600000000 AS mark FROM ev)"
+
+
+def _in_event_time(spark, d, plan):
+    with E.rocks(spark):
+        return _run(spark, plan(_shuffled_stream(spark, d)))
+
+
+def _shuffled_stream(spark, d):
+    """Four files, one a batch: events arrive up to 20 minutes after their time, out of order, none later than the watermark allows."""
+    path = scratch(spark, "stream-in")
+    e = ev(spark, d).select("recording", "us", "s_human", F.timestamp_micros("us").alias("at"), (F.col("us") + F.pmod(F.xxhash64("us"), F.lit(1_200_000_000))).alias("arrives"))
+    lo, hi = e.agg(F.min("arrives"), F.max("arrives")).first()
+    for k in range(4):  # one after the other, as files are read in the order of their writing
+        part = F.floor((F.col("arrives") - lo) * 4 / (hi - lo + 1)) == k
+        e.filter(part).coalesce(1).sortWithinPartitions("arrives").drop("arrives").write.mode("append").parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("streaming_hysteresis_event_time", sql(EV, hyst_sql("h", "ev", "recording", "s_human", ON, OFF), MARK, "SELECT recording, us, is_on FROM h CROSS JOIN m WHERE us <= mark"))
+def streaming_hysteresis_event_time(spark, d):
+    """Rows out of order, in several batches: what the watermark has passed is what the set-based form gives."""
+    return _in_event_time(spark, d, lambda s: E.hysteresis(s, "recording", "at", "s_human", 0.8, 0.5, "1 hour", 10**13)).select("recording", "us", "is_on")
+
+
+@query("streaming_n_of_m_event_time", sql(EV, MARK, "n AS (SELECT recording, us, sum(CAST(s_human > CAST(0.6 AS DOUBLE) AS INT)) OVER (PARTITION BY recording ORDER BY t0_s, pos ROWS 2 PRECEDING) >= 2 AS is_on FROM ev)", "SELECT recording, us, is_on FROM n CROSS JOIN m WHERE us <= mark"))
+def streaming_n_of_m_event_time(spark, d):
+    return _in_event_time(spark, d, lambda s: E.n_of_m(s, "recording", "at", "s_human", 0.6, 2, 3, "1 hour", 10**13)).select("recording", "us", "is_on")
+
+
+@query("streaming_tumbling_counts", sql(EV, MARK, "SELECT label, us // 86400000000 * 86400000000 AS start_us, count(*) AS n FROM ev CROSS JOIN m WHERE us // 86400000000 * 86400000000 + 86400000000 <= mark GROUP BY 1, 2"))
+def streaming_tumbling_counts(spark, d):
+    """Closed days only."""
+    c = T.sliding_counts(_stream(spark, d), "at", ["label"], "1 day", "1 day", "1 hour")
+    return _run(spark, c).select("label", F.unix_micros("w.start").alias("start_us"), "n")
