@@ -210,3 +210,11 @@ def stratified_sample(spark, d):
     from ..operators.sampling import sample_strata
 
     return sample_strata(lw(spark, d), ["coarse", "condition"], 0.1, ["station", "profile", "snr", "qty"]).groupBy("coarse", "condition").agg(F.count("*").alias("quota"))
+
+
+@query("thin_bins", sql(LW, "h AS (SELECT coarse, level, snr, CAST(least(greatest(floor((snr + 30) / 5), 0), 9) AS BIGINT) AS bin FROM lw)", "c AS (SELECT coarse, bin, count(*) AS n, round(count(*) FILTER (level > 0) / CAST(count(*) AS DOUBLE), 6) AS presence, round(count(*) FILTER (snr < -10) / CAST(count(*) AS DOUBLE), 6) AS sub_floor FROM h GROUP BY coarse, bin)", "SELECT *, n < 300 AS thin FROM c"))
+def thin_bins(spark, d):
+    """Presence and sub-floor shares by class and 5 dB bin; bins with under 300 windows are marked as thin."""
+    h = lw(spark, d).withColumn("bin", A.bin_of(F.col("snr"), -30, 5, 10, clip=True).cast("long"))
+    part = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
+    return h.groupBy("coarse", "bin").agg(F.count("*").alias("n"), part(F.col("level") > 0).alias("presence"), part(F.col("snr") < -10).alias("sub_floor")).withColumn("thin", F.col("n") < 300)

@@ -51,6 +51,15 @@ def auroc_one_vs_rest(spark, d):
     return A.auroc(f, "v", F.col("coarse") == F.col("cls"), ["cls", "i"]).groupBy("cls").agg(F.round(F.max("auc"), 6).alias("max_auc"))
 
 
+@query("feature_choice", sql(SG, SG_LONG, FEATURES, rank_sql("f", "feature", "v", "y"), "ch AS (SELECT feature FROM au WHERE abs(round(auc, 6) - CAST(0.5 AS DOUBLE)) >= CAST(0.02 AS DOUBLE) AND feature % 4 <> 3)", "SELECT CAST(feature AS BIGINT) AS feature, count(*) AS n, round(avg(v), 6) + 0 AS mean FROM f JOIN ch USING (feature) GROUP BY feature"))
+def feature_choice(spark, d):
+    """Features that a scorecard marks as telling classes apart and as representatives; the others' rows aren't read on."""
+    f = sg_long(sg(spark, d))
+    card = A.auroc(f, "v", F.col("coarse") != "nothing", ["i"]).select("i", (F.abs(F.round("auc", 6) - 0.5) >= 0.02).alias("discriminative"), (F.col("i") % 4 != 3).alias("is_rep"))
+    chosen = f.join(card.filter("discriminative AND is_rep"), "i", "left_semi")
+    return chosen.groupBy(F.col("i").cast("long").alias("feature")).agg(F.count("*").alias("n"), (F.round(F.avg("v"), 6) + 0.0).alias("mean"))
+
+
 STRATA = "b AS (SELECT *, CAST(floor(snr / CAST(5 AS DOUBLE)) AS BIGINT) AS bin FROM lw)"
 
 

@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import readers, sinks
+from ..sources import formats, readers, sinks
 from ..sources.scratch import scratch
 from .registry import query
-from .views import EV, ev, read, sql
+from .views import EV, SG, ev, read, sg, sql
 
 
 @query("upsert_rows", "WITH n AS (SELECT c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey + 1000000, 0 FROM customer WHERE c_custkey % 97 = 0) SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT c_custkey, round(c_acctbal, 2) FROM n")
@@ -84,3 +84,87 @@ def delete_where(spark, d):
 def recording_keys(spark, d):
     """Parts of composite names."""
     return read(spark, d, "part").groupBy(F.split("p_name", " ")[0].alias("head")).agg(F.count("*").alias("n"))
+
+
+@query("shard_scan", "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY l_returnflag")
+def shard_scan(spark, d):
+    """Twelve shards, read in the order of their numbers, two columns of them."""
+    return _shards(spark, d, None).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@query("first_shards", "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem WHERE l_orderkey % 12 < 3 GROUP BY l_returnflag")
+def first_shards(spark, d):
+    """Only the first three shards are opened: shard 10 isn't among them, though its name sorts before shard 2's."""
+    return _shards(spark, d, 3).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+def _shards(spark, d, first):
+    path = scratch(spark, "shards")
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag").withColumn("shard", F.concat(F.lit("shard_"), F.col("l_orderkey") % 12))
+    rows.repartition(4, "shard").write.partitionBy("shard").parquet(path)
+    return readers.shards(spark, path, r"shard=shard_\d+", ["l_quantity", "l_returnflag", "no such column"], first)
+
+
+@query("json_lines", "SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal, c_acctbal < 0 AS owes FROM customer")
+def json_lines(spark, d):
+    """Objects written one a line and read by a stated schema."""
+    path = scratch(spark, "json")
+    c = read(spark, d, "customer").select("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"), (F.col("c_acctbal") < 0).alias("owes"))
+    c.select(F.to_json(F.struct(*c.columns))).write.text(path)
+    return spark.read.schema("c_custkey bigint, c_name string, c_acctbal double, owes boolean").json(path)
+
+
+@query("optional_files", "SELECT count(*) AS n, CAST(2 AS BIGINT) AS rejected FROM nation")
+def optional_files(spark, d):
+    """A table beside two that aren't there: what loads is united, the others are named with the reason."""
+    good, bad = readers.with_rejects(spark, [f"{d}/nation.parquet", f"{d}/no-such-table.parquet", f"{d}/neither.parquet"], lambda s, path: s.read.parquet(path))
+    return good.agg(F.count("*").alias("n")).withColumn("rejected", F.lit(len([b for b in bad if b[1] == "missing"])).cast("long"))
+
+
+@query("cached_table", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
+def cached_table(spark, d):
+    """Built once; the second call reads what is there."""
+    path = scratch(spark, "cached")
+    build = lambda: read(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    readers.cached(spark, path, build)
+
+    def again():
+        raise AssertionError("built twice")
+
+    return readers.cached(spark, path, again)
+
+
+@query("registered_dataset", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def registered_dataset(spark, d):
+    return readers.load(spark, "parquet", f"{d}/nation.parquet").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+
+
+@query("content_hashes", "SELECT c_custkey, sha256(c_name) AS sha256, md5(c_name || '|' || CAST(c_custkey AS VARCHAR)) AS md5 FROM customer")
+def content_hashes(spark, d):
+    return read(spark, d, "customer").select("c_custkey", F.sha2("c_name", 256).alias("sha256"), F.md5(F.concat_ws("|", "c_name", F.col("c_custkey").cast("string"))).alias("md5"))
+
+
+@query("manifest_append", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 < 2 OR o_orderkey % 2 = 0")
+def manifest_append(spark, d):
+    """Two overlapping batches, the second one sent twice: each key is there once."""
+    path = scratch(spark, "manifest")
+    o = read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    for part in ("o_orderkey % 3 < 2", "o_orderkey % 2 = 0", "o_orderkey % 2 = 0"):
+        sinks.append_new(o.filter(part), path, ["o_orderkey"])
+    return spark.read.parquet(path)
+
+
+@query("netcdf_variables", sql(SG, "SELECT scene_id, CAST(len(x) AS BIGINT) AS n, round(x[1], 6) AS first, round(list_sum(x), 6) + 0 AS total FROM sg"))
+def netcdf_variables(spark, d):
+    """Every scene as the bytes of a NetCDF file with two variables, and one of them read from the bytes again."""
+    import pyarrow as pa
+
+    def encode(batches):
+        for b in batches:
+            data = [formats.netcdf_bytes({"index": range(len(x)), "amplitude": x}) for x in b.column("x").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("scene_id").cast(pa.string()), pa.array(data, pa.binary())], names=["path", "content"])
+
+    files = sg(spark, d).select("scene_id", "x").mapInArrow(encode, "path string, content binary")
+    x = readers.decoded(files, formats.netcdf_decoder("amplitude"))
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    return x.select(F.col("path").cast("long").alias("scene_id"), F.size("x").cast("long").alias("n"), F.round(F.col("x")[0], 6).alias("first"), (F.round(total, 6) + 0.0).alias("total"))

@@ -84,6 +84,11 @@ def labelled_files(spark: SparkSession, path: str) -> DataFrame:
 
 def decode_files(spark: SparkSession, path: str, decoder: Callable[[bytes], list[float]]) -> DataFrame:
     """path and x: each file's bytes through ``decoder``, in Arrow batches."""
+    return decoded(spark.read.format("binaryFile").load(path).select("path", "content"), decoder)
+
+
+def decoded(files: DataFrame, decoder: Callable[[bytes], list[float]]) -> DataFrame:
+    """path and x of a table of files (path, content)."""
     import pyarrow as pa
 
     def run(batches):
@@ -91,7 +96,7 @@ def decode_files(spark: SparkSession, path: str, decoder: Callable[[bytes], list
             for i in range(b.num_rows):
                 yield pa.RecordBatch.from_arrays([b.column("path").slice(i, 1), pa.array([list(map(float, decoder(b.column("content")[i].as_py())))], pa.list_(pa.float64()))], names=["path", "x"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, x array<double>")
+    return files.mapInArrow(run, "path string, x array<double>")
 
 
 def npy_decoder(data: bytes) -> list[float]:
