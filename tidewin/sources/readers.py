@@ -195,7 +195,7 @@ class SqliteReader(DataSourceReader):
             parts = min(self.parts, n)
             starts = [c.execute(f'SELECT rowid FROM "{self.table}" ORDER BY rowid LIMIT 1 OFFSET ?', (k * n // parts,)).fetchone()[0] for k in range(parts)]
             last = c.execute(f'SELECT max(rowid) FROM "{self.table}"').fetchone()[0]
-        return [InputPartition((a, b - 1)) for a, b in zip(starts, [*starts[1:], (last or 0) + 1], strict=True)]
+        return [InputPartition((a, b - 1)) for a, b in zip(starts, [*starts[1:], last + 1], strict=True)] if n else []
 
     def read(self, partition):
         import sqlite3
