@@ -200,6 +200,8 @@ class SqliteReader(DataSourceReader):
     def read(self, partition):
         import sqlite3
 
+        if partition is None:  # what Spark gives when there are no partitions
+            return
         cols = ", ".join('"' + c.replace('"', '""') + '"' for c in self.columns)
         where = "rowid BETWEEN ? AND ?" + (f" AND ({self.where})" if self.where else "")
         with sqlite3.connect(self.path) as c:
