@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stage
 
@@ -18,24 +19,24 @@ def _hot(edges: DataFrame, n: int) -> DataFrame | None:
     return hot if hot.count() else None
 
 
-def _with_least(edges: DataFrame, least: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """``edges`` with their u's row of ``least``. Hot nodes' rows are broadcast, so their edges aren't brought together."""
+def _with_least(edges: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``edges`` plus m, the least v of their u. A node's edges meet in one place, but those of hot nodes: their m is broadcast."""
+    m = F.min("v").over(Window.partitionBy("u"))
     if hot is None:
-        return edges.join(least, "u")
-    few = least.join(F.broadcast(hot), "u", "left_semi")
-    return edges.join(F.broadcast(few), "u").unionByName(edges.join(F.broadcast(hot), "u", "left_anti").join(least.join(F.broadcast(hot), "u", "left_anti"), "u"))
+        return edges.withColumn("m", m)
+    own = edges.join(F.broadcast(hot), "u")
+    few = own.groupBy("u").agg(F.min("v").alias("m"))  # one row a hot node
+    return own.join(F.broadcast(few), "u").unionByName(edges.join(F.broadcast(hot), "u", "left_anti").withColumn("m", m))
 
 
 def _large_star(edges: DataFrame, hot: DataFrame | None) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _with_least(both.filter("v > u"), least, hot).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, hot).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame, hot: DataFrame | None) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = _with_least(edges, least, hot).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    """The larger neighbours move to the least one; the edge to that one says that the node itself does."""
+    return _with_least(edges, hot).select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
 
 
 def _clean(edges: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, comp (the smallest node that it reaches) for every node of an edge; loops and nulls are ignored.
 
-    Each step is two combined aggregates and two joins; the edge set never grows beyond its first size, and
+    Each step is two windows over nodes and two distincts, four shuffles in all; the edge set never grows beyond its first size, and
     every step's edges are staged in the shared folder, so a lost executor costs one step at most. Only a
     count and a checksum come to the driver.
     """
