@@ -57,12 +57,9 @@ def permutation_importance(model, df: DataFrame, row_id: str, x: str, y: str, n:
     def dealt(k: int) -> DataFrame:
         return sums_before(rows.withColumn("_h", F.xxhash64(F.lit(seed + k), "_id")), [], "_h", ["_n"])
 
-    def changed(k: int):
-        return F.transform("_x", lambda v, i: F.when(i == k, F.get("_other", F.lit(k))).otherwise(v))
-
     both = dealt(0).join(dealt(1).select(F.col("_x").alias("_other"), "_n_before"), "_n_before")
-    mixed = F.array(*[changed(k) for k in range(-1, n)])
-    t = both.select("label", F.posexplode(mixed).alias("_k", "_v")).withColumn("feature", F.col("_k") - 1)
+    t = both.select("label", "_x", "_other", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))).alias("feature"))
+    t = t.withColumn("_v", F.transform("_x", lambda v, i: F.when(i == F.col("feature"), F.get("_other", F.col("feature"))).otherwise(v)))
     p = model.transform(t.withColumn("features", array_to_vector("_v")))
     scores = balanced_accuracy(p, "label", "prediction", ["feature"])
     base = scores.filter("feature = -1").select(F.col("balanced_accuracy").alias("_base"))

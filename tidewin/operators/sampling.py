@@ -1,7 +1,7 @@
 """Deterministic sampling: quotas per stratum, caps per group, holdouts by key."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +22,26 @@ def holdout(df: DataFrame, key: str, fraction: float, seed: int = 0, out: str =
     return df.withColumn(out, F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(fraction * 1_000_000))
 
 
+def text_hash(seed: int, *identity: str) -> Column:
+    """32 hexadecimal digits of a seed and an identity, which other engines give as well."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in identity]))
+
+
+def sample_capped(df: DataFrame, keys: list[str], identity: list[str], most: int, seed: int = 0) -> DataFrame:
+    """``most`` rows of each key at most, drawn without replacement: those with the least ``text_hash`` of ``identity``.
+
+    The limit reaches the tasks before the shuffle, so a key of any size sends ``most`` rows a task at most.
+    """
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(text_hash(seed, *identity), *identity))
+    return df.withColumn("_at", at).filter(F.col("_at") <= most).drop("_at")
+
+
+def holdout_groups(df: DataFrame, key: str, fraction: float, seed: int = 0, out: str = "held_out") -> DataFrame:
+    """Adds ``out``: whether the row's key is held out, by the first eight digits of its ``text_hash``. A null key isn't."""
+    share = F.conv(F.substring(text_hash(seed, key), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    return df.withColumn(out, F.col(key).isNotNull() & (share < fraction))
+
+
 def round_robin(df: DataFrame, n: int, order: list[str], keys: list[str] | None = None, out: str = "shard") -> DataFrame:
     """Adds ``out``: the row's place in its key's order modulo n."""
     return df.withColumn(out, (F.row_number().over(Window.partitionBy(*(keys or [])).orderBy(*order)) - 1) % n)

@@ -8,7 +8,7 @@ from ..functions.scalars import sigmoid
 from ..operators import sampling as P
 from .arrays import _power, dft_sql
 from .registry import query
-from .views import EV, SG, SG_LONG, ev, sg, sg_long, sql
+from .views import EV, LW, SG, SG_LONG, ev, lw, sg, sg_long, sql
 
 
 @query("random_folds", sql(EV, "n AS (SELECT recording, count(*) AS n FROM ev GROUP BY recording)", "SELECT recording, f AS fold, (n - f + 4) // 5 AS n FROM n CROSS JOIN range(0, 5) AS t(f)"))
@@ -25,6 +25,18 @@ def cap_by_kind(spark, d):
     return P.cap_by(ev(spark, d), ["recording", "label"], ["pos"], F.try_element_at(caps, F.col("label"))).groupBy("label").agg(F.count("*").alias("n"), F.sum("pos").alias("s"))
 
 
+@query("sample_per_class", sql(EV, "r AS (SELECT label, event_id, row_number() OVER (PARTITION BY label ORDER BY md5('3|' || event_id), event_id) AS k FROM ev)", "SELECT label, event_id FROM r WHERE k <= 40"))
+def sample_per_class(spark, d):
+    """Forty windows of each class, without replacement, in the order of a hash."""
+    return P.sample_capped(ev(spark, d), ["label"], ["event_id"], 40, 3).select("label", "event_id")
+
+
+@query("group_holdout", sql(LW, "h AS (SELECT *, CAST('0x' || substr(md5('5|' || profile), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) < CAST(0.2 AS DOUBLE) AS held_out FROM lw)", "SELECT held_out, count(*) AS n, count(DISTINCT profile) AS profiles FROM h GROUP BY held_out"))
+def group_holdout(spark, d):
+    """A fifth of the profiles is held out, with all of their windows."""
+    return P.holdout_groups(lw(spark, d), "profile", 0.2, 5).groupBy("held_out").agg(F.count("*").alias("n"), F.countDistinct("profile").alias("profiles"))
+
+
 @query("presence_from_logits", sql(EV, "SELECT label, round(avg(1 / (1 + exp(-(4 * s_human - 2)))), 6) AS human, round(avg(1 / (1 + exp(-(4 * s_vehicle - 2)))), 6) AS vehicle FROM ev GROUP BY label"))
 def presence_from_logits(spark, d):
     return ev(spark, d).groupBy("label").agg(F.round(F.avg(sigmoid(4 * F.col("s_human") - 2)), 6).alias("human"), F.round(F.avg(sigmoid(4 * F.col("s_vehicle") - 2)), 6).alias("vehicle"))

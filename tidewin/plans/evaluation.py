@@ -291,6 +291,6 @@ def permutation_importance(spark, d):
     """Fall of the balanced accuracy when one feature's values are dealt anew among the held-out rows."""
     from ..operators import learning as L
 
-    s = sg(spark, d).select("scene_id", F.slice("x", 1, 8).alias("x"), (F.col("coarse") != "nothing").cast("double").alias("y"), "split")
+    s = sg(spark, d).select("scene_id", "x", (F.col("coarse") != "nothing").cast("double").alias("y"), "split")
     model = L.fit("logistic", s.filter("split = 'train'"), "x", "y")
-    return L.permutation_importance(model, staged(s.filter("split = 'val'"), "held-out"), "scene_id", "x", "y", 8)
+    return L.permutation_importance(model, staged(s.filter("split = 'val'"), "held-out"), "scene_id", "x", "y", 64)
