@@ -3,8 +3,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .cells import running_max
@@ -152,30 +156,85 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
-#: Values (queries times their length) of a block of queries that is broadcast.
+#: Values (vectors times their length) of a block of queries or rows, and of the distances that a task has at a time.
 BLOCK_VALUES = 2_000_000
+DISTANCES = 4_000_000
+#: Pairs of blocks that a join is cut into if there is enough of it, so that small tables are many tasks' work too.
+PAIRS = 48
 
 
 def nearest(queries: DataFrame, rows: DataFrame, q_id: str, q_vec: str, r_id: str, r_vec: str, k: int, carry: list[str], block_values: int = BLOCK_VALUES) -> DataFrame:
-    """q_id, r_id, d2, place and ``carry`` columns of the k nearest rows of each query, exact; ties by r_id.
+    """q_id, place, d2, r_id and ``carry`` columns of the k nearest rows of each query, exact; ties by r_id.
 
-    ``queries`` is a stated set. It's counted and taken in blocks of at most about ``block_values`` values, dealt by
-    a hash of the id; each block is broadcast and meets all rows, and a task keeps no more than k rows a query
-    before anything is shuffled. Only one block's pairs exist at a time in a task.
+    Both sides are dealt to blocks of at most about ``block_values`` values by a hash of the id, and each pair of blocks
+    is a task's work: it gives k rows a query at most, and only these are ranked. Vectors that are null, hold a null or
+    are of another length than the query have no distance (null) and come last.
     """
-    q = queries.select(F.col(q_id).alias("q_id"), F.col(q_vec).alias("_qv"))
-    values = q.agg(F.sum(F.size("_qv"))).first()[0] or 0
-    blocks = max(1, -(-int(values) // block_values))
-    out = None
-    for b in range(blocks):
-        part = q.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b) if blocks > 1 else q
-        near = _nearest_of_block(part, rows, r_id, r_vec, k, carry)
-        out = near if out is None else out.unionAll(near)
-    return out
-
-
-def _nearest_of_block(q: DataFrame, rows: DataFrame, r_id: str, r_vec: str, k: int, carry: list[str]) -> DataFrame:
-    pairs = rows.select(F.col(r_id).alias("r_id"), F.col(r_vec).alias("_rv"), *carry).join(F.broadcast(q), F.lit(True))
-    scored = pairs.select("q_id", F.struct(squared_distance(F.col("_qv"), F.col("_rv")).alias("d2"), F.col("r_id"), *carry).alias("s"))
-    place = F.row_number().over(Window.partitionBy("q_id").orderBy("s.d2", "s.r_id"))
-    return scored.withColumn("place", place).filter(F.col("place") <= k).select("q_id", "place", "s.*")
+    q = queries.select(F.col(q_id).alias("q_id"), F.col(q_vec).cast("array<double>").alias("_qv"))
+    r = rows.select(F.col(r_id).alias("r_id"), F.col(r_vec).cast("array<double>").alias("_rv"), *carry)
+    size = lambda df, v: int(df.agg(F.sum(F.size(v))).first()[0] or 0)
+    of_q, of_r = size(q, "_qv"), size(r, "_rv")
+    n_q = max(1, -(-of_q // block_values))
+    n_r = max(1, -(-of_r // block_values), min(-(-PAIRS // n_q), -(-of_r // max(1, block_values // 16))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = q.select("*", block("q_id", n_q).alias("_q"), every(n_r).alias("_r")).repartition(n_q * n_r, "_q", "_r")
+    right = r.select("*", block("r_id", n_r).alias("_r"), every(n_q).alias("_q")).repartition(n_q * n_r, "_q", "_r")
+    fields = [q.schema["q_id"], T.StructField("d2", T.DoubleType()), *[f for f in r.schema if f.name != "_rv"]]
+    near = left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r")).applyInArrow(_nearest_of_blocks(k, carry), T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.asc_nulls_last("d2"), "r_id"))
+    return near.withColumn("place", place).filter(F.col("place") <= k).select("q_id", "place", "d2", "r_id", *carry)
+
+
+def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of all vectors, where each begins, and its length (-1: null, or holds a null)."""
+    v = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    n = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = v.flatten()
+    ends = np.cumsum(n)
+    missing = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+    bad = v.is_null().to_numpy(zero_copy_only=False) | (missing[ends] > missing[ends - n])
+    return flat.to_numpy(zero_copy_only=False).astype(float), ends - n, np.where(bad, -1, n)
+
+
+def _nearest_of_blocks(k: int, carry: list[str]):
+    """The k nearest rows of a block for each query of a block: products tell who can be among them, sums of squares decide."""
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        (qv, q_at, q_n), (rv, r_at, r_n) = _vectors(left["_qv"]), _vectors(right["_rv"])
+        by_id = np.asarray(pc.sort_indices(right["r_id"]), np.int64)
+        rank = np.empty(len(by_id), np.int64)
+        rank[by_id] = np.arange(len(by_id))
+        found = []
+        for n in np.unique(q_n):
+            qs, rs = np.flatnonzero(q_n == n), by_id[r_n[by_id] == n] if n >= 0 else by_id[:0]
+            rest = by_id[~np.isin(by_id, rs)][: max(0, k - len(rs))]  # rows without a distance, if the others aren't enough
+            found.append((np.repeat(qs, len(rest)), np.tile(rest, len(qs)), np.full(len(qs) * len(rest), np.nan), np.zeros(len(qs) * len(rest), bool)))
+            if not len(rs):
+                continue
+            x, y = qv[q_at[qs][:, None] + np.arange(n)], rv[r_at[rs][:, None] + np.arange(n)]
+            with np.errstate(over="ignore", invalid="ignore"):
+                y2, step = (y * y).sum(1), max(1, DISTANCES // len(rs))
+                for i in range(0, len(qs), step):
+                    b = x[i : i + step]
+                    b2 = (b * b).sum(1)
+                    near2 = b2[:, None] + y2[None, :] - 2 * (b @ y.T)
+                    # what isn't finite is always looked at; the rest within the rounding of both sums
+                    near2[~np.isfinite(near2)] = -np.inf
+                    slack = 16 * (n + 8) * np.finfo(float).eps * (b2 + y2[np.isfinite(y2)].max(initial=0.0))
+                    counted = np.where(near2 == -np.inf, np.inf, near2)
+                    last = np.partition(counted, k - 1, 1)[:, k - 1] if len(rs) > k else np.full(len(b), np.inf)
+                    q, r = np.nonzero(near2 <= np.where(np.isfinite(slack), last + slack, np.inf)[:, None])
+                    d2 = np.zeros(len(q))
+                    for j in range(n):  # in the components' order, as a plain loop adds
+                        e = b[q, j] - y[r, j]
+                        d2 += e * e
+                    o = np.lexsort((rank[rs[r]], d2, q))
+                    q, r, d2 = q[o], r[o], d2[o]
+                    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                    found.append((qs[i + q[keep]], rs[r[keep]], d2[keep], np.ones(int(keep.sum()), bool)))
+        q, r, d2, there = (np.concatenate(p) if found else np.zeros(0, t) for p, t in zip(zip(*found) if found else [()] * 4, (np.int64, np.int64, float, bool), strict=True))
+        rows = right.select(["r_id", *carry]).take(pa.array(r, pa.int64()))
+        return pa.table([left["q_id"].take(pa.array(q, pa.int64())), pa.array(d2, pa.float64(), mask=~there), *rows.columns], names=["q_id", "d2", "r_id", *carry])
+
+    return near
