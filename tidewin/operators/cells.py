@@ -28,21 +28,37 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def deal(df: DataFrame, order: list[str], cells: int | None = None) -> DataFrame:
+def deal(df: DataFrame, order: list[str], cells: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """``df`` plus ``_cell``, rising with the first order column (a number), if there is more than one; else ``df``.
 
-    Cells of all series together are of like size: their bounds are rank splitters, so neither one long series nor a
-    crowded hour fills a cell. Rows that tie in the first order column are of one cell. A null one is in the first, as it
-    comes first. A table that is dealt already stays.
+    With ``keys``, only series of more than ``CELL_ROWS`` rows are cut, and if there is none, ``df`` stays; the others are
+    whole, in cell 0. A table that is cut is staged, as each message reads it once more: what made it runs once.
+    Cells of all series that are cut are of like size together: their bounds are rank splitters, so neither one long series
+    nor a crowded hour fills a cell. Rows that tie in the first order column are of one cell. A null one is in the first, as
+    it comes first. A table that is dealt already stays.
     """
     if "_cell" in df.columns:
         return df
-    if cells is None:
-        if planned_bytes(df) < SMALL_BYTES:
-            return df
-        cells = min(CELLS, -(-df.count() // CELL_ROWS))
-    bounds = splitters(df, order[0], cells)
-    return df.withColumn("_cell", cell_of(order[0], bounds)) if bounds else df
+    if cells is None and planned_bytes(df) < SMALL_BYTES:
+        return df
+    if keys is None:
+        bounds = splitters(df, order[0], cells or min(CELLS, -(-df.count() // CELL_ROWS)))
+        return df.withColumn("_cell", cell_of(order[0], bounds)) if bounds else df
+    # at most one row of ``long`` per CELL_ROWS rows of the table
+    long = staged(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CELL_ROWS), "long-series")
+    rows = long.agg(F.sum("_n")).first()[0]
+    if not rows:
+        return df
+    long = long.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.lit(True).alias("_long"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    of = [f"_of_{k}" for k in keys]
+    bounds = splitters(df.join(F.broadcast(long), same), order[0], cells or min(CELLS, -(-int(rows) // CELL_ROWS)))
+    if not bounds:
+        return df
+    cell = F.when(F.col("_long"), cell_of(order[0], bounds)).otherwise(0)
+    return staged(df.join(F.broadcast(long), same, "left").withColumn("_cell", cell).drop(*of, "_long"), "cells")
 
 
 def dealt(df: DataFrame) -> bool:
@@ -90,9 +106,12 @@ def back(df: DataFrame, was: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names, *([] if dealt(was) else ["_cell"]))
 
 
-def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos", total: str | None = None) -> DataFrame:
-    """Adds ``out``, each row's place in its series from 0, and ``total``, the series' number of rows."""
-    t = deal(df, order)
+def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos", total: str | None = None, ready: bool = False) -> DataFrame:
+    """Adds ``out``, each row's place in its series from 0, and ``total``, the series' number of rows.
+
+    ``ready``, here and below: ``df`` comes from ``deal``, which needn't look for long series again.
+    """
+    t = df if ready else deal(df, order, keys=keys)
     w = inside(t, keys, order)
     at = F.row_number().over(w) - 1
     if not dealt(t):
@@ -102,9 +121,10 @@ def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos"
     return back(t.withColumn(out, (F.coalesce("_rows_of_earlier", F.lit(0)) + at).cast("long")), df, "_rows_of_earlier")
 
 
-def running_sum(df: DataFrame, amount: Column, keys: list[str], order: list[str], out: str, before: bool = False) -> DataFrame:
+def running_sum(df: DataFrame, amount: Column, keys: list[str], order: list[str], out: str, before: bool = False, ready: bool = False) -> DataFrame:
     """Adds ``out``: the sum of ``amount`` over the series' rows up to this one (``before``: without it)."""
-    t = deal(df.withColumn("_amount", amount), order)
+    t = df.withColumn("_amount", amount)
+    t = t if ready else deal(t, order, keys=keys)
     w = inside(t, keys, order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     own = F.coalesce(F.sum("_amount").over(w), F.lit(0))
     if not dealt(t):
@@ -115,7 +135,7 @@ def running_sum(df: DataFrame, amount: Column, keys: list[str], order: list[str]
 
 def running_max(df: DataFrame, value: Column, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Adds ``out``: the largest ``value`` of the series' rows up to this one; nulls don't count."""
-    t = deal(df.withColumn("_amount", value), order)
+    t = deal(df.withColumn("_amount", value), order, keys=keys)
     own = F.max("_amount").over(inside(t, keys, order).rowsBetween(Window.unboundedPreceding, 0))
     if not dealt(t):
         return t.withColumn(out, own).drop("_amount")
@@ -123,10 +143,10 @@ def running_max(df: DataFrame, value: Column, keys: list[str], order: list[str],
     return back(t.withColumn(out, F.greatest(own, "_most_of_earlier")), df, "_amount", "_most_of_earlier")
 
 
-def running_last(df: DataFrame, wanted: dict[str, Column], keys: list[str], order: list[str]) -> DataFrame:
+def running_last(df: DataFrame, wanted: dict[str, Column], keys: list[str], order: list[str], ready: bool = False) -> DataFrame:
     """Adds a column per entry of ``wanted``: its last value that isn't null, up to this row. All share one sort."""
     names = {n: f"_event_{i}" for i, n in enumerate(wanted)}
-    t = deal(df, order).withColumns({names[n]: c for n, c in wanted.items()})
+    t = (df if ready else deal(df, order, keys=keys)).withColumns({names[n]: c for n, c in wanted.items()})
     w = inside(t, keys, order).rowsBetween(Window.unboundedPreceding, 0)
     last = {n: F.last(e, ignorenulls=True).over(w) for n, e in names.items()}
     if not dealt(t):
@@ -136,9 +156,9 @@ def running_last(df: DataFrame, wanted: dict[str, Column], keys: list[str], orde
     return t.select(*df.columns, *[F.coalesce(c, f"_was_{names[n]}").alias(n) for n, c in last.items()])
 
 
-def previous(df: DataFrame, value: Column, keys: list[str], order: list[str], out: str) -> DataFrame:
+def previous(df: DataFrame, value: Column, keys: list[str], order: list[str], out: str, ready: bool = False) -> DataFrame:
     """Adds ``out``: the value of the series' row before; NULL at its first row."""
-    t = deal(df, order).withColumn("_value", value)
+    t = (df if ready else deal(df, order, keys=keys)).withColumn("_value", value)
     w = inside(t, keys, order)
     if not dealt(t):
         return t.withColumn(out, F.lag("_value").over(w)).drop("_value")
@@ -185,14 +205,14 @@ def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(a), pa.array(b)], names=[*keep, "_a", "_b"])
 
 
-def recurrence(df: DataFrame, a: Column, b: Column, keys: list[str], order: list[str], out: str, start: float = 0.0) -> DataFrame:
+def recurrence(df: DataFrame, a: Column, b: Column, keys: list[str], order: list[str], out: str, start: float = 0.0, ready: bool = False) -> DataFrame:
     """Adds ``out``: y = a*y(before) + b along each series, from ``start``. Null coefficients leave y as it is (a 1, b 0).
 
     Maps compose, so a cell is a map: rows get the map from their cell's beginning, each series' cells (CELLS at most)
     are folded in order, and a row's value is its map of what its cell begins with. Values differ from a plain loop by
     rounding alone.
     """
-    t = deal(df, order).withColumns({"_a": F.coalesce(a.cast("double"), F.lit(1.0)), "_b": F.coalesce(b.cast("double"), F.lit(0.0))})
+    t = (df if ready else deal(df, order, keys=keys)).withColumns({"_a": F.coalesce(a.cast("double"), F.lit(1.0)), "_b": F.coalesce(b.cast("double"), F.lit(0.0))})
     cell = ["_cell"] if dealt(t) else []
     t = t.withColumn("_seg", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], *[F.col(k).isNull() for k in keys], *cell)) if keys or cell else t.withColumn("_seg", F.lit(0).cast("long"))
     kept = [f for f in t.schema if f.name not in ("_a", "_b", "_seg")]

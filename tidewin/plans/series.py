@@ -84,11 +84,9 @@ def n_of_m(spark, d):
 @query("n_of_m_sweep", sql(EV, "s AS (" + " UNION ALL ".join(f"SELECT '{n}of{m}' AS spec, label, {nm_sql(n, m)} AS is_on FROM ev" for n, m in ((2, 3), (3, 5), (4, 7))) + ")",
   "SELECT spec, count(*) FILTER (is_on) AS n_on, round(count(*) FILTER (is_on AND label = 'human') / CAST(count(*) FILTER (label = 'human') AS DOUBLE), 6) AS recall FROM s GROUP BY spec"))
 def n_of_m_sweep(spark, d):
-    """All specifications in one pass: the windows share their partitioning."""
-    e = ev(spark, d)
+    """All specifications in one pass: the windows share their partitioning and their sort."""
     specs = [(2, 3), (3, 5), (4, 7)]
-    for n, m in specs:
-        e = S.n_of_m(e, F.col("s_human") > 0.6, n, m, KEY, ORDER, f"{n}of{m}")
+    e = S.n_of_m_each(ev(spark, d), F.col("s_human") > 0.6, {f"{n}of{m}": (n, m) for n, m in specs}, KEY, ORDER)
     long = e.select("label", F.expr(f"stack({len(specs)}, " + ", ".join(f"'{n}of{m}', `{n}of{m}`" for n, m in specs) + ") AS (spec, is_on)"))
     c = lambda x: F.sum(F.when(F.expr(x), 1).otherwise(0))
     return long.groupBy("spec").agg(c("is_on").cast("long").alias("n_on"), F.round(F.try_divide(c("is_on AND label = 'human'").cast("double"), c("label = 'human'").cast("double")), 6).alias("recall"))

@@ -26,11 +26,11 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select(
         "event_id", F.col("user_id").alias("recording"), "event_type", "value", micros("ts").alias("us"),
         F.get_json_object("props", "$.k").cast("double").alias("k"))
-    e = deal(e, ["us"])
+    e = deal(e, ["us"], keys=["recording"])
     first = F.min("us").over(Window.partitionBy("recording"))
-    if dealt(e):  # a long table: recordings are cut into cells
+    if dealt(e):  # long recordings are cut into cells
         e, first = carried(e, ["recording"], first_us=(F.min("us"), "all_min")), F.col("first_us")
-    e = positions(e, ["recording"], ["us", "event_id"])
+    e = positions(e, ["recording"], ["us", "event_id"], ready=True)
     label = F.when(F.col("event_type") == "purchase", "vehicle").when(F.col("event_type") == "signup", "human").when(F.col("event_type") == "error", "animal").otherwise("nothing")
     return e.select(
         "event_id", "recording",
