@@ -80,8 +80,9 @@ def amplitude_ratios(spark, d):
 def context_split_leaks(spark, d):
     """Contexts whose rows lie in different splits: the count must be 0 in a sound split, here it isn't."""
     e = ev(spark, d).select("recording", "pos", ((F.floor(F.col("pos") / 10) % 3) == 0).alias("val"))
-    c = S.context(e, 3, ["recording"], "pos", 1.0)
-    c = S.running_last(S.previous(c, F.col("val"), ["recording"], ["pos"], "was"), {"changed": F.when(F.col("was") != F.col("val"), F.col("pos"))}, ["recording"], ["pos"])
+    c = S.context(S.deal(e, ["pos"], keys=["recording"]), 3, ["recording"], "pos", 1.0)
+    c = S.previous(c, F.col("val"), ["recording"], ["pos"], "was", ready=True)
+    c = S.running_last(c, {"changed": F.when(F.col("was") != F.col("val"), F.col("pos"))}, ["recording"], ["pos"], ready=True)
     leak = F.col("changed") > F.col("context")[0]  # behind the context's first row
     return c.agg(F.count("*").alias("n_windows"), F.sum(F.when(leak, 1).otherwise(0)).cast("long").alias("leaks"))
 
