@@ -32,19 +32,29 @@ def hysteresis(spark, d):
 @query("hysteresis_sweep", sql(EV, "fr AS (SELECT CAST(i AS DOUBLE) / CAST(10 AS DOUBLE) AS frac FROM range(4, 11) AS t(i))", f"evf AS (SELECT ev.*, frac, {ON} * frac AS t_off FROM ev CROSS JOIN fr)", hyst_sql("h", "evf", "frac, recording", "s_human", ON, "t_off"),
   """SELECT frac, count(*) FILTER (is_on) AS n_on, round(count(*) FILTER (is_on AND label = 'human') / CAST(count(*) FILTER (label = 'human') AS DOUBLE), 6) AS recall, round(count(*) FILTER (is_on AND label = 'nothing') / CAST(count(*) FILTER (label = 'nothing') AS DOUBLE), 6) AS far FROM h GROUP BY frac"""))
 def hysteresis_sweep(spark, d):
-    """Off thresholds at 0.4 to 1.0 of the on threshold."""
-    g = D.grid(ev(spark, d), "frac", [i / 10 for i in range(4, 11)])
-    h = S.hysteresis(g, F.col("s_human"), F.lit(0.8), F.lit(0.8) * F.col("frac"), ["frac", "recording"], ORDER, "is_on")
+    """Off thresholds at 0.4 to 1.0 of the on threshold: switches of one sort; no row is multiplied before it."""
+    fracs = [i / 10 for i in range(4, 11)]
+    turns = {f"on_{i}": (F.col("s_human"), F.lit(0.8), F.lit(0.8) * F.lit(f)) for i, f in enumerate(fracs)}
+    h = S.switches(ev(spark, d), turns, KEY, ORDER)
+    h = h.select("label", F.inline(F.array(*[F.struct(F.lit(f).alias("frac"), F.col(f"on_{i}").alias("is_on")) for i, f in enumerate(fracs)])))
     n = lambda e: F.sum(F.when(F.expr(e), 1).otherwise(0))
     return h.groupBy("frac").agg(n("is_on").cast("long").alias("n_on"), F.round(F.try_divide(n("is_on AND label = 'human'").cast("double"), n("label = 'human'").cast("double")), 6).alias("recall"), F.round(F.try_divide(n("is_on AND label = 'nothing'").cast("double"), n("label = 'nothing'").cast("double")), 6).alias("far"))
 
 
-def _three_way(df, keys):
-    for h in HAV:
-        df = S.hysteresis(df, F.col(f"s_{h}"), F.col(f"tau_{h}"), F.col(f"tau_{h}") * F.col("exit"), keys, ORDER, f"on_{h}")
-    on = {h: F.when(F.col(f"on_{h}"), F.col(f"s_{h}")) for h in HAV}
-    best = F.greatest(*on.values())
-    return df.withColumn("decided", F.when(on["human"] == best, "human").when(on["animal"] == best, "animal").when(on["vehicle"] == best, "vehicle").otherwise("nothing"))
+EXITS3 = [0.4, 0.7, 1.0]
+
+
+def _three_way(spark, d):
+    """exit, label, decided: the switches of all heads and exits are last turns over one sort; no row is multiplied before it."""
+    turns = {f"on_{h}_{x}": (F.col(f"s_{h}"), F.col(f"tau_{h}"), F.col(f"tau_{h}") * F.lit(e)) for h in HAV for x, e in enumerate(EXITS3)}
+    t = S.switches(_with_taus(spark, d), turns, KEY, ORDER)
+    each = []
+    for x, e in enumerate(EXITS3):
+        on = {h: F.when(F.col(f"on_{h}_{x}"), F.col(f"s_{h}")) for h in HAV}
+        best = F.greatest(*on.values())
+        decided = F.when(on["human"] == best, "human").when(on["animal"] == best, "animal").when(on["vehicle"] == best, "vehicle").otherwise("nothing")
+        each.append(F.struct(F.lit(e).alias("exit"), decided.alias("decided")))
+    return t.select("label", F.inline(F.array(*each)))
 
 
 GRID3 = ["evx AS (SELECT evt.*, exit_ AS exit FROM evt CROSS JOIN (VALUES (CAST(0.4 AS DOUBLE)), (CAST(0.7 AS DOUBLE)), (CAST(1 AS DOUBLE))) AS v(exit_))",
