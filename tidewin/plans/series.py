@@ -68,16 +68,14 @@ GRID3 = ["evx AS (SELECT evt.*, exit_ AS exit FROM evt CROSS JOIN (VALUES (CAST(
 @query("hysteresis_3way", sql(EV, TAU, EVT, *GRID3, "SELECT exit, label, decided, count(*) AS n FROM dc GROUP BY exit, label, decided"))
 def hysteresis_3way(spark, d):
     """Independent heads, the strongest that is on; three exits."""
-    g = D.grid(_with_taus(spark, d), "exit", [0.4, 0.7, 1.0])
-    return D.confusion(_three_way(g, ["exit", "recording"]), "label", "decided", ["exit"])
+    return D.confusion(_three_way(spark, d), "label", "decided", ["exit"])
 
 
 @query("hyst_exit_select", sql(EV, TAU, EVT, *GRID3, "ac AS (SELECT exit, avg(CASE WHEN label = decided THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS accuracy FROM dc GROUP BY exit)",
   "SELECT exit, round(accuracy, 6) AS accuracy, row_number() OVER (ORDER BY round(accuracy, 9) DESC, exit DESC) = 1 AS chosen FROM ac"))
 def hyst_exit_select(spark, d):
     """The exit with the best accuracy; at a tie the largest."""
-    g = _three_way(D.grid(_with_taus(spark, d), "exit", [0.4, 0.7, 1.0]), ["exit", "recording"])
-    a = g.groupBy("exit").agg(F.avg(F.when(F.col("label") == F.col("decided"), 1.0).otherwise(0.0)).alias("accuracy"))
+    a = _three_way(spark, d).groupBy("exit").agg(F.avg(F.when(F.col("label") == F.col("decided"), 1.0).otherwise(0.0)).alias("accuracy"))
     best = a.agg(F.max(F.struct(F.round("accuracy", 9).alias("a"), F.col("exit").alias("e"))).alias("m")).select(F.col("m.e").alias("top"))
     return a.crossJoin(F.broadcast(best)).select("exit", F.round("accuracy", 6).alias("accuracy"), (F.col("exit") == F.col("top")).alias("chosen"))
 
