@@ -98,10 +98,15 @@ def first_shards(spark, d):
     return _shards(spark, d, 3).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 
+#: Rows that a task which writes shards is meant to hold.
+SHARD_ROWS = 1_000_000
+
+
 def _shards(spark, d, first):
     path = scratch(spark, "shards")
     rows = read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag").withColumn("shard", F.concat(F.lit("shard_"), F.col("l_orderkey") % 12))
-    rows.repartition(4, "shard").write.partitionBy("shard").parquet(path)
+    tasks = max(4, -(-rows.count() // SHARD_ROWS))  # each sorts its rows by shard: a shard is a file a task
+    rows.repartition(tasks, "l_orderkey").write.partitionBy("shard").parquet(path)
     return readers.shards(spark, path, r"shard=shard_\d+", ["l_quantity", "l_returnflag", "no such column"], first)
 
 
