@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch
+from ..sources.readers import list_files
+from ..sources.scratch import scratch, staged
 from ..streaming import event_time as E
 from ..streaming import operators as T
 from .registry import query
@@ -54,15 +55,26 @@ def _in_event_time(spark, d, plan):
         return _run(spark, plan(_shuffled_stream(spark, d)))
 
 
+#: Rows that a file of a batch is meant to hold.
+FILE_ROWS = 500_000
+
+
 def _shuffled_stream(spark, d):
-    """Four files, one a batch: events arrive up to 20 minutes after their time, out of order, none later than the watermark allows."""
+    """Four batches: events arrive up to 20 minutes after their time, out of order, none later than the watermark allows.
+
+    A batch is as many files as its rows need, the same number for all batches.
+    """
     path = scratch(spark, "stream-in")
     e = ev(spark, d).select("recording", "us", "s_human", F.timestamp_micros("us").alias("at"), (F.col("us") + F.pmod(F.xxhash64("us"), F.lit(1_200_000_000))).alias("arrives"))
-    lo, hi = e.agg(F.min("arrives"), F.max("arrives")).first()
+    e = staged(e, "arrivals")
+    lo, hi, n = e.agg(F.min("arrives"), F.max("arrives"), F.count("*")).first()
+    files = max(1, -(-n // (4 * FILE_ROWS)))
     for k in range(4):  # one after the other, as files are read in the order of their writing
-        part = F.floor((F.col("arrives") - lo) * 4 / (hi - lo + 1)) == k
-        e.filter(part).coalesce(1).sortWithinPartitions("arrives").drop("arrives").write.mode("append").parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part = e.filter(F.floor((F.col("arrives") - lo) * 4 / (hi - lo + 1)) == k).drop("arrives")
+        part.repartition(files).write.mode("append").parquet(path)
+        for _ in range((k + 1) * files - len(list_files(spark, path, r"part-.*"))):  # a task without rows writes none
+            spark.createDataFrame([], part.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(part.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("streaming_hysteresis_event_time", sql(EV, hyst_sql("h", "ev", "recording", "s_human", ON, OFF), MARK, "SELECT recording, us, is_on FROM h CROSS JOIN m WHERE us <= mark"))
