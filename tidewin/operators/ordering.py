@@ -13,6 +13,8 @@ from ..sources.scratch import staged
 #: is spread over so many tasks.
 CELL_ROWS = 50_000
 CELLS = 2048
+#: A sketch of a key's values errs by one in so many ranks; a quantile is looked for twice as far around it.
+SKETCH = 10_000
 
 
 def splitters(rows: DataFrame, value: str, cells: int) -> list[float]:
@@ -139,6 +141,26 @@ def value_at(rank: DataFrame, keys: list[str], value: str, place, out: str) -> D
     return near.groupBy(*keys).agg((low + (high - low) * (at - F.floor(at))).alias(out))
 
 
+def quantile_near(rows: DataFrame, keys: list[str], value: str, p: float, out: str) -> DataFrame:
+    """keys and ``out``: the interpolated quantile at the share ``p``, exact; of all values only those around it are ranked.
+
+    ``rows`` is cheap to read again, and has no null in ``value``. A sketch gives two values around the quantile. What is
+    below and between them is counted, so it is known whether the quantile lies there; if not (keys of few rows),
+    all values of the key are ranked. The result has a row a key and is staged, so that the planner knows its size.
+    """
+    v = F.col(value)
+    bounds = F.percentile_approx(v, [max(p - 2 / SKETCH, 0.0), min(p + 2 / SKETCH, 1.0)], SKETCH)
+    near = staged(rows.groupBy(*keys).agg(F.count("*").alias("_all"), bounds.alias("_q")), "near")
+    near = near.select(*keys, "_all", F.col("_q")[0].alias("_low"), F.col("_q")[1].alias("_high"))
+    one = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    seen = rows.join(near, keys).groupBy(*keys, "_all", "_low", "_high").agg(one(v < F.col("_low")).alias("_below"), one(v <= F.col("_high")).alias("_upto"))
+    place = p * (F.col("_all") - 1)
+    seen = seen.withColumn("_there", (F.floor(place) >= F.col("_below")) & (F.ceil(place) < F.col("_upto")))
+    seen = staged(seen.select(*keys, "_low", "_high", "_there", (place - F.when(F.col("_there"), F.col("_below")).otherwise(0)).alias("_place")), "near-bounds")
+    few = rows.join(seen, keys).filter(~F.col("_there") | v.between(F.col("_low"), F.col("_high"))).select(*keys, value)
+    return staged(value_at(ranked(few, keys, value).join(seen, keys), keys, value, F.col("_place"), out), "near-value")
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: list[float] | int, cells: int | None = None) -> DataFrame:
     """keys, p, q: linearly interpolated quantiles, exact at any size; null values are left out.
 

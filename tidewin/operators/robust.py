@@ -5,24 +5,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import staged
-from .ordering import exact_quantiles, named_quantiles, quantile_columns, ranked, value_at
+from .ordering import exact_quantiles, named_quantiles, quantile_columns, quantile_near, ranked
 
 
 def trimmed_p99(df: DataFrame, value: str, keys: list[str], k: float = 5.0, least: int = 10) -> DataFrame:
     """keys, n, n_kept, p99: of the values up to median + k*MAD if more than ``least`` are, else of all.
 
-    Keys may be many, so their rows are joined as the planner finds by size. The values are ranked once and staged: what is kept is a prefix of the ranks, so its quantile is a rank too.
+    Keys may be many, so their rows are joined as the planner finds by size. The values are staged; each of the three
+    quantiles is found among the few values around it, so no task counts or sorts those of a key.
     """
-    rank = staged(ranked(df, keys, value), "trim")
-    m = rank.join(value_at(rank, keys, value, 0.5 * (F.col("n_all") - 1), "_m"), keys)
-    dev = ranked(m.select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_dev"), "n"), keys, "_dev", "n")
-    mad = value_at(dev, keys, "_dev", 0.5 * (F.col("n_all") - 1), "_d")
-    kept = F.col(value) <= F.col("_m") + k * F.col("_d")
-    counts = m.join(mad, keys).groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("n_kept"))
+    rows = staged(df.select(*keys, F.col(value).alias("_v")).filter("_v IS NOT NULL"), "trim")
+    m = rows.join(quantile_near(rows, keys, "_v", 0.5, "_m"), keys).withColumn("_dev", F.abs(F.col("_v") - F.col("_m")))
+    limit = m.join(quantile_near(m, keys, "_dev", 0.5, "_d"), keys)
+    kept = F.col("_v") <= F.col("_m") + k * F.col("_d")
+    counts = limit.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(kept, 1).otherwise(0)).alias("n_kept"))
     counts = staged(counts, "trim-counts")
-    used = F.when(F.col("n_kept") > least, F.col("n_kept")).otherwise(F.col("_n"))
-    p99 = value_at(rank.join(counts, keys), keys, value, 0.99 * (used - 1), "p99")
-    return counts.join(p99, keys).select(*keys, F.col("_n").alias("n"), "n_kept", "p99")
+    used = limit.join(counts, keys).filter(kept | (F.col("n_kept") <= least)).select(*keys, "_v")
+    return counts.join(quantile_near(used, keys, "_v", 0.99, "p99"), keys).select(*keys, "n", "n_kept", "p99")
 
 
 def structure_votes(df: DataFrame, row: str, feature: str, value: str, background: Column, p: float = 0.95) -> DataFrame:
