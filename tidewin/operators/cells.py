@@ -135,12 +135,19 @@ def running_sum(df: DataFrame, amount: Column, keys: list[str], order: list[str]
 
 def running_max(df: DataFrame, value: Column, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Adds ``out``: the largest ``value`` of the series' rows up to this one; nulls don't count."""
-    t = deal(df.withColumn("_amount", value), order, keys=keys)
-    own = F.max("_amount").over(inside(t, keys, order).rowsBetween(Window.unboundedPreceding, 0))
+    return running_max_each(df, {out: value}, keys, order)
+
+
+def running_max_each(df: DataFrame, wanted: dict[str, Column], keys: list[str], order: list[str], ready: bool = False) -> DataFrame:
+    """``running_max`` for several columns (name: value) that share one sort."""
+    names = {n: f"_amount_{i}" for i, n in enumerate(wanted)}
+    t = (df if ready else deal(df, order, keys=keys)).withColumns({names[n]: c for n, c in wanted.items()})
+    w = inside(t, keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    own = {n: F.max(c).over(w) for n, c in names.items()}
     if not dealt(t):
-        return t.withColumn(out, own).drop("_amount")
-    t = carried(t, keys, _most_of_earlier=(F.max("_amount"), "max"))
-    return back(t.withColumn(out, F.greatest(own, "_most_of_earlier")), df, "_amount", "_most_of_earlier")
+        return t.select(*df.columns, *[c.alias(n) for n, c in own.items()])
+    t = carried(t, keys, **{f"_most{c}": (F.max(c), "max") for c in names.values()})
+    return t.select(*df.columns, *[F.greatest(c, f"_most{names[n]}").alias(n) for n, c in own.items()])
 
 
 def running_last(df: DataFrame, wanted: dict[str, Column], keys: list[str], order: list[str], ready: bool = False) -> DataFrame:

@@ -46,28 +46,31 @@ _METRICS = ", ".join([
 def hysteresis_3way_grid(spark, d):
     """Independent heads over four entries, eleven exits, with and without the animal head, on all and on cleaned windows.
 
-    No row is multiplied before the windows: the switches of all entries and exits are last turns over one
-    sort, and their decisions are counted as an array of 88 per row, combined before the shuffle.
+    Of a row and an entry, how many exits each head holds and how the scores compare decide at all exits: rows are
+    counted by these, and only the counts are laid over exits and variants. The thresholds, 12 numbers, are literals.
     """
     e = ev(spark, d)
     heads = VARIANTS["full"]
     quiet = e.filter("label = 'nothing'")
-    taus = D.head_edges(quiet, {f"t_{h}": f"s_{h}" for h in heads}, [1 - f for f in ENTRIES]).select(*[F.reverse(f"t_{h}").alias(f"t_{h}") for h in heads])
-    turns = {f"on_{h}_{k}_{x}": (F.col(f"s_{h}"), F.col(f"t_{h}")[k], F.col(f"t_{h}")[k] * F.lit(EXITS[10 - x])) for h in heads for k in range(len(ENTRIES)) for x in range(11)}
-    t = S.switches(e.crossJoin(F.broadcast(taus)), turns, ["recording"], ["t0_s", "pos"])
-    t = t.select("label", "event_id", *[f"s_{h}" for h in heads], *turns)
-    cells = []
-    for variant, use in VARIANTS.items():
-        for k in range(len(ENTRIES)):
-            for x in range(11):
-                on = {h: F.when(F.col(f"on_{h}_{k}_{x}"), F.col(f"s_{h}")) for h in use}
-                best = F.greatest(*on.values())
-                decided = F.lit("nothing")
-                for h in reversed(use):
-                    decided = F.when(on[h] == best, h).otherwise(decided)
-                cells.append(F.struct(F.lit(variant).alias("variant"), F.lit(k).alias("entry"), F.lit(x).alias("exit_tenths"), decided.alias("decided")))
-    c = t.select("label", (F.col("event_id") % 5 != 0).alias("clean"), F.inline(F.array(*cells)))
-    n = c.groupBy("variant", "entry", "exit_tenths", "label", "decided").agg(F.count("*").alias("all"), F.sum(F.col("clean").cast("int")).alias("cleaned"))
+    taus = D.head_edges(quiet, {h: f"s_{h}" for h in heads}, [1 - f for f in ENTRIES]).first()
+    tau = {(h, k): taus[h] and taus[h][len(ENTRIES) - 1 - k] for h in heads for k in range(len(ENTRIES))}
+    number = lambda x: F.lit(x).cast("double")
+    turns = {f"{h}_{k}": (F.col(f"s_{h}"), number(t), [number(t) * F.lit(x) for x in EXITS]) for (h, k), t in tau.items()}
+    t = S.exits_held(e.select("label", "event_id", "recording", "t0_s", "pos", *[f"s_{h}" for h in heads]), turns, ["recording"], ["t0_s", "pos"])
+    # of a negative threshold the largest share is the lowest exit: what it holds counts from there, and is told by its sign
+    held = lambda h, k: (F.col(f"{h}_{k}") if (tau[h, k] or 0) >= 0 else -F.col(f"{h}_{k}")).alias(h)
+    none = F.lit(-1)
+    over = {"human_animal": F.col("s_human") >= F.col("s_animal"), "human_vehicle": F.col("s_human") >= F.col("s_vehicle"), "animal_vehicle": F.col("s_animal") >= F.col("s_vehicle"), "human_none": F.col("s_human") >= none, "animal_none": F.col("s_animal") >= none}
+    t = t.select("label", F.coalesce(F.col("event_id") % 5 != 0, F.lit(False)).alias("clean"), *[F.coalesce(c, F.lit(False)).alias(n) for n, c in over.items()],
+                 F.inline(F.array(*[F.struct(F.lit(k).alias("entry"), *[held(h, k) for h in heads]) for k in range(len(ENTRIES))])))
+    t = t.groupBy(*t.columns).agg(F.count("*").alias("n"))
+    t = D.grid(D.grid(t, "variant", list(VARIANTS)), "exit_tenths", list(range(11)))
+    on = {h: F.when(F.col(h) >= 0, F.col("exit_tenths") < F.col(h)).otherwise(F.col("exit_tenths") >= 11 + F.col(h)) for h in heads}
+    on["animal"] = on["animal"] & (F.col("variant") == "full")
+    beats = lambda a, b: F.when(on[b], F.col(f"{a}_{b}")).otherwise(F.col(f"{a}_none"))
+    decided = F.when(on["human"] & beats("human", "animal") & beats("human", "vehicle"), "human").when(on["animal"] & beats("animal", "vehicle"), "animal").when(on["vehicle"], "vehicle").otherwise("nothing")
+    t = t.withColumn("decided", decided)
+    n = t.groupBy("variant", "entry", "exit_tenths", "label", "decided").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("clean"), F.col("n")).otherwise(0)).alias("cleaned"))
     n = n.unpivot(["variant", "entry", "exit_tenths", "label", "decided"], ["all", "cleaned"], "subset", "n")
     count = lambda cond: F.sum(F.when(F.expr(cond), F.col("n")).otherwise(0)).cast("double")
 
